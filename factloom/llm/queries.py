@@ -8,10 +8,22 @@ from pyspark.sql import functions as F
 from ..runtime import load
 from .digest import group_key, merge_digests, partial_digests, percentiles
 from .encode import count_tokens, decode_corpus, encode_corpus
+from .names import all_mentions, found, link_names
 from .packing import pack
 from .splitting import split_texts
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return found(spark, load(spark, d, "extracted_claims"), load(spark, d, "entity_mapping_versions"), load(spark, d, "given_name_forms"))
+
+
+def p2_entities(spark: SparkSession, d: str) -> DataFrame:
+    """One row per mention with its entity's least mention and its number of links."""
+    linked = link_names(all_mentions(load(spark, d, "extracted_claims"), load(spark, d, "entity_mapping_versions")), load(spark, d, "given_name_forms"))
+    of = linked.groupBy("entity").agg(F.min("mention").alias("first_mention"), (F.count("*") - 1).alias("links"))
+    return linked.join(of, "entity").select("mention", "first_mention", "links")
+
+
 def p6_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return percentiles(load(spark, d, "saved_null_observations_v1"), ["transition_id", "bucket_id"], "noise_displacement")
 
@@ -48,7 +60,7 @@ def p10_joined(spark: SparkSession, d: str) -> DataFrame:
     return parts.select("doc_id", F.when(F.col("there"), F.array_join(F.transform("c", lambda x: x["t"]), "")).alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (p6_percentiles, p6_combined, p8_ids, p8_decoded, p9_containers, p10_pieces, p10_joined)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_entities, p6_percentiles, p6_combined, p8_ids, p8_decoded, p9_containers, p10_pieces, p10_joined)}
 
 SQL: dict[str, str] = {
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
