@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import general
+from . import asof_plan, evidence_plan, general
 
-_MODULES = [general]
+_MODULES = [general, asof_plan, evidence_plan]
 
 
 def queries() -> dict[str, general.Query]:
