@@ -26,10 +26,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -232,26 +234,28 @@ def trie_join(names: DataFrame, bound: int, other: DataFrame | None = None, bins
     both = d.unionByName(p).withColumn("bin", F.pmod(F.xxhash64("shard", "salt"), lit(bins)))
     ordered = other is None
 
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf["shard"] = pdf["shard"] + "\u0001" + pdf["salt"].astype(str)
-        tries = {s: Trie(list(g)) for s, g in pdf[pdf["side"] == 0].groupby("shard")["name"]}
-        rows, seen = [], set()
-        q = pdf[pdf["side"] == 1]
-        for s, w in zip(q["shard"], q["name"]):
-            t = tries.get(s)
-            if t is None:
+    def match(t: pa.Table) -> pa.Table:
+        columns = [t.column(c).to_pylist() for c in ("shard", "salt", "side", "name")]
+        held, probes = defaultdict(list), defaultdict(list)
+        for s, salt, side, name in zip(*columns):
+            (probes if side else held)[s, salt].append(name)
+        seen = set()
+        for k, words in probes.items():
+            known = held.get(k)
+            # A shard that holds nothing but the name that probes it has no pair.
+            if known is None or ordered and len(known) == 1 and len(words) == 1 and known == words:
                 continue
-            part = s.split("\u0001", 1)[0]
-            for x, e in t.within(w, bound):
-                if ordered and x == w:
-                    continue
-                pair = (part, min(w, x), max(w, x), e) if ordered else (part, w, x, e)
-                if pair not in seen:
-                    seen.add(pair)
-                    rows.append(pair)
-        return pd.DataFrame(rows, columns=["part", "a", "b", "edits"])
+            trie, part = Trie(known), k[0].split("\u0001", 1)[0]
+            for w in words:
+                for x, e in trie.within(w, bound):
+                    if not ordered:
+                        seen.add((part, w, x, e))
+                    elif x != w:
+                        seen.add((part, w, x, e) if w < x else (part, x, w, e))
+        parts = list(zip(*seen)) or [(), (), (), ()]
+        return pa.table({n: pa.array(v, kind) for n, v, kind in zip(("part", "a", "b", "edits"), parts, (pa.string(), pa.string(), pa.string(), pa.int32()))})
 
-    return both.groupBy("bin").applyInPandas(match, "part string, a string, b string, edits int").distinct()
+    return both.groupBy("bin").applyInArrow(match, "part string, a string, b string, edits int").distinct()
 
 
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -312,7 +316,11 @@ def link_names(mentions: DataFrame, given_forms: DataFrame) -> DataFrame:
     centred = known.groupBy("root").agg(F.max((F.col("degree") >= 2) | (F.col("written") >= 3)).alias("centred"))
     loose = known.join(centred.filter("not centred").select("root"), "root", "left_semi")
     near2 = as_edge(trie_join(staged(loose.select("part", "name"), "loose"), 2))
-    roots = components(names.select("node"), edges1.unionByName(near2))
+    # The second round joins the first round's components, not their nodes again.
+    of = known.select("node", "root")
+    between = near2.join(of.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(of.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
+    merged = components(of.select(F.col("root").alias("node")).distinct(), between.select(F.col("ra").alias("a"), F.col("rb").alias("b")).filter("a <> b"))
+    roots = of.join(merged.select(F.col("node").alias("root"), F.col("root").alias("final")), "root").select("node", F.col("final").alias("root"))
     entity = staged(rows.join(roots, "node").groupBy("mention").agg(F.min("root").alias("entity")), "entities")
 
     # Middle initials: the one name of the given name whose first word has the
