@@ -10,11 +10,10 @@ from ..operators import graph as op
 from ..sources.bindings import EDGES_SQL, edges
 
 CAP = 3
-HOT = 40  # entities of a greater degree are no inner nodes of paths
 
 
 def _eligible(e: DataFrame, low: int = 3) -> DataFrame:
-    return op.degrees(e).filter(F.col("degree").between(low, HOT)).select("snapshot_id", "entity")
+    return op.degrees(e).filter(F.col("degree") >= low).select("snapshot_id", "entity")
 
 
 def _paths(spark: SparkSession, d: str, hops: int) -> DataFrame:
@@ -169,7 +168,7 @@ QUERIES = {
 }
 
 _DEG = f"{EDGES_SQL}, deg AS (SELECT snapshot_id, entity, count(*) AS degree FROM (SELECT snapshot_id, unnest([h, t]) AS entity FROM e) GROUP BY ALL)"
-_ELIG = f"{_DEG}, el AS (SELECT snapshot_id, entity FROM deg WHERE degree BETWEEN 3 AND {HOT}), st AS (SELECT e.* FROM e JOIN el a ON a.snapshot_id = e.snapshot_id AND a.entity = h JOIN el b ON b.snapshot_id = e.snapshot_id AND b.entity = t)"
+_ELIG = f"{_DEG}, el AS (SELECT snapshot_id, entity FROM deg WHERE degree >= 3), st AS (SELECT e.* FROM e JOIN el a ON a.snapshot_id = e.snapshot_id AND a.entity = h JOIN el b ON b.snapshot_id = e.snapshot_id AND b.entity = t)"
 _FREE = "NOT EXISTS (SELECT 1 FROM e x WHERE x.snapshot_id = {p}.snapshot_id AND x.h = {a} AND x.t = {b}) AND NOT EXISTS (SELECT 1 FROM e x WHERE x.snapshot_id = {p}.snapshot_id AND x.h = {b} AND x.t = {a})"
 _P2 = f"{_ELIG}, p2 AS (SELECT a.snapshot_id, a.h AS x, a.r AS r1, a.t AS y, b.r AS r2, b.t AS z FROM st a JOIN st b ON a.snapshot_id = b.snapshot_id AND a.t = b.h WHERE a.h <> a.t AND b.t <> a.h AND b.t <> a.t AND {_FREE.format(p='a', a='a.h', b='b.t')}), q2 AS (SELECT *, concat_ws('>', x, r1, y, r2, z) AS path FROM p2)"
 _CAPPED = "k2 AS (SELECT *, row_number() OVER (PARTITION BY snapshot_id, x ORDER BY sha256('n1-cap|' || x || '|' || concat_ws('|', x, r1, y, r2, z)), x, r1, y, r2, z) AS n FROM q2)"
