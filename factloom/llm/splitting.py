@@ -28,7 +28,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import staged
 from .tokenizer import encoding, ranks, vocabulary
 
 LIMIT = 512
@@ -40,20 +39,67 @@ RESERVE = 8
 # inside of a character (no place to cut).
 HEADING, PARAGRAPH, LINE, SENTENCE, WORD, CHARACTER, INSIDE = "HPLSWCX"
 
-_RULES = [
-    (WORD, re.compile(r"(?<=\S)(?=\s)|(?<=\s)(?=\S)")),
-    (SENTENCE, re.compile(r"(?<=[.!?…。！？])[\"'”’»)\]]*(?=\s)|(?<=[。！？])")),
-    (LINE, re.compile(r"[\r\n]\s*(?=\S)")),
-    (PARAGRAPH, re.compile(r"\n[^\S\n]*\n\s*(?=\S)|</(?:p|div|li|tr|table|section|article|script|head|body)>", re.I)),
-    (HEADING, re.compile(r"(?<=\n)[^\S\n]*(?=#{1,6}\s+\S)|(?<=\n)[^\S\n]*(?=(?:[IVX]+|\d+(?:\.\d+)*)[.)]\s+[^\n]{1,80}(?:\n|$))|(?<=\n)\s*(?=[^\n.!?:;,]{3,80}\n\s*\n)|(?=<h[1-6][\s>])", re.I)),
-]
+_SPACE = np.array([chr(i).isspace() for i in range(0x3001)] + [False])
+_ENDERS, _WIDE_ENDERS = np.array([ord(c) for c in ".!?…"]), np.array([ord(c) for c in "。！？"])
+_CLOSERS = np.array([ord(c) for c in "\"'”’»)]"])
+_PUNCTUATION = np.array([ord(c) for c in ".!?:;,"])
+_NUMBERED = re.compile(r"(?:[IVX]+|\d+(?:\.\d+)*)[.)]\s+[^\n]{1,80}(?:\n|$)")
+_BLOCK_END = re.compile(r"</(?:p|div|li|tr|table|section|article|script|head|body)>", re.I)
+_HTML_HEADING = re.compile(r"<h[1-6][\s>]", re.I)
 
 
 def boundaries(text: str) -> np.ndarray:
-    """The proxy character at each code point offset 0..len(text)."""
-    at = np.full(len(text) + 1, ord(CHARACTER), np.uint8)
-    for name, rule in _RULES:
-        at[[m.end() for m in rule.finditer(text)]] = ord(name)
+    """The proxy character at each code point offset 0..len(text).
+
+    Words end where white space begins or ends; sentences after a full stop (and
+    closing quotes) before white space; lines and paragraphs where text begins again
+    after one or more line ends.  Headings are lines that begin with #, a number or a
+    heading tag, and lines of at most 80 characters without punctuation before an
+    empty line.
+    """
+    cp = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
+    n = len(cp)
+    at = np.full(n + 1, ord(CHARACTER), np.uint8)
+    index = np.arange(n)
+    space = _SPACE[np.minimum(cp, 0x3001)]
+    at[1:n][space[1:] != space[:-1]] = ord(WORD)
+    low, wide = np.isin(cp, _ENDERS), np.isin(cp, _WIDE_ENDERS)
+    last = np.maximum.accumulate(np.where(np.isin(cp, _CLOSERS), -1, index))
+    ends = index[1:][space[1:] & (last[:-1] >= 0) & (low | wide)[last[:-1]] & ~space[:-1]]
+    at[ends] = ord(SENTENCE)
+    at[index[wide] + 1] = ord(SENTENCE)
+
+    line_end = cp == 10
+    line_end |= (cp == 13) & np.append(cp[1:] != 10, True)
+    ends_before = np.concatenate([[0], np.cumsum(line_end)])
+    begins = index[1:][~space[1:] & space[:-1]]
+    if len(begins):
+        solid = np.maximum.accumulate(np.where(space, -1, index))
+        gap = ends_before[begins] - ends_before[solid[begins - 1] + 1]
+        at[begins[gap == 1]] = ord(LINE)
+        at[begins[gap > 1]] = ord(PARAGRAPH)
+        if "</" in text:
+            at[[m.end() for m in _BLOCK_END.finditer(text)]] = ord(PARAGRAPH)
+        # Lines as [start, end), from their first solid character.
+        stops = np.append(index[line_end], n)
+        starts = np.append(0, index[line_end] + 1)
+        solid_before = np.concatenate([[0], np.cumsum(~space)])
+        marks_before = np.concatenate([[0], np.cumsum(np.isin(cp, _PUNCTUATION))])
+        after = np.append(stops[1:], n)
+        letters = solid_before[stops] - solid_before[starts]
+        short = (letters >= 3) & (stops - starts <= 80) & (marks_before[stops] == marks_before[starts]) & (solid_before[after] == solid_before[stops]) & (after > stops)
+        filled = np.minimum.accumulate(np.where(space, n, index)[::-1])[::-1]
+        first = filled[np.minimum(starts, n - 1)]
+        inside = (first < stops) & (letters > 0)
+        heads = set(first[inside & short].tolist())
+        lead = cp[np.minimum(first, n - 1)]
+        heads.update(first[inside & (lead == 35)].tolist())
+        maybe = inside & (stops - starts <= 100) & (((lead >= 48) & (lead <= 57)) | np.isin(lead, [73, 86, 88]))
+        heads.update(p for p in first[maybe].tolist() if _NUMBERED.match(text, p))
+        if "<h" in text or "<H" in text:
+            heads.update(m.start() for m in _HTML_HEADING.finditer(text))
+        heads.discard(0)
+        at[list(heads)] = ord(HEADING)
     at[-1] = ord(HEADING)
     return at
 
@@ -116,14 +162,13 @@ def split_texts(df: DataFrame, key: str = "doc_id", text: str = "text", limit: i
                     e.append(None)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int32()), pa.array(p, pa.string()), pa.array(e, pa.list_(pa.int32()))], names=["key", "text", "row", "n", "proxy", "ends"])
 
-    measured = staged(rows.mapInArrow(measure, f"key {kind}, text string, row long, n int, proxy string, ends array<int>"), "proxies")
-    small = measured.filter("proxy is null").select("key", "row", F.lit(0).alias("piece"), F.lit(0).alias("part"), F.lit(0).alias("start"), F.lit(0).alias("core_start"), F.coalesce(F.length("text"), F.lit(0)).alias("core_end"), F.col("n").alias("n_tokens"), F.col("text").alias("piece_text"))
+    measured = rows.mapInArrow(measure, f"key {kind}, text string, row long, n int, proxy string, ends array<int>")
 
     # Runs in the JVM: lengths of the matches, their running sum, and the lookback.
     sizes = F.transform(F.regexp_extract_all("proxy", F.lit(pattern(core, max(1, overlap))), F.lit(0)), lambda m: F.length(m))
-    big = measured.filter("proxy is not null").select("key", "row", "text", "ends", sizes.alias("sizes"))
+    big = measured.select("key", "row", "text", "n", "ends", sizes.alias("sizes"))
     running = F.aggregate("sizes", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-    big = big.select("key", "row", "text", "ends", running.alias("cuts"))
+    big = big.select("key", "row", "text", "n", "ends", running.alias("cuts"))
     point = lambda i: F.when(i <= 0, F.lit(0)).otherwise(F.element_at("ends", F.greatest(i, F.lit(1))))
     spans = F.transform(
         F.sequence(F.lit(1), F.size("cuts") - 1),
@@ -134,7 +179,10 @@ def split_texts(df: DataFrame, key: str = "doc_id", text: str = "text", limit: i
             point(F.element_at("cuts", i + 1)).alias("core_end"),
         ),
     )
-    pieces = big.select("key", "row", "text", F.explode(spans).alias("s")).select("key", "row", "s.*", F.expr("substring(text, s.start + 1, s.core_end - s.start)").alias("piece_text"))
+    whole = F.array(F.struct(F.lit(0).alias("piece"), F.lit(0).alias("start"), F.lit(0).alias("core_start"), F.coalesce(F.length("text"), F.lit(0)).alias("core_end")))
+    pieces = big.select("key", "row", "text", "n", F.explode(F.when(F.col("cuts").isNull(), whole).otherwise(spans)).alias("s"))
+    text_of = F.when(F.col("n") <= limit, F.col("text")).otherwise(F.expr("substring(text, s.start + 1, s.core_end - s.start)"))
+    pieces = pieces.select("key", "row", "n", "s.*", text_of.alias("piece_text"))
 
     def enforce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Counts each piece; one above the limit is cut in two at its middle boundary until none is."""
@@ -142,6 +190,10 @@ def split_texts(df: DataFrame, key: str = "doc_id", text: str = "text", limit: i
         for b in batches:
             out = []
             for r in b.to_pylist():
+                known = r.pop("n")
+                if known <= limit:
+                    out.append(r | {"part": 0, "n_tokens": known})
+                    continue
                 todo, part = [(r["start"], r["core_start"], r["core_end"])], 0
                 base, whole = r["start"], r["piece_text"]
                 while todo:
@@ -159,4 +211,4 @@ def split_texts(df: DataFrame, key: str = "doc_id", text: str = "text", limit: i
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([*((n, b.schema.field(n).type) for n in ("key", "row", "piece")), ("part", pa.int32()), *((n, b.schema.field(n).type) for n in ("start", "core_start", "core_end")), ("n_tokens", pa.int32()), ("piece_text", pa.string())]))
 
     exact = pieces.mapInArrow(enforce, f"key {kind}, row long, piece int, part int, start int, core_start int, core_end int, n_tokens int, piece_text string")
-    return small.unionByName(exact).withColumnRenamed("key", key)
+    return exact.withColumnRenamed("key", key)
