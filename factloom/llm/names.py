@@ -179,27 +179,41 @@ class Trie:
 
     def within(self, word: str, bound: int) -> Iterator[tuple[str, int]]:
         """(name, edits) of all names within the bound: the automaton's state is a row of the edit matrix."""
-        n = len(word)
-        stack = [(self.root, "", None, list(range(n + 1)))]
+        n, far = len(word), bound + 1
+        # Per node: children, last letter, the two rows above and their least value, depth.
+        stack = [(self.root, "", None, [*range(far), *[far] * (n + 1 - far)], 0, 0)]
         while stack:
-            node, last, before, row = stack.pop()
+            node, last, before, row, least_above, depth = stack.pop()
+            depth += 1
+            # Outside of the diagonal band every value is above the bound.
+            low, high = max(1, depth - bound), min(n, depth + bound)
             for c, child in node.items():
                 if c == "":
                     if row[n] <= bound:
                         yield child, row[n]
                     continue
-                now = [row[0] + 1]
-                least = now[0]
-                for j in range(1, n + 1):
-                    v = row[j - 1] if word[j - 1] == c else 1 + min(row[j - 1], row[j], now[j - 1])
-                    if before is not None and j > 1 and c == word[j - 2] and last == word[j - 1] and before[j - 2] + 1 < v:
-                        v = before[j - 2] + 1
-                    now.append(v)
+                now = [far] * (n + 1)
+                if depth <= bound:
+                    now[0] = depth
+                least, left = now[0], now[low - 1]
+                for j in range(low, high + 1):
+                    if word[j - 1] == c:
+                        v = row[j - 1]
+                    else:
+                        v = row[j - 1]
+                        if row[j] < v:
+                            v = row[j]
+                        if left < v:
+                            v = left
+                        v += 1
+                        if before is not None and j > 1 and last == word[j - 1] and c == word[j - 2] and before[j - 2] + 1 < v:
+                            v = before[j - 2] + 1
+                    now[j] = left = v
                     if v < least:
                         least = v
-                # A swap may still gain one on the row before.
-                if least <= bound or min(row) < bound:
-                    stack.append((child, c, row, now))
+                # A swap may still gain one on the row above.
+                if least <= bound or least_above < bound:
+                    stack.append((child, c, row, now, least, depth))
 
 
 def trie_join(names: DataFrame, bound: int, other: DataFrame | None = None, bins: int = 48, hot: int = 4000) -> DataFrame:
