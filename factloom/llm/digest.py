@@ -141,16 +141,18 @@ def percentiles(df: DataFrame, groups: list[str], value: str, quantiles: list[fl
     digests = staged(digests if digests is not None else merge_digests(partial_digests(df, g, value)), "digests")
     est = staged(estimates(digests, quantiles), "estimates")
     finite = F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
-    rows = df.filter(finite).select(g.alias("g"), F.col(value).cast("double").alias("v"), *groups)
+    # Own names are marked, as the groups may have any.
+    rows = df.filter(finite).select(*groups, g.alias("__g"), F.col(value).cast("double").alias("__v"))
     # A row per group: broadcast while their number is small, else a join that AQE may split.
-    side = est.select("g", "est")
+    side = est.select(F.col("g").alias("__g"), F.col("est").alias("__est"))
     side = F.broadcast(side) if est.count() <= broadcast_groups else side
-    hit = rows.join(side, "g")
-    counts = [F.sum((F.col("v") < F.col("est")[i]).cast("long")).alias(f"lt{i}") for i in range(len(quantiles))] + [F.sum((F.col("v") <= F.col("est")[i]).cast("long")).alias(f"le{i}") for i in range(len(quantiles))]
-    sums = hit.groupBy("g", *groups).agg(F.count("*").alias("n"), F.first("est").alias("est"), *counts)
+    hit = rows.join(side, "__g")
+    v, e = F.col("__v"), F.col("__est")
+    counts = [F.sum((v < e[i]).cast("long")).alias(f"__lt{i}") for i in range(len(quantiles))] + [F.sum((v <= e[i]).cast("long")).alias(f"__le{i}") for i in range(len(quantiles))]
+    sums = hit.groupBy("__g", *groups).agg(F.count("*").alias("__n"), F.first("__est").alias("__est"), *counts)
     per = []
     for i, q in enumerate(quantiles):
-        target = F.lit(q) * F.col("n")
-        err = F.greatest(F.col(f"lt{i}") - target, target - F.col(f"le{i}"), F.lit(0.0)) / F.col("n")
-        per.append(F.struct(F.lit(q).alias("q"), F.col("est")[i].alias("estimate"), err.alias("rank_error")))
-    return sums.select(*groups, "n", F.explode(F.array(*per)).alias("e")).select(*groups, "n", "e.*")
+        n = F.col("__n")
+        err = F.greatest(F.col(f"__lt{i}") - F.lit(q) * n, F.lit(q) * n - F.col(f"__le{i}"), F.lit(0.0)) / n
+        per.append(F.struct(F.lit(q).alias("q"), e[i].alias("estimate"), err.alias("rank_error")))
+    return sums.select(*groups, F.col("__n").alias("n"), F.explode(F.array(*per)).alias("__e")).select(*groups, "n", "__e.*")
