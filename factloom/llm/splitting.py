@@ -39,10 +39,11 @@ RESERVE = 8
 # inside of a character (no place to cut).
 HEADING, PARAGRAPH, LINE, SENTENCE, WORD, CHARACTER, INSIDE = "HPLSWCX"
 
-_SPACE = np.array([chr(i).isspace() for i in range(0x3001)] + [False])
-_ENDERS, _WIDE_ENDERS = np.array([ord(c) for c in ".!?…"]), np.array([ord(c) for c in "。！？"])
-_CLOSERS = np.array([ord(c) for c in "\"'”’»)]"])
-_PUNCTUATION = np.array([ord(c) for c in ".!?:;,"])
+_IS_SPACE, _IS_END, _IS_WIDE_END, _IS_CLOSER, _IS_MARK, _IS_LINE = 1, 2, 4, 8, 16, 32
+_KIND = np.zeros(0x10000, np.uint8)
+_KIND[[i for i in range(0x3001) if chr(i).isspace()]] = _IS_SPACE
+for _chars, _bit in ((".!?…", _IS_END), ("。！？", _IS_WIDE_END), ("\"'”’»)]", _IS_CLOSER), (".!?:;,", _IS_MARK), ("\n\r", _IS_LINE)):
+    _KIND[[ord(c) for c in _chars]] |= _bit
 _NUMBERED = re.compile(r"(?:[IVX]+|\d+(?:\.\d+)*)[.)]\s+[^\n]{1,80}(?:\n|$)")
 _BLOCK_END = re.compile(r"</(?:p|div|li|tr|table|section|article|script|head|body)>", re.I)
 _HTML_HEADING = re.compile(r"<h[1-6][\s>]", re.I)
@@ -57,39 +58,47 @@ def boundaries(text: str) -> np.ndarray:
     heading tag, and lines of at most 80 characters without punctuation before an
     empty line.
     """
-    cp = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
+    cp = np.frombuffer(text.encode("utf-32-le"), "<u4")
     n = len(cp)
     at = np.full(n + 1, ord(CHARACTER), np.uint8)
-    index = np.arange(n)
-    space = _SPACE[np.minimum(cp, 0x3001)]
-    at[1:n][space[1:] != space[:-1]] = ord(WORD)
-    low, wide = np.isin(cp, _ENDERS), np.isin(cp, _WIDE_ENDERS)
-    last = np.maximum.accumulate(np.where(np.isin(cp, _CLOSERS), -1, index))
-    ends = index[1:][space[1:] & (last[:-1] >= 0) & (low | wide)[last[:-1]] & ~space[:-1]]
-    at[ends] = ord(SENTENCE)
-    at[index[wide] + 1] = ord(SENTENCE)
-
-    line_end = cp == 10
-    line_end |= (cp == 13) & np.append(cp[1:] != 10, True)
-    ends_before = np.concatenate([[0], np.cumsum(line_end)])
-    begins = index[1:][~space[1:] & space[:-1]]
+    kind = _KIND[np.minimum(cp, 0xFFFF)]
+    space = (kind & _IS_SPACE) != 0
+    changes = np.flatnonzero(space[1:] != space[:-1]) + 1
+    at[changes] = ord(WORD)
+    # Before white space: the last character that closes nothing decides.
+    before_space = changes[space[changes]]
+    last = before_space - 1
+    while len(closed := np.flatnonzero((kind[last] & _IS_CLOSER) != 0)) and (last[closed] > 0).any():
+        last[closed] = np.maximum(last[closed] - 1, 0)
+        if (last[closed] == 0).all():
+            break
+    at[before_space[(kind[last] & (_IS_END | _IS_WIDE_END)) != 0]] = ord(SENTENCE)
+    at[np.flatnonzero((kind & _IS_WIDE_END) != 0) + 1] = ord(SENTENCE)
+
+    line_end = (kind & _IS_LINE) != 0
+    line_end[:-1] &= ~((cp[:-1] == 13) & (cp[1:] == 10))
+    at_line_end = np.flatnonzero(line_end)
+    begins = changes[~space[changes]]
     if len(begins):
-        solid = np.maximum.accumulate(np.where(space, -1, index))
-        gap = ends_before[begins] - ends_before[solid[begins - 1] + 1]
+        # The white space before a beginning starts at the change before it, or at 0.
+        opened = np.searchsorted(before_space, begins) - 1
+        since = np.where(opened >= 0, before_space[np.maximum(opened, 0)] if len(before_space) else 0, 0)
+        gap = np.searchsorted(at_line_end, begins) - np.searchsorted(at_line_end, since)
         at[begins[gap == 1]] = ord(LINE)
         at[begins[gap > 1]] = ord(PARAGRAPH)
         if "</" in text:
             at[[m.end() for m in _BLOCK_END.finditer(text)]] = ord(PARAGRAPH)
         # Lines as [start, end), from their first solid character.
-        stops = np.append(index[line_end], n)
-        starts = np.append(0, index[line_end] + 1)
+        stops = np.append(at_line_end, n)
+        starts = np.append(0, at_line_end + 1)
         solid_before = np.concatenate([[0], np.cumsum(~space)])
-        marks_before = np.concatenate([[0], np.cumsum(np.isin(cp, _PUNCTUATION))])
+        marks = np.flatnonzero((kind & _IS_MARK) != 0)
         after = np.append(stops[1:], n)
         letters = solid_before[stops] - solid_before[starts]
-        short = (letters >= 3) & (stops - starts <= 80) & (marks_before[stops] == marks_before[starts]) & (solid_before[after] == solid_before[stops]) & (after > stops)
-        filled = np.minimum.accumulate(np.where(space, n, index)[::-1])[::-1]
-        first = filled[np.minimum(starts, n - 1)]
+        short = (letters >= 3) & (stops - starts <= 80) & (np.searchsorted(marks, stops) == np.searchsorted(marks, starts)) & (solid_before[after] == solid_before[stops]) & (after > stops)
+        solid = np.flatnonzero(~space)
+        following = np.searchsorted(solid, starts)
+        first = np.where(following < len(solid), solid[np.minimum(following, len(solid) - 1)], n)
         inside = (first < stops) & (letters > 0)
         heads = set(first[inside & short].tolist())
         lead = cp[np.minimum(first, n - 1)]
@@ -188,27 +197,31 @@ def split_texts(df: DataFrame, key: str = "doc_id", text: str = "text", limit: i
         """Counts each piece; one above the limit is cut in two at its middle boundary until none is."""
         enc = encoding(path).encode_ordinary
         for b in batches:
-            out = []
-            for r in b.to_pylist():
-                known = r.pop("n")
-                if known <= limit:
-                    out.append(r | {"part": 0, "n_tokens": known})
-                    continue
-                todo, part = [(r["start"], r["core_start"], r["core_end"])], 0
-                base, whole = r["start"], r["piece_text"]
+            column = {n: b.column(n).to_pylist() for n in ("n", "start", "core_start", "core_end", "piece_text")}
+            counts = [n if n <= limit else len(enc(t)) for n, t in zip(column["n"], column["piece_text"])]
+            takes, starts, cores, ends, texts, parts, sizes = [], [], [], [], [], [], []
+            for i, n in enumerate(counts):
+                base, whole, part = column["start"][i], column["piece_text"][i], 0
+                todo = [(base, column["core_start"][i], column["core_end"][i], n)]
                 while todo:
-                    start, a, z = todo.pop()
-                    t = whole[start - base : z - base]
-                    n = len(enc(t))
-                    if n <= limit or z - a <= 1:
-                        out.append(r | {"part": part, "start": start, "core_start": a, "core_end": z, "n_tokens": n, "piece_text": t})
-                        part += 1
+                    start, a, z, n = todo.pop()
+                    t = whole if (start, z) == (base, column["core_end"][i]) else whole[start - base : z - base]
+                    n = len(enc(t)) if n is None else n
+                    if n > limit and z - a > 1:
+                        middle = (a + z) // 2
+                        spaces = [m.end() for m in re.finditer(r"\s(?=\S)", whole[a - base : middle - base])]
+                        cut = a + spaces[-1] if spaces else middle
+                        todo += [(max(base, cut - max(0, a - start)), cut, z, None), (start, a, cut, None)]
                         continue
-                    middle = (a + z) // 2
-                    spaces = [m.end() for m in re.finditer(r"\s(?=\S)", whole[a - base : middle - base])]
-                    cut = a + spaces[-1] if spaces else middle
-                    todo += [(max(base, cut - max(0, a - start)), cut, z), (start, a, cut)]
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([*((n, b.schema.field(n).type) for n in ("key", "row", "piece")), ("part", pa.int32()), *((n, b.schema.field(n).type) for n in ("start", "core_start", "core_end")), ("n_tokens", pa.int32()), ("piece_text", pa.string())]))
+                    for values, v in zip((takes, starts, cores, ends, texts, parts, sizes), (i, start, a, z, t, part, n)):
+                        values.append(v)
+                    part += 1
+            at = pa.array(takes, pa.int64())
+            i32 = pa.int32()
+            yield pa.RecordBatch.from_arrays(
+                [b.column("key").take(at), b.column("row").take(at), b.column("piece").take(at), pa.array(parts, i32), pa.array(starts, i32), pa.array(cores, i32), pa.array(ends, i32), pa.array(sizes, i32), pa.array(texts, pa.string())],
+                names=["key", "row", "piece", "part", "start", "core_start", "core_end", "n_tokens", "piece_text"],
+            )
 
     exact = pieces.mapInArrow(enforce, f"key {kind}, row long, piece int, part int, start int, core_start int, core_end int, n_tokens int, piece_text string")
     return exact.withColumnRenamed("key", key)
