@@ -115,5 +115,6 @@ def pack(sizes: DataFrame, key: str, size: str, capacity: int = CAPACITY, block_
                 names[i] = f"{block}-{w}"
         return pdf.assign(container=names)[["key", "piece", "start", "length", "container", "n_pieces"]]
 
-    packed = rest.groupBy("block").applyInPandas(windows, f"key {kind}, piece int, start long, length long, container string, n_pieces int")
+    # Blocks are light in bytes but not in work: a stated number of tasks is not coalesced.
+    packed = rest.repartition(min(blocks, 4000), "block").groupBy("block").applyInPandas(windows, f"key {kind}, piece int, start long, length long, container string, n_pieces int")
     return full.unionByName(packed).withColumnRenamed("key", key)
