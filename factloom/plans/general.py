@@ -89,7 +89,28 @@ j AS (SELECT coalesce(a.snapshot_id, b.snapshot_id) AS snapshot_id, coalesce(a.s
       FROM a FULL JOIN b ON a.snapshot_id = b.snapshot_id AND a.subject_id = b.subject_id AND a.relation_id = b.relation_id)
 SELECT snapshot_id, subject_id, relation_id, CASE WHEN x IS NULL THEN 'added' WHEN y IS NULL THEN 'removed' ELSE 'changed' END AS change_kind"""
 
+# One interpretation per value: in the tables every numeric date belongs to a publisher with a declared order.
+_BASES = "['%Y-%m-%d', '%Y-%m-%dT%H:%M:%S', '%Y-%m-%dT%H:%M', '%Y-%m-%dt%H:%M:%S', '%Y-%m-%d %H:%M:%S', '%Y-%m-%d %H:%M', '%d %b %Y %H:%M:%S', '%b %d, %Y %I:%M %p']"
+_ORDERED = {o: "[" + ", ".join(f"'{f.replace('D', d)}'" for d in ds for f in ("D %H:%M", "D %H:%M:%S", "D, %H:%M", "D %I:%M %p", "%H:%M D")) + "]" for o, ds in (("mdy", ("%m/%d/%Y", "%m-%d-%Y", "%m.%d.%Y")), ("dmy", ("%d/%m/%Y", "%d-%m-%Y", "%d.%m.%Y")))}
+_INSTANTS = rf"""z AS (SELECT source_id, zone_name, date_order, std_abbrev, dst_abbrev, epoch(TIMESTAMP '2025-01-15') - epoch(timezone(zone_name, TIMESTAMP '2025-01-15')) AS o1, epoch(TIMESTAMP '2025-07-15') - epoch(timezone(zone_name, TIMESTAMP '2025-07-15')) AS o7 FROM publisher_zones),
+raw AS (SELECT 'document_times' AS rec_table, document_time_id AS record_id, observed_at AS v, source_id, basis FROM document_times UNION ALL SELECT 'fact_versions', fact_version_id, evidence_observed_at, source_id, evidence_time_basis FROM fact_versions),
+a AS (SELECT rec_table, record_id, basis, z.*, regexp_replace(v, '^\s+|\s+$', '', 'g') AS s FROM raw LEFT JOIN z ON raw.source_id = z.source_id WHERE v IS NOT NULL),
+b AS (SELECT *, contains(s, '[') AS bracket, regexp_replace(regexp_replace(s, '\[[^\]]+\]$', ''), '^[^\d,]+, ', '') AS s2 FROM a),
+c AS (SELECT *, CASE WHEN regexp_matches(s2, '\(GMT[+-]') THEN regexp_extract(s2, '\(GMT([+-]\d+(?::\d+)?)\)$', 1) WHEN regexp_matches(s2, ':\d\d(?:[.,]\d+)?\s*[+-]\d\d(?::?\d\d)?$') THEN regexp_extract(s2, '([+-]\d\d(?::?\d\d)?)$', 1) WHEN regexp_matches(s2, '\d[zZ]$') THEN '+0' END AS num, regexp_extract(s2, ' ([A-Z]{{3,5}})$', 1) AS abbr,
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(s2, '\s*\(GMT[^)]*\)$', ''), '(:\d\d(?:[.,]\d+)?)\s*[+-]\d\d(?::?\d\d)?$', '\1'), '(\d)[zZ]$', '\1'), ' [A-Z]{{3,5}}$', '') AS s3 FROM b),
+e AS (SELECT *, CAST(coalesce(rpad(nullif(substr(regexp_extract(s3, ':\d\d[.,](\d+)$', 1), 1, 6), ''), 6, '0'), '0') AS bigint) AS frac, regexp_replace(s3, '(:\d\d)[.,]\d+$', '\1') AS s4,
+  CASE WHEN num IS NOT NULL THEN (CASE WHEN num LIKE '-%' THEN -60 ELSE 60 END) * (60 * CAST(regexp_extract(num, '^[+-](\d\d?)', 1) AS int) + coalesce(TRY_CAST(nullif(regexp_extract(num, '^[+-]\d\d?:?(\d\d)$', 1), '') AS int), 0)) WHEN abbr = std_abbrev THEN least(o1, o7) WHEN abbr = dst_abbrev THEN greatest(o1, o7) END AS off FROM c),
+f AS (SELECT *, CASE WHEN regexp_full_match(s4, '\d{{14}}') THEN try_strptime(s4, '%Y%m%d%H%M%S') WHEN date_order = 'mdy' THEN coalesce(try_strptime(s4, {_BASES}), try_strptime(s4, {_ORDERED["mdy"]})) ELSE coalesce(try_strptime(s4, {_BASES}), try_strptime(s4, {_ORDERED["dmy"]})) END AS ts FROM e),
+g AS (SELECT *, timezone(zone_name, ts) AS u FROM f),
+inst AS (SELECT rec_table, record_id, CASE WHEN regexp_full_match(s, '\d{{10}}|\d{{13}}|\d{{16}}') THEN CAST(s AS bigint) * CAST(pow(10, 16 - length(s)) AS bigint) WHEN num IS NOT NULL OR abbr <> '' THEN epoch_us(ts) + frac - CAST(off AS bigint) * 1000000 WHEN bracket THEN NULL
+  WHEN basis = 'wayback_archive_datetime' THEN epoch_us(ts) + frac WHEN timezone(zone_name, u - INTERVAL 1 HOUR) = ts THEN epoch_us(u) - 3600000000 + frac ELSE epoch_us(u) + frac END AS us FROM g)"""
+
 SQL: dict[str, str] = {
+    "p4_found": f"WITH {_INSTANTS} SELECT DISTINCT rec_table, record_id, us AS instant_us FROM inst WHERE us IS NOT NULL AND record_id IS NOT NULL",
+    "p7_found": f"""WITH {_INSTANTS}, m AS (SELECT entity_mapping_id AS id, lower(mention) AS k, min(epoch_us(CAST(mapping_available_at AS timestamptz))) AS av, min(supersedes_mapping_id) AS sup FROM entity_mapping_versions WHERE mention IS NOT NULL GROUP BY 1, 2),
+ev AS (SELECT DISTINCT fact_version_id, unnest(['subject', 'object']) AS endpoint, lower(unnest([subject_id, object_id])) AS k, us FROM fact_versions JOIN inst ON rec_table = 'fact_versions' AND record_id = fact_version_id WHERE us IS NOT NULL),
+h AS (SELECT fact_version_id, endpoint, us, id, av FROM ev JOIN m ON ev.k = m.k AND av <= us WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.k = m.k AND o.sup = m.id AND o.id <> m.id AND o.av <= us))
+SELECT DISTINCT fact_version_id, endpoint, arg_min(id, {{'a': -av, 'b': id}}) AS entity_mapping_id FROM h GROUP BY fact_version_id, endpoint, us""",
     "p1_found": f"""WITH {_V}
 SELECT logical_fact_id, fact_version_id,
   CASE WHEN s = '-infinity'::timestamptz THEN '' ELSE strftime(s AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') END AS period_start,
