@@ -144,7 +144,7 @@ def article_number_fit(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mention_keys(spark: SparkSession, d: str) -> DataFrame:
-    m = load(spark, d, "entity_mapping_versions").select("mention").filter("mention rlike '^[A-Za-z0-9 .,()-]+$'").distinct()
+    m = load(spark, d, "entity_mapping_versions").select("mention").filter("mention is not null").distinct()
     return m.select("mention", x.mention_key("mention").alias("key"), x.is_generic("mention").alias("generic"), x.entity_id(x.mention_key("mention")).alias("entity"))
 
 
@@ -250,7 +250,7 @@ count(*) AS docs, CAST(sum(n) AS bigint) AS chars, max(n) AS longest FROM t GROU
     "article_number_fit": r"""WITH t AS (SELECT TRY_CAST(nullif(regexp_extract(url, '-(\d+)\.htm$', 1), '') AS double) AS n, CAST(date_diff('day', DATE '2024-01-01', CAST(fetched_at AS date)) AS double) AS day FROM documents),
 u AS (SELECT * FROM t WHERE n IS NOT NULL AND day IS NOT NULL), f AS (SELECT regr_slope(day, n) AS slope, regr_intercept(day, n) AS intercept FROM u), v AS (SELECT slope, intercept, abs(day - (slope * n + intercept)) AS dev FROM u, f)
 SELECT round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(quantile_cont(dev, 0.5), 6) AS median, round(quantile_cont(dev, 0.9), 6) AS p90, round(max(dev), 6) AS max FROM v GROUP BY slope, intercept""",
-    "mention_keys": rf"WITH m AS (SELECT DISTINCT mention FROM entity_mapping_versions WHERE regexp_full_match(mention, '[A-Za-z0-9 .,()-]+')) SELECT mention, {_MKEY} AS key, (trim(mention) = '' OR (trim(mention) = lower(trim(mention)) AND NOT regexp_matches(trim(mention), '\d'))) AS generic, 'ent2_' || substr(sha256({_MKEY}), 1, 8) AS entity FROM m",
+    "mention_keys": rf"WITH m AS (SELECT DISTINCT mention FROM entity_mapping_versions WHERE mention IS NOT NULL) SELECT mention, {_MKEY} AS key, (trim(mention) = '' OR (trim(mention) = lower(trim(mention)) AND NOT regexp_matches(trim(mention), '\d'))) AS generic, 'ent2_' || substr(sha256({_MKEY}), 1, 8) AS entity FROM m",
     "entity_surfaces": "WITH m AS (SELECT canonical_entity_id, mention, count(*) AS n FROM entity_mapping_versions WHERE mention IS NOT NULL GROUP BY ALL) SELECT canonical_entity_id, mention AS primary_mention, n FROM m QUALIFY row_number() OVER (PARTITION BY canonical_entity_id ORDER BY n DESC, length(mention), mention) = 1",
     "entity_merge_actions": "SELECT canonical_entity_id, count(DISTINCT lower(mention)) AS keys, CASE WHEN count(DISTINCT lower(mention)) > 1 THEN 'MERGE' ELSE 'KEEP' END AS action FROM entity_mapping_versions WHERE mention IS NOT NULL GROUP BY 1",
     "entity_first_seen": "WITH b AS (SELECT unnest([subject_id, object_id]) AS entity_id, ingested_at_real, snapshot_id FROM snapshot_edges) SELECT entity_id, min(ingested_at_real) AS first_seen, min(snapshot_id) AS first_snapshot, count(DISTINCT snapshot_id) AS snapshots FROM b WHERE entity_id IS NOT NULL GROUP BY 1",
