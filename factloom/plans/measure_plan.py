@@ -45,18 +45,22 @@ def null_leave_target_out(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(_references(spark, d))
 
 
-def drift_scores(spark: SparkSession, d: str) -> DataFrame:
+def _drift(spark: SparkSession, d: str) -> DataFrame:
     """The largest observation of an entity, as its displacement, against the noise of the others in its bucket."""
     top = _noise(spark, d).withColumn("v", x.finite("noise_displacement")).filter("entity_id is not null").groupBy(*GROUP, "entity_id").agg(F.max("v").alias("delta"))
     r = _references(spark, d)
     j = top.alias("t").join(r.alias("r"), F.expr("t.transition_id <=> r.transition_id and t.bucket_id <=> r.bucket_id and t.entity_id = r.entity_id"), "left")
     s = j.select("t.transition_id", "t.bucket_id", "t.entity_id", "delta", F.coalesce("reference_n", F.lit(0)).alias("reference_n"), "reference_median", "reference_mad")
-    return _rounded(nullmodel.calibrate(s, "delta", mad_floor=1e-6), 9).withColumn("sed_plus", F.round("sed_plus", 4))
+    return nullmodel.calibrate(s, "delta", mad_floor=1e-6)
+
+
+def drift_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(_drift(spark, d), 9).withColumn("sed_plus", F.round("sed_plus", 4))
 
 
 def drift_summary(spark: SparkSession, d: str) -> DataFrame:
-    s = drift_scores(spark, d).withColumn("transition_id", F.coalesce("transition_id", F.lit("?"))).withColumn("bucket_id", F.coalesce("bucket_id", F.lit("?")))
-    return _rounded(nullmodel.drift_summary(s, GROUP), 5)
+    s = _drift(spark, d).withColumn("transition_id", F.coalesce("transition_id", F.lit("?"))).withColumn("bucket_id", F.coalesce("bucket_id", F.lit("?")))
+    return _rounded(nullmodel.drift_summary(s, GROUP), 4)
 
 
 def bucket_merges(spark: SparkSession, d: str) -> DataFrame:
@@ -257,8 +261,8 @@ SELECT transition_id, bucket_id, n, round(median, 9) AS median, round(mad, 9) AS
     "null_entity_medians": f"WITH {_MED} SELECT * REPLACE (round(value, 9) AS value) FROM m",
     "null_leave_target_out": f"WITH {_LTO} SELECT transition_id, bucket_id, entity_id, round(value, 9) AS value, reference_n, round(reference_median, 9) AS reference_median, round(reference_mad, 9) AS reference_mad FROM l",
     "drift_scores": f"WITH {_DRIFT} SELECT * FROM z",
-    "drift_summary": f"""WITH {_DRIFT}, y AS (SELECT coalesce(transition_id, '?') AS transition_id, coalesce(bucket_id, '?') AS bucket_id, sed_plus FROM z)
-SELECT transition_id, bucket_id, count(*) AS n, count(sed_plus) AS available, round(avg((sed_plus >= 2)::int), 5) AS share2, round(quantile_cont(sed_plus, 0.25), 5) AS q25, round(quantile_cont(sed_plus, 0.5), 5) AS median, round(quantile_cont(sed_plus, 0.75), 5) AS q75, round(quantile_cont(sed_plus, 0.95), 5) AS p95, round(max(sed_plus), 5) AS max FROM y GROUP BY ROLLUP (transition_id, bucket_id)""",
+    "drift_summary": f"""WITH {_DRIFT}, y AS (SELECT coalesce(transition_id, '?') AS transition_id, coalesce(bucket_id, '?') AS bucket_id, CASE WHEN status = 'OK' THEN greatest(0, signed_excess) / (1.4826 * reference_mad + 1e-4) END AS sed_plus FROM s)
+SELECT transition_id, bucket_id, count(*) AS n, count(sed_plus) AS available, round(avg((sed_plus >= 2)::int), 4) AS share2, round(quantile_cont(sed_plus, 0.25), 4) AS q25, round(quantile_cont(sed_plus, 0.5), 4) AS median, round(quantile_cont(sed_plus, 0.75), 4) AS q75, round(quantile_cont(sed_plus, 0.95), 4) AS p95, round(max(sed_plus), 4) AS max FROM y GROUP BY ROLLUP (transition_id, bucket_id)""",
     "noise_seed_pairs": f"WITH {_FIN} SELECT transition_id, source_seed, target_seed, count(*) AS n, count(v) AS usable, round(median(v), 9) AS median, round(max(v) - min(v), 9) AS spread FROM n GROUP BY ALL",
     "rank_filtered": f"WITH {_SCORED}, {_FILTERED} SELECT query, gold, rank, round(1 / rank, 9) AS reciprocal FROM r",
     "rank_raw": f"WITH {_SCORED}, {_rank_sql('true')} SELECT query, gold, rank, round(1 / rank, 9) AS reciprocal FROM r",
