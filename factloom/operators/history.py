@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import staged
 from .timestamps import iso_micros
 
 OPEN_START = -(2**63)
@@ -123,3 +124,22 @@ def version_history(versions: DataFrame) -> DataFrame:
         F.when(F.col("s") == OPEN_START, "").otherwise(_iso(F.col("s"))).alias("period_start"),
         F.coalesce(_iso(end), F.lit("")).alias("period_end"),
     )
+
+
+def lineage_roots(df: DataFrame, key: str, parent: str) -> DataFrame:
+    """(key, root, depth): where each record's chain of parents ends and how long it is.
+
+    Pointers are doubled each round, so a chain of n records takes log2(n) rounds.
+    A parent that is no record ends the chain.  Records of a cycle, or above one,
+    have a null root and depth.  Of repeated keys the least parent counts.
+    """
+    d = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.min(parent).alias("p"))
+    held = d.select(F.col("k").alias("p"), F.lit(True).alias("held"))
+    d = d.join(held, "p", "left").select("k", F.when(F.col("held"), F.col("p")).otherwise(F.col("k")).alias("up"), F.when(F.col("held"), 1).otherwise(0).cast("long").alias("depth"))
+    d = staged(d, "lineage")
+    for _ in range(max(1, d.count()).bit_length() + 1):
+        over = d.select(F.col("k").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
+        d = staged(d.join(over, "up").select("k", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")), "lineage")
+        if not d.filter("moved").limit(1).count():
+            break
+    return d.select(F.col("k").alias(key), F.when(~F.col("moved"), F.col("up")).alias("root"), F.when(~F.col("moved"), F.col("depth")).alias("depth"))

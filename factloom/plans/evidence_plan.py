@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import expressions as x
 from ..operators import provenance as op
 from ..operators.asof import decision_periods
+from ..operators.history import lineage_roots
 from ..runtime import load
 from ..sources import contracts
 
@@ -193,12 +194,21 @@ def suffix_proposals(spark: SparkSession, d: str) -> DataFrame:
     return cut.join(m.select(F.col("k").alias("base")), "base").select(F.col("k").alias("long_key"), "base")
 
 
+def version_lineage(spark: SparkSession, d: str) -> DataFrame:
+    """The first version of each chain of revisions and the number of revisions since."""
+    return lineage_roots(load(spark, d, "fact_versions"), "fact_version_id", "supersedes_version_id")
+
+
+def mapping_lineage(spark: SparkSession, d: str) -> DataFrame:
+    return lineage_roots(load(spark, d, "entity_mapping_versions"), "entity_mapping_id", "supersedes_mapping_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         contract_key_violations, contract_foreign_violations, contract_hash_violations, contract_gate, claims_grounded, claim_problem_counts, exact_clusters, provenance_chain, source_claim_rows,
         claim_match_histogram, claims_adjudicated, fact_support, latest_fact, extraction_quality, edge_parity, document_scope, document_profile, document_ledger, article_number_fit, mention_keys,
-        entity_surfaces, entity_merge_actions, entity_first_seen, mappings_at_cutoff, acronym_proposals, suffix_proposals,
+        entity_surfaces, entity_merge_actions, entity_first_seen, mappings_at_cutoff, acronym_proposals, suffix_proposals, version_lineage, mapping_lineage,
     )
 }
 
@@ -218,7 +228,12 @@ l AS (SELECT *, CASE WHEN reason IS NULL THEN substr(sha256(concat_ws('|', s, rn
 dec AS (SELECT claim_id, CASE WHEN reason IS NOT NULL THEN reason WHEN row_number() OVER (PARTITION BY logical_fact_id, reason ORDER BY tm, claim_id) = 1 THEN 'ACCEPTED' ELSE 'MERGED' END AS decision, logical_fact_id FROM l)"""
 _MKEY = r"regexp_replace(regexp_replace(regexp_replace(lower(trim(regexp_replace(regexp_replace(regexp_replace(mention, '(\s*\([^()0-9]*\))+\s*$', ''), '[\"''“”‘’`]', '', 'g'), '[\-–—_/]+', ' ', 'g'))), '^(cong ty|công ty|tập đoàn|hãng|mô hình|the)\s+', ''), ',?\s+(inc|ltd|llc|corp|corporation|co|jsc|group)\.?$', ''), '\s+', ' ', 'g')"
 
+_LINE = """WITH RECURSIVE v AS (SELECT {k} AS k, min({p}) AS p FROM {t} WHERE {k} IS NOT NULL GROUP BY 1), w AS (SELECT k, k AS pos, 0 AS depth FROM v UNION ALL SELECT w.k, v.p, depth + 1 FROM w JOIN v ON v.k = w.pos JOIN v q ON q.k = v.p)
+SELECT k AS {k}, arg_max(pos, depth) AS root, CAST(max(depth) AS bigint) AS depth FROM w GROUP BY 1"""
+
 SQL = {
+    "version_lineage": _LINE.format(t="fact_versions", k="fact_version_id", p="supersedes_version_id"),
+    "mapping_lineage": _LINE.format(t="entity_mapping_versions", k="entity_mapping_id", p="supersedes_mapping_id"),
     "contract_key_violations": _KEYS,
     "contract_foreign_violations": _REFS,
     "contract_hash_violations": " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS field, count(*) FILTER (NOT regexp_full_match({c}, '[0-9a-f]{{64}}')) AS n FROM {t}" for t, cs in _HASHED for c in cs),

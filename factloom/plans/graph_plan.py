@@ -158,12 +158,37 @@ def random_baseline(spark: SparkSession, d: str) -> DataFrame:
     return n.select("snapshot_id", "entities", F.round(x.random_mrr("entities"), 9).alias("mrr"))
 
 
+def paths_capped_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Paths per snapshot, and how many remain if a head keeps at most three."""
+    heads = _paths(spark, d, 2).groupBy("snapshot_id", F.col("path")[0].alias("head")).agg(F.count("*").alias("n"))
+    return heads.groupBy("snapshot_id").agg(F.sum("n").alias("paths"), F.sum(F.least("n", F.lit(CAP))).alias("capped"))
+
+
+def entity_picks(spark: SparkSession, d: str) -> DataFrame:
+    """The first 5 % of each snapshot's entities of degree 3 and more in hash order, at least one."""
+    k = _eligible(edges(spark, d))
+    w = Window.partitionBy("snapshot_id")
+    r = k.withColumn("n", F.count("*").over(w)).withColumn("r", F.row_number().over(w.orderBy(x.joined_hash(F.lit("inject"), "entity"), "entity")))
+    return r.filter(F.col("r") <= F.greatest(F.lit(1), F.ceil(F.lit(0.05) * F.col("n")))).select("snapshot_id", "entity")
+
+
+def path_exposure(spark: SparkSession, d: str) -> DataFrame:
+    """Median and largest degree change to the next snapshot over the entities of a path; null unless all have one."""
+    e = edges(spark, d)
+    deg = op.degrees(e)
+    follow = F.expr("concat('T', lpad(cast(substring(snapshot_id, 2) as int) - 1, 2, '0'))")
+    change = deg.alias("a").join(deg.select(follow.alias("snapshot_id"), "entity", F.col("degree").alias("later")).alias("b"), ["snapshot_id", "entity"]).select("snapshot_id", "entity", F.abs(F.col("later") - F.col("degree")).cast("double").alias("x"))
+    p = op.cap_per_head(op.simple_paths(e, 2, _eligible(e)), CAP).select("snapshot_id", F.array_join("path", ">").alias("path"), F.explode(x.path_entities("path")).alias("entity"))
+    j = p.join(change, ["snapshot_id", "entity"], "left").groupBy("snapshot_id", "path").agg(F.median("x").alias("m"), F.max("x").alias("top"), F.count_if(F.col("x").isNull()).alias("open"))
+    return j.select("snapshot_id", "path", F.when(F.col("open") == 0, F.col("m")).alias("median_change"), F.when(F.col("open") == 0, F.col("top")).alias("max_change"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         graph_degrees, graph_profile, graph_relations, graph_entity_index, graph_relation_index, graph_components, graph_persistent_entities, graph_persistent_triples, graph_new_triples, paths_2hop, paths_3hop_counts,
         paths_capped, paths_new, path_support, path_answers, path_questions, qa_panel, anchors_split, anchors_folds, anchors_fixed, anchors_percent, relation_sample, corruption_probability, covered_folds,
-        split_diagnostics, frequency_baseline, random_baseline,
+        split_diagnostics, frequency_baseline, random_baseline, paths_capped_counts, entity_picks, path_exposure,
     )
 }
 
@@ -208,6 +233,11 @@ SELECT rk.snapshot_id, entity, rk.stratum, CASE WHEN rn <= l2.n THEN 'fit' ELSE
     "anchors_percent": f"WITH {_DEG} SELECT snapshot_id, entity, CASE WHEN CAST('0x' || substr(sha256('anchor|' || snapshot_id || '|' || entity), 1, 8) AS bigint) % 100 < 60 THEN 'fit' ELSE 'holdout' END AS role FROM deg",
     "relation_sample": f"WITH {EDGES_SQL}, k AS (SELECT *, CAST(row_number() OVER (PARTITION BY snapshot_id, r ORDER BY sha256('diag|' || snapshot_id || '|' || h || '|' || r || '|' || t)) AS int) AS n FROM e) SELECT * FROM k WHERE n <= 3",
     "corruption_probability": f"WITH {EDGES_SQL}, k AS (SELECT snapshot_id, r, count(*) / count(DISTINCT h) AS a, count(*) / count(DISTINCT t) AS b FROM e GROUP BY ALL) SELECT snapshot_id, r, round(a, 9) AS tph, round(b, 9) AS hpt, round(a / (a + b), 9) AS p_head FROM k",
+    "paths_capped_counts": f"WITH {_P2}, k AS (SELECT snapshot_id, x, count(*) AS n FROM q2 GROUP BY ALL) SELECT snapshot_id, CAST(sum(n) AS bigint) AS paths, CAST(sum(least(n, {CAP})) AS bigint) AS capped FROM k GROUP BY 1",
+    "entity_picks": f"WITH {_ELIG} SELECT snapshot_id, entity FROM el QUALIFY row_number() OVER (PARTITION BY snapshot_id ORDER BY sha256('inject|' || entity), entity) <= greatest(1, ceil(0.05 * count(*) OVER (PARTITION BY snapshot_id)))",
+    "path_exposure": f"""WITH {_P2}, {_CAPPED}, c AS (SELECT a.snapshot_id, a.entity, CAST(abs(b.degree - a.degree) AS double) AS v FROM deg a JOIN deg b ON a.entity = b.entity AND CAST(substr(b.snapshot_id, 2) AS int) = CAST(substr(a.snapshot_id, 2) AS int) + 1),
+p AS (SELECT snapshot_id, path, unnest([x, y, z]) AS entity FROM k2 WHERE n <= {CAP}), j AS (SELECT p.snapshot_id, path, median(v) AS m, max(v) AS top, count(*) FILTER (v IS NULL) AS open FROM p LEFT JOIN c ON p.snapshot_id = c.snapshot_id AND p.entity = c.entity GROUP BY ALL)
+SELECT snapshot_id, path, CASE WHEN open = 0 THEN m END AS median_change, CASE WHEN open = 0 THEN top END AS max_change FROM j""",
     "split_diagnostics": f"""WITH {_SPLIT} SELECT (SELECT count(*) FROM he) AS held, (SELECT count(*) FROM (SELECT unnest([h, t]) FROM he EXCEPT SELECT unnest([h, t]) FROM tr)) AS unseen_entities, (SELECT count(*) FROM (SELECT r FROM he EXCEPT SELECT r FROM tr)) AS unseen_relations,
 (SELECT count(*) FROM he WHERE EXISTS (SELECT 1 FROM tr WHERE (tr.h = he.h AND tr.t = he.t) OR (tr.h = he.t AND tr.t = he.h))) AS seen_pairs""",
     "frequency_baseline": f"""WITH {_SPLIT}, f AS (SELECT r, t, count(*) AS c FROM tr GROUP BY ALL), k AS (SELECT r, t, rank() OVER (PARTITION BY r ORDER BY c DESC) + (count(*) OVER (PARTITION BY r, c) - 1) / 2 AS rank FROM f), n AS (SELECT r, count(*) AS tails FROM f GROUP BY 1),

@@ -169,3 +169,16 @@ def test_as_known_edges(spark):
     p = asof.decision_periods(m, "i", "mention", "av", "sup")
     e = spark.createDataFrame([("x", "AB", us(2025, 1, 1)), ("y", "ab", us(2025, 2, 1) - 1), ("z", "ab", us(2025, 2, 1)), ("late", "ab", us(2200, 1, 1)), ("early", "ab", us(1990, 1, 1)), ("n", None, us(2025, 1, 1)), ("m", "ab", None)], "e string, mention string, at long")
     assert {(r["e"], r["id"]) for r in asof.join_as_known(e, "mention", "at", p).collect()} == {("x", "1"), ("y", "1"), ("z", "2"), ("late", "2")}
+
+
+def test_lineage_roots(spark):
+    rows = [("a", None), ("b", "a"), ("c", "b"), ("c", "b"), ("d", "gone"), ("x", "y"), ("y", "x"), ("z", "x"), ("s", "s"), (None, "a")]
+    got = {r["k"]: (r["root"], r["depth"]) for r in history.lineage_roots(spark.createDataFrame(rows, "k string, p string"), "k", "p").collect()}
+    assert got == {"a": ("a", 0), "b": ("a", 1), "c": ("a", 2), "d": ("d", 0), "x": (None, None), "y": (None, None), "z": (None, None), "s": (None, None)}
+    assert history.lineage_roots(spark.createDataFrame([], "k string, p string"), "k", "p").count() == 0
+
+
+def test_history_of_full_snapshots(spark):
+    rows = [("T1", "a", 1), ("T2", "a", 1), ("T3", "a", 2), ("T1", "b", 1), ("T3", "b", 1), ("T2", None, None), (None, "q", 1)]
+    got = {tuple(r) for r in history.snapshot_history(spark.createDataFrame(rows, "s string, k string, v int"), ["k"], "s", ["v"]).select("k", "v", "valid_from", "valid_to").collect()}
+    assert got == {("a", 1, "T1", "T3"), ("a", 2, "T3", None), ("b", 1, "T1", "T2"), ("b", 1, "T3", None), (None, None, "T2", "T3")}
