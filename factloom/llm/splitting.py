@@ -196,9 +196,16 @@ def split_texts(df: DataFrame, key: str = "doc_id", text: str = "text", limit: i
     def enforce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Counts each piece; one above the limit is cut in two at its middle boundary until none is."""
         enc = encoding(path).encode_ordinary
+        names = ["key", "row", "piece", "part", "start", "core_start", "core_end", "n_tokens", "piece_text"]
         for b in batches:
-            column = {n: b.column(n).to_pylist() for n in ("n", "start", "core_start", "core_end", "piece_text")}
-            counts = [n if n <= limit else len(enc(t)) for n, t in zip(column["n"], column["piece_text"])]
+            texts_of = b.column("piece_text")
+            counts = [n if n <= limit else len(enc(texts_of[i].as_py())) for i, n in enumerate(b.column("n").to_pylist())]
+            if max(counts, default=0) <= limit:
+                # As nearly always: nothing to cut once more.
+                own = [pa.array(np.zeros(len(counts), np.int32)), pa.array(counts, pa.int32())]
+                yield pa.RecordBatch.from_arrays([b.column("key"), b.column("row"), b.column("piece"), own[0], b.column("start"), b.column("core_start"), b.column("core_end"), own[1], texts_of], names=names)
+                continue
+            column = {n: b.column(n).to_pylist() for n in ("start", "core_start", "core_end", "piece_text")}
             takes, starts, cores, ends, texts, parts, sizes = [], [], [], [], [], [], []
             for i, n in enumerate(counts):
                 base, whole, part = column["start"][i], column["piece_text"][i], 0
@@ -220,7 +227,7 @@ def split_texts(df: DataFrame, key: str = "doc_id", text: str = "text", limit: i
             i32 = pa.int32()
             yield pa.RecordBatch.from_arrays(
                 [b.column("key").take(at), b.column("row").take(at), b.column("piece").take(at), pa.array(parts, i32), pa.array(starts, i32), pa.array(cores, i32), pa.array(ends, i32), pa.array(sizes, i32), pa.array(texts, pa.string())],
-                names=["key", "row", "piece", "part", "start", "core_start", "core_end", "n_tokens", "piece_text"],
+                names=names,
             )
 
     exact = pieces.mapInArrow(enforce, f"key {kind}, row long, piece int, part int, start int, core_start int, core_end int, n_tokens int, piece_text string")
