@@ -11,7 +11,7 @@ from ..functions import expressions as x
 def exact_clusters(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(body_sha256, members, first_member, member_ids) of equal texts; null texts belong to none.
 
-    member_ids holds at most 1,000 ids in order, members counts all.
+    member_ids holds at most 1,000 ids in order, members counts all; cluster_members has every id.
     """
     h = docs.filter(F.col(text).isNotNull()).select(F.sha2(text, 256).alias("body_sha256"), F.col(key).alias("m"))
     # Ranks of a hot body run inside of salts first; only the least ids of each go on.
@@ -21,6 +21,14 @@ def exact_clusters(docs: DataFrame, key: str, text: str) -> DataFrame:
     return counts.join(least, "body_sha256")
 
 
+def cluster_members(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, body_sha256): the class of each document with a text, one row a document, without list and cap.
+
+    Nothing is shuffled, so a body that many documents share is no hot key.
+    """
+    return docs.filter(F.col(text).isNotNull()).select(key, F.sha2(text, 256).alias("body_sha256"))
+
+
 def ground_claims(claims: DataFrame, bodies: DataFrame, body_key: str, text: str, relations: list[str] | None = None) -> DataFrame:
     """claims with ``problem``: null for claims whose span, hash and mentions the text bears out.
 
@@ -101,13 +109,18 @@ def adjudicate(claims: DataFrame, arrival: str) -> DataFrame:
 
 
 def fact_support(decisions: DataFrame) -> DataFrame:
-    """(logical_fact_id, supporting_claims, claim_ids): accepted and merged claims of each fact; the first 1,000 ids in order."""
+    """(logical_fact_id, supporting_claims, claim_ids): accepted and merged claims of each fact; the first 1,000 ids in order, all of them in supporting_claims."""
     d = decisions.filter("logical_fact_id is not null").select("logical_fact_id", "claim_id").distinct()
     w = Window.partitionBy("logical_fact_id", F.pmod(F.xxhash64("claim_id"), F.lit(32))).orderBy("claim_id")
     ids = d.withColumn("n", F.row_number().over(w)).filter("n <= 1000").groupBy("logical_fact_id").agg(F.slice(F.array_sort(F.collect_list("claim_id")), 1, 1000).alias("claim_ids"))
     return d.groupBy("logical_fact_id").agg(F.count("*").alias("supporting_claims")).join(ids, "logical_fact_id")
 
 
+def supporting_claims(decisions: DataFrame) -> DataFrame:
+    """(logical_fact_id, claim_id): every accepted or merged claim of each fact, one row a claim."""
+    return decisions.filter("logical_fact_id is not null").select("logical_fact_id", "claim_id").distinct()
+
+
 def compare_outer(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """(side, n): different key combinations in both tables, only left, only right."""
     l, r = left.select(*keys).distinct().withColumn("_l", F.lit(1)), right.select(*keys).distinct().withColumn("_r", F.lit(1))

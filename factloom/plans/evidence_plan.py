@@ -65,6 +65,11 @@ def exact_clusters(spark: SparkSession, d: str) -> DataFrame:
     return op.exact_clusters(load(spark, d, "documents"), "doc_id", "text").withColumn("member_ids", F.array_join(F.col("member_ids").cast("array<string>"), ","))
 
 
+def exact_cluster_members(spark: SparkSession, d: str) -> DataFrame:
+    """Every member of every cluster; exact_clusters lists the first 1,000 of each."""
+    return op.cluster_members(load(spark, d, "documents"), "doc_id", "text")
+
+
 def provenance_chain(spark: SparkSession, d: str) -> DataFrame:
     return op.provenance_chain(load(spark, d, "extracted_claims"), load(spark, d, "claim_provenance"), load(spark, d, "source_versions"))
 
@@ -94,6 +99,11 @@ def fact_support(spark: SparkSession, d: str) -> DataFrame:
     return op.fact_support(claims_adjudicated(spark, d)).withColumn("claim_ids", F.array_join("claim_ids", ","))
 
 
+def fact_support_claims(spark: SparkSession, d: str) -> DataFrame:
+    """Every claim of every fact; fact_support lists the first 1,000 of each."""
+    return op.supporting_claims(claims_adjudicated(spark, d))
+
+
 def latest_fact(spark: SparkSession, d: str) -> DataFrame:
     """The last version of each logical fact by (arrival, id)."""
     f = load(spark, d, "fact_versions")
@@ -206,8 +216,8 @@ def mapping_lineage(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        contract_key_violations, contract_foreign_violations, contract_hash_violations, contract_gate, claims_grounded, claim_problem_counts, exact_clusters, provenance_chain, source_claim_rows,
-        claim_match_histogram, claims_adjudicated, fact_support, latest_fact, extraction_quality, edge_parity, document_scope, document_profile, document_ledger, article_number_fit, mention_keys,
+        contract_key_violations, contract_foreign_violations, contract_hash_violations, contract_gate, claims_grounded, claim_problem_counts, exact_clusters, exact_cluster_members, provenance_chain, source_claim_rows,
+        claim_match_histogram, claims_adjudicated, fact_support, fact_support_claims, latest_fact, extraction_quality, edge_parity, document_scope, document_profile, document_ledger, article_number_fit, mention_keys,
         entity_surfaces, entity_merge_actions, entity_first_seen, mappings_at_cutoff, acronym_proposals, suffix_proposals, version_lineage, mapping_lineage,
     )
 }
@@ -241,6 +251,7 @@ SQL = {
     "claims_grounded": f"WITH {_GROUND} SELECT * FROM r",
     "claim_problem_counts": f"WITH {_GROUND} SELECT coalesce(problem, 'GROUNDED') AS problem, count(*) AS n FROM r GROUP BY 1",
     "exact_clusters": "SELECT sha256(text) AS body_sha256, count(*) AS members, min(doc_id) AS first_member, array_to_string(list_sort(list(doc_id))[1:1000], ',') AS member_ids FROM documents WHERE text IS NOT NULL GROUP BY 1",
+    "exact_cluster_members": "SELECT doc_id, sha256(text) AS body_sha256 FROM documents WHERE text IS NOT NULL",
     "provenance_chain": """WITH c AS (SELECT DISTINCT claim_id FROM extracted_claims WHERE claim_id IS NOT NULL), p AS (SELECT DISTINCT claim_id, provenance_id, source_version_id, raw_blob_sha256, retrieval_id FROM claim_provenance),
 v AS (SELECT source_version_id, min(raw_blob_sha256) AS vb, min(retrieval_id) AS vr FROM source_versions WHERE source_version_id IS NOT NULL GROUP BY 1)
 SELECT c.claim_id, provenance_id, p.source_version_id, CASE WHEN provenance_id IS NULL THEN 'NO_PROVENANCE' WHEN v.source_version_id IS NULL THEN 'NO_SOURCE_VERSION' WHEN vb IS DISTINCT FROM raw_blob_sha256 THEN 'BLOB_MISMATCH' WHEN vr IS DISTINCT FROM p.retrieval_id THEN 'RETRIEVAL_MISMATCH' ELSE 'COMPLETE' END AS status
@@ -250,6 +261,7 @@ FROM c LEFT JOIN p ON c.claim_id = p.claim_id LEFT JOIN v ON p.source_version_id
 SELECT coalesce(m, 0) AS matches, count(*) AS n FROM fact_versions f LEFT JOIN r ON f.subject_id = s AND f.relation_id = rn AND f.object_id = o AND f.evidence_text_hash = h GROUP BY 1""",
     "claims_adjudicated": f"WITH {_ADJ} SELECT * FROM dec",
     "fact_support": f"WITH {_ADJ} SELECT logical_fact_id, count(*) AS supporting_claims, array_to_string(list_sort(list(claim_id))[1:1000], ',') AS claim_ids FROM dec WHERE logical_fact_id IS NOT NULL GROUP BY 1",
+    "fact_support_claims": f"WITH {_ADJ} SELECT logical_fact_id, claim_id FROM dec WHERE logical_fact_id IS NOT NULL",
     "latest_fact": "SELECT logical_fact_id, arg_max(fact_version_id, {'a': ingested_at_real, 'b': fact_version_id}) AS fact_version_id, max(ingested_at_real) AS ingested_at_real FROM fact_versions GROUP BY 1",
     "extraction_quality": """WITH a AS (SELECT DISTINCT subject_id AS s, relation_id AS r FROM fact_versions), b AS (SELECT DISTINCT subject_mention AS s, relation_name AS r FROM extracted_claims WHERE NOT is_negative AND NOT is_speculative),
 n AS (SELECT (SELECT count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b)) AS tp, (SELECT count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)) AS fp, (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) AS fn)
