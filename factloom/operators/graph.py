@@ -207,29 +207,34 @@ def covered_folds(edges: DataFrame, k: int, salt: str = "s3-valfold-v1") -> Data
     return edges.select("snapshot_id", "h", "r", "t").groupBy("snapshot_id").applyInPandas(run, "snapshot_id string, h string, r string, t string, fold int")
 
 
-def split_diagnostics(train: DataFrame, held: DataFrame) -> DataFrame:
-    """(held, unseen_entities, unseen_relations, seen_pairs): what held-out edges have that training lacks, in one row."""
-    te = train.select(F.explode(F.array("h", "t")).alias("e")).distinct()
-    he = held.select(F.explode(F.array("h", "t")).alias("e")).distinct()
-    pair = F.array_sort(F.array("h", "t"))
-    a = he.join(te, "e", "left_anti").agg(F.count("*").alias("unseen_entities"))
-    b = held.select("r").distinct().join(train.select("r").distinct(), "r", "left_anti").agg(F.count("*").alias("unseen_relations"))
-    c = held.withColumn("p", pair).join(train.select(pair.alias("p")).distinct(), "p", "left_semi").agg(F.count("*").alias("seen_pairs"))
-    n = held.agg(F.count("*").alias("held"))
+def split_diagnostics(train: DataFrame, held: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    """(group, held, unseen_entities, unseen_relations, seen_pairs): what held-out edges have that training lacks, in one row a group; without group in one row."""
     one = lambda d: d.withColumn("_one", F.lit(1))
-    return one(n).join(one(a), "_one").join(one(b), "_one").join(one(c), "_one").drop("_one")
-
-
-def frequency_ranks(train: DataFrame, held: DataFrame) -> DataFrame:
-    """(h, r, t, rank): mid-rank of each held tail among the tails that training has for its relation, by frequency; unseen tails come after all."""
-    f = train.groupBy("r", "t").agg(F.count("*").alias("c"))
+    g = ["_one", *group]
+    every = one(train.select(*group).unionByName(held.select(*group)).distinct() if group else train.sparkSession.range(1).select())
+    train, held = one(train), one(held)
+    te = train.select(*g, F.explode(F.array("h", "t")).alias("e")).distinct()
+    he = held.select(*g, F.explode(F.array("h", "t")).alias("e")).distinct()
+    pair = F.array_sort(F.array("h", "t"))
+    n = held.groupBy(*g).agg(F.count("*").alias("held"))
+    a = he.join(te, [*g, "e"], "left_anti").groupBy(*g).agg(F.count("*").alias("unseen_entities"))
+    b = held.select(*g, "r").distinct().join(train.select(*g, "r").distinct(), [*g, "r"], "left_anti").groupBy(*g).agg(F.count("*").alias("unseen_relations"))
+    c = held.withColumn("p", pair).join(train.select(*g, pair.alias("p")).distinct(), [*g, "p"], "left_semi").groupBy(*g).agg(F.count("*").alias("seen_pairs"))
+    counts = ("held", "unseen_entities", "unseen_relations", "seen_pairs")
+    return every.join(n, g, "left").join(a, g, "left").join(b, g, "left").join(c, g, "left").select(*group, *[F.coalesce(k, F.lit(0)).alias(k) for k in counts])
+
+
+def frequency_ranks(train: DataFrame, held: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    """(group, h, r, t, rank): mid-rank of each held tail among the tails that training has for its relation, by frequency; unseen tails come after all."""
+    g = [*group, "r"]
+    f = train.groupBy(*g, "t").agg(F.count("*").alias("c"))
     # Ranks by frequency class: how many tails of the relation are more or equally frequent.
-    k = f.groupBy("r", "c").agg(F.count("*").alias("peers"))
-    w = Window.partitionBy("r").orderBy(F.desc("c"))
+    k = f.groupBy(*g, "c").agg(F.count("*").alias("peers"))
+    w = Window.partitionBy(*g).orderBy(F.desc("c"))
     k = k.withColumn("better", F.sum("peers").over(w) - F.col("peers"))
-    rank = f.join(k, ["r", "c"]).select("r", "t", (1 + F.col("better") + (F.col("peers") - 1) / 2).alias("rank"))
-    n = f.groupBy("r").agg(F.count("*").alias("tails"))
-    return held.join(rank, ["r", "t"], "left").join(n, "r", "left").select("h", "r", "t", F.coalesce("rank", F.coalesce("tails", F.lit(0)) + 1.0).alias("rank"))
+    rank = f.join(k, [*g, "c"]).select(*g, "t", (1 + F.col("better") + (F.col("peers") - 1) / 2).alias("rank"))
+    n = f.groupBy(*g).agg(F.count("*").alias("tails"))
+    return held.join(rank, [*g, "t"], "left").join(n, g, "left").select(*group, "h", "r", "t", F.coalesce("rank", F.coalesce("tails", F.lit(0)) + 1.0).alias("rank"))
 
 
 def question(head: str, relations: str) -> Column:

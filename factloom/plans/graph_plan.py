@@ -135,21 +135,33 @@ def covered_folds(spark: SparkSession, d: str) -> DataFrame:
     return op.covered_folds(edges(spark, d), 5)
 
 
-def _split(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    e = edges(spark, d, "T10").withColumn("held", x.salted_number(8, F.lit("split"), "h", "r", "t") % 5 == 0)
-    return e.filter("not held").select("h", "r", "t"), e.filter("held").select("h", "r", "t")
+def _split(spark: SparkSession, d: str, snapshot: str | None = None) -> tuple[DataFrame, DataFrame]:
+    e = edges(spark, d, snapshot).withColumn("held", x.salted_number(8, F.lit("split"), "h", "r", "t") % 5 == 0)
+    return e.filter("not held").drop("held"), e.filter("held").drop("held")
 
 
 def split_diagnostics(spark: SparkSession, d: str) -> DataFrame:
-    return op.split_diagnostics(*_split(spark, d))
+    return op.split_diagnostics(*_split(spark, d, "T10"))
+
+
+def split_diagnostics_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    return op.split_diagnostics(*_split(spark, d), ["snapshot_id"])
+
+
+def _baseline(r: DataFrame, *group: str) -> DataFrame:
+    return r.groupBy(*group).agg(F.round(F.avg(1 / F.col("rank")), 9).alias("mrr"), F.round(F.avg((F.col("rank") <= 10).cast("double")), 9).alias("hits10"), F.count("*").alias("n"))
 
 
 def frequency_baseline(spark: SparkSession, d: str) -> DataFrame:
     """MRR and hits of ranking tails by their frequency, per relation and over all."""
-    r = op.frequency_ranks(*_split(spark, d))
-    s = r.groupBy("r").agg(F.avg(1 / F.col("rank")).alias("mrr"), F.avg((F.col("rank") <= 10).cast("double")).alias("hits10"), F.count("*").alias("n"))
-    a = r.agg(F.lit("ALL").alias("r"), F.avg(1 / F.col("rank")).alias("mrr"), F.avg((F.col("rank") <= 10).cast("double")).alias("hits10"), F.count("*").alias("n"))
-    return s.unionByName(a).select("r", F.round("mrr", 9).alias("mrr"), F.round("hits10", 9).alias("hits10"), "n")
+    r = op.frequency_ranks(*_split(spark, d, "T10"))
+    return _baseline(r, "r").unionByName(_baseline(r).withColumn("r", F.lit("ALL")))
+
+
+def frequency_baseline_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """frequency_baseline of every snapshot, each split and ranked by its own edges."""
+    r = op.frequency_ranks(*_split(spark, d), ["snapshot_id"])
+    return _baseline(r, "snapshot_id", "r").unionByName(_baseline(r, "snapshot_id").withColumn("r", F.lit("ALL")))
 
 
 def random_baseline(spark: SparkSession, d: str) -> DataFrame:
@@ -188,7 +200,7 @@ QUERIES = {
     for f in (
         graph_degrees, graph_profile, graph_relations, graph_entity_index, graph_relation_index, graph_components, graph_persistent_entities, graph_persistent_triples, graph_new_triples, paths_2hop, paths_3hop_counts,
         paths_capped, paths_new, path_support, path_answers, path_questions, qa_panel, anchors_split, anchors_folds, anchors_fixed, anchors_percent, relation_sample, corruption_probability, covered_folds,
-        split_diagnostics, frequency_baseline, random_baseline, paths_capped_counts, entity_picks, path_exposure,
+        split_diagnostics, split_diagnostics_snapshots, frequency_baseline, frequency_baseline_snapshots, random_baseline, paths_capped_counts, entity_picks, path_exposure,
     )
 }
 
@@ -205,6 +217,7 @@ def _largest(source: str, target: int, name: str) -> str:
 
 
 _SPLIT = f"{EDGES_SQL}, s AS (SELECT h, r, t, CAST('0x' || substr(sha256('split|' || h || '|' || r || '|' || t), 1, 8) AS bigint) % 5 = 0 AS held FROM e WHERE snapshot_id = 'T10'), tr AS (SELECT h, r, t FROM s WHERE NOT held), he AS (SELECT h, r, t FROM s WHERE held)"
+_SPLITS = f"{EDGES_SQL}, s AS (SELECT *, CAST('0x' || substr(sha256('split|' || h || '|' || r || '|' || t), 1, 8) AS bigint) % 5 = 0 AS held FROM e), tr AS (SELECT * FROM s WHERE NOT held), he AS (SELECT * FROM s WHERE held)"
 
 # graph_components and covered_folds have none: a closure and a sequential choice are compared with plain searches in the tests.
 SQL = {
@@ -243,5 +256,12 @@ SELECT snapshot_id, path, CASE WHEN open = 0 THEN m END AS median_change, CASE W
     "frequency_baseline": f"""WITH {_SPLIT}, f AS (SELECT r, t, count(*) AS c FROM tr GROUP BY ALL), k AS (SELECT r, t, rank() OVER (PARTITION BY r ORDER BY c DESC) + (count(*) OVER (PARTITION BY r, c) - 1) / 2 AS rank FROM f), n AS (SELECT r, count(*) AS tails FROM f GROUP BY 1),
 j AS (SELECT he.r, coalesce(k.rank, coalesce(tails, 0) + 1.0) AS rank FROM he LEFT JOIN k ON he.r = k.r AND he.t = k.t LEFT JOIN n ON he.r = n.r)
 SELECT r, round(avg(1 / rank), 9) AS mrr, round(avg((rank <= 10)::int), 9) AS hits10, count(*) AS n FROM j GROUP BY 1 UNION ALL SELECT 'ALL', round(avg(1 / rank), 9), round(avg((rank <= 10)::int), 9), count(*) FROM j""",
+    "split_diagnostics_snapshots": f"""WITH {_SPLITS}, te AS (SELECT DISTINCT snapshot_id, unnest([h, t]) AS entity FROM tr), hx AS (SELECT DISTINCT snapshot_id, unnest([h, t]) AS entity FROM he)
+SELECT s.snapshot_id, count(*) FILTER (held) AS held, (SELECT count(*) FROM (SELECT entity FROM hx WHERE hx.snapshot_id = s.snapshot_id EXCEPT SELECT entity FROM te WHERE te.snapshot_id = s.snapshot_id)) AS unseen_entities,
+(SELECT count(*) FROM (SELECT r FROM he WHERE he.snapshot_id = s.snapshot_id EXCEPT SELECT r FROM tr WHERE tr.snapshot_id = s.snapshot_id)) AS unseen_relations,
+count(*) FILTER (held AND EXISTS (SELECT 1 FROM tr WHERE tr.snapshot_id = s.snapshot_id AND least(tr.h, tr.t) = least(s.h, s.t) AND greatest(tr.h, tr.t) = greatest(s.h, s.t))) AS seen_pairs FROM s GROUP BY 1""",
+    "frequency_baseline_snapshots": f"""WITH {_SPLITS}, f AS (SELECT snapshot_id, r, t, count(*) AS c FROM tr GROUP BY ALL), k AS (SELECT snapshot_id, r, t, rank() OVER (PARTITION BY snapshot_id, r ORDER BY c DESC) + (count(*) OVER (PARTITION BY snapshot_id, r, c) - 1) / 2 AS rank FROM f), n AS (SELECT snapshot_id, r, count(*) AS tails FROM f GROUP BY ALL),
+j AS (SELECT he.snapshot_id, he.r, coalesce(k.rank, coalesce(tails, 0) + 1.0) AS rank FROM he LEFT JOIN k ON he.snapshot_id = k.snapshot_id AND he.r = k.r AND he.t = k.t LEFT JOIN n ON he.snapshot_id = n.snapshot_id AND he.r = n.r)
+SELECT snapshot_id, r, round(avg(1 / rank), 9) AS mrr, round(avg((rank <= 10)::int), 9) AS hits10, count(*) AS n FROM j GROUP BY ALL UNION ALL SELECT snapshot_id, 'ALL', round(avg(1 / rank), 9), round(avg((rank <= 10)::int), 9), count(*) FROM j GROUP BY ALL""",
     "random_baseline": f"WITH {_DEG}, n AS (SELECT snapshot_id, count(*) AS entities FROM deg GROUP BY 1) SELECT snapshot_id, entities, round((SELECT sum(1.0 / k) FROM range(1, entities + 1) t(k)) / entities, 9) AS mrr FROM n",
 }

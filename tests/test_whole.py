@@ -1,6 +1,7 @@
 """Results that hold all of their input: no cap, no named snapshot."""
 
 from factloom.operators import provenance
+from factloom.plans import graph_plan
 
 
 def test_members_beyond_a_thousand(spark):
@@ -15,3 +16,18 @@ def test_support_beyond_a_thousand(spark):
     d = spark.range(1300).selectExpr("concat('c', id) as claim_id", "if(id < 1200, 'f', if(id < 1250, concat('g', id), null)) as logical_fact_id")
     got = provenance.supporting_claims(d.unionByName(d.limit(10))).collect()
     assert len(got) == 1250 and sum(r["logical_fact_id"] == "f" for r in got) == 1200
+
+
+EDGES = "snapshot_id string, subject_id string, relation_id string, object_id string"
+
+
+def test_every_snapshot_is_split_and_ranked(spark, tmp_path):
+    rows = [(s, f"h{i}", "r", f"t{i % 4}") for s, n in (("A", 60), ("B", 40)) for i in range(n)]
+    spark.createDataFrame([*rows, ("C", "h1", "q", "t1")], EDGES).write.parquet(str(tmp_path / "snapshot_edges.parquet"))
+    split = {r["snapshot_id"]: r for r in graph_plan.split_diagnostics_snapshots(spark, str(tmp_path)).collect()}
+    base = {(r["snapshot_id"], r["r"]): r for r in graph_plan.frequency_baseline_snapshots(spark, str(tmp_path)).collect()}
+    assert set(split) == {"A", "B", "C"} and split["A"]["held"] > split["B"]["held"] > 0
+    for s in ("A", "B"):
+        assert base[s, "r"]["n"] == base[s, "ALL"]["n"] == split[s]["held"] and base[s, "ALL"]["hits10"] == 1.0
+    # Where no snapshot is T10, the query bound to it has nothing.
+    assert graph_plan.split_diagnostics(spark, str(tmp_path)).first()["held"] == 0
