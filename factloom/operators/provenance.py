@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as x
+from .snapshots import snapshot_sequence
 
 
 def exact_clusters(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -146,3 +147,19 @@ def multiset_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     """(side, n): rows of one table that the other has less often."""
     a, b = left.exceptAll(right), right.exceptAll(left)
     return a.agg(F.lit("LEFT").alias("side"), F.count("*").alias("n")).unionByName(b.agg(F.lit("RIGHT").alias("side"), F.count("*").alias("n")))
+
+
+def consecutive_differences(df: DataFrame, snapshot: str, fields: list[str]) -> DataFrame:
+    """(snapshot_id, side, n): multiset_difference of every snapshot, as RIGHT, with the one before it, as LEFT.
+
+    snapshot_id is the later one.  Nulls equal each other, rows without snapshot
+    belong to none; each pair has both sides, where nothing differs with 0.
+    """
+    pairs = snapshot_sequence(df, snapshot)
+    cells = df.groupBy(F.col(snapshot).alias("snapshot"), *fields).agg(F.count("*").alias("c"))
+    # A row counts for the comparison that ends in its snapshot and against the one that starts there.
+    ends = cells.join(pairs.filter("following is not null").select(F.col("following").alias("snapshot")), "snapshot").select(F.col("snapshot").alias("snapshot_id"), *fields, "c")
+    starts = cells.join(pairs, "snapshot").filter("following is not null").select(F.col("following").alias("snapshot_id"), *fields, (-F.col("c")).alias("c"))
+    gap = ends.unionByName(starts).groupBy("snapshot_id", *fields).agg(F.sum("c").alias("c"))
+    sums = gap.groupBy("snapshot_id").agg(F.sum(F.greatest(-F.col("c"), F.lit(0))).alias("l"), F.sum(F.greatest("c", F.lit(0))).alias("r"))
+    return sums.select("snapshot_id", F.stack(F.lit(2), F.lit("LEFT"), "l", F.lit("RIGHT"), "r").alias("side", "n"))

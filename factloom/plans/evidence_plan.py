@@ -123,6 +123,11 @@ def edge_parity(spark: SparkSession, d: str) -> DataFrame:
     return op.multiset_difference(e.filter("snapshot_id = 'T01'").drop("snapshot_id"), e.filter("snapshot_id = 'T02'").drop("snapshot_id"))
 
 
+def edge_parity_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """edge_parity of every snapshot and the one before it; snapshot_id is the later one."""
+    return op.consecutive_differences(load(spark, d, "snapshot_edges"), "snapshot_id", ["subject_id", "relation_id", "object_id"])
+
+
 def document_scope(spark: SparkSession, d: str) -> DataFrame:
     """Why each document is in scope or not: source, time of fetching, key words."""
     t = load(spark, d, "documents")
@@ -217,7 +222,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         contract_key_violations, contract_foreign_violations, contract_hash_violations, contract_gate, claims_grounded, claim_problem_counts, exact_clusters, exact_cluster_members, provenance_chain, source_claim_rows,
-        claim_match_histogram, claims_adjudicated, fact_support, fact_support_claims, latest_fact, extraction_quality, edge_parity, document_scope, document_profile, document_ledger, article_number_fit, mention_keys,
+        claim_match_histogram, claims_adjudicated, fact_support, fact_support_claims, latest_fact, extraction_quality, edge_parity, edge_parity_snapshots, document_scope, document_profile, document_ledger, article_number_fit, mention_keys,
         entity_surfaces, entity_merge_actions, entity_first_seen, mappings_at_cutoff, acronym_proposals, suffix_proposals, version_lineage, mapping_lineage,
     )
 }
@@ -268,6 +273,9 @@ n AS (SELECT (SELECT count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b))
 SELECT tp, fp, fn, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, 2 * tp / (2 * tp + fp + fn) AS f1 FROM n""",
     "edge_parity": """WITH a AS (SELECT subject_id, relation_id, object_id FROM snapshot_edges WHERE snapshot_id = 'T01'), b AS (SELECT subject_id, relation_id, object_id FROM snapshot_edges WHERE snapshot_id = 'T02')
 SELECT 'LEFT' AS side, count(*) AS n FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT 'RIGHT', count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""",
+    "edge_parity_snapshots": """WITH i AS (SELECT snapshot_id AS a, lead(snapshot_id) OVER (ORDER BY snapshot_id) AS b FROM (SELECT DISTINCT snapshot_id FROM snapshot_edges WHERE snapshot_id IS NOT NULL)),
+k AS (SELECT snapshot_id, subject_id AS s, relation_id AS r, object_id AS o, count(*) AS n FROM snapshot_edges GROUP BY ALL), t AS (SELECT b, s, r, o, n AS x, 0 AS y FROM i JOIN k ON snapshot_id = a WHERE b IS NOT NULL UNION ALL SELECT b, s, r, o, 0, n FROM i JOIN k ON snapshot_id = b),
+g AS (SELECT b, sum(x) AS x, sum(y) AS y FROM t GROUP BY b, s, r, o) SELECT b AS snapshot_id, 'LEFT' AS side, CAST(sum(greatest(x - y, 0)) AS bigint) AS n FROM g GROUP BY 1 UNION ALL SELECT b, 'RIGHT', CAST(sum(greatest(y - x, 0)) AS bigint) FROM g GROUP BY 1""",
     "document_scope": """SELECT doc_id, CASE WHEN source IS NULL OR source LIKE 'src_n%' THEN 'SOURCE_NOT_ALLOWED' WHEN fetched_at IS NULL OR NOT fetched_at BETWEEN TIMESTAMP '2025-01-01' AND TIMESTAMP '2026-06-30 23:59:59' THEN 'OUTSIDE_WINDOW'
 WHEN NOT coalesce(regexp_matches(lower(text), 'model|partnership|mô hình'), false) THEN 'NO_KEYWORD' ELSE 'IN_SCOPE' END AS reason FROM documents""",
     "document_profile": """WITH t AS (SELECT length(text) AS n, lower(ltrim(substring(text, 1, 512), ' ')) AS h FROM documents)

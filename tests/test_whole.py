@@ -1,7 +1,7 @@
 """Results that hold all of their input: no cap, no named snapshot."""
 
 from factloom.operators import provenance
-from factloom.plans import graph_plan
+from factloom.plans import evidence_plan, graph_plan
 
 
 def test_members_beyond_a_thousand(spark):
@@ -31,3 +31,12 @@ def test_every_snapshot_is_split_and_ranked(spark, tmp_path):
         assert base[s, "r"]["n"] == base[s, "ALL"]["n"] == split[s]["held"] and base[s, "ALL"]["hits10"] == 1.0
     # Where no snapshot is T10, the query bound to it has nothing.
     assert graph_plan.split_diagnostics(spark, str(tmp_path)).first()["held"] == 0
+
+
+def test_every_pair_of_snapshots_is_compared(spark, data, tmp_path):
+    rows = [("T08", "a", "r", None), ("T08", "a", "r", None), ("T08", "b", "r", "x"), ("T09", "a", "r", None), ("T09", "c", "r", "x"), ("T12", "a", "r", None), ("T12", "c", "r", "x"), (None, "z", "r", "x")]
+    spark.createDataFrame(rows, EDGES).write.parquet(str(tmp_path / "snapshot_edges.parquet"))
+    got = {tuple(r) for r in evidence_plan.edge_parity_snapshots(spark, str(tmp_path)).collect()}
+    assert got == {("T09", "LEFT", 2), ("T09", "RIGHT", 1), ("T12", "LEFT", 0), ("T12", "RIGHT", 0)}
+    first = {(r["side"], r["n"]) for r in evidence_plan.edge_parity_snapshots(spark, data).collect() if r["snapshot_id"] == "T02"}
+    assert first == {tuple(r) for r in evidence_plan.edge_parity(spark, data).collect()}
