@@ -196,9 +196,12 @@ def _trained(spark: SparkSession, d: str) -> DataFrame:
 
 
 def transe_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """Numbers, norms and loss of the trained vectors of each snapshot and seed."""
+    """Numbers, norms and loss of the trained vectors of each snapshot and seed; converged by the noise-aware plateau of its losses."""
     v = _trained(spark, d)
-    return v.groupBy("snapshot_id", "seed", "kind").agg(F.count("*").alias("n"), F.avg(x.norm("vec")).alias("mean_norm"), F.max("loss").alias("loss"), F.min(x.all_finite("vec").cast("int")).alias("all_finite"))
+    l = v.filter("kind = 'loss'").withColumn("fit", F.struct("snapshot_id", "seed")).select("fit", F.posexplode("vec").alias("epoch", "loss"))
+    c = stats.noise_aware_plateau(l, "fit", "epoch", "loss").select("fit.snapshot_id", "fit.seed", "converged")
+    n = v.filter("kind <> 'loss'").groupBy("snapshot_id", "seed", "kind").agg(F.count("*").alias("n"), F.avg(x.norm("vec")).alias("mean_norm"), F.max("loss").alias("loss"), F.min(x.all_finite("vec").cast("int")).alias("all_finite"))
+    return n.join(c, ["snapshot_id", "seed"])
 
 
 def embedding_alignment(spark: SparkSession, d: str) -> DataFrame:

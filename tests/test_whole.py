@@ -1,7 +1,7 @@
 """Results that hold all of their input: no cap, no named snapshot."""
 
-from factloom.operators import provenance
-from factloom.plans import evidence_plan, graph_plan
+from factloom.operators import geometry, provenance
+from factloom.plans import evidence_plan, graph_plan, measure_plan
 
 
 def test_members_beyond_a_thousand(spark):
@@ -40,3 +40,15 @@ def test_every_pair_of_snapshots_is_compared(spark, data, tmp_path):
     assert got == {("T09", "LEFT", 2), ("T09", "RIGHT", 1), ("T12", "LEFT", 0), ("T12", "RIGHT", 0)}
     first = {(r["side"], r["n"]) for r in evidence_plan.edge_parity_snapshots(spark, data).collect() if r["snapshot_id"] == "T02"}
     assert first == {tuple(r) for r in evidence_plan.edge_parity(spark, data).collect()}
+
+
+def test_training_has_the_dimension_and_epochs_of_the_reference(spark):
+    rows = [("A", f"e{i}", "r", f"e{(i + 1) % 20}") for i in range(20)]
+    v = geometry.train(spark.createDataFrame(rows, "snapshot_id string, h string, r string, t string"), seeds=(13,)).collect()
+    assert {len(r["vec"]) for r in v if r["kind"] != "loss"} == {64}
+    assert [len(r["vec"]) for r in v if r["kind"] == "loss"] == [400]
+
+
+def test_vectors_report_convergence(spark, data):
+    got = measure_plan.transe_vectors(spark, data).collect()
+    assert len(got) == 60 and all(r["all_finite"] == 1 and r["converged"] is not None for r in got)
