@@ -195,13 +195,21 @@ def mappings_at_cutoff(spark: SparkSession, d: str) -> DataFrame:
 
 
 def acronym_proposals(spark: SparkSession, d: str) -> DataFrame:
-    """Names with the acronym that they carry in parentheses, where it occurs alone or with another name."""
+    """Names with the acronym that they carry in parentheses, where another name carries it too; acronym_aliases has those that occur alone."""
     c = load(spark, d, "extracted_claims")
     m = c.select(F.explode(F.array("subject_mention", "object_mention")).alias("mention")).filter("mention is not null").distinct()
     a = m.select("mention", F.regexp_extract("mention", r"\(([A-Z]{2,6})\)\s*$", 1).alias("acronym")).filter("acronym <> ''")
     return a.alias("a").join(a.alias("b"), F.expr("a.acronym = b.acronym and a.mention < b.mention")).select("a.acronym", F.col("a.mention").alias("name_a"), F.col("b.mention").alias("name_b"))
 
 
+def acronym_aliases(spark: SparkSession, d: str) -> DataFrame:
+    """Names with an acronym in parentheses, and the mentions of claims and mappings whose key is that acronym alone."""
+    c = load(spark, d, "extracted_claims").select(F.explode(F.array("subject_mention", "object_mention")).alias("mention"))
+    m = c.unionByName(load(spark, d, "entity_mapping_versions").select("mention")).filter("mention is not null").distinct().withColumn("key", x.mention_key("mention"))
+    a = m.select(F.col("mention").alias("name"), F.col("key").alias("name_key"), F.regexp_extract("mention", r"\(([A-Z]{2,6})\)\s*$", 1).alias("acronym")).filter("acronym <> ''")
+    return a.join(m, (F.lower("acronym") == F.col("key")) & ~F.col("name_key").eqNullSafe(F.col("key"))).select("acronym", "name", F.col("mention").alias("alias"))
+
+
 def suffix_proposals(spark: SparkSession, d: str) -> DataFrame:
     """Mentions that equal another one but for their last word."""
     m = load(spark, d, "entity_mapping_versions").select(F.lower("mention").alias("k")).filter("k is not null").distinct()
@@ -223,7 +231,7 @@ QUERIES = {
     for f in (
         contract_key_violations, contract_foreign_violations, contract_hash_violations, contract_gate, claims_grounded, claim_problem_counts, exact_clusters, exact_cluster_members, provenance_chain, source_claim_rows,
         claim_match_histogram, claims_adjudicated, fact_support, fact_support_claims, latest_fact, extraction_quality, edge_parity, edge_parity_snapshots, document_scope, document_profile, document_ledger, article_number_fit, mention_keys,
-        entity_surfaces, entity_merge_actions, entity_first_seen, mappings_at_cutoff, acronym_proposals, suffix_proposals, version_lineage, mapping_lineage,
+        entity_surfaces, entity_merge_actions, entity_first_seen, mappings_at_cutoff, acronym_proposals, acronym_aliases, suffix_proposals, version_lineage, mapping_lineage,
     )
 }
 
@@ -294,5 +302,7 @@ a AS (SELECT * FROM m WHERE av <= TIMESTAMPTZ '2025-06-01 00:00:00+00'), h AS (S
 s AS (SELECT DISTINCT subject_id AS mention FROM fact_versions WHERE subject_id IS NOT NULL) SELECT mention, id AS entity_mapping_id, coalesce(c, mention) AS resolved FROM s LEFT JOIN h ON lower(mention) = k""",
     "acronym_proposals": r"""WITH m AS (SELECT DISTINCT unnest([subject_mention, object_mention]) AS mention FROM extracted_claims), a AS (SELECT mention, regexp_extract(mention, '\(([A-Z]{2,6})\)\s*$', 1) AS acronym FROM m WHERE mention IS NOT NULL AND regexp_extract(mention, '\(([A-Z]{2,6})\)\s*$', 1) <> '')
 SELECT a.acronym, a.mention AS name_a, b.mention AS name_b FROM a JOIN a b ON a.acronym = b.acronym AND a.mention < b.mention""",
+    "acronym_aliases": rf"""WITH m AS (SELECT DISTINCT mention FROM (SELECT unnest([subject_mention, object_mention]) AS mention FROM extracted_claims UNION ALL SELECT mention FROM entity_mapping_versions) WHERE mention IS NOT NULL), k AS (SELECT mention, {_MKEY} AS key, regexp_extract(mention, '\(([A-Z]{{2,6}})\)\s*$', 1) AS acronym FROM m)
+SELECT a.acronym, a.mention AS name, b.mention AS alias FROM k a JOIN k b ON a.acronym <> '' AND lower(a.acronym) = b.key AND a.key IS DISTINCT FROM b.key""",
     "suffix_proposals": "WITH m AS (SELECT DISTINCT lower(mention) AS k FROM entity_mapping_versions WHERE mention IS NOT NULL) SELECT a.k AS long_key, b.k AS base FROM m a JOIN m b ON regexp_replace(a.k, ' [^ ]+$', '') = b.k AND b.k <> a.k",
 }

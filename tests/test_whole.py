@@ -52,3 +52,10 @@ def test_training_has_the_dimension_and_epochs_of_the_reference(spark):
 def test_vectors_report_convergence(spark, data):
     got = measure_plan.transe_vectors(spark, data).collect()
     assert len(got) == 60 and all(r["all_finite"] == 1 and r["converged"] is not None for r in got)
+
+
+def test_acronym_alone(spark, tmp_path):
+    spark.createDataFrame([("Asia Grid Bank (AGB)", "AGB"), ("Other (OTH)", None)], "subject_mention string, object_mention string").write.parquet(str(tmp_path / "extracted_claims.parquet"))
+    spark.createDataFrame([("OTH",), ("AGB (AGB)",), ("Grid",)], "mention string").write.parquet(str(tmp_path / "entity_mapping_versions.parquet"))
+    got = {tuple(r) for r in evidence_plan.acronym_aliases(spark, str(tmp_path)).collect()}
+    assert got == {("AGB", "Asia Grid Bank (AGB)", "AGB"), ("AGB", "Asia Grid Bank (AGB)", "AGB (AGB)"), ("OTH", "Other (OTH)", "OTH")}
