@@ -6,8 +6,7 @@ snapshots are handled in one job.
 
 from __future__ import annotations
 
-import hashlib
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Sequence
 
 import pandas as pd
@@ -15,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import staged
+from .snapshots import snapshot_sequence
 
 
 def degrees(edges: DataFrame, group: Sequence[str] = ("snapshot_id",)) -> DataFrame:
@@ -33,7 +33,7 @@ def relation_index(edges: DataFrame, group: Sequence[str] = ("snapshot_id",)) ->
     return e.withColumn("idx", F.row_number().over(Window.partitionBy(*group).orderBy("r")) - 1)
 
 
-def components(edges: DataFrame, group: str = "snapshot_id", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, group: str = "snapshot_id") -> DataFrame:
     """(group, entity, root): the least entity of each weakly connected component.
 
     Labels take the least label around them and then that label's own label; every
@@ -41,15 +41,15 @@ def components(edges: DataFrame, group: str = "snapshot_id", rounds: int = 60) -
     """
     both = staged(edges.select(group, F.col("h").alias("a"), F.col("t").alias("b")).unionByName(edges.select(group, F.col("t").alias("a"), F.col("h").alias("b"))).distinct(), "links")
     labels = staged(both.select(group, F.col("a").alias("entity")).distinct().withColumn("root", F.col("entity")), "labels")
-    for _ in range(rounds):
+    # A label only ever falls, so the rounds end, and they end when nothing changes.
+    while True:
         near = both.join(labels.withColumnRenamed("entity", "b"), [group, "b"]).groupBy(group, F.col("a").alias("entity")).agg(F.min("root").alias("near"))
         low = labels.join(near, [group, "entity"]).select(group, "entity", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         up = labels.select(group, F.col("entity").alias("root"), F.col("root").alias("up"))
         new = staged(low.join(up, [group, "root"], "left").select(group, "entity", "old", F.least("root", F.coalesce("up", "root")).alias("root")), "labels")
         labels = new.select(group, "entity", "root")
         if not new.filter("root <> old").limit(1).count():
-            break
-    return labels
+            return labels
 
 
 def profile(edges: DataFrame) -> DataFrame:
@@ -69,9 +69,12 @@ def profile(edges: DataFrame) -> DataFrame:
     return e.join(s, "snapshot_id")
 
 
-def persistent_entities(edges: DataFrame, a: str, b: str) -> DataFrame:
-    e = edges.select("snapshot_id", F.explode(F.array("h", "t")).alias("entity"))
-    return e.filter(F.col("snapshot_id") == a).select("entity").intersect(e.filter(F.col("snapshot_id") == b).select("entity"))
+def persistent_entities(edges: DataFrame) -> DataFrame:
+    """(snapshot_id, entity): entities of a snapshot that the one before it has too."""
+    e = edges.select("snapshot_id", F.explode(F.array("h", "t")).alias("entity")).distinct()
+    pairs = snapshot_sequence(edges, "snapshot_id").filter("following is not null")
+    moved = e.join(pairs.withColumnRenamed("snapshot", "snapshot_id"), "snapshot_id").select(F.col("following").alias("snapshot_id"), "entity")
+    return e.join(moved, ["snapshot_id", "entity"], "left_semi")
 
 
 def persistent_triples(edges: DataFrame) -> DataFrame:
@@ -181,30 +184,50 @@ def corruption_probability(edges: DataFrame) -> DataFrame:
 
 
 def covered_folds(edges: DataFrame, k: int, salt: str = "s3-valfold-v1") -> DataFrame:
-    """(snapshot_id, h, r, t, fold): folds in hash order that never take the last training edge of an entity or relation; -1 stays in training.
-
-    Sequential inside of a snapshot, whose graph is one group; snapshots run in parallel.
+    """(snapshot_id, h, r, t, fold): validation folds that leave every entity and relation a training edge; -1 stays in training.
+
+    A triple is a candidate of the fold that its hash names, modulo k, unless it is a
+    self-loop.  In the order of the hashes a candidate is taken if, without it and
+    those taken before, its ends and its relation keep an edge.  An end that has an
+    edge outside of the fold's candidates never decides, so only candidates whose
+    ends or relation lie in the fold alone are looked at one after another; the
+    others are settled by counts.
     """
+    key = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(salt), "snapshot_id", "h", "r", "t"), 256), 1, 12), 16, 10).cast("long")
+    e = edges.select("snapshot_id", "h", "r", "t", key.alias("_key")).withColumn("_fold", (F.col("_key") % k).cast("int"))
+    e = staged(e, "keyed")
+    # How often an entity or relation occurs: at all, and among the candidates of a fold.
+    what = F.array(F.struct(F.lit("e").alias("kind"), F.col("h").alias("id")), F.struct(F.lit("e").alias("kind"), F.col("t").alias("id")), F.struct(F.lit("r").alias("kind"), F.col("r").alias("id")))
+    uses = e.select("snapshot_id", "_fold", (F.col("h") != F.col("t")).alias("_can"), F.explode(what).alias("w")).select("snapshot_id", "_fold", "_can", "w.*")
+    per = uses.groupBy("snapshot_id", "_fold", "kind", "id").agg(F.count("*").alias("n"), F.count_if("_can").alias("own"))
+    total = per.groupBy("snapshot_id", "kind", "id").agg(F.sum("n").alias("total"))
+    tight = per.filter("own > 0").join(total, ["snapshot_id", "kind", "id"]).filter("own >= total").select("snapshot_id", "_fold", "kind", "id", "total")
+    tight = staged(tight, "tight")
+    c = e.filter("h <> t")
+    for side, kind in (("h", "e"), ("t", "e"), ("r", "r")):
+        own = tight.filter(F.col("kind") == kind).select("snapshot_id", "_fold", F.col("id").alias(side), F.col("total").alias(f"_{side}"))
+        c = c.join(own, ["snapshot_id", "_fold", side], "left")
+    bound = F.col("_h").isNotNull() | F.col("_t").isNotNull() | F.col("_r").isNotNull()
+    # What has one edge in all is never taken.
+    hopeless = (F.col("_h") < 2) | (F.col("_t") < 2) | (F.col("_r") < 2)
+    c = staged(c.withColumn("_bound", bound).withColumn("_never", F.coalesce(hopeless, F.lit(False))), "candidates")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(map(tuple, pdf[["h", "r", "t"]].values), key=lambda p: (hashlib.sha256("|".join((salt, pdf["snapshot_id"].iloc[0], *p)).encode()).hexdigest(), p))
-        degree, use = Counter(), Counter()
-        for h, r, t in rows:
-            degree.update((h, t))
-            use[r] += 1
-        held: dict = defaultdict(Counter)
-        folds = {}
-        for i, (h, r, t) in enumerate(rows):
-            f = i % k
-            need = Counter((h, t))
-            ok = all(degree[e] - held[f][e] > n for e, n in need.items()) and use[r] - held[f]["r", r] > 1
-            folds[h, r, t] = f if ok else -1
+        pdf = pdf.sort_values(["_key", "h", "r", "t"])
+        taken: Counter = Counter()
+        out = []
+        for row in pdf.itertuples(index=False):
+            needs = [(("r" if i == 2 else "e", x), n) for i, (x, n) in enumerate(zip(row[:3], row[3:6])) if not pd.isna(n)]
+            ok = all(n - taken[what] >= 2 for what, n in needs)
             if ok:
-                held[f].update(need)
-                held[f]["r", r] += 1
-        return pdf.assign(fold=[folds[p] for p in map(tuple, pdf[["h", "r", "t"]].values)])
-
-    return edges.select("snapshot_id", "h", "r", "t").groupBy("snapshot_id").applyInPandas(run, "snapshot_id string, h string, r string, t string, fold int")
+                taken.update(what for what, _ in needs)
+            out.append(row.fold if ok else -1)
+        return pdf[["snapshot_id", "h", "r", "t"]].assign(fold=out)
+
+    slow = c.filter("_bound and not _never").select("h", "t", "r", F.col("_h").alias("nh"), F.col("_t").alias("nt"), F.col("_r").alias("nr"), "snapshot_id", F.col("_fold").alias("fold"), "_key")
+    decided = slow.groupBy("snapshot_id", "fold").applyInPandas(run, "snapshot_id string, h string, r string, t string, fold int")
+    none = e.filter("h = t").select("snapshot_id", "h", "r", "t").unionByName(c.filter("_never").select("snapshot_id", "h", "r", "t")).withColumn("fold", F.lit(-1))
+    return decided.unionByName(c.filter("not _bound").select("snapshot_id", "h", "r", "t", F.col("_fold").alias("fold"))).unionByName(none)
 
 
 def split_diagnostics(train: DataFrame, held: DataFrame, group: Sequence[str] = ()) -> DataFrame:

@@ -1,78 +1,132 @@
 """Reference distributions of retraining noise and what exceeds them.
 
-All statistics are exact.  The unit of a reference is an entity: its observations
-are reduced to their median first, so the later windows hold one row per entity.
+All statistics are exact, and none gathers a group: values at given ranks are found
+by counting, first over coarse buckets of the value, then over the different values
+of the bucket that holds the rank.  Medians without one row follow from the three
+values around the middle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as x
+from ..runtime import same, staged
 
 MAD_FACTOR = 1.4826
 
+#: Coarse buckets per factor e of the value, and the value below which all is one bucket.
+BUCKETS_PER_E = 128
+LEAST_VALUE = 1e-6
+
+Ranks = Callable[[Column], list[Column]]
+
+
+def _bucket(v: Column) -> Column:
+    """A number that never falls as v grows; about 1 / BUCKETS_PER_E of the value wide."""
+    size = F.floor(F.log1p(F.abs(v) / LEAST_VALUE) * BUCKETS_PER_E)
+    return F.when(v < 0, -size - 1).otherwise(size).cast("int")
+
+
+def at_ranks(df: DataFrame, groups: Sequence[str], value: str, ranks: Ranks) -> DataFrame:
+    """(groups, n, at): the values at the given ranks (from 1) of each group's values in order.
+
+    ``ranks`` makes the ranks from n; ranks outside of 1..n give null.  Null values do
+    not count; null group keys form groups.  df is read twice.
+    """
+    d = df.select(F.struct(*groups).alias("_g") if groups else F.struct(F.lit(0).alias("all")).alias("_g"), F.col(value).alias("_v")).filter("_v is not null").withColumn("_b", _bucket(F.col("_v")))
+    counts = d.groupBy("_g", "_b").agg(F.count("*").alias("c"))
+    # A row per bucket of a group, however many values it has.
+    w = Window.partitionBy("_g")
+    counts = counts.withColumn("n", F.sum("c").over(w)).withColumn("cum", F.sum("c").over(w.orderBy("_b")))
+    wanted = counts.select("_g", "_b", "n", "c", "cum", F.posexplode(F.array(*[r.cast("long") for r in ranks(F.col("n"))])).alias("i", "r"))
+    wanted = staged(wanted.filter((F.col("r") <= F.col("cum")) & (F.col("r") > F.col("cum") - F.col("c"))).select("_g", "_b", "n", "i", (F.col("r") - F.col("cum") + F.col("c")).alias("r")), "ranks")
+    held = d.join(wanted.select("_g", "_b").distinct(), ["_g", "_b"], "left_semi").groupBy("_g", "_b", "_v").agg(F.count("*").alias("c"))
+    held = held.withColumn("cum", F.sum("c").over(Window.partitionBy("_g", "_b").orderBy("_v")))
+    hit = held.join(wanted, ["_g", "_b"]).filter((F.col("r") <= F.col("cum")) & (F.col("r") > F.col("cum") - F.col("c")))
+    out = hit.groupBy("_g", "n").agg(F.map_from_entries(F.collect_list(F.struct("i", "_v"))).alias("m"))
+    wide = len(ranks(F.lit(1)))
+    return out.select(*([f"_g.{g}" for g in groups]), "n", F.array(*[F.col("m")[i] for i in range(wide)]).alias("at"))
+
+
+def quantiles(df: DataFrame, groups: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
+    """(groups, n, q): exact quantiles, linear between neighbouring ranks."""
+
+    def ranks(n: Column) -> list[Column]:
+        return [f(F.lit(p) * (n - 1)) + 1 for p in shares for f in (F.floor, F.ceil)]
+
+    def between(i: int, p: float) -> Column:
+        low, high, at = F.col("at")[2 * i], F.col("at")[2 * i + 1], F.lit(p) * (F.col("n") - 1)
+        return F.when(low == high, low).otherwise(low + (high - low) * (at - F.floor(at)))
+
+    d = at_ranks(df, groups, value, ranks)
+    return d.select(*groups, "n", F.array(*[between(i, p) for i, p in enumerate(shares)]).alias("q"))
+
 
 def group_statistics(df: DataFrame, groups: Sequence[str], value: str, minimum: int = 5, mad_floor: float = 1e-9) -> DataFrame:
     """(groups, n, median, mad, robust_scale, reason): reason is null where the reference can be used."""
-    d = df.withColumn("_v", x.finite(value)).filter("_v is not null")
-    m = d.groupBy(*groups).agg(F.count("*").alias("n"), F.median("_v").alias("median"))
-    on = [F.expr(f"a.`{g}` <=> b.`{g}`") for g in groups]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    dev = d.alias("a").join(m.alias("b"), cond).select(*[F.col(f"a.{g}") for g in groups], "n", "median", F.abs(F.col("_v") - F.col("median")).alias("dev"))
-    s = dev.groupBy(*groups, "n", "median").agg(F.median("dev").alias("mad"))
+    d = df.select(*groups, x.finite(value).alias("_v")).filter("_v is not null")
+    m = staged(quantiles(d, groups, "_v", [0.5]).select(*groups, "n", F.col("q")[0].alias("median")), "medians")
+    # A row per group on the other side: AQE broadcasts it while it is small.
+    dev = d.alias("a").join(m.alias("b"), F.expr(same("a", "b", groups))).select(*[F.col(f"a.{g}") for g in groups], F.abs(F.col("_v") - F.col("median")).alias("_dev"))
+    mad = quantiles(dev, groups, "_dev", [0.5]).select(*groups, F.col("q")[0].alias("mad"))
+    s = m.alias("a").join(mad.alias("b"), F.expr(same("a", "b", groups))).select("a.*", "mad")
     return s.withColumn("robust_scale", MAD_FACTOR * F.col("mad")).withColumn("reason", F.when(F.col("n") < minimum, "INSUFFICIENT").when(F.col("mad") < mad_floor, "ZERO_MAD"))
 
 
-def entity_medians(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """(keys, value, observations): the median of the finite observations of each key."""
-    return df.withColumn("_v", x.finite(value)).filter("_v is not null").groupBy(*keys).agg(F.median("_v").alias("value"), F.count("*").alias("observations"))
+def entity_medians(df: DataFrame, keys: Sequence[str], value: str, hot: int = 50_000) -> DataFrame:
+    """(keys, value, observations): the median of the finite observations of each key.
 
+    Keys with up to ``hot`` observations are reduced at once, the few above it by ranks.
+    """
+    d = df.select(*keys, x.finite(value).alias("_v")).filter("_v is not null")
+    sizes = staged(d.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot), "hot")
+    if sizes.isEmpty():
+        return d.groupBy(*keys).agg(F.median("_v").alias("value"), F.count("*").alias("observations"))
+    on = F.expr(same("a", "b", keys))
+    cold = d.alias("a").join(sizes.alias("b"), on, "left_anti").groupBy(*keys).agg(F.median("_v").alias("value"), F.count("*").alias("observations"))
+    warm = quantiles(d.alias("a").join(sizes.alias("b"), on, "left_semi"), keys, "_v", [0.5])
+    return cold.unionByName(warm.select(*keys, F.col("q")[0].alias("value"), F.col("n").alias("observations")))
 
-def _without(rank: Column, n: Column, at: dict[str, Column]) -> Column:
-    """The median of a sorted group without the row of this rank (from 1).
 
-    ``at`` has the values around the middle: lo, mid, hi at ranks (n-1)//2 + 0..2,
-    that is n//2, n//2 + 1, n//2 + 2 for even n and (n-1)//2, (n+1)//2, (n+3)//2 for odd n.
-    """
-    even = n % 2 == 0
-    # n even, n-1 odd: the middle of the rest is rank n/2 or n/2 + 1.
-    single = F.when(rank <= n / 2, at["mid"]).otherwise(at["lo"])
-    # n odd, n-1 even: the mean of two neighbours of the middle.
-    below = F.when(rank <= F.floor(n / 2), (at["mid"] + at["hi"]) / 2).when(rank == F.floor(n / 2) + 1, (at["lo"] + at["hi"]) / 2).otherwise((at["lo"] + at["mid"]) / 2)
-    return F.when(n < 2, F.lit(None).cast("double")).when(even, single).otherwise(below)
+def _middle(n: Column) -> list[Column]:
+    """Three ranks around the middle: what is left of a group without one row has its median among their values."""
+    low = F.when(n % 2 == 0, n / 2).otherwise((n - 1) / 2).cast("long")
+    return [low, low + 1, low + 2]
 
 
-def _leave_one_out(df: DataFrame, groups: list[str], key: str, value: str, out: str) -> DataFrame:
-    w = Window.partitionBy(*groups)
-    d = df.withColumn("_rk", F.row_number().over(w.orderBy(value, key))).withColumn("_n", F.count("*").over(w))
-    # Ranks around the middle: lo, lo + 1, lo + 2.
-    lo = F.when(F.col("_n") % 2 == 0, F.col("_n") / 2).otherwise((F.col("_n") - 1) / 2).cast("int")
-    pick = lambda k: F.max(F.when(F.col("_rk") == lo + k, F.col(value))).over(w)
-    d = d.withColumn("_lo", pick(0)).withColumn("_mid", pick(1)).withColumn("_hi", pick(2))
-    return d.withColumn(out, _without(F.col("_rk"), F.col("_n"), {"lo": F.col("_lo"), "mid": F.col("_mid"), "hi": F.col("_hi")})).drop("_rk", "_lo", "_mid", "_hi").withColumnRenamed("_n", f"{out}_n")
+def _without(v: Column, n: Column, at: Column) -> Column:
+    """The median of a group without one row of the value v, from the values at the ranks of :func:`_middle`.
+
+    Of equal values it does not matter which one goes.
+    """
+    low, mid, high = at[0], at[1], at[2]
+    single = F.when(v > low, low).otherwise(mid)
+    double = F.when(low.isNotNull() & (v <= low), (mid + high) / 2).when(v <= mid, (low + high) / 2).otherwise((low + mid) / 2)
+    return F.when(n < 2, F.lit(None).cast("double")).when(n % 2 == 0, single).otherwise(double)
 
 
 def leave_target_out(entities: DataFrame, groups: Sequence[str], key: str = "entity_id", value: str = "value") -> DataFrame:
     """entities with reference_n, reference_median and reference_mad of the others in their group.
 
-    Medians without one row take at most three values a group, so the deviations
-    are sorted once for each of them: O(n log n) instead of a self-join.
+    Medians without one row take at most three values a group, so the deviations are
+    counted once for each of them: nothing is sorted as a whole, nothing joined to itself.
     """
     g = list(groups)
-    d = _leave_one_out(entities, g, key, value, "reference_median").withColumn("reference_n", F.col("reference_median_n") - 1).drop("reference_median_n")
-    centres = d.select(*g, F.col("reference_median").alias("_m")).filter("_m is not null").distinct()
-    on = " and ".join(f"a.`{c}` <=> b.`{c}`" for c in g)
-    dev = entities.alias("a").join(centres.alias("b"), F.expr(on)).select(*[F.col(f"a.{c}") for c in g], F.col(f"a.{key}").alias(key), "_m", F.abs(F.col(f"a.{value}") - F.col("_m")).alias("_dev"))
-    m = _leave_one_out(dev, [*g, "_m"], key, "_dev", "_mad").select(*g, key, "_m", "_mad")
-    on = " and ".join(f"a.`{c}` <=> b.`{c}`" for c in [*g, key]) + " and a.reference_median = b._m"
-    return d.alias("a").join(m.alias("b"), F.expr(on), "left").select("a.*", F.col("_mad").alias("reference_mad"))
+    m = staged(at_ranks(entities, g, value, _middle), "middles")
+    d = entities.alias("a").join(m.alias("b"), F.expr(same("a", "b", g)), "left")
+    d = d.select("a.*", (F.coalesce("n", F.lit(1)) - 1).alias("reference_n"), _without(F.col(f"a.{value}"), F.col("n"), F.col("at")).alias("reference_median"))
+    d = staged(d, "left_out")
+    centres = staged(d.select(*g, F.col("reference_median").alias("_m")).filter("_m is not null").distinct(), "centres")
+    dev = entities.alias("a").join(centres.alias("b"), F.expr(same("a", "b", g))).select(*[F.col(f"a.{c}") for c in g], "_m", F.abs(F.col(f"a.{value}") - F.col("_m")).alias("_dev"))
+    w = at_ranks(dev, [*g, "_m"], "_dev", _middle)
+    on = F.expr(same("a", "b", g) + " and a.reference_median = b._m")
+    own = F.abs(F.col(f"a.{value}") - F.col("a.reference_median"))
+    return d.alias("a").join(w.alias("b"), on, "left").select("a.*", _without(own, F.col("b.n"), F.col("b.at")).alias("reference_mad"))
 
 
 def calibrate(df: DataFrame, delta: str, minimum: int = 5, mad_floor: float = 1e-9, eps: float = 1e-4) -> DataFrame:
@@ -84,11 +138,17 @@ def calibrate(df: DataFrame, delta: str, minimum: int = 5, mad_floor: float = 1e
 
 
 def drift_summary(scores: DataFrame, groups: Sequence[str], value: str = "sed_plus") -> DataFrame:
-    """(groups, n, available, share2, q25, median, q75, p95, max); the grand total has null groups."""
+    """(groups, n, available, share2, q25, median, q75, p95, max) per group, per leading groups and in all; what is summed over is null."""
     v = F.col(value)
-    q = F.percentile(v, F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75, 0.95)]))
-    s = scores.rollup(*groups).agg(F.count("*").alias("n"), F.count(v).alias("available"), F.avg((v >= 2).cast("double")).alias("share2"), q.alias("q"), F.max(v).alias("max"))
-    return s.select(*groups, "n", "available", "share2", *[F.col("q")[i].alias(n) for i, n in enumerate(("q25", "median", "q75", "p95"))], "max")
+    # Every level of the roll-up is a copy of the row with the later groups set to null.
+    level = F.explode(F.sequence(F.lit(0), F.lit(len(groups))))
+    d = scores.select(*groups, value, level.alias("_level"))
+    d = d.select("_level", *[F.when(F.col("_level") > i, F.col(c)).alias(c) for i, c in enumerate(groups)], value)
+    keys = ["_level", *groups]
+    s = d.groupBy(*keys).agg(F.count("*").alias("n"), F.count(v).alias("available"), F.avg((v >= 2).cast("double")).alias("share2"), F.max(v).alias("max"))
+    q = quantiles(d, keys, value, (0.25, 0.5, 0.75, 0.95)).select(*keys, "q")
+    j = s.alias("a").join(q.alias("b"), F.expr(same("a", "b", keys)), "left")
+    return j.select(*[f"a.{c}" for c in (*groups, "n", "available", "share2")], *[F.col("b.q")[i].alias(n) for i, n in enumerate(("q25", "median", "q75", "p95"))], "a.max")
 
 
 def merged_buckets(counts: list[tuple[int, int]], support: int, rule: str = "crossfit") -> list[tuple[int, ...]]:

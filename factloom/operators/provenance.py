@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expressions as x
@@ -10,16 +10,12 @@ from .snapshots import snapshot_sequence
 
 
 def exact_clusters(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(body_sha256, members, first_member, member_ids) of equal texts; null texts belong to none.
+    """(body_sha256, members, first_member) of equal texts; null texts belong to none.
 
-    member_ids holds at most 1,000 ids in order, members counts all; cluster_members has every id.
+    cluster_members has the class of every document: no list is made of a class.
     """
     h = docs.filter(F.col(text).isNotNull()).select(F.sha2(text, 256).alias("body_sha256"), F.col(key).alias("m"))
-    # Ranks of a hot body run inside of salts first; only the least ids of each go on.
-    w = Window.partitionBy("body_sha256", F.pmod(F.xxhash64("m"), F.lit(32))).orderBy("m")
-    least = h.withColumn("n", F.row_number().over(w)).filter("n <= 1000").groupBy("body_sha256").agg(F.slice(F.array_sort(F.collect_list("m")), 1, 1000).alias("member_ids"))
-    counts = h.groupBy("body_sha256").agg(F.count("*").alias("members"), F.min("m").alias("first_member"))
-    return counts.join(least, "body_sha256")
+    return h.groupBy("body_sha256").agg(F.count("*").alias("members"), F.min("m").alias("first_member"))
 
 
 def cluster_members(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -110,11 +106,12 @@ def adjudicate(claims: DataFrame, arrival: str) -> DataFrame:
 
 
 def fact_support(decisions: DataFrame) -> DataFrame:
-    """(logical_fact_id, supporting_claims, claim_ids): accepted and merged claims of each fact; the first 1,000 ids in order, all of them in supporting_claims."""
+    """(logical_fact_id, supporting_claims, first_claim): number and least id of the accepted and merged claims of each fact.
+
+    supporting_claims has every one of them.
+    """
     d = decisions.filter("logical_fact_id is not null").select("logical_fact_id", "claim_id").distinct()
-    w = Window.partitionBy("logical_fact_id", F.pmod(F.xxhash64("claim_id"), F.lit(32))).orderBy("claim_id")
-    ids = d.withColumn("n", F.row_number().over(w)).filter("n <= 1000").groupBy("logical_fact_id").agg(F.slice(F.array_sort(F.collect_list("claim_id")), 1, 1000).alias("claim_ids"))
-    return d.groupBy("logical_fact_id").agg(F.count("*").alias("supporting_claims")).join(ids, "logical_fact_id")
+    return d.groupBy("logical_fact_id").agg(F.count("*").alias("supporting_claims"), F.min("claim_id").alias("first_claim"))
 
 
 def supporting_claims(decisions: DataFrame) -> DataFrame:

@@ -62,11 +62,11 @@ def claim_problem_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def exact_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return op.exact_clusters(load(spark, d, "documents"), "doc_id", "text").withColumn("member_ids", F.array_join(F.col("member_ids").cast("array<string>"), ","))
+    return op.exact_clusters(load(spark, d, "documents"), "doc_id", "text")
 
 
 def exact_cluster_members(spark: SparkSession, d: str) -> DataFrame:
-    """Every member of every cluster; exact_clusters lists the first 1,000 of each."""
+    """The cluster of every document with a text."""
     return op.cluster_members(load(spark, d, "documents"), "doc_id", "text")
 
 
@@ -96,11 +96,11 @@ def claims_adjudicated(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fact_support(spark: SparkSession, d: str) -> DataFrame:
-    return op.fact_support(claims_adjudicated(spark, d)).withColumn("claim_ids", F.array_join("claim_ids", ","))
+    return op.fact_support(claims_adjudicated(spark, d))
 
 
 def fact_support_claims(spark: SparkSession, d: str) -> DataFrame:
-    """Every claim of every fact; fact_support lists the first 1,000 of each."""
+    """Every accepted or merged claim of every fact."""
     return op.supporting_claims(claims_adjudicated(spark, d))
 
 
@@ -118,13 +118,7 @@ def extraction_quality(spark: SparkSession, d: str) -> DataFrame:
 
 
 def edge_parity(spark: SparkSession, d: str) -> DataFrame:
-    """Two consecutive snapshots as multisets of triples."""
-    e = load(spark, d, "snapshot_edges").select("snapshot_id", "subject_id", "relation_id", "object_id")
-    return op.multiset_difference(e.filter("snapshot_id = 'T01'").drop("snapshot_id"), e.filter("snapshot_id = 'T02'").drop("snapshot_id"))
-
-
-def edge_parity_snapshots(spark: SparkSession, d: str) -> DataFrame:
-    """edge_parity of every snapshot and the one before it; snapshot_id is the later one."""
+    """Every snapshot and the one before it as multisets of triples; snapshot_id is the later one."""
     return op.consecutive_differences(load(spark, d, "snapshot_edges"), "snapshot_id", ["subject_id", "relation_id", "object_id"])
 
 
@@ -230,7 +224,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         contract_key_violations, contract_foreign_violations, contract_hash_violations, contract_gate, claims_grounded, claim_problem_counts, exact_clusters, exact_cluster_members, provenance_chain, source_claim_rows,
-        claim_match_histogram, claims_adjudicated, fact_support, fact_support_claims, latest_fact, extraction_quality, edge_parity, edge_parity_snapshots, document_scope, document_profile, document_ledger, article_number_fit, mention_keys,
+        claim_match_histogram, claims_adjudicated, fact_support, fact_support_claims, latest_fact, extraction_quality, edge_parity, document_scope, document_profile, document_ledger, article_number_fit, mention_keys,
         entity_surfaces, entity_merge_actions, entity_first_seen, mappings_at_cutoff, acronym_proposals, acronym_aliases, suffix_proposals, version_lineage, mapping_lineage,
     )
 }
@@ -263,7 +257,7 @@ SQL = {
     "contract_gate": f"SELECT CASE WHEN EXISTS (SELECT 1 FROM ({_KEYS})) THEN 'FAIL' WHEN EXISTS (SELECT 1 FROM ({_REFS})) THEN 'BLOCKED' ELSE 'PASS' END AS status",
     "claims_grounded": f"WITH {_GROUND} SELECT * FROM r",
     "claim_problem_counts": f"WITH {_GROUND} SELECT coalesce(problem, 'GROUNDED') AS problem, count(*) AS n FROM r GROUP BY 1",
-    "exact_clusters": "SELECT sha256(text) AS body_sha256, count(*) AS members, min(doc_id) AS first_member, array_to_string(list_sort(list(doc_id))[1:1000], ',') AS member_ids FROM documents WHERE text IS NOT NULL GROUP BY 1",
+    "exact_clusters": "SELECT sha256(text) AS body_sha256, count(*) AS members, min(doc_id) AS first_member FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "exact_cluster_members": "SELECT doc_id, sha256(text) AS body_sha256 FROM documents WHERE text IS NOT NULL",
     "provenance_chain": """WITH c AS (SELECT DISTINCT claim_id FROM extracted_claims WHERE claim_id IS NOT NULL), p AS (SELECT DISTINCT claim_id, provenance_id, source_version_id, raw_blob_sha256, retrieval_id FROM claim_provenance),
 v AS (SELECT source_version_id, min(raw_blob_sha256) AS vb, min(retrieval_id) AS vr FROM source_versions WHERE source_version_id IS NOT NULL GROUP BY 1)
@@ -273,15 +267,13 @@ FROM c LEFT JOIN p ON c.claim_id = p.claim_id LEFT JOIN v ON p.source_version_id
     "claim_match_histogram": """WITH r AS (SELECT subject_mention AS s, relation_name AS rn, object_mention AS o, evidence_text_hash AS h, count(*) AS m FROM extracted_claims GROUP BY ALL)
 SELECT coalesce(m, 0) AS matches, count(*) AS n FROM fact_versions f LEFT JOIN r ON f.subject_id = s AND f.relation_id = rn AND f.object_id = o AND f.evidence_text_hash = h GROUP BY 1""",
     "claims_adjudicated": f"WITH {_ADJ} SELECT * FROM dec",
-    "fact_support": f"WITH {_ADJ} SELECT logical_fact_id, count(*) AS supporting_claims, array_to_string(list_sort(list(claim_id))[1:1000], ',') AS claim_ids FROM dec WHERE logical_fact_id IS NOT NULL GROUP BY 1",
+    "fact_support": f"WITH {_ADJ} SELECT logical_fact_id, count(*) AS supporting_claims, min(claim_id) AS first_claim FROM dec WHERE logical_fact_id IS NOT NULL GROUP BY 1",
     "fact_support_claims": f"WITH {_ADJ} SELECT logical_fact_id, claim_id FROM dec WHERE logical_fact_id IS NOT NULL",
     "latest_fact": "SELECT logical_fact_id, arg_max(fact_version_id, {'a': ingested_at_real, 'b': fact_version_id}) AS fact_version_id, max(ingested_at_real) AS ingested_at_real FROM fact_versions GROUP BY 1",
     "extraction_quality": """WITH a AS (SELECT DISTINCT subject_id AS s, relation_id AS r FROM fact_versions), b AS (SELECT DISTINCT subject_mention AS s, relation_name AS r FROM extracted_claims WHERE NOT is_negative AND NOT is_speculative),
 n AS (SELECT (SELECT count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b)) AS tp, (SELECT count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)) AS fp, (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) AS fn)
 SELECT tp, fp, fn, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, 2 * tp / (2 * tp + fp + fn) AS f1 FROM n""",
-    "edge_parity": """WITH a AS (SELECT subject_id, relation_id, object_id FROM snapshot_edges WHERE snapshot_id = 'T01'), b AS (SELECT subject_id, relation_id, object_id FROM snapshot_edges WHERE snapshot_id = 'T02')
-SELECT 'LEFT' AS side, count(*) AS n FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT 'RIGHT', count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""",
-    "edge_parity_snapshots": """WITH i AS (SELECT snapshot_id AS a, lead(snapshot_id) OVER (ORDER BY snapshot_id) AS b FROM (SELECT DISTINCT snapshot_id FROM snapshot_edges WHERE snapshot_id IS NOT NULL)),
+    "edge_parity": """WITH i AS (SELECT snapshot_id AS a, lead(snapshot_id) OVER (ORDER BY snapshot_id) AS b FROM (SELECT DISTINCT snapshot_id FROM snapshot_edges WHERE snapshot_id IS NOT NULL)),
 k AS (SELECT snapshot_id, subject_id AS s, relation_id AS r, object_id AS o, count(*) AS n FROM snapshot_edges GROUP BY ALL), t AS (SELECT b, s, r, o, n AS x, 0 AS y FROM i JOIN k ON snapshot_id = a WHERE b IS NOT NULL UNION ALL SELECT b, s, r, o, 0, n FROM i JOIN k ON snapshot_id = b),
 g AS (SELECT b, sum(x) AS x, sum(y) AS y FROM t GROUP BY b, s, r, o) SELECT b AS snapshot_id, 'LEFT' AS side, CAST(sum(greatest(x - y, 0)) AS bigint) AS n FROM g GROUP BY 1 UNION ALL SELECT b, 'RIGHT', CAST(sum(greatest(y - x, 0)) AS bigint) FROM g GROUP BY 1""",
     "document_scope": """SELECT doc_id, CASE WHEN source IS NULL OR source LIKE 'src_n%' THEN 'SOURCE_NOT_ALLOWED' WHEN fetched_at IS NULL OR NOT fetched_at BETWEEN TIMESTAMP '2025-01-01' AND TIMESTAMP '2026-06-30 23:59:59' THEN 'OUTSIDE_WINDOW'

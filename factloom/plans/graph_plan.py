@@ -48,7 +48,8 @@ def graph_components(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_persistent_entities(spark: SparkSession, d: str) -> DataFrame:
-    return op.persistent_entities(edges(spark, d), "T01", "T10")
+    """Entities of each snapshot that the one before it has too; snapshot_id is the later one."""
+    return op.persistent_entities(edges(spark, d))
 
 
 def graph_persistent_triples(spark: SparkSession, d: str) -> DataFrame:
@@ -135,16 +136,12 @@ def covered_folds(spark: SparkSession, d: str) -> DataFrame:
     return op.covered_folds(edges(spark, d), 5)
 
 
-def _split(spark: SparkSession, d: str, snapshot: str | None = None) -> tuple[DataFrame, DataFrame]:
-    e = edges(spark, d, snapshot).withColumn("held", x.salted_number(8, F.lit("split"), "h", "r", "t") % 5 == 0)
+def _split(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = edges(spark, d).withColumn("held", x.salted_number(8, F.lit("split"), "h", "r", "t") % 5 == 0)
     return e.filter("not held").drop("held"), e.filter("held").drop("held")
 
 
 def split_diagnostics(spark: SparkSession, d: str) -> DataFrame:
-    return op.split_diagnostics(*_split(spark, d, "T10"))
-
-
-def split_diagnostics_snapshots(spark: SparkSession, d: str) -> DataFrame:
     return op.split_diagnostics(*_split(spark, d), ["snapshot_id"])
 
 
@@ -153,13 +150,7 @@ def _baseline(r: DataFrame, *group: str) -> DataFrame:
 
 
 def frequency_baseline(spark: SparkSession, d: str) -> DataFrame:
-    """MRR and hits of ranking tails by their frequency, per relation and over all."""
-    r = op.frequency_ranks(*_split(spark, d, "T10"))
-    return _baseline(r, "r").unionByName(_baseline(r).withColumn("r", F.lit("ALL")))
-
-
-def frequency_baseline_snapshots(spark: SparkSession, d: str) -> DataFrame:
-    """frequency_baseline of every snapshot, each split and ranked by its own edges."""
+    """MRR and hits of ranking tails by their frequency, per snapshot and relation and over all of a snapshot, each split and ranked by its own edges."""
     r = op.frequency_ranks(*_split(spark, d), ["snapshot_id"])
     return _baseline(r, "snapshot_id", "r").unionByName(_baseline(r, "snapshot_id").withColumn("r", F.lit("ALL")))
 
@@ -200,7 +191,7 @@ QUERIES = {
     for f in (
         graph_degrees, graph_profile, graph_relations, graph_entity_index, graph_relation_index, graph_components, graph_persistent_entities, graph_persistent_triples, graph_new_triples, paths_2hop, paths_3hop_counts,
         paths_capped, paths_new, path_support, path_answers, path_questions, qa_panel, anchors_split, anchors_folds, anchors_fixed, anchors_percent, relation_sample, corruption_probability, covered_folds,
-        split_diagnostics, split_diagnostics_snapshots, frequency_baseline, frequency_baseline_snapshots, random_baseline, paths_capped_counts, entity_picks, path_exposure,
+        split_diagnostics, frequency_baseline, random_baseline, paths_capped_counts, entity_picks, path_exposure,
     )
 }
 
@@ -216,7 +207,6 @@ def _largest(source: str, target: int, name: str) -> str:
     return f"{name}_a AS ({_LR.format(t=target, s=source)}), {name} AS (SELECT snapshot_id, stratum, CAST(q + CASE WHEN row_number() OVER (PARTITION BY snapshot_id ORDER BY rest DESC, stratum) <= {target} - sum(q) OVER (PARTITION BY snapshot_id) THEN 1 ELSE 0 END AS bigint) AS n FROM {name}_a)"
 
 
-_SPLIT = f"{EDGES_SQL}, s AS (SELECT h, r, t, CAST('0x' || substr(sha256('split|' || h || '|' || r || '|' || t), 1, 8) AS bigint) % 5 = 0 AS held FROM e WHERE snapshot_id = 'T10'), tr AS (SELECT h, r, t FROM s WHERE NOT held), he AS (SELECT h, r, t FROM s WHERE held)"
 _SPLITS = f"{EDGES_SQL}, s AS (SELECT *, CAST('0x' || substr(sha256('split|' || h || '|' || r || '|' || t), 1, 8) AS bigint) % 5 = 0 AS held FROM e), tr AS (SELECT * FROM s WHERE NOT held), he AS (SELECT * FROM s WHERE held)"
 
 # graph_components and covered_folds have none: a closure and a sequential choice are compared with plain searches in the tests.
@@ -227,7 +217,7 @@ b AS (SELECT snapshot_id, count(*) AS entities, max(degree) AS max_degree, list_
     "graph_relations": f"WITH {EDGES_SQL} SELECT snapshot_id, r, count(*) AS edges, count(DISTINCT h) AS heads, count(DISTINCT t) AS tails FROM e GROUP BY ALL",
     "graph_entity_index": f"WITH {_DEG} SELECT snapshot_id, entity, CAST(row_number() OVER (PARTITION BY snapshot_id ORDER BY entity) - 1 AS int) AS idx FROM deg",
     "graph_relation_index": f"WITH {EDGES_SQL}, k AS (SELECT DISTINCT snapshot_id, r FROM e) SELECT *, CAST(row_number() OVER (PARTITION BY snapshot_id ORDER BY r) - 1 AS int) AS idx FROM k",
-    "graph_persistent_entities": f"WITH {_DEG} SELECT entity FROM deg WHERE snapshot_id = 'T01' INTERSECT SELECT entity FROM deg WHERE snapshot_id = 'T10'",
+    "graph_persistent_entities": f"WITH {_DEG}, i AS (SELECT snapshot_id, lag(snapshot_id) OVER (ORDER BY snapshot_id) AS before FROM (SELECT DISTINCT snapshot_id FROM e)) SELECT deg.snapshot_id, entity FROM deg JOIN i USING (snapshot_id) SEMI JOIN deg x ON x.snapshot_id = i.before AND x.entity = deg.entity",
     "graph_persistent_triples": f"WITH {EDGES_SQL} SELECT h, r, t FROM e GROUP BY ALL HAVING count(DISTINCT snapshot_id) = (SELECT count(DISTINCT snapshot_id) FROM e)",
     "graph_new_triples": f"WITH {EDGES_SQL}, k AS (SELECT min(snapshot_id) AS snapshot_id FROM e GROUP BY h, r, t) SELECT snapshot_id, count(*) AS n FROM k GROUP BY 1",
     "paths_2hop": f"WITH {_P2} SELECT snapshot_id, path FROM q2",
@@ -251,16 +241,11 @@ SELECT rk.snapshot_id, entity, rk.stratum, CASE WHEN rn <= l2.n THEN 'fit' ELSE
     "path_exposure": f"""WITH {_P2}, {_CAPPED}, c AS (SELECT a.snapshot_id, a.entity, CAST(abs(b.degree - a.degree) AS double) AS v FROM deg a JOIN deg b ON a.entity = b.entity AND CAST(substr(b.snapshot_id, 2) AS int) = CAST(substr(a.snapshot_id, 2) AS int) + 1),
 p AS (SELECT snapshot_id, path, unnest([x, y, z]) AS entity FROM k2 WHERE n <= {CAP}), j AS (SELECT p.snapshot_id, path, median(v) AS m, max(v) AS top, count(*) FILTER (v IS NULL) AS open FROM p LEFT JOIN c ON p.snapshot_id = c.snapshot_id AND p.entity = c.entity GROUP BY ALL)
 SELECT snapshot_id, path, CASE WHEN open = 0 THEN m END AS median_change, CASE WHEN open = 0 THEN top END AS max_change FROM j""",
-    "split_diagnostics": f"""WITH {_SPLIT} SELECT (SELECT count(*) FROM he) AS held, (SELECT count(*) FROM (SELECT unnest([h, t]) FROM he EXCEPT SELECT unnest([h, t]) FROM tr)) AS unseen_entities, (SELECT count(*) FROM (SELECT r FROM he EXCEPT SELECT r FROM tr)) AS unseen_relations,
-(SELECT count(*) FROM he WHERE EXISTS (SELECT 1 FROM tr WHERE (tr.h = he.h AND tr.t = he.t) OR (tr.h = he.t AND tr.t = he.h))) AS seen_pairs""",
-    "frequency_baseline": f"""WITH {_SPLIT}, f AS (SELECT r, t, count(*) AS c FROM tr GROUP BY ALL), k AS (SELECT r, t, rank() OVER (PARTITION BY r ORDER BY c DESC) + (count(*) OVER (PARTITION BY r, c) - 1) / 2 AS rank FROM f), n AS (SELECT r, count(*) AS tails FROM f GROUP BY 1),
-j AS (SELECT he.r, coalesce(k.rank, coalesce(tails, 0) + 1.0) AS rank FROM he LEFT JOIN k ON he.r = k.r AND he.t = k.t LEFT JOIN n ON he.r = n.r)
-SELECT r, round(avg(1 / rank), 9) AS mrr, round(avg((rank <= 10)::int), 9) AS hits10, count(*) AS n FROM j GROUP BY 1 UNION ALL SELECT 'ALL', round(avg(1 / rank), 9), round(avg((rank <= 10)::int), 9), count(*) FROM j""",
-    "split_diagnostics_snapshots": f"""WITH {_SPLITS}, te AS (SELECT DISTINCT snapshot_id, unnest([h, t]) AS entity FROM tr), hx AS (SELECT DISTINCT snapshot_id, unnest([h, t]) AS entity FROM he)
+    "split_diagnostics": f"""WITH {_SPLITS}, te AS (SELECT DISTINCT snapshot_id, unnest([h, t]) AS entity FROM tr), hx AS (SELECT DISTINCT snapshot_id, unnest([h, t]) AS entity FROM he)
 SELECT s.snapshot_id, count(*) FILTER (held) AS held, (SELECT count(*) FROM (SELECT entity FROM hx WHERE hx.snapshot_id = s.snapshot_id EXCEPT SELECT entity FROM te WHERE te.snapshot_id = s.snapshot_id)) AS unseen_entities,
 (SELECT count(*) FROM (SELECT r FROM he WHERE he.snapshot_id = s.snapshot_id EXCEPT SELECT r FROM tr WHERE tr.snapshot_id = s.snapshot_id)) AS unseen_relations,
 count(*) FILTER (held AND EXISTS (SELECT 1 FROM tr WHERE tr.snapshot_id = s.snapshot_id AND least(tr.h, tr.t) = least(s.h, s.t) AND greatest(tr.h, tr.t) = greatest(s.h, s.t))) AS seen_pairs FROM s GROUP BY 1""",
-    "frequency_baseline_snapshots": f"""WITH {_SPLITS}, f AS (SELECT snapshot_id, r, t, count(*) AS c FROM tr GROUP BY ALL), k AS (SELECT snapshot_id, r, t, rank() OVER (PARTITION BY snapshot_id, r ORDER BY c DESC) + (count(*) OVER (PARTITION BY snapshot_id, r, c) - 1) / 2 AS rank FROM f), n AS (SELECT snapshot_id, r, count(*) AS tails FROM f GROUP BY ALL),
+    "frequency_baseline": f"""WITH {_SPLITS}, f AS (SELECT snapshot_id, r, t, count(*) AS c FROM tr GROUP BY ALL), k AS (SELECT snapshot_id, r, t, rank() OVER (PARTITION BY snapshot_id, r ORDER BY c DESC) + (count(*) OVER (PARTITION BY snapshot_id, r, c) - 1) / 2 AS rank FROM f), n AS (SELECT snapshot_id, r, count(*) AS tails FROM f GROUP BY ALL),
 j AS (SELECT he.snapshot_id, he.r, coalesce(k.rank, coalesce(tails, 0) + 1.0) AS rank FROM he LEFT JOIN k ON he.snapshot_id = k.snapshot_id AND he.r = k.r AND he.t = k.t LEFT JOIN n ON he.snapshot_id = n.snapshot_id AND he.r = n.r)
 SELECT snapshot_id, r, round(avg(1 / rank), 9) AS mrr, round(avg((rank <= 10)::int), 9) AS hits10, count(*) AS n FROM j GROUP BY ALL UNION ALL SELECT snapshot_id, 'ALL', round(avg(1 / rank), 9), round(avg((rank <= 10)::int), 9), count(*) FROM j GROUP BY ALL""",
     "random_baseline": f"WITH {_DEG}, n AS (SELECT snapshot_id, count(*) AS entities FROM deg GROUP BY 1) SELECT snapshot_id, entities, round((SELECT sum(1.0 / k) FROM range(1, entities + 1) t(k)) / entities, 9) AS mrr FROM n",

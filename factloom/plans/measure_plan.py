@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expressions as x
-from ..operators import geometry, nullmodel, ranking
+from ..operators import geometry, graph, nullmodel, ranking
 from ..operators import statistics as stats
-from ..runtime import load, staged
+from ..runtime import load, same, staged
 from ..sources.bindings import edges
 
 GROUP = ["transition_id", "bucket_id"]
@@ -73,8 +73,11 @@ def bucket_merges(spark: SparkSession, d: str) -> DataFrame:
 
 def noise_seed_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Per transition and pair of seeds: observations, how many are finite, their median and range."""
-    n = _noise(spark, d).withColumn("v", x.finite("noise_displacement"))
-    return _rounded(n.groupBy("transition_id", "source_seed", "target_seed").agg(F.count("*").alias("n"), F.count("v").alias("usable"), F.median("v").alias("median"), (F.max("v") - F.min("v")).alias("spread")))
+    keys = ["transition_id", "source_seed", "target_seed"]
+    n = _noise(spark, d).select(*keys, x.finite("noise_displacement").alias("v"))
+    s = n.groupBy(*keys).agg(F.count("*").alias("n"), F.count("v").alias("usable"), (F.max("v") - F.min("v")).alias("spread"))
+    q = nullmodel.quantiles(n, keys, "v", [0.5]).select(*keys, F.col("q")[0].alias("median"))
+    return _rounded(s.alias("a").join(q.alias("b"), F.expr(same("a", "b", keys)), "left").select("a.*", "median"))
 
 
 # Ranking over the embeddings: a stated set of queries against all rows ----------------------------
@@ -171,7 +174,7 @@ def panel_informative(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mean_intervals(spark: SparkSession, d: str) -> DataFrame:
-    return stats.bootstrap_interval(load(spark, d, "events"), "event_type", "value")
+    return stats.bootstrap_interval(load(spark, d, "events"), "event_type", "value", "event_id")
 
 
 def _losses(spark: SparkSession, d: str) -> DataFrame:
@@ -204,26 +207,41 @@ def transe_vectors(spark: SparkSession, d: str) -> DataFrame:
     return n.join(c, ["snapshot_id", "seed"])
 
 
+def _compared(spark: SparkSession, d: str) -> DataFrame:
+    return geometry.compared_vectors(_trained(spark, d), geometry.comparisons(PAIRS))
+
+
 def embedding_alignment(spark: SparkSession, d: str) -> DataFrame:
-    """Rotations between consecutive snapshots, applied to the earlier vectors: mean residual per pair and seed."""
-    v = _trained(spark, d)
-    q = geometry.align(v, PAIRS)
-    e = v.filter("kind = 'entity'")
-    a = q.join(e.select(F.col("snapshot_id").alias("earlier"), "seed", "id", F.col("vec").alias("va")), ["earlier", "seed"]).join(e.select(F.col("snapshot_id").alias("later"), "seed", "id", F.col("vec").alias("vb")), ["later", "seed", "id"])
-    moved = x.times_matrix(x.subtract("va", "source_mean"), "q")
-    r = a.select("earlier", "later", "seed", "orthogonality_error", "rank", x.distance(moved, x.subtract("vb", "target_mean")).alias("residual"))
-    return r.groupBy("earlier", "later", "seed").agg(F.max("orthogonality_error").alias("orthogonality_error"), F.max("rank").alias("rank"), F.avg("residual").alias("residual"), F.count("*").alias("entities"))
+    """The rotation of every comparison: how orthogonal it is, what it spans, and the mean distance of what it carries over."""
+    rows = staged(_compared(spark, d), "compared")
+    fits = staged(geometry.rotations(geometry.cross_sums(rows, geometry.COMPARISON, "va", "vb"), geometry.COMPARISON), "fits")
+    r = geometry.rotated_distances(rows, fits, geometry.COMPARISON, ["id"]).groupBy(*geometry.COMPARISON).agg(F.avg("distance").alias("residual"), F.count("*").alias("entities"))
+    return fits.select(*geometry.COMPARISON, "orthogonality_error", "rank").join(r, geometry.COMPARISON)
 
 
 def embedding_displacement(spark: SparkSession, d: str) -> DataFrame:
-    return geometry.displacement(_trained(spark, d), PAIRS)
+    return geometry.displacement(_compared(spark, d))
+
+
+def embedding_drift(spark: SparkSession, d: str) -> DataFrame:
+    """Each entity's displacement over a transition against the noise of retraining: six null observations an entity, three of drift.
+
+    The reference of an entity is made of the medians of the others of its degree bucket.
+    """
+    o = staged(geometry.observations(_compared(spark, d)), "observations")
+    null = nullmodel.entity_medians(o.filter("role = 'null'"), ["transition_id", "id"], "distance")
+    deg = graph.degrees(edges(spark, d)).select(F.col("snapshot_id").alias("a"), F.col("entity").alias("id"), x.degree_bucket("degree").alias("bucket_id"))
+    at = null.withColumn("a", F.split("transition_id", "->")[0]).join(deg, ["a", "id"])
+    ref = nullmodel.leave_target_out(staged(at.select("transition_id", "bucket_id", "id", "value"), "null"), ["transition_id", "bucket_id"], key="id")
+    drift = nullmodel.entity_medians(o.filter("role = 'drift'"), ["transition_id", "id"], "distance").select("transition_id", "id", F.col("value").alias("delta"))
+    return nullmodel.calibrate(ref.join(drift, ["transition_id", "id"], "left"), "delta")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         null_bucket_statistics, null_entity_medians, null_leave_target_out, drift_scores, drift_summary, bucket_merges, noise_seed_pairs, rank_filtered, rank_raw, rank_metrics, rank_top3, vector_products,
-        panel_demeaned, panel_fixed_effects, panel_unbalanced, panel_bootstrap, panel_informative, mean_intervals, loss_plateau, loss_noise_plateau, transe_vectors, embedding_alignment, embedding_displacement,
+        panel_demeaned, panel_fixed_effects, panel_unbalanced, panel_bootstrap, panel_informative, mean_intervals, loss_plateau, loss_noise_plateau, transe_vectors, embedding_alignment, embedding_displacement, embedding_drift,
     )
 }
 
@@ -251,12 +269,13 @@ d AS (SELECT *, y - avg(y) OVER (PARTITION BY unit) - avg(y) OVER (PARTITION BY
 _FIT = """b AS (SELECT count(*) AS n, count(DISTINCT time) AS g, sum(xt * yt) / sum(xt * xt) AS beta, sum(xt * xt) AS xx FROM {d}), c AS (SELECT time, sum(xt * (yt - beta * xt)) AS score FROM {d}, b GROUP BY 1),
 f AS (SELECT n, g AS clusters, beta, sqrt(g / (g - 1) * (n - 1) / (n - 1) * (SELECT sum(score * score) FROM c)) / xx AS se FROM b) SELECT n, clusters, round(beta, 6) AS beta, round(se, 6) AS se, round(beta / se, 6) AS t_stat FROM f"""
 _STEP = "u{i} AS (SELECT unit, time, y - avg(y) OVER (PARTITION BY unit) AS y, x - avg(x) OVER (PARTITION BY unit) AS x FROM t{p}), t{i} AS (SELECT unit, time, y - avg(y) OVER (PARTITION BY time) AS y, x - avg(x) OVER (PARTITION BY time) AS x FROM u{i})"
-_ROUNDS = ", ".join(_STEP.format(i=i, p=i - 1) for i in range(1, 7))
-_DAYS = f"pp AS (SELECT user_id AS unit, CAST(ts AS date) AS time, avg(value) AS y, CAST(count(*) AS double) AS x FROM events GROUP BY ALL), t0 AS (SELECT * FROM pp WHERE unit IN (SELECT unit FROM pp GROUP BY 1 HAVING count(*) >= 2)), {_ROUNDS}, d AS (SELECT unit, time, y AS yt, x AS xt FROM t6)"
-_LOSS = "l AS (SELECT event_type, (day(ts) - 1) * 24 + hour(ts) AS epoch, avg(value) AS loss FROM events GROUP BY ALL), k AS (SELECT *, (row_number() OVER (PARTITION BY event_type ORDER BY epoch DESC) - 1) // 50 AS b FROM l)"
+_ROUNDS = ", ".join(_STEP.format(i=i, p=i - 1) for i in range(1, 41))
+_DAYS = f"pp AS (SELECT user_id AS unit, CAST(ts AS date) AS time, avg(value) AS y, CAST(count(*) AS double) AS x FROM events GROUP BY ALL), t0 AS (SELECT * FROM pp WHERE unit IN (SELECT unit FROM pp GROUP BY 1 HAVING count(*) >= 2)), {_ROUNDS}, d AS (SELECT unit, time, y AS yt, x AS xt FROM t40)"
+_LOSS = """l AS (SELECT event_type, (day(ts) - 1) * 24 + hour(ts) AS epoch, avg(value) AS loss FROM events GROUP BY ALL), k AS (SELECT *, (row_number() OVER (PARTITION BY event_type ORDER BY epoch DESC) - 1) // 50 AS b FROM l),
+s AS (SELECT event_type, avg(loss) FILTER (b = 0) AS last, avg(loss) FILTER (b = 1) AS before, var_samp(loss) FILTER (b = 0) AS v0, var_samp(loss) FILTER (b = 1) AS v1, arg_min(loss, epoch) AS first, count(*) >= 100 AND bool_and(coalesce(isfinite(loss), false)) AS enough FROM k GROUP BY 1)"""
 
-# bucket_merges, panel_bootstrap, mean_intervals, transe_vectors, embedding_alignment and embedding_displacement
-# have none: sequential, seeded or iterative numerics are compared with plain versions in the tests.
+# bucket_merges, panel_bootstrap, mean_intervals, transe_vectors, embedding_alignment, embedding_displacement and
+# embedding_drift have none: sequential, seeded or iterative numerics are compared with plain versions in the tests.
 SQL = {
     "null_bucket_statistics": f"""WITH {_FIN}, a AS (SELECT transition_id, bucket_id, count(*) AS n, median(v) AS median FROM n WHERE v IS NOT NULL GROUP BY ALL),
 b AS (SELECT a.transition_id, a.bucket_id, a.n, median, median(abs(v - median)) AS mad FROM a JOIN n ON a.transition_id IS NOT DISTINCT FROM n.transition_id AND a.bucket_id IS NOT DISTINCT FROM n.bucket_id WHERE v IS NOT NULL GROUP BY ALL)
@@ -278,6 +297,6 @@ SELECT vec_id, round(na, 5) AS norm, round(ab, 5) AS dot, round(dist, 5) AS dist
     "panel_fixed_effects": f"WITH {_WEEKS}, {_FIT.format(d='d')}",
     "panel_unbalanced": f"WITH {_DAYS}, {_FIT.format(d='d')}",
     "panel_informative": "WITH p AS (SELECT user_id AS unit, CAST(ts AS date) AS time FROM events GROUP BY ALL) SELECT unit, count(*) AS rows FROM p GROUP BY 1 HAVING count(*) >= 2",
-    "loss_plateau": f"WITH {_LOSS}, s AS (SELECT event_type, avg(loss) FILTER (b = 0) AS last, avg(loss) FILTER (b = 1) AS before FROM k WHERE b < 2 GROUP BY 1) SELECT event_type, round(last, 6) AS last, round(before, 6) AS before, abs(last - before) <= 0.01 * abs(before) AS converged FROM s",
-    "loss_noise_plateau": f"WITH {_LOSS}, s AS (SELECT event_type, avg(loss) FILTER (b = 0) - avg(loss) FILTER (b = 1) AS gap, sqrt(var_samp(loss) FILTER (b = 0) / 50 + var_samp(loss) FILTER (b = 1) / 50) AS error FROM k WHERE b < 2 GROUP BY 1) SELECT event_type, round(gap, 6) AS gap, round(error, 6) AS error, abs(gap) <= 2 * error AS converged FROM s",
+    "loss_plateau": f"WITH {_LOSS} SELECT event_type, round(last, 6) AS last, round(before, 6) AS before, coalesce(enough AND abs(last - before) <= greatest(0.01 * before, 0.002) AND last <= 0.25 * first, false) AS converged FROM s",
+    "loss_noise_plateau": f"WITH {_LOSS} SELECT event_type, round(last - before, 6) AS gap, round(sqrt((v0 + v1) / 50), 6) AS error, coalesce(enough AND abs(last - before) <= 2 * sqrt((v0 + v1) / 50) AND last <= 0.5 * first, false) AS converged FROM s",
 }

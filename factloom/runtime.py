@@ -33,22 +33,24 @@ def load(spark: SparkSession, root: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local session gets a temporary folder; on a cluster that is
+    an error, as every executor would write to its own disk.
+    """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if d:
         return d
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-"))
+    held = sc._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df behind a reliable checkpoint: its lineage ends here and outlives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet to the shared folder and read back.
 
@@ -58,3 +60,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/staged/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Removes the intermediate tables of the shared folder; for the end of a job, when no result is read from them any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/staged")
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def tasks_for(rows: int, per_task: int, least: int) -> int:
+    """The number of tasks for so many rows: one per ``per_task``, at least ``least``."""
+    return max(least, -(-rows // per_task))
+
+
+def same(left: str, right: str, columns: list[str]) -> str:
+    """A null-safe join condition over columns of two aliases, as SQL."""
+    return " and ".join(f"{left}.`{c}` <=> {right}.`{c}`" for c in columns)

@@ -8,14 +8,41 @@ from factloom.operators import geometry, graph, nullmodel, statistics
 from factloom.plans import graph_plan, measure_plan
 
 
-@pytest.mark.parametrize("counts,merged", [([200, 30, 20], [(0, 1, 2)]), ([200, 30, 70], [(0, 1), (2,)]), ([60, 30, 200], [(0,), (1, 2)]), ([200, 200, 200], [(0,), (1,), (2,)]), ([100, 10, 100], [(0, 1), (2,)])])
-def test_bucket_merges(counts, merged):
-    assert nullmodel.merged_buckets(list(enumerate(counts)), 50) == merged
+def plainly_merged(counts, sparse, first, drop_empty):
+    """Joins one sparse bucket a time with its heavier neighbour until none is left."""
+    parts = [((b,), n) for b, n in counts if n or not drop_empty]
+    while len(parts) > 1 and (poor := [i for i, (_, n) in enumerate(parts) if sparse(n)]):
+        i = poor[0] if first else min(poor, key=lambda j: (parts[j][1], j))
+        weights = {j: parts[j][1] for j in (i - 1, i + 1) if 0 <= j < len(parts)}
+        j = next(j for j in sorted(weights) if weights[j] == max(weights.values()))
+        lo, hi = sorted((i, j))
+        parts = parts[:lo] + [(parts[lo][0] + parts[hi][0], parts[lo][1] + parts[hi][1])] + parts[hi + 1 :]
+    return [b for b, _ in parts]
+
+
+@pytest.mark.parametrize("rule", ["crossfit", "observations", "entities"])
+def test_bucket_merges(rule):
+    rng = np.random.default_rng(11)
+    support = 17
+    sparse = {"crossfit": lambda n: n <= support, "observations": lambda n: 0 < n < support, "entities": lambda n: n < support}[rule]
+    for _ in range(300):
+        counts = [(int(b), int(n)) for b, n in enumerate(rng.choice([0, 3, 9, 16, 17, 18, 40, 80], rng.integers(1, 7)))]
+        assert nullmodel.merged_buckets(counts, support, rule) == plainly_merged(counts, sparse, rule == "observations", rule == "entities")
+
+
+def test_quantiles(spark):
+    rng = np.random.default_rng(4)
+    rows = [(g, float(v)) for g, n in (("a", 1), ("b", 2), ("c", 300), ("d", 301), (None, 40)) for v in rng.choice([-3.5, -1e-9, 0.0, 2.0, *rng.normal(size=50)], n)] + [("e", None)]
+    got = {r["g"]: (r["n"], r["q"]) for r in nullmodel.quantiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", [0.0, 0.25, 0.5, 0.9, 1.0]).collect()}
+    assert set(got) == {"a", "b", "c", "d", None}
+    for g, (n, q) in got.items():
+        own = [v for h, v in rows if h == g]
+        assert n == len(own) and np.allclose(q, np.quantile(own, [0.0, 0.25, 0.5, 0.9, 1.0]), rtol=0, atol=1e-12)
 
 
 def test_leave_target_out(spark):
     rng = np.random.default_rng(1)
-    rows = [(g, f"e{i:03d}", float(v)) for g, n in (("a", 1), ("b", 2), ("c", 7), ("d", 8), (None, 5)) for i, v in enumerate(rng.integers(0, 6, n))]
+    rows = [(g, f"e{i:03d}", float(v)) for g, n in (("a", 1), ("b", 2), ("c", 7), ("d", 8), ("f", 60), ("g", 61), (None, 5)) for i, v in enumerate(rng.integers(0, 6, n))]
     df = spark.createDataFrame(rows, "g string, entity_id string, value double")
     got = {(r["g"], r["entity_id"]): (r["reference_median"], r["reference_mad"]) for r in nullmodel.leave_target_out(df, ["g"]).collect()}
     for g, e, _ in rows:
@@ -45,14 +72,26 @@ def test_components(spark, data):
     assert got == want
 
 
-def test_covered_folds_keep_training_complete(spark, data):
-    rows = graph_plan.covered_folds(spark, data).collect()
-    for s in {r["snapshot_id"] for r in rows}:
-        own = [r for r in rows if r["snapshot_id"] == s]
-        everything = {e for r in own for e in (r["h"], r["t"])}, {r["r"] for r in own}
-        for f in range(5):
-            left = [r for r in own if r["fold"] != f]
-            assert {e for r in left for e in (r["h"], r["t"])} == everything[0] and {r["r"] for r in left} == everything[1]
+def test_covered_folds(spark):
+    """Against a plain pass over each fold's candidates in the order of their hashes."""
+    import hashlib
+    import random
+
+    rnd = random.Random(9)
+    rows = sorted({("S", f"e{rnd.randrange(25)}", rnd.choice("pq"), f"e{rnd.randrange(25)}") for _ in range(60)} | {("S", "only", "z", "e1"), ("S", "e1", "z", "e2"), ("S", "e3", "p", "e3"), ("T", "a", "p", "b")})
+    number = lambda t: int(hashlib.sha256("|".join(("s3-valfold-v1", *t)).encode()).hexdigest()[:12], 16)
+    want = {t: -1 for t in rows}
+    for s in "ST":
+        for f in range(3):
+            left = [t for t in rows if t[0] == s]
+            for t in sorted((t for t in left if number(t) % 3 == f), key=number):
+                rest = [u for u in left if u != t]
+                ends = {e for u in rest for e in (u[1], u[3])}
+                if t[1] != t[3] and t[1] in ends and t[3] in ends and any(u[2] == t[2] for u in rest):
+                    left, want[t] = rest, f
+    df = spark.createDataFrame(rows, "snapshot_id string, h string, r string, t string")
+    assert {tuple(r)[:4]: r["fold"] for r in graph.covered_folds(df, 3).collect()} == want
+    assert graph.covered_folds(df.limit(0), 3).count() == 0
 
 
 def test_simple_paths(spark):
@@ -62,36 +101,104 @@ def test_simple_paths(spark):
     assert graph.simple_paths(df.limit(0), 3).count() == 0
 
 
-def test_procrustes_recovers_a_motion():
-    rng = np.random.default_rng(0)
-    a = rng.normal(size=(40, 6))
-    q, _ = np.linalg.qr(rng.normal(size=(6, 6)))
-    got, ms, mt, d = geometry.procrustes(a, a @ q + 3)
-    assert np.allclose(got, q) and np.allclose((a - ms) @ got, a @ q + 3 - mt) and d["rank"] == 6
-    same, *_ = geometry.procrustes(a[:4], a[:4])
-    assert np.allclose(same, np.eye(6))
+VECTORS = "transition_id string, role string, source_snapshot string, source_seed int, target_snapshot string, target_seed int, id string, va array<double>, vb array<double>"
+
+
+def compared(spark, sets):
+    rows = [(n, "drift", "A", 13, "B", 13, f"i{i:03d}", [float(v) for v in a], [float(v) for v in b]) for n, (va, vb) in sets.items() for i, (a, b) in enumerate(zip(va, vb))]
+    return spark.createDataFrame(rows, VECTORS).repartition(3)
+
+
+def test_rotations_undo_a_motion(spark):
+    rng = np.random.default_rng(8)
+    a = rng.normal(size=(50, 5))
+    turn = np.linalg.qr(rng.normal(size=(5, 5)))[0]
+    flat = np.zeros((9, 5))
+    flat[:, :2] = rng.normal(size=(9, 2))
+    rows = compared(spark, {"moved": (a, a @ turn - 2), "flat": (flat, flat), "one": (a[:1], a[1:2])})
+    fits = {r["transition_id"]: r for r in geometry.rotations(geometry.cross_sums(rows, geometry.COMPARISON, "va", "vb"), geometry.COMPARISON).collect()}
+    assert np.allclose(fits["moved"]["q"], turn) and fits["moved"]["rank"] == 5 and fits["moved"]["orthogonality_error"] < 1e-9
+    assert np.allclose(fits["flat"]["q"], np.eye(5)) and fits["flat"]["rank"] == 2
+    assert np.allclose(fits["one"]["q"], np.eye(5)) and fits["one"]["rank"] == 0
+    far = {(r["transition_id"], r["id"]): r["distance"] for r in geometry.observations(rows).collect()}
+    assert len(far) == 60 and all(abs(far["moved", f"i{i:03d}"]) < 1e-9 for i in range(50))
+    # A single row lies at its own mean: no direction, no distance.
+    assert far["one", "i000"] is None
+    assert geometry.observations(rows.limit(0)).count() == 0
+
+
+def test_displacement_leaves_the_fold_out(spark):
+    """Against fits of all rows but the fold's, made row by row."""
+    rng = np.random.default_rng(2)
+    a = rng.normal(size=(80, 4))
+    b = a @ np.linalg.qr(rng.normal(size=(4, 4)))[0] + 0.05 * rng.normal(size=(80, 4))
+    rows = compared(spark, {"t": (a, b)})
+    got = {r["id"]: r["distance"] for r in geometry.displacement(rows, k=3).collect()}
+    fold = {r["id"]: r["f"] for r in rows.selectExpr("id", "pmod(xxhash64('v33', id), 3) f").collect()}
+    for f in range(3):
+        own = [i for i in range(80) if fold[f"i{i:03d}"] == f]
+        rest = [i for i in range(80) if fold[f"i{i:03d}"] != f]
+        left, right = a[rest] - a[rest].mean(0), b[rest] - b[rest].mean(0)
+        u, _, v = np.linalg.svd(left.T @ right)
+        for i in own:
+            p, q = (a[i] - a[rest].mean(0)) @ u @ v, b[i] - b[rest].mean(0)
+            assert abs(got[f"i{i:03d}"] - (1 - p @ q / np.linalg.norm(p) / np.linalg.norm(q))) < 1e-9
+    # Five rows span less than the four directions that a fit may.
+    assert all(r["distance"] is None for r in geometry.displacement(compared(spark, {"t": (np.ones((6, 4)), np.ones((6, 4)))}), k=3).collect())
+
+
+def test_comparisons():
+    c = geometry.comparisons([("A", "B")])
+    assert len(c) == len(set(c)) == 9 and sum(x[1] == "drift" for x in c) == 3 and ("A->B", "null", "B", 37, "B", 101) in c
+
+
+@pytest.mark.parametrize("optimiser,rate", [("sgd", 0.02), ("adam", 0.02)])
+def test_training_lowers_the_loss(optimiser, rate):
+    rows = [(f"n{i}", k, f"n{(i + step) % 30}") for k, step in (("near", 2), ("far", 11)) for i in range(30)]
+    *_, losses = geometry.train_translation(rows, 16, 200, 13, rate=rate, margin=1.0, optimiser=optimiser)
+    assert np.mean(losses[-10:]) < 0.5 * losses[0]
 
 
-def test_crossfit_marks_empty_folds():
-    rng = np.random.default_rng(0)
-    a = rng.normal(size=(30, 3))
-    out, notes = geometry.crossfit(a, a, np.arange(30) % 2, 3)
-    assert np.allclose(out, 0, atol=1e-9) and notes[2]["reason"] == "EMPTY"
+def plain_fit(rows, names):
+    """Least squares with a column per unit and time, and errors clustered by time."""
+    units, times = sorted({r[0] for r in rows}), sorted({r[1] for r in rows})
+    dummies = np.array([[float(r[0] == u) for u in units] + [float(r[1] == t) for t in times] for r in rows])
+    hat = dummies @ np.linalg.pinv(dummies)
+    clean = {n: v - hat @ v for n, v in zip(names, np.array([r[2:] for r in rows], float).T)}
+    y, xs = clean["y"], np.array([clean[n] for n in names if n != "y"]).T
+    beta = np.linalg.lstsq(xs, y, rcond=None)[0]
+    inverse, e = np.linalg.inv(xs.T @ xs), y - xs @ beta
+    g, n, k = len(times), len(rows), xs.shape[1]
+    meat = sum(np.outer(s, s) for t in times for s in [xs[[r[1] == t for r in rows]].T @ e[[r[1] == t for r in rows]]])
+    cov = g / (g - 1) * (n - 1) / (n - k) * inverse @ meat @ inverse
+    return beta[0], cov[0, 0] ** 0.5
+
+
+def test_fixed_effects_equal_least_squares(spark):
+    rng = np.random.default_rng(6)
+    rows = [(u, t, float(u * 0.3 - t + 0.7 * a + 0.2 * c + rng.normal()), float(a), float(c)) for u in range(14) for t in range(6) for a, c in [rng.normal(size=2)] if rng.random() < 0.8]
+    p = statistics.demean_iterated(spark.createDataFrame(rows, "unit int, time int, y double, x double, c double"), "unit", "time", ["y", "x", "c"])
+    fit = statistics.fit_fixed_effects(p, "y", "x", "time").first()
+    assert np.allclose((fit["beta"], fit["se"]), plain_fit([r[:4] for r in rows], ["y", "x"])) and fit["clusters"] == 6
+    both = statistics.fit_fixed_effects(statistics.partial_out(p, ["y", "x"], "c"), "y", "x", "time", regressors=2).first()
+    assert np.allclose((both["beta"], both["se"]), plain_fit(rows, ["y", "x", "c"]))
+    assert 0 < statistics.wild_bootstrap(p, "y", "x", "time", 99).first()["p"] <= 1
 
 
-def test_training_lowers_the_loss():
-    rows = [(f"e{i}", "r", f"e{(i + 1) % 40}") for i in range(40)] + [(f"e{i}", "q", f"e{(i + 7) % 40}") for i in range(40)]
-    *_, losses = geometry.train_translation(rows, 16, 200, 13, rate=0.02)
-    assert np.mean(losses[-10:]) < 0.5 * losses[0]
+def test_plateaus(spark):
+    from math import nan
 
+    runs = {"flat": [8.0] + [1.0] * 40, "high": [2.0] + [1.9] * 40, "short": [8.0, 1.0], "nan": [8.0] + [1.0] * 39 + [nan], "falling": [50.0 - i for i in range(41)]}
+    df = spark.createDataFrame([(k, i, v) for k, vs in runs.items() for i, v in enumerate(vs)], "run string, epoch int, loss double")
+    assert {r["run"]: r["converged"] for r in statistics.plateau(df, "run", "epoch", "loss").collect()} == {"flat": True, "high": False, "short": False, "nan": False, "falling": False}
+    assert {r["run"]: r["converged"] for r in statistics.noise_aware_plateau(df, "run", "epoch", "loss").collect()} == {"flat": True, "high": False, "short": False, "nan": False, "falling": False}
 
-def test_fixed_effects(spark):
-    rng = np.random.default_rng(3)
-    rows = [(q, t, float(-0.45 * v + q + 2 * t + 0.01 * rng.normal()), float(v)) for q in range(20) for t in range(5) for v in [rng.normal()]]
-    p = statistics.demean_balanced(spark.createDataFrame(rows, "unit int, time int, y double, x double"), "unit", "time", ["y", "x"])
-    fit = statistics.fit_fixed_effects(p, "y", "x", "time").first()
-    assert abs(fit["beta"] + 0.45) < 0.05 and fit["n"] == 100 and fit["clusters"] == 5
-    assert statistics.wild_bootstrap(p, "y", "x", "time", 99).first()["p"] <= 0.2
+
+def test_bootstrap_does_not_depend_on_partitions(spark):
+    df = spark.range(3000).selectExpr("id", "if(id % 3 = 0, null, concat('g', id % 3)) g", "cast(id % 7 as double) v")
+    a, b = ({r["g"]: tuple(r)[1:] for r in statistics.bootstrap_interval(d, "g", "v", "id").collect()} for d in (df, df.repartition(7)))
+    assert a.keys() == b.keys() == {None, "g1", "g2"} and all(np.allclose(a[g], b[g]) for g in a)
+    assert all(low < mean < high and high - low < 0.5 for mean, low, high in a.values())
 
 
 def test_vectors(spark):
@@ -101,6 +208,6 @@ def test_vectors(spark):
     assert r[1]["c"] is None and r[1]["cd"] is None and r[1]["u"] == [0.0, 0.0]
 
 
-@pytest.mark.parametrize("name", ["bucket_merges", "mean_intervals", "panel_bootstrap", "transe_vectors", "embedding_alignment", "embedding_displacement"])
+@pytest.mark.parametrize("name", ["bucket_merges", "mean_intervals", "panel_bootstrap", "transe_vectors", "embedding_alignment", "embedding_displacement", "embedding_drift"])
 def test_runs(spark, data, name):
     assert measure_plan.QUERIES[name](spark, data).count() > 0
