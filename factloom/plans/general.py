@@ -89,7 +89,7 @@ j AS (SELECT coalesce(a.snapshot_id, b.snapshot_id) AS snapshot_id, coalesce(a.s
       FROM a FULL JOIN b ON a.snapshot_id = b.snapshot_id AND a.subject_id = b.subject_id AND a.relation_id = b.relation_id)
 SELECT snapshot_id, subject_id, relation_id, CASE WHEN x IS NULL THEN 'added' WHEN y IS NULL THEN 'removed' ELSE 'changed' END AS change_kind"""
 
-# One interpretation per value: in the tables every numeric date belongs to a publisher with a declared order.
+# In the tables every numeric date belongs to a publisher with a declared order, so that its reading is known here without a path.
 _BASES = "['%Y-%m-%d', '%Y-%m-%dT%H:%M:%S', '%Y-%m-%dT%H:%M', '%Y-%m-%dt%H:%M:%S', '%Y-%m-%d %H:%M:%S', '%Y-%m-%d %H:%M', '%d %b %Y %H:%M:%S', '%b %d, %Y %I:%M %p']"
 _ORDERED = {o: "[" + ", ".join(f"'{f.replace('D', d)}'" for d in ds for f in ("D %H:%M", "D %H:%M:%S", "D, %H:%M", "D %I:%M %p", "%H:%M D")) + "]" for o, ds in (("mdy", ("%m/%d/%Y", "%m-%d-%Y", "%m.%d.%Y")), ("dmy", ("%d/%m/%Y", "%d-%m-%Y", "%d.%m.%Y")))}
 _INSTANTS = rf"""z AS (SELECT source_id, zone_name, date_order, std_abbrev, dst_abbrev, epoch(TIMESTAMP '2025-01-15') - epoch(timezone(zone_name, TIMESTAMP '2025-01-15')) AS o1, epoch(TIMESTAMP '2025-07-15') - epoch(timezone(zone_name, TIMESTAMP '2025-07-15')) AS o7 FROM publisher_zones),

@@ -56,6 +56,8 @@ def test_timestamp_notations(spark, zones):
         ("null", None, None, None, None),
         ("zero", "0000-00-00 00:00:00", "b", None, None),
         ("order", "31/11/2025 09:30", "n", None, None),
+        ("declared", "13/02/2025 09:30", "n", None, None),
+        ("either", "2/3/2025 09:30", "n", None, us(2025, 2, 3, 14, 30)),
     ]
     got = instants(spark, zones, [c[:4] for c in cases])
     assert got == {c[0]: c[4] for c in cases}
@@ -69,36 +71,70 @@ def test_order_of_an_unlisted_source_follows_its_records(spark, zones):
     assert got["b"] == us(2025, 4, 3, 10) and got["e"] == us(2025, 3, 4, 10)
 
 
-def test_blocks_give_the_path_of_one_chain(spark):
-    """The chain over many blocks costs as little as the best of all paths."""
+def plain_cost(rows, path):
+    """The cost of a path of readings over (readings, declared) in order; infinite where it takes an invalid one."""
+    cost = 0.0
+    for i, ((us, declared), s) in enumerate(zip(rows, path)):
+        if us[s] is None:
+            return float("inf")
+        cost += timestamps.AGAINST_COST * ((declared is not None and s % 2 != declared) + (s >= 2))
+        if i:
+            cost += timestamps.SWITCH_COST * (path[i - 1] % 2 != s % 2) + timestamps.BACKWARD_COST * (us[s] < rows[i - 1][0][path[i - 1]])
+    return cost
+
+
+@pytest.mark.parametrize("part_rows", [1, 3, 1000])
+@pytest.mark.parametrize("block", [1, 2, 128])
+def test_the_cheapest_path_is_taken(spark, monkeypatch, part_rows, block):
+    """However the chain is cut, its cost is the least of all paths'."""
     import itertools
     import random
 
-    rnd = random.Random(5)
-    rows = []
-    for i in range(12):
-        a = rnd.randrange(0, 100)
-        b = rnd.choice([a, rnd.randrange(0, 100), None])
-        rows.append((f"k{i:02d}", "s", i * 10, a, b))
-    df = spark.createDataFrame(rows, "id string, src string, at long, dmy long, mdy long")
-    for width in (1e-5, 3e-5, 1.0):
-        got = {r["_key"]: r["us"] for r in timestamps.choose_orders(df, "id", "src", "at", block_seconds=width).collect()}
-
-        def cost(path):
-            c, last = 0.0, None
-            for (_, _, _, a, b), s in zip(rows, path):
-                now = (a, b)
-                if now[s] is None:
-                    return float("inf")
-                if last is not None:
-                    c += timestamps._cost(last[0], last[1], now, s)
-                last = (now, s)
-            return c
-
-        best = min(itertools.product((0, 1), repeat=len(rows)), key=cost)
-        # The chosen values belong to a path of the least cost.
-        fits = [p for p in itertools.product((0, 1), repeat=len(rows)) if cost(p) == cost(best) and all(got.get(r[0], r[3 + s]) == r[3 + s] or r[3] == r[4] for r, s in zip(rows, p))]
-        assert fits
+    rnd = random.Random(part_rows)
+    data, want = [], {}
+    for src in ("s", "t", None):
+        rows = []
+        for i in range(7):
+            us = [rnd.choice([None, rnd.randrange(9), rnd.randrange(9)]) for _ in range(4)]
+            us = us if any(u is not None for u in us) else [5, 5, None, None]
+            rows.append((us, rnd.choice([None, None, 0, 1])))
+            data.append((f"{src}{i}", src, i * 10, *rows[-1]))
+        want[src] = min(plain_cost(rows, p) for p in itertools.product(range(4), repeat=7))
+    df = spark.createDataFrame(data, "id string, src string, at long, readings array<long>, declared int")
+    monkeypatch.setattr(timestamps._Part.__init__, "__defaults__", (block,))
+    got = {r["id"]: r["us"] for r in timestamps.choose_readings(df, "id", "src", "at", part_rows).collect()}
+    assert len(got) == len(data)
+    for src, least in want.items():
+        own = [r for r in data if r[1] == src]
+        fits = (p for p in itertools.product(*[[s for s in range(4) if r[3][s] == got[r[0]] and r[3][s] is not None] for r in own]))
+        assert min(plain_cost([(r[3], r[4]) for r in own], p) for p in fits) == least
+
+
+def test_a_source_of_one_arrival_time_is_spread(spark):
+    """Many records of one source without arrival time: parts stay bounded."""
+    n = 3000
+    df = spark.range(n).selectExpr("id", "'s' src", "cast(0 as bigint) at", "array(id, id + 5, null, null) readings", "cast(null as int) declared")
+    assert df.repartitionByRange(10, "src", "at", "id", "readings").selectExpr("spark_partition_id() p").groupBy("p").count().agg({"count": "max"}).first()[0] < n / 4
+    assert timestamps.choose_readings(df, "id", "src", "at", part_rows=300).selectExpr("count(distinct id) n", "count_if(us = id) d").first() == (n, n)
+
+
+def test_readings(spark, zones):
+    """Every valid way is there before one is chosen."""
+    df = spark.createDataFrame([(v, z, o) for v, z, o in [("03/04/2025 10:00", "UTC", None), ("13/04/2025 10:00", "UTC", None), ("13/04/2025 10:00", "UTC", "mdy"), ("2025-10-26 02:30", "Europe/Berlin", None), ("202501020304", "UTC", None), ("2025-04-06 01:45", "Australia/Lord_Howe", None), ("x", "UTC", None)]], "v string, z string, o string")
+    none = F.lit(None).cast("string")
+    got = {(r["v"], r["o"]): r["readings"] for r in timestamps.interpretations(df.withColumn("n", none), "v", "z", "o", "n", "n", F.lit(False)).collect()}
+    assert got["03/04/2025 10:00", None] == [us(2025, 4, 3, 10), us(2025, 3, 4, 10), None, None]
+    assert got["13/04/2025 10:00", None] == [us(2025, 4, 13, 10), None, None, None]
+    assert got["13/04/2025 10:00", "mdy"] == [None] * 4 == got["x", None]
+    assert got["2025-10-26 02:30", None] == [us(2025, 10, 26, 0, 30)] * 2 + [us(2025, 10, 26, 1, 30)] * 2
+    assert got["202501020304", None] == [us(2025, 1, 2, 3, 4)] * 2 + [202501020304000] * 2
+    assert got["2025-04-06 01:45", None] == [us(2025, 4, 5, 14, 45)] * 2 + [us(2025, 4, 5, 15, 15)] * 2
+
+
+def test_abbreviations_follow_the_year(spark):
+    z = spark.createDataFrame([("m", "Europe/Moscow", "dmy", "MSK", "MSD")], ZONES)
+    got = instants(spark, z, [("then", "2012-07-01 12:00:00 MSK", "m", None), ("now", "2025-07-01 12:00:00 MSK", "m", None)])
+    assert got == {"then": us(2012, 7, 1, 8), "now": us(2025, 7, 1, 9)}
 
 
 def test_p4_and_p7_equal_plain_python(spark, data):
