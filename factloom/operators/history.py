@@ -20,35 +20,38 @@ from .timestamps import iso_micros
 OPEN_START = -(2**63)
 
 
-def with_sequence(df: DataFrame, key: str, at: str, tie: str, bucket_us: int = 30 * 86_400_000_000, out: str = "_seq") -> DataFrame:
-    """df with the 1-based position of each row in its key's order by (at, tie).
+def with_sequence(df: DataFrame, key: str, at: str, bucket_us: int = 30 * 86_400_000_000, out: str = "_seq") -> DataFrame:
+    """df with the 1-based position of each row in its key's order by ``at``, which no two rows of a key share.
 
-    Ranks are counted inside (key, time bucket) and shifted by the rows of the
-    key's earlier buckets, which are summed over one row per bucket.
+    Ranks are counted inside (key, time bucket), where a bucket holds as many rows as
+    it has different instants, and shifted by the rows of the key's earlier buckets,
+    which are summed over one row per bucket.  df is read twice.  Keys are not null.
     """
     d = df.withColumn("_bucket", F.when(F.col(at) == OPEN_START, F.lit(OPEN_START)).otherwise(F.floor(F.col(at) / bucket_us)))
-    sizes = d.groupBy(key, "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(F.col(key).alias("_k2"), F.col("_bucket").alias("_b2"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    inside = Window.partitionBy(key, "_bucket").orderBy(at, tie)
-    d = d.withColumn("_r", F.row_number().over(inside))
-    return d.join(sizes, F.col(key).eqNullSafe(F.col("_k2")) & (F.col("_bucket") == F.col("_b2"))).withColumn(out, F.col("_r") + F.col("_shift")).drop("_r", "_shift", "_k2", "_b2", "_bucket")
+    sizes = d.groupBy(key, "_bucket").agg(F.count("*").alias("_n")).select(key, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    d = d.withColumn("_r", F.row_number().over(Window.partitionBy(key, "_bucket").orderBy(at)))
+    return d.join(sizes, [key, "_bucket"]).withColumn(out, F.col("_r") + F.col("_shift")).drop("_r", "_shift", "_bucket")
 
 
-def difference_consecutive(states: DataFrame, keys: list[str], order: str, values: list[str]) -> DataFrame:
+def difference_consecutive(states: DataFrame, keys: list[str], order: str, values: list[str], absent: str | None = None) -> DataFrame:
     """Each state against the state before it: keys, order, change and the new values.
 
     ``order`` numbers the states 1, 2, ... for the keys (of full snapshots: the
     snapshot's number; of updates: the position in the key's own history).
     change is ``inserted``, ``changed``, ``unchanged`` or ``deleted``; a deleted
-    event stands at the first state without the key and has null values.
-    Null keys and values equal each other.
+    event stands at the first state without the key.  A state may be without the key
+    by having no row, its event then has null values, or by a row whose column
+    ``absent`` is true, whose values the event has; of two such states the second is
+    ``unchanged``.  Null keys and values equal each other.
     """
-    now = states.select(*keys, order, *values).alias("n")
-    was = states.select(*keys, (F.col(order) + 1).alias(order), *values).alias("w")
+    gone = F.coalesce(F.col(absent), F.lit(False)) if absent else F.lit(False)
+    now = states.select(*keys, order, *values, gone.alias("_gone")).alias("n")
+    was = states.select(*keys, (F.col(order) + 1).alias(order), *values, gone.alias("_gone")).alias("w")
     on = reduce(lambda a, b: a & b, [F.col(f"n.{c}").eqNullSafe(F.col(f"w.{c}")) for c in [*keys, order]])
     same = reduce(lambda a, b: a & b, [F.col(f"n.{v}").eqNullSafe(F.col(f"w.{v}")) for v in values], F.lit(True))
-    change = F.when(F.col(f"w.{order}").isNull(), "inserted").when(F.col(f"n.{order}").isNull(), "deleted").when(same, "unchanged").otherwise("changed")
+    here, before = (F.coalesce(~F.col(f"{x}._gone"), F.lit(False)) for x in "nw")
+    change = F.when(here & ~before, "inserted").when(~here & before, "deleted").when(~here | same, "unchanged").otherwise("changed")
     pick = lambda c: F.when(F.col(f"n.{order}").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"w.{c}")).alias(c)
     return now.join(was, on, "full_outer").select(*map(pick, [*keys, order]), change.alias("change"), *[F.col(f"n.{v}").alias(v) for v in values])
 
@@ -96,30 +99,39 @@ def _iso(us: Column) -> Column:
 def version_history(versions: DataFrame) -> DataFrame:
     """(logical_fact_id, fact_version_id, period_start, period_end) of versions that revise each other.
 
+    State n of a fact is what its n-th change says: a version, or nothing after a
+    retraction.  Consecutive states meet in :func:`difference_consecutive`; inserted
+    and changed facts begin a period with what they say then, deleted ones only end
+    one, and each event lasts until the fact's next event or its version's own end.
+
     Redelivered rows are one version (the first by value counts where they differ).
     A version superseded by another one of its fact that starts no later has no
-    period.  Of the rest, each runs to the next start or its own end; retractions
-    only end others.  Null or unreadable starts are open.  Of several versions with
-    one start the greatest id has the period, as empty periods are left out.  Rows
-    without version id name no version.
+    period.  Null or unreadable starts are open.  Of several versions with one start
+    the greatest id holds, as the periods of the others are empty.  Rows without
+    version id name no version; null facts are one fact.
     """
+    # A prefix keeps null facts apart from every text, so that keys are plain strings.
+    fact = F.coalesce(F.concat(F.lit("="), "logical_fact_id"), F.lit(""))
     v = (
         versions.filter(F.col("fact_version_id").isNotNull())
-        .select("fact_version_id", "logical_fact_id", "supersedes_version_id", "revision_type", iso_micros(F.col("valid_from")).alias("s"), iso_micros(F.col("valid_to")).alias("e"))
+        .select("fact_version_id", fact.alias("fact"), "supersedes_version_id", "revision_type", iso_micros(F.col("valid_from")).alias("s"), iso_micros(F.col("valid_to")).alias("e"))
         .groupBy("fact_version_id")
-        .agg(F.min(F.struct("logical_fact_id", F.coalesce("s", F.lit(OPEN_START)).alias("s"), "e", "revision_type", "supersedes_version_id")).alias("v"))
+        .agg(F.min(F.struct("fact", F.coalesce("s", F.lit(OPEN_START)).alias("s"), "e", "revision_type", "supersedes_version_id")).alias("v"))
         .select("fact_version_id", "v.*")
     )
-    later = v.filter("supersedes_version_id is not null and supersedes_version_id <> fact_version_id").groupBy(F.col("supersedes_version_id").alias("_old"), F.col("logical_fact_id").alias("_fact")).agg(F.min("s").alias("_by"))
-    kept = v.join(later, (v.fact_version_id == later._old) & v.logical_fact_id.eqNullSafe(later._fact) & (later._by <= v.s), "left_anti")
-    states = with_sequence(kept, "logical_fact_id", "s", "fact_version_id")
-    # State n of a fact is what its n-th remaining version says.
-    events = difference_consecutive(states, ["logical_fact_id"], "_seq", ["fact_version_id", "s", "e", "revision_type"])
-    # The end of a fact's history has no time of its own: its event is open.
-    spans = validity(events, "logical_fact_id", "_seq", "s", out="_next").filter("change <> 'deleted' and revision_type is distinct from 'retraction'")
+    v = staged(v, "versions")
+    later = v.filter("supersedes_version_id is not null and supersedes_version_id <> fact_version_id").groupBy(F.col("supersedes_version_id").alias("fact_version_id"), "fact").agg(F.min("s").alias("_by"))
+    kept = v.join(later, ["fact_version_id", "fact"], "left").filter("_by is null or _by > s")
+    # One version per start: of versions that start together the last has the whole period.
+    said = F.struct("fact_version_id", "e", F.col("revision_type").eqNullSafe("retraction").alias("gone"))
+    starts = staged(kept.groupBy("fact", "s").agg(F.max(said).alias("x")).select("fact", "s", "x.*"), "starts")
+    states = staged(with_sequence(starts, "fact", "s"), "states")
+    # A state without the fact is a row of its own, which says when the fact went.
+    events = difference_consecutive(states, ["fact"], "_seq", ["fact_version_id", "s", "e"], absent="gone").filter("s is not null")
+    spans = validity(events, "fact", "_seq", "s", out="_next").filter("change in ('inserted', 'changed')")
     end = F.least("e", "_next")
     return spans.filter(end.isNull() | (end > F.col("s"))).select(
-        "logical_fact_id",
+        F.when(F.col("fact") != "", F.expr("substring(fact, 2)")).alias("logical_fact_id"),
         "fact_version_id",
         F.when(F.col("s") == OPEN_START, "").otherwise(_iso(F.col("s"))).alias("period_start"),
         F.coalesce(_iso(end), F.lit("")).alias("period_end"),

@@ -354,7 +354,7 @@ def normalise_timestamps(df: DataFrame, key: str, value: str, source: str, basis
     # Sources all of whose values have one reading need no choice; their number is that of publishers.
     open_sources = staged(named.filter(F.size(F.array_distinct(ways)) > 1).select("_s").distinct(), "sources")
     same_source = F.expr("a._s <=> b._s")
-    settled = out(named.alias("a").join(open_sources.alias("b"), same_source, "left_anti"), F.col("readings")[0])
+    settled = out(named.alias("a").join(open_sources.alias("b"), same_source, "left_anti"), ways[0])
     chosen = choose_readings(named.alias("a").join(open_sources.alias("b"), same_source, "left_semi"), "_k", "_s", "_at")
     return nothing.unionByName(settled).unionByName(chosen.withColumnRenamed("_k", key))
 

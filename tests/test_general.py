@@ -131,6 +131,10 @@ def test_readings(spark, zones):
     assert got["2025-04-06 01:45", None] == [us(2025, 4, 5, 14, 45)] * 2 + [us(2025, 4, 5, 15, 15)] * 2
 
 
+def test_a_source_without_open_values(spark, zones):
+    assert instants(spark, zones, [("a", "4/30/2025 2:37 PM", "n", None), ("b", "30/4/2025 14:37", "b", None)]) == {"a": us(2025, 4, 30, 18, 37), "b": us(2025, 4, 30, 12, 37)}
+
+
 def test_abbreviations_follow_the_year(spark):
     z = spark.createDataFrame([("m", "Europe/Moscow", "dmy", "MSK", "MSD")], ZONES)
     got = instants(spark, z, [("then", "2012-07-01 12:00:00 MSK", "m", None), ("now", "2025-07-01 12:00:00 MSK", "m", None)])
@@ -166,10 +170,15 @@ def test_history_edges(spark):
         ("e", None, "2025-01-01T00:00:00Z", None, None, "assertion", 1),
         (None, "f", "2025-01-05T00:00:00Z", None, None, "assertion", 1),
         ("g", "h", "2025-05-01T00:00:00Z", None, None, "assertion", 1),
+        ("r1", "t", "2025-01-01T00:00:00Z", None, None, "assertion", 1),
+        ("r2", "t", "2025-02-01T00:00:00Z", None, None, "retraction", 1),
+        ("r3", "t", "2025-03-01T00:00:00Z", None, None, "retraction", 1),
+        ("r4", "t", "2025-04-01T00:00:00Z", "2025-06-01T00:00:00Z", None, "assertion", 1),
+        ("r0", "t", "2025-04-01T00:00:00Z", None, None, "assertion", 1),
         ("i", "h", "2025-04-01T00:00:00Z", None, "g", "correction", 1),
     ]
     got = {(r["fact_version_id"], r["period_start"], r["period_end"]) for r in history.version_history(spark.createDataFrame(rows, VERSIONS)).collect()}
-    assert got == {("a", "", "2025-01-01T00:00:00Z"), ("b", "2025-01-01T00:00:00Z", "2025-02-01T00:00:00Z"), ("c", "2025-02-01T00:00:00Z", "2025-02-10T00:00:00Z"), ("e", "2025-01-01T00:00:00Z", ""), ("i", "2025-04-01T00:00:00Z", "")}
+    assert got == {("a", "", "2025-01-01T00:00:00Z"), ("b", "2025-01-01T00:00:00Z", "2025-02-01T00:00:00Z"), ("c", "2025-02-01T00:00:00Z", "2025-02-10T00:00:00Z"), ("e", "2025-01-01T00:00:00Z", ""), ("i", "2025-04-01T00:00:00Z", ""), ("r1", "2025-01-01T00:00:00Z", "2025-02-01T00:00:00Z"), ("r4", "2025-04-01T00:00:00Z", "2025-06-01T00:00:00Z")}
     assert history.version_history(spark.createDataFrame([], VERSIONS)).count() == 0
 
 
@@ -200,6 +209,33 @@ def test_snapshot_changes_edges(spark):
     assert snapshots.snapshot_changes(df.limit(0), "s", ["k", "r"], ["o"]).count() == 0
 
 
+def test_snapshot_changes_over_many_snapshots(spark):
+    """More snapshots than a word has bits, against plain sets."""
+    import random
+
+    rnd = random.Random(3)
+    rows = sorted({(f"S{s:03d}", rnd.choice("abc"), rnd.choice("xyz"), rnd.choice("uv")) for s in range(150) for _ in range(2)})
+    held = {}
+    for s, k, x, y in rows:
+        held.setdefault(s, {}).setdefault(k, (set(), set()))
+        held[s][k][0].add(x), held[s][k][1].add(y)
+    want, ids = set(), sorted(held)
+    for a, b in zip(ids, ids[1:]):
+        for k in held[a].keys() | held[b].keys():
+            was, now = held[a].get(k), held[b].get(k)
+            if was != now:
+                fields = None if was is None or now is None else tuple(f for f, p, q in zip("xy", was, now) if p != q)
+                want.add((b, k, "added" if was is None else "removed" if now is None else "changed", fields))
+    got = snapshots.snapshot_changes(spark.createDataFrame(rows, "s string, k string, x string, y string"), "s", ["k"], ["x", "y"]).collect()
+    assert {(r["snapshot_id"], r["k"], r["change_kind"], r["changed_fields"] and tuple(r["changed_fields"])) for r in got} == want
+
+
+def test_change_classes_make_the_history(spark):
+    rows = [("k", 1, "a", False), ("k", 2, "a", False), ("k", 3, "b", False), ("k", 4, None, True), ("k", 5, None, True), ("k", 6, "b", False), (None, 1, None, False)]
+    got = {(r["k"], r["n"]): r["change"] for r in history.difference_consecutive(spark.createDataFrame(rows, "k string, n int, v string, gone boolean"), ["k"], "n", ["v"], absent="gone").collect()}
+    assert got == {("k", 1): "inserted", ("k", 2): "unchanged", ("k", 3): "changed", ("k", 4): "deleted", ("k", 5): "unchanged", ("k", 6): "inserted", ("k", 7): "deleted", (None, 1): "inserted", (None, 2): "deleted"}
+
+
 def test_as_known_edges(spark):
     m = spark.createDataFrame([("1", "Ab", "2025-01-01T00:00:00Z", None), ("1", "Ab", "2025-01-01T07:00:00+07:00", None), ("2", "aB", "2025-02-01T00:00:00Z", "1"), ("3", None, "2025-01-01T00:00:00Z", None), ("4", "c", "unknown", None)], "i string, mention string, av string, sup string")
     p = asof.decision_periods(m, "i", "mention", "av", "sup")
