@@ -3,20 +3,25 @@
 A mention is folded (compatibility forms, look-alike letters, case, diacritics,
 spaces) and read as a model, an organisation, a person or another name.  Reading
 tries the orders in which the tokens may stand (given name first, last or after a
-comma; the form of an organisation last or before "of") and keeps what must be
-equal (version and edition, form, given name) apart from what may be misspelt:
-the name proper.
+comma; the form of an organisation last or before "of"; any order of the words of
+another name) and keeps what must be equal (version and edition, form, given name)
+apart from what may be misspelt: the name proper.
 
 Names proper are linked by a trie join.  Names of one group are sharded by their
 segments: k edits leave one of 2k+1 segments untouched (a swap touches two), so
 neighbours share a shard.  In a shard the names form a trie, which every name
 that probes the shard traverses with a Levenshtein automaton (rows of the edit
-matrix, swaps being one edit), pruned at the bound.
+matrix, swaps being one edit), pruned at the bound.  A shard with many names is
+sharded once more by what is left of its names, and one that is still large is
+split by its held names, so the trie of a task is bounded; probes stream past it.
 
 Spellings one edit apart are one name.  Two spellings two edits apart are, where
 neither belongs to a name with a centre (a spelling with several neighbours or
 several written forms): then both miss the spelling that they come from.
 
+Which words are titles, forms or legal suffixes, and which name nobody, is a
+:class:`Lexicon`, a parameter of every function here.
+
 Defined results: null, blank and generic mentions name no entity and are in no
 pair.  Repeated mentions count once.  An acronym or a middle initial is linked
 only where exactly one name fits it.
@@ -24,10 +29,11 @@ only where exactly one name fits it.
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from functools import reduce
 
 import pandas as pd
@@ -35,33 +41,53 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import staged
+from ..runtime import staged, tasks_for
 
-# Letters of other scripts that look like Latin ones; forms of
-# organisations; what stands before and after a name; words that name nobody.
+# Letters of other scripts that look like Latin ones.
 LOOK_ALIKE = str.maketrans("аеорсухіјѕԁАЕОРСУХІВКМНТαοερν", "aeopcyxijsdAEOPCYXIBKMHTaoepv")
-FORMS = {
-    "software": "software soft sw",
-    "researchinstitute": "researchinstitute researchinst resinst resinstitute ri",
-    "university": "university univ uni",
-    "laboratories": "laboratories laboratory labs lab",
-    "holdings": "holdings holding hldgs",
-    "communications": "communications communication comms comm",
-    "systems": "systems system sys",
-    "technologies": "technologies technology tech",
-    "analytics": "analytics analytic anlytcs",
-    "semiconductor": "semiconductor semiconductors semicon semi",
-}
-LEGAL = "co ltd|co|ltd|inc|llc|jsc|corp|corporation|group|plc|gmbh"
-BEFORE_ORGANISATION = "cong ty co phan|cong ty tnhh|cong ty|cty cp|cty|ctcp|tap doan|hang|the"
-BEFORE_MODEL = "mo hinh|model|the model"
-TITLES = "ts|gs|pgs|ths|prof|professor|mr|mrs|ms|dr|ceo|cto|ong|ba"
-GENERIC = frozenset(
-    "the a an its his her their this that these it they he she we model models lab company startup founder firm chatbot platform user users researchers group"
-    " nay nen tang nguoi dung tap doan ong ba ho cong ty mo hinh hang cac nha nghien cuu startup do ay".split()
-)
-_FORM = {x: k for k, v in FORMS.items() for x in v.split()}
-_INITIALS = {"researchinstitute": "ri"} | {k: k[0] for k in FORMS if k != "researchinstitute"}
+
+
+def _forms() -> dict[str, str]:
+    return {
+        "software": "software soft sw",
+        "researchinstitute": "researchinstitute researchinst resinst resinstitute ri",
+        "university": "university univ uni",
+        "laboratories": "laboratories laboratory labs lab",
+        "holdings": "holdings holding hldgs",
+        "communications": "communications communication comms comm",
+        "systems": "systems system sys",
+        "technologies": "technologies technology tech",
+        "analytics": "analytics analytic anlytcs",
+        "semiconductor": "semiconductor semiconductors semicon semi",
+    }
+
+
+@dataclass(frozen=True)
+class Lexicon:
+    """The words that are no part of a name proper, folded; the defaults are those of the project's domain.
+
+    forms: each form of an organisation with its spellings; initials: what a form
+    adds to an acronym, its first letter unless named here; legal, before_organisation,
+    before_model, titles: what may stand after or before a name, as alternatives of a
+    regular expression; generic: words that name nobody.
+    """
+
+    forms: dict[str, str] = field(default_factory=_forms)
+    initials: dict[str, str] = field(default_factory=lambda: {"researchinstitute": "ri"})
+    legal: str = "co ltd|co|ltd|inc|llc|jsc|corp|corporation|group|plc|gmbh"
+    before_organisation: str = "cong ty co phan|cong ty tnhh|cong ty|cty cp|cty|ctcp|tap doan|hang|the"
+    before_model: str = "mo hinh|model|the model"
+    titles: str = "ts|gs|pgs|ths|prof|professor|mr|mrs|ms|dr|ceo|cto|ong|ba"
+    generic: frozenset = frozenset(
+        "the a an its his her their this that these it they he she we model models lab company startup founder firm chatbot platform user users researchers group"
+        " nay nen tang nguoi dung tap doan ong ba ho cong ty mo hinh hang cac nha nghien cuu startup do ay".split()
+    )
+
+    def spellings(self) -> dict[str, str]:
+        return {x: k for k, v in self.forms.items() for x in v.split()}
+
+    def initial(self, form: str) -> str:
+        return self.initials.get(form, form[:1])
 
 
 def fold(s: str) -> str:
@@ -76,24 +102,28 @@ def _letters(s: str) -> str:
     return re.sub(r"[^a-z]", "", s.translate(str.maketrans("01358", "olesb"))) or re.sub(r"\W", "", s)
 
 
-def near(a: str, b: str, bound: int = 1) -> bool:
-    return abs(len(a) - len(b)) <= bound and any(True for _ in Trie([a]).within(b, bound))
+#: Words of another name up to which every order is tried; of more words only one.
+ORDERS_UP_TO = 3
 
 
 class Reader:
     """Reads mentions; ``given``: each given name and short form with its given name."""
 
-    def __init__(self, given: dict[str, str]):
-        self.given = given
+    def __init__(self, given: dict[str, str], lexicon: Lexicon | None = None):
+        self.given, self.words = given, lexicon or Lexicon()
         full = set(given.values())
         self.initial = {i: g for i in {g[0] for g in full} for g in full if g[0] == i and sum(x[0] == i for x in full) == 1}
+        self.forms = self.words.spellings()
+        # One trie each, traversed once for a word that is misspelt.
+        self.near_given = Trie([w for w in given if len(w) > 4])
+        self.near_form = Trie([w for w in self.forms if len(w) > 6])
 
     def _given(self, w: str) -> str | None:
         w = w.strip(".")
         return self.given.get(w) or (self.initial.get(w) if len(w) == 1 else None)
 
     def _person(self, s: str) -> dict | None:
-        s = re.sub(rf"^(?:(?:{TITLES})\.? )+", "", s)
+        s = re.sub(rf"^(?:(?:{self.words.titles})\.? )+", "", s)
         s = re.sub(r'"[^"]*" ?', "", s).strip(" .")
         # Orders of the tokens: as written, and with the last part first.
         orders = [m[2] + " " + m[1]] if (m := re.fullmatch(r"([^,]+), ?([^,]+)", s)) else [s]
@@ -109,14 +139,14 @@ class Reader:
             rest = [_letters(w) for w in rest]
             return {"kind": "name", "part": f"P|{g}", "name": "".join(rest), "first": rest[0] if len(rest) == 2 else None, "last": rest[1] if len(rest) == 2 else None}
         for ws in (words, words[-1:] + words[:-1]):
-            close = {g for w, g in self.given.items() if len(w) > 4 and near(w, ws[0])}
+            close = {self.given[w] for w, _ in self.near_given.within(ws[0], 1)}
             if len(close) == 1 and len(ws) == 3:
                 rest = [_letters(w) for w in ws[1:]]
                 return {"kind": "name", "part": f"P|{close.pop()}", "name": "".join(rest), "first": rest[0], "last": rest[1]}
         return None
 
     def _model(self, s: str) -> dict | None:
-        s = re.sub(rf"^(?:{BEFORE_MODEL}) ", "", s)
+        s = re.sub(rf"^(?:{self.words.before_model}) ", "", s)
         m = re.fullmatch(r"(.*[a-z].*?)(?:[ -]+\(?v?|\(v?)(\d+(?:\.\d+)*)(?:[ -]+([a-z]+))?\)?\.?", s)
         if not m:
             return None
@@ -127,18 +157,18 @@ class Reader:
         s = re.sub(r" ?\([a-z]{2,6}\)", "", s)
         s = re.sub(r"[.,]", " ", s)
         s = re.sub(r"\s+", " ", s).strip()
-        s = re.sub(rf"^(?:{BEFORE_ORGANISATION}) ", "", s)
-        s = re.sub(rf"(?: (?:{LEGAL}))+$", "", s)
+        s = re.sub(rf"^(?:{self.words.before_organisation}) ", "", s)
+        s = re.sub(rf"(?: (?:{self.words.legal}))+$", "", s)
         found = None
         if m := re.fullmatch(r"(.+?) of (.+)", s):
-            if f := _FORM.get(m[1].replace(" ", "")):
+            if f := self.forms.get(m[1].replace(" ", "")):
                 found = (f, m[2])
         words = re.split(r"[ -]+", s)
         for n in (2, 1):
-            if not found and len(words) > n and (f := _FORM.get("".join(words[-n:]))):
+            if not found and len(words) > n and (f := self.forms.get("".join(words[-n:]))):
                 found = (f, " ".join(words[:-n]))
         if not found and len(words) > 1 and len(words[-1]) > 6:
-            close = {f for x, f in _FORM.items() if len(x) > 6 and near(x, _letters(words[-1]))}
+            close = {self.forms[x] for x, _ in self.near_form.within(_letters(words[-1]), 1)}
             if len(close) == 1:
                 found = (close.pop(), " ".join(words[:-1]))
         if not found:
@@ -149,21 +179,22 @@ class Reader:
     def read(self, mention: str) -> list[dict]:
         s = fold(mention)
         words = re.findall(r"\w+", s)
-        if not words or all(w in GENERIC for w in words):
+        if not words or all(w in self.words.generic for w in words):
             return []
         if re.fullmatch(r"\s*[A-Z]{2,6}\s*", mention):
             return [{"kind": "acronym", "part": "", "name": s}]
         r = self._model(s) or self._organisation(s) or self._person(s)
-        if r is None:
-            # Another name: the order of its tokens does not matter.
-            r = {"kind": "name", "part": "N", "name": "".join(sorted(_letters(w) for w in words))}
-        if r["kind"] == "name" and not r["name"]:
-            return []
-        out = [r]
-        # "rn" may stand for "m"; the name is then read both ways.
-        if r["kind"] == "name" and "rn" in r["name"]:
+        if r is not None:
+            out = [r]
+        else:
+            # Another name: every order of its words is looked up, so that an edit may stand in any word.
+            letters = sorted(_letters(w) for w in words)
+            orders = itertools.permutations(letters) if len(letters) <= ORDERS_UP_TO else [letters]
+            out = [{"kind": "name", "part": "N", "name": n} for n in sorted({"".join(o) for o in orders})]
+        if r is not None and r["kind"] == "name" and "rn" in r["name"]:
+            # "rn" may stand for "m"; the name is then read both ways.
             out.append(r | {"name": r["name"].replace("rn", "m"), "first": None, "last": None})
-        return out
+        return [x for x in out if x["kind"] != "name" or x["name"]]
 
 
 class Trie:
@@ -216,81 +247,131 @@ class Trie:
                     stack.append((child, c, row, now, least, depth))
 
 
-def trie_join(names: DataFrame, bound: int, other: DataFrame | None = None, bins: int = 48, hot: int = 4000) -> DataFrame:
+#: Rows of shards that one task sorts and matches.
+TASK_ROWS = 60_000
+#: Names of a shard from which it is sharded again; the largest trie of a task.
+HOT = 4000
+_SEP = "\u0001"
+
+
+def _shards(df: DataFrame, bound: int, lengths: range | None) -> DataFrame:
+    """(part, name, path, rest) of the shards of each row's ``rest``; path grows by length, number and text of the segment.
+
+    Held names (no lengths) stand in each of their segments' shards.  A probe looks for
+    every segment that a name of one of the lengths around its own may share with it,
+    and so may lie up to ``bound`` places off.  rest is what the segment leaves.
+    """
+    n = 2 * bound + 1
+    size = F.length("rest")
+    edge = lambda i, length: F.floor(F.lit(i) * length / n).cast("int")
+
+    def shard(length, i, start, end):
+        segment = F.substring(F.col("rest"), start + 1, end - start)
+        left = F.concat(F.substring(F.col("rest"), F.lit(1), start), F.substring(F.col("rest"), end + 1, size))
+        return F.struct(F.concat_ws(_SEP, "path", length, F.lit(i), segment).alias("path"), left.alias("rest"))
+
+    if lengths is None:
+        ways = [shard(size, i, edge(i, size), edge(i + 1, size)) for i in range(n)]
+    else:
+        ways = []
+        for delta in lengths:
+            of = size + delta
+            for i in range(n):
+                for shift in range(-bound, bound + 1):
+                    start, end = edge(i, of) + shift, edge(i + 1, of) + shift
+                    ways.append(F.when((of >= 0) & (start >= 0) & (end <= size), shard(of, i, start, end)))
+    return df.select("part", "name", F.explode(F.array_distinct(F.array_compact(F.array(*ways)))).alias("_s")).select("part", "name", "_s.path", "_s.rest")
+
+
+def trie_join(names: DataFrame, bound: int, other: DataFrame | None = None, hot: int = HOT) -> DataFrame:
     """(part, a, b, edits) of the pairs of different names of one part within the bound.
 
     names: part, name, distinct.  With ``other`` the pairs are (a of names, b of
     other) and equal names count too.  Shards with more than ``hot`` names are
-    probed in several tasks.
+    sharded again by the rest of their names, which is within the bound as well.
     """
-    n = 2 * bound + 1
-    lit = F.lit
-    edge = lambda i, size: F.floor(i * size / lit(n)).cast("int")
-    shard = lambda size, i, start, end: F.concat_ws("\u0001", F.col("part"), size, i, F.substring(F.col("name"), start + 1, end - start))
-    held = (other if other is not None else names).select("part", "name")
-    size = F.length("name")
-    d = held.select("part", "name", F.explode(F.transform(F.sequence(lit(0), lit(n - 1)), lambda i: shard(size, i, edge(i, size), edge(i + 1, size)))).alias("shard"))
-
-    # A probe of length L meets names of length L-bound..L (both ways: ..L+bound).
-    lengths = range(-bound, 1 if other is None else bound + 1)
-    probes = []
-    for delta in lengths:
-        for i in range(n):
-            for shift in range(-bound, bound + 1):
-                l_of = size + delta
-                start, end = edge(lit(i), l_of) + shift, edge(lit(i + 1), l_of) + shift
-                probes.append(F.when((l_of >= 0) & (start >= 0) & (end <= size), shard(l_of, lit(i), start, end)))
-    p = names.select("part", "name", F.explode(F.array_distinct(F.array_compact(F.array(*probes)))).alias("shard"))
-
-    big = d.groupBy("shard").agg(F.count("*").alias("c")).filter(F.col("c") > hot).select("shard", F.ceil(F.col("c") / hot).cast("int").alias("s"))
-    d = d.join(big, "shard", "left").select("shard", "name", F.explode(F.sequence(lit(0), F.coalesce("s", lit(1)) - 1)).alias("salt"), lit(0).alias("side"))
-    p = p.join(big, "shard", "left").select("shard", "name", F.pmod(F.xxhash64("name"), F.coalesce("s", lit(1))).cast("int").alias("salt"), lit(1).alias("side"))
-    both = d.unionByName(p).withColumn("bin", F.pmod(F.xxhash64("shard", "salt"), lit(bins)))
     ordered = other is None
+    begin = lambda d: d.select("part", "name", F.col("part").alias("path"), F.col("name").alias("rest"))
+    # A probe of length L meets names of length L-bound..L (both ways: ..L+bound).
+    lengths = range(-bound, 1 if ordered else bound + 1)
+    held, probes = _shards(begin(names if ordered else other), bound, None), _shards(begin(names), bound, lengths)
+    big = staged(held.groupBy("path").agg(F.count("*").alias("c")).filter(F.col("c") > hot).select("path"), "hot")
+    salts = None
+    if not big.isEmpty():
+        again = lambda d, more: d.join(big, "path", "left_anti").unionByName(_shards(d.join(big, "path", "left_semi"), bound, more))
+        held, probes = staged(again(held, None), "held"), again(probes, lengths)
+        # What is still large is split by its held names; every probe goes to each piece.
+        salts = staged(held.groupBy("path").agg(F.count("*").alias("c")).filter(F.col("c") > hot).select("path", F.ceil(F.col("c") / hot).cast("int").alias("s")), "pieces")
+    rows = names.count() * (2 * bound + 1) * (1 + 2 * len(lengths))
+    d, p = held.select("path", "part", "name"), probes.select("path", "part", "name")
+    piece = F.lit(0)
+    if salts is not None:
+        d = d.join(salts, "path", "left").select("path", "part", "name", F.pmod(F.xxhash64("name"), F.coalesce("s", F.lit(1))).cast("int").alias("piece"))
+        p = p.join(salts, "path", "left").select("path", "part", "name", F.explode(F.sequence(F.lit(0), F.coalesce("s", F.lit(1)) - 1)).alias("piece"))
+        piece = F.col("piece")
+    # Shards of one number share a task's pass; the part keeps strangers apart.
+    row = lambda x, side: x.select(F.xxhash64("path", piece).alias("shard"), F.lit(side).cast("tinyint").alias("side"), "part", "name")
+    both = row(d, 0).unionByName(row(p, 1))
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[str]] = {}
+        tries: dict[str, Trie] = {}
+        last, found = None, set()
+
+        def flush() -> pa.RecordBatch:
+            columns = list(zip(*found)) or [(), (), (), ()]
+            kinds = (pa.string(), pa.string(), pa.string(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["part", "a", "b", "edits"])
 
-    def match(t: pa.Table) -> pa.Table:
-        columns = [t.column(c).to_pylist() for c in ("shard", "salt", "side", "name")]
-        held, probes = defaultdict(list), defaultdict(list)
-        for s, salt, side, name in zip(*columns):
-            (probes if side else held)[s, salt].append(name)
-        seen = set()
-        for k, words in probes.items():
-            known = held.get(k)
-            # A shard that holds nothing but the name that probes it has no pair.
-            if known is None or ordered and len(known) == 1 and len(words) == 1 and known == words:
-                continue
-            trie, part = Trie(known), k[0].split("\u0001", 1)[0]
-            for w in words:
-                for x, e in trie.within(w, bound):
+        for b in batches:
+            for shard, side, part, w in zip(*[c.to_pylist() for c in b.columns]):
+                if shard != last:
+                    known, tries, last = {}, {}, shard
+                if not side:
+                    known.setdefault(part, []).append(w)
+                    continue
+                own = known.get(part)
+                # A shard that holds nothing but the name that probes it has no pair.
+                if own is None or ordered and len(own) == 1 and own[0] == w:
+                    continue
+                if part not in tries:
+                    tries[part] = Trie(own)
+                for x, e in tries[part].within(w, bound):
                     if not ordered:
-                        seen.add((part, w, x, e))
+                        found.add((part, w, x, e))
                     elif x != w:
-                        seen.add((part, w, x, e) if w < x else (part, x, w, e))
-        parts = list(zip(*seen)) or [(), (), (), ()]
-        return pa.table({n: pa.array(v, kind) for n, v, kind in zip(("part", "a", "b", "edits"), parts, (pa.string(), pa.string(), pa.string(), pa.int32()))})
+                        found.add((part, w, x, e) if w < x else (part, x, w, e))
+            if len(found) > 50_000:
+                yield flush()
+                found.clear()
+        yield flush()
+
+    ready = both.repartition(tasks_for(rows, TASK_ROWS, 1), "shard").sortWithinPartitions("shard", "side")
+    return ready.mapInArrow(match, "part string, a string, b string, edits int").distinct()
 
-    return both.groupBy("bin").applyInArrow(match, "part string, a string, b string, edits int").distinct()
 
+def _merge(df: DataFrame) -> DataFrame:
+    """df for a join whose sides both grow with the data: sorted and merged, never broadcast by its size of today."""
+    return df.hint("merge")
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, root): the least node of each connected component.
 
     Labels take the least label around them and then that label's own label, until
     nothing changes; each round is written to the shared folder.
     """
     both = staged(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    touched = both.select(F.col("a").alias("node")).distinct()
-    labels = staged(touched.withColumn("root", F.col("node")), "labels")
-    for _ in range(rounds):
-        around = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("n")).agg(F.min("root").alias("m"))
-        lower = labels.join(around, labels.node == around.n).select("node", F.col("root").alias("old"), F.least("root", "m").alias("root"))
+    labels = staged(both.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node")), "labels")
+    # A label only ever falls, so the rounds end, and they end when nothing changes.
+    while True:
+        around = _merge(both).join(labels, both.b == labels.node).groupBy(F.col("a").alias("n")).agg(F.min("root").alias("m"))
+        lower = _merge(labels).join(around, labels.node == around.n).select("node", F.col("root").alias("old"), F.least("root", "m").alias("root"))
         own = labels.select(F.col("node").alias("r"), F.col("root").alias("up"))
-        new = staged(lower.join(own, lower.root == own.r, "left").select("node", "old", F.least("root", F.coalesce("up", "root")).alias("root")), "labels")
-        changed = new.filter("root <> old").limit(1).count()
+        new = staged(_merge(lower).join(own, lower.root == own.r, "left").select("node", "old", F.least("root", F.coalesce("up", "root")).alias("root")), "labels")
         labels = new.select("node", "root")
-        if not changed:
-            break
-    return nodes.join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+        if not new.filter("root <> old").limit(1).count():
+            return _merge(nodes).join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
 def _known_givens(given_forms: DataFrame, limit: int = 100_000) -> dict[str, str]:
@@ -302,14 +383,14 @@ def _known_givens(given_forms: DataFrame, limit: int = 100_000) -> dict[str, str
     return out | {fold(r[0]): fold(r[0]) for r in rows}
 
 
-def link_names(mentions: DataFrame, given_forms: DataFrame) -> DataFrame:
+def link_names(mentions: DataFrame, given_forms: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
     """(mention, entity) of every different mention that names an entity; column ``mention`` in."""
-    givens = _known_givens(given_forms)
+    givens, lexicon = _known_givens(given_forms), lexicon or Lexicon()
     m = mentions.select("mention").filter("trim(mention) <> ''").distinct()
     fields = ["kind", "part", "name", "first", "last"]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(givens)
+        reader = Reader(givens, lexicon)
         for b in batches:
             rows = [(x, *(r.get(f) for f in fields)) for x in b["mention"] for r in reader.read(x)]
             yield pd.DataFrame(rows, columns=["mention", *fields])
@@ -321,25 +402,25 @@ def link_names(mentions: DataFrame, given_forms: DataFrame) -> DataFrame:
     as_edge = lambda e: e.select(F.concat_ws("\u0001", "part", "a").alias("a"), F.concat_ws("\u0001", "part", "b").alias("b"))
 
     near1 = as_edge(trie_join(names.select("part", "name"), 1))
-    # A mention that is read in two ways joins both names.
-    ways = rows.groupBy("mention").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("a", "b")
+    # A mention that is read in several ways joins their names.
+    ways = rows.groupBy("mention").agg(F.min("node").alias("a"), F.collect_set("node").alias("n")).filter(F.size("n") > 1).select("a", F.explode("n").alias("b")).filter("a <> b")
     edges1 = staged(near1.unionByName(ways).distinct(), "near1")
     first = components(names.select("node"), edges1)
     degree = edges1.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-    known = staged(names.join(first, "node").join(degree, "node", "left").select("node", "part", "name", "root", "written", F.coalesce("degree", F.lit(0)).alias("degree")), "known")
+    known = staged(_merge(names).join(first, "node").join(_merge(degree), "node", "left").select("node", "part", "name", "root", "written", F.coalesce("degree", F.lit(0)).alias("degree")), "known")
     centred = known.groupBy("root").agg(F.max((F.col("degree") >= 2) | (F.col("written") >= 3)).alias("centred"))
-    loose = known.join(centred.filter("not centred").select("root"), "root", "left_semi")
+    loose = _merge(known).join(centred.filter("not centred").select("root"), "root", "left_semi")
     near2 = as_edge(trie_join(staged(loose.select("part", "name"), "loose"), 2))
     # The second round joins the first round's components, not their nodes again.
     of = known.select("node", "root")
-    between = near2.join(of.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(of.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
+    between = _merge(near2).join(of.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(_merge(of.select(F.col("node").alias("b"), F.col("root").alias("rb"))), "b")
     merged = components(of.select(F.col("root").alias("node")).distinct(), between.select(F.col("ra").alias("a"), F.col("rb").alias("b")).filter("a <> b"))
-    roots = of.join(merged.select(F.col("node").alias("root"), F.col("root").alias("final")), "root").select("node", F.col("final").alias("root"))
-    entity = staged(rows.join(roots, "node").groupBy("mention").agg(F.min("root").alias("entity")), "entities")
+    roots = _merge(of).join(merged.select(F.col("node").alias("root"), F.col("root").alias("final")), "root").select("node", F.col("final").alias("root"))
+    entity = staged(_merge(rows).join(roots, "node").groupBy("mention").agg(F.min("root").alias("entity")), "entities")
 
     # Middle initials: the one name of the given name whose first word has the
     # initial and whose last word is within an edit.
-    spaced = rows.filter("first is not null").join(entity, "mention").select("part", "first", "last", "entity", "node")
+    spaced = _merge(rows.filter("first is not null")).join(entity, "mention").select("part", "first", "last", "entity", "node")
     lasts = spaced.filter("part like 'P|%'").select(F.concat_ws("|", "part", F.substring("first", 1, 1)).alias("part"), F.col("last").alias("name"), "entity").distinct()
     middles = parsed.filter("kind = 'middle'").select("mention", "part", "name")
     hits = trie_join(middles.select("part", "name").distinct(), 1, lasts.select("part", "name").distinct())
@@ -349,8 +430,8 @@ def link_names(mentions: DataFrame, given_forms: DataFrame) -> DataFrame:
 
     # Acronyms: initials of the two words and of the form, alone or with the third
     # letter of the second word, of each organisation's best supported spelling.
-    best = spaced.filter("part like 'O|%'").join(known.select("node", "degree", "written"), "node").groupBy("entity").agg(F.max_by(F.struct("part", "first", "last"), F.struct("degree", "written", "node")).alias("s")).select("entity", "s.*")
-    form = reduce(lambda c, kv: F.when(F.col("part") == f"O|{kv[0]}", kv[1]).otherwise(c), _INITIALS.items(), F.lit(""))
+    best = _merge(spaced.filter("part like 'O|%'")).join(known.select("node", "degree", "written"), "node").groupBy("entity").agg(F.max_by(F.struct("part", "first", "last"), F.struct("degree", "written", "node")).alias("s")).select("entity", "s.*")
+    form = reduce(lambda c, k: F.when(F.col("part") == f"O|{k}", lexicon.initial(k)).otherwise(c), lexicon.forms, F.lit(""))
     base = F.concat(F.substring("first", 1, 1), F.substring("last", 1, 1), form)
     short = best.select("entity", F.explode(F.array(base, F.concat(base, F.substring("last", 3, 1)))).alias("name"))
     sole = short.groupBy("name").agg(F.min("entity").alias("entity"), F.max("entity").alias("other")).filter("entity = other").select("name", "entity")
@@ -358,11 +439,19 @@ def link_names(mentions: DataFrame, given_forms: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [entity, fit, alone, letters])
 
 
-def name_pairs(linked: DataFrame) -> DataFrame:
-    """(mention_a, mention_b) of different mentions of one entity, a before b by code points."""
-    linked = staged(linked, "linked")
-    a, b = linked.select("entity", F.col("mention").alias("mention_a")), linked.select("entity", F.col("mention").alias("mention_b"))
-    return a.join(b, "entity").filter("mention_a < mention_b").select("mention_a", "mention_b").distinct()
+def name_pairs(linked: DataFrame, hot: int = 2000) -> DataFrame:
+    """(mention_a, mention_b) of different mentions of one entity, a before b by code points.
+
+    The pairs are the result asked for, so their number is what it is; link_names has
+    an entity per mention.  The pairs of an entity with more than ``hot`` mentions are
+    made in pieces, each mention standing first in one piece.
+    """
+    linked = staged(linked.distinct(), "linked")
+    sizes = linked.groupBy("entity").agg(F.ceil(F.count("*") / hot).cast("int").alias("s"), F.count("*").alias("c")).filter("c > 1").select("entity", "s")
+    d = _merge(linked).join(sizes, "entity")
+    a = d.select("entity", F.pmod(F.xxhash64("mention"), F.col("s")).cast("int").alias("piece"), F.col("mention").alias("mention_a"))
+    b = d.select("entity", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("piece"), F.col("mention").alias("mention_b"))
+    return _merge(a).join(b, ["entity", "piece"]).filter("mention_a < mention_b").select("mention_a", "mention_b")
 
 
 def all_mentions(claims: DataFrame, mappings: DataFrame) -> DataFrame:

@@ -167,7 +167,24 @@ def test_trie_join_finds_every_pair(spark, bound):
     df = spark.createDataFrame([("p", w) for w in words] + [("q", w) for w in words[:9]], "part string, name string")
     want = {(p, a, b, osa(a, b)) for p, ws in (("p", words), ("q", words[:9])) for a in ws for b in ws if a < b and osa(a, b) <= bound}
     assert {tuple(r) for r in names.trie_join(df, bound).collect()} == want
+    # Every shard is hot: sharded again, then split by its held names.
     assert {tuple(r) for r in names.trie_join(df, bound, hot=2).collect()} == want
+    both = {(p, a, b, osa(a, b)) for p, ws, vs in (("p", words, words[::3]), ("q", words[:9], words[:2])) for a in ws for b in vs if osa(a, b) <= bound}
+    other = spark.createDataFrame([("p", w) for w in words[::3]] + [("q", w) for w in words[:2]], "part string, name string")
+    for hot in (2, 4000):
+        assert {tuple(r) for r in names.trie_join(df, bound, other, hot=hot).collect()} == both
+
+
+def test_a_hot_shard_is_sharded_again(spark):
+    """Names with one segment in common do not stay in one trie."""
+    rnd = random.Random(4)
+    words = sorted({"segment" + "".join(rnd.choice("abcdefgh") for _ in range(14)) for _ in range(600)})
+    df = spark.createDataFrame([("p", w) for w in words], "part string, name string")
+    first = names._shards(df.selectExpr("part", "name", "part path", "name rest"), 1, None)
+    assert first.groupBy("path").count().agg({"count": "max"}).first()[0] == len(words)
+    second = names._shards(first, 1, None)
+    per = [r["count"] for r in second.groupBy("path").count().collect()]
+    assert sorted(per)[-1] < len(words) / 20
 
 
 GIVEN = [("Tobren", "Tobi"), ("Tobren", "Bren"), ("Aldovin", "Aldo")]
@@ -193,6 +210,29 @@ def test_no_names(spark):
     assert names.name_pairs(names.link_names(spark.createDataFrame([], "mention string"), given)).count() == 0
 
 
+def test_orders_of_other_names(spark):
+    """Words in another order and an edit, in the first letter too."""
+    rows = [("Delta Yonder Base",), ("base delta yonder",), ("Xelta Yonder Base",), ("Yonder Base Velta",), ("Delta Yonder Case File",)]
+    given = spark.createDataFrame([], "given_name string, short_form string")
+    got = {r["mention"]: r["entity"] for r in names.link_names(spark.createDataFrame(rows, "mention string"), given).collect()}
+    assert len(set(got.values())) == 2 and len({got[r[0]] for r in rows[:4]}) == 1
+
+
+def test_a_lexicon_of_ones_own(spark):
+    own = names.Lexicon(forms={"bank": "bank bk"}, generic=frozenset({"somebody"}))
+    rows = [("Alpha Kinto Bank",), ("Alpha Kinto Bk",), ("Bank of Alpha Kinto",), ("somebody",)]
+    given = spark.createDataFrame([], "given_name string, short_form string")
+    got = names.link_names(spark.createDataFrame(rows, "mention string"), given, own).collect()
+    assert len(got) == 3 and len({r["entity"] for r in got}) == 1
+
+
+def test_pairs_of_a_hot_entity(spark):
+    linked = spark.range(50).selectExpr("lpad(id, 3, '0') mention", "if(id < 45, 'e', 'f') entity")
+    for hot in (3, 2000):
+        got = names.name_pairs(linked.unionByName(linked), hot).collect()
+        assert len(got) == len(set(got)) == 45 * 44 // 2 + 5 * 4 // 2 and all(a < b for a, b in got)
+
+
 def test_components_of_a_chain(spark):
     n = spark.createDataFrame([(f"{i:03d}",) for i in range(40)], "node string")
     e = spark.createDataFrame([(f"{i:03d}", f"{i + 1:03d}") for i in range(29)], "a string, b string")
