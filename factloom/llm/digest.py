@@ -9,7 +9,8 @@ portions or days combine in the same way.
 
 A second pass over the rows counts how many lie below and up to each estimate,
 which certifies its error of rank.  Stated bound: |rank - q*n| <= RANK_BOUND*n
-+ 1; the certified error of every estimate is in the result.
++ 1; the certified error of every estimate is in the result, and groups with an
+error above the bound are digested again, finer, until they keep it.
 
 Defined results: null, NaN and infinite values do not count; null group keys
 form groups; groups without a finite value have no row; every delivered row
@@ -19,13 +20,14 @@ counts.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import staged
+from ..runtime import same, staged
 
 COMPRESSION = 400
 RANK_BOUND = 0.01
@@ -135,10 +137,29 @@ def group_key(*columns: str) -> Column:
     return F.to_json(F.array(*[F.col(c).cast("string") for c in columns]))
 
 
-def percentiles(df: DataFrame, groups: list[str], value: str, quantiles: list[float] = QUANTILES, digests: DataFrame | None = None, broadcast_groups: int = 20_000) -> DataFrame:
-    """(groups, n, q, estimate, rank_error): rank_error is certified, as a share of n."""
+#: How much finer a group is digested again, and up to which compression.
+FINER, FINEST = 8, COMPRESSION * 8**4
+
+
+def percentiles(df: DataFrame, groups: list[str], value: str, quantiles: list[float] = QUANTILES, digests: DataFrame | None = None, broadcast_groups: int = 20_000, compression: int = COMPRESSION, bound: float = RANK_BOUND) -> DataFrame:
+    """(groups, n, q, estimate, rank_error): rank_error is certified, as a share of n, and within the bound."""
+    done = []
+    while True:
+        made = staged(_certified(df, groups, value, quantiles, digests, broadcast_groups, compression), "certified")
+        over = F.max(F.col("rank_error") * F.col("n") > F.lit(bound) * F.col("n") + 1)
+        bad = staged(made.groupBy(*groups).agg(over.alias("over")).filter("over").select(*groups), "over")
+        if bad.isEmpty():
+            return reduce(DataFrame.unionByName, [*done, made])
+        if compression >= FINEST:
+            raise ArithmeticError(f"estimates of {value} exceed the bound on their ranks")
+        on = F.expr(same("a", "b", groups))
+        done.append(made.alias("a").join(bad.alias("b"), on, "left_anti"))
+        df, digests, compression = df.alias("a").join(bad.alias("b"), on, "left_semi"), None, compression * FINER
+
+
+def _certified(df: DataFrame, groups: list[str], value: str, quantiles: list[float], digests: DataFrame | None, broadcast_groups: int, compression: int) -> DataFrame:
     g = group_key(*groups)
-    digests = staged(digests if digests is not None else merge_digests(partial_digests(df, g, value)), "digests")
+    digests = staged(digests if digests is not None else merge_digests(partial_digests(df, g, value, compression), compression), "digests")
     est = staged(estimates(digests, quantiles), "estimates")
     finite = F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
     # Own names are marked, as the groups may have any.
