@@ -21,11 +21,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import staged
+from ..runtime import staged, tasks_for
 
 CAPACITY = 8192
 BLOCK_WINDOWS = 192
 BLOCK_ITEMS = 4096
+#: Up to so many blocks each has a task; of more, a task takes TASK_BLOCKS, one after another.
+MANY_BLOCKS = 4000
+TASK_BLOCKS = 32
 
 
 class _Partial:
@@ -116,5 +119,5 @@ def pack(sizes: DataFrame, key: str, size: str, capacity: int = CAPACITY, block_
         return pdf.assign(container=names)[["key", "piece", "start", "length", "container", "n_pieces"]]
 
     # Blocks are light in bytes but not in work: a stated number of tasks is not coalesced.
-    packed = rest.repartition(min(blocks, 4000), "block").groupBy("block").applyInPandas(windows, f"key {kind}, piece int, start long, length long, container string, n_pieces int")
+    packed = rest.repartition(max(min(blocks, MANY_BLOCKS), tasks_for(blocks, TASK_BLOCKS, 1)), "block").groupBy("block").applyInPandas(windows, f"key {kind}, piece int, start long, length long, container string, n_pieces int")
     return full.unionByName(packed).withColumnRenamed("key", key)
