@@ -1,11 +1,12 @@
 """Encoding of a whole corpus with a public byte-level tokenizer (problem 8).
 
 Every text is split once into its pre-tokens.  Within a chunk of texts (bounded
-in bytes) a pre-token is kept as a number into the chunk's list of different
+in characters) a pre-token is kept as a number into the chunk's list of different
 words, so the positions are a compact integer array instead of a row per word.
 The words of all chunks are shuffled, each distinct one is encoded once, the ids
 are joined back to the chunks, and every text is put together by position.
-A word has at most one row per chunk, however often it occurs.
+A word has at most one row per chunk, however often it occurs, and a word that
+stands in very many chunks is joined under a salt.
 
 Defined results: null and empty texts have the empty list of ids.  Each row of
 the input gives one row; repeated ids keep their rows.
@@ -21,17 +22,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import BROADCAST_LIMIT, staged
+from ..runtime import BROADCAST_LIMIT, staged, tasks_for
 from .tokenizer import encoding, ranks, splitter, vocabulary
 
-CHUNK_BYTES = 6 << 20
+CHUNK_CHARS = 4 << 20
+#: Chunks above which a word is salted; so many rows of a word one task may meet.
+HOT_CHUNKS = 20_000
+#: Chunks that one task puts together.
+TASK_CHUNKS = 2
 
 
 def _split_schema(key_type: str) -> str:
     return f"chunk long, key {key_type}, words array<string>, at binary"
 
 
-def split_words(df: DataFrame, key: str, text: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def split_words(df: DataFrame, key: str, text: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """(chunk, key, words, at): a row per text with word numbers ``at`` (int32), and one per chunk with its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,14 +63,14 @@ def split_words(df: DataFrame, key: str, text: str, chunk_bytes: int = CHUNK_BYT
                     ats.append(at.tobytes())
                 else:
                     ats.append(b"")
-                if used >= chunk_bytes or i == len(texts) - 1:
+                if used >= chunk_chars or i == len(texts) - 1:
                     n = i + 1 - start
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([(part << 32) | number] * n, pa.int64()), keys.slice(start, n), pa.nulls(n, pa.list_(pa.string())), pa.array(ats, pa.binary())],
                         names=["chunk", "key", "words", "at"],
                     )
                     start, ats = i + 1, []
-                if used >= chunk_bytes:
+                if used >= chunk_chars:
                     yield closing()
                     number, used = number + 1, 0
                     index.clear()
@@ -76,27 +81,49 @@ def split_words(df: DataFrame, key: str, text: str, chunk_bytes: int = CHUNK_BYT
     return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, _split_schema(kind))
 
 
-def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """(word, ids): each distinct word encoded once; ids are little-endian int32."""
+def encode_words(words: DataFrame, path: str, *carried: str) -> DataFrame:
+    """(word, carried, ids) of rows with a word each: ids are little-endian int32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path).encode_ordinary
         for b in batches:
             ids = [np.asarray(enc(w), np.int32).tobytes() for w in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["word", "ids"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.binary())], names=[*b.schema.names, "ids"])
 
-    return words.select("word").distinct().mapInArrow(run, "word string, ids binary")
+    kinds = dict(words.dtypes)
+    return words.select("word", *carried).mapInArrow(run, "word string, " + "".join(f"{c} {kinds[c]}, " for c in carried) + "ids binary")
 
 
-def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
+def word_ids(words: DataFrame, path: str, hot: int = HOT_CHUNKS) -> DataFrame:
+    """words (chunk, n, word) with ids, each distinct word being encoded once.
+
+    A word in more than ``hot`` chunks, or in a ten-thousandth of all rows, is joined
+    under several salts; there are at most 10,000 of these, which bounds their broadcast.
+    """
+    counts = staged(words.groupBy("word").agg(F.count("*").alias("c")), "counts")
+    limit = max(hot, (counts.agg(F.sum("c")).first()[0] or 0) // 10_000)
+    many = counts.filter(F.col("c") > limit).select("word", F.ceil(F.col("c") / limit).cast("int").alias("s"))
+    # Words only, or with their salts where there is a word that needs them.
+    if many.isEmpty():
+        return words.join(encode_words(counts, path), "word")
+    salts = F.broadcast(many)
+    known = encode_words(counts, path).join(salts, "word", "left").select("word", "ids", F.explode(F.sequence(F.lit(0), F.coalesce("s", F.lit(1)) - 1)).alias("salt"))
+    salted = words.join(salts, "word", "left").withColumn("salt", F.pmod(F.xxhash64("chunk"), F.coalesce("s", F.lit(1))).cast("int")).drop("s")
+    return salted.join(known, ["word", "salt"])
+
+
+def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, hot: int = HOT_CHUNKS) -> DataFrame:
     """(key, ids) of every row of df."""
     path = path or vocabulary()
     kind = dict(df.dtypes)[key]
     parts = staged(split_words(df, key, text), "words")
     # What a chunk's texts say and what its words mean meet again by the chunk's number.
-    words = parts.filter("words is not null").select("chunk", F.posexplode("words").alias("n", "word"))
-    known = words.join(encode_words(words, path), "word").select(F.col("chunk").alias("of"), "n", "ids")
+    listed = parts.filter("words is not null")
+    known = word_ids(listed.select("chunk", F.posexplode("words").alias("n", "word")), path, hot).select(F.col("chunk").alias("of"), "n", "ids")
     texts = parts.filter("words is null").select("chunk", "key", "at")
+    # Both sides go to a number of tasks that grows with the chunks.
+    tasks = tasks_for(listed.count(), TASK_CHUNKS, 1)
+    texts, known = texts.repartition(tasks, "chunk"), known.repartition(tasks, "of")
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         numbers = right.column("n").to_numpy()
