@@ -4,8 +4,10 @@ A text above the limit is rewritten as a proxy: one character per token, which
 names the strongest boundary at the token's end.  A regular expression with
 bounded quantifiers then takes pieces off the proxy: its alternatives are ordered
 by the strength of the boundary, each consumes as much as the limit allows, and
-single characters are the last resort.  The lengths of the matches, summed up by
-array functions, are token offsets; each piece also looks back by the overlap.
+single characters are the last resort.  SQL array functions turn the matches into
+their lengths; summed up, these are token offsets, from which each piece looks back
+by the overlap.  A piece is cut out of its text once, so the work is linear in the
+text's length, however long it is.
 
 Pieces of the same tokenizer are cut at its token ends, so a piece has as many
 tokens as characters in the proxy, but for the white space at its ends; a reserve
@@ -21,7 +23,7 @@ follow each other without gap and make up the text.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +35,14 @@ from .tokenizer import encoding, ranks, vocabulary
 LIMIT = 512
 OVERLAP = 32
 RESERVE = 8
+#: Characters of pieces that a batch holds.
+BATCH_CHARS = 8 << 20
 
 # Boundaries by strength, as characters of the proxy: before a heading, after a
 # paragraph, after a line, after a sentence, after a word, after a character, and
 # inside of a character (no place to cut).
 HEADING, PARAGRAPH, LINE, SENTENCE, WORD, CHARACTER, INSIDE = "HPLSWCX"
+_STRENGTH = {ord(c): i for i, c in enumerate(HEADING + PARAGRAPH + LINE + SENTENCE + WORD + CHARACTER + INSIDE)}
 
 _IS_SPACE, _IS_END, _IS_WIDE_END, _IS_CLOSER, _IS_MARK, _IS_LINE = 1, 2, 4, 8, 16, 32
 _KIND = np.zeros(0x10000, np.uint8)
@@ -143,6 +148,34 @@ def pattern(core: int, least: int) -> str:
     return "(?:" + "|".join(alternatives) + ")"
 
 
+def _within(text: str, spans: Iterable[tuple[int, int, int]], limit: int, enc) -> Iterator[tuple]:
+    """(piece, part, start, core_start, core_end, n, text) of spans; what exceeds the limit is cut again at its strongest inner boundary.
+
+    A core of one character whose overlap is too long keeps as much of it as fits.
+    """
+    for piece, span in enumerate(spans):
+        part, todo = 0, [span]
+        while todo:
+            start, a, z = todo.pop()
+            own = text[start:z]
+            n = len(enc(own))
+            if n > limit and z - a > 1:
+                # The boundaries of the middle half, the strongest and then the most central.
+                kinds = boundaries(text[a:z])[1:-1]
+                at = np.arange(1, z - a)
+                middle = np.abs(2 * at - (z - a)) <= (z - a + 1) // 2
+                rank = np.array([_STRENGTH[k] for k in kinds])
+                best = np.lexsort((np.abs(2 * at - (z - a)), rank, ~middle))[0]
+                c = a + int(at[best])
+                todo += [(max(start, c - (a - start)), c, z), (start, a, c)]
+                continue
+            if n > limit and start < a:
+                todo.append(((start + a + 1) // 2, a, z))
+                continue
+            yield piece, part, start, a, z, n, own
+            part += 1
+
+
 def split_texts(df: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT, overlap: int = OVERLAP, path: str | None = None) -> DataFrame:
     """(key, row, piece, part, start, core_start, core_end, n_tokens, piece_text) of every row of df.
 
@@ -173,62 +206,41 @@ def split_texts(df: DataFrame, key: str = "doc_id", text: str = "text", limit: i
 
     measured = rows.mapInArrow(measure, f"key {kind}, text string, row long, n int, proxy string, ends array<int>")
 
-    # Runs in the JVM: lengths of the matches, their running sum, and the lookback.
+    # Runs in the JVM: the pieces of the proxy, as the lengths of the matches.
     sizes = F.transform(F.regexp_extract_all("proxy", F.lit(pattern(core, max(1, overlap))), F.lit(0)), lambda m: F.length(m))
-    big = measured.select("key", "row", "text", "n", "ends", sizes.alias("sizes"))
-    running = F.aggregate("sizes", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-    big = big.select("key", "row", "text", "n", "ends", running.alias("cuts"))
-    point = lambda i: F.when(i <= 0, F.lit(0)).otherwise(F.element_at("ends", F.greatest(i, F.lit(1))))
-    spans = F.transform(
-        F.sequence(F.lit(1), F.size("cuts") - 1),
-        lambda i: F.struct(
-            (i - 1).alias("piece"),
-            point(F.element_at("cuts", i) - F.when(i > 1, F.lit(overlap)).otherwise(0)).alias("start"),
-            point(F.element_at("cuts", i)).alias("core_start"),
-            point(F.element_at("cuts", i + 1)).alias("core_end"),
-        ),
-    )
-    whole = F.array(F.struct(F.lit(0).alias("piece"), F.lit(0).alias("start"), F.lit(0).alias("core_start"), F.coalesce(F.length("text"), F.lit(0)).alias("core_end")))
-    pieces = big.select("key", "row", "text", "n", F.explode(F.when(F.col("cuts").isNull(), whole).otherwise(spans)).alias("s"))
-    text_of = F.when(F.col("n") <= limit, F.col("text")).otherwise(F.expr("substring(text, s.start + 1, s.core_end - s.start)"))
-    pieces = pieces.select("key", "row", "n", "s.*", text_of.alias("piece_text"))
-
-    def enforce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Counts each piece; one above the limit is cut in two at its middle boundary until none is."""
+    matched = measured.select("key", "row", "text", "n", "ends", sizes.alias("sizes"))
+    names = ["key", "row", "piece", "part", "start", "core_start", "core_end", "n_tokens", "piece_text"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Takes the pieces off the texts and counts each; batches are bounded in characters."""
         enc = encoding(path).encode_ordinary
-        names = ["key", "row", "piece", "part", "start", "core_start", "core_end", "n_tokens", "piece_text"]
         for b in batches:
-            texts_of = b.column("piece_text")
-            counts = [n if n <= limit else len(enc(texts_of[i].as_py())) for i, n in enumerate(b.column("n").to_pylist())]
-            if max(counts, default=0) <= limit:
-                # As nearly always: nothing to cut once more.
-                own = [pa.array(np.zeros(len(counts), np.int32)), pa.array(counts, pa.int32())]
-                yield pa.RecordBatch.from_arrays([b.column("key"), b.column("row"), b.column("piece"), own[0], b.column("start"), b.column("core_start"), b.column("core_end"), own[1], texts_of], names=names)
-                continue
-            column = {n: b.column(n).to_pylist() for n in ("start", "core_start", "core_end", "piece_text")}
-            takes, starts, cores, ends, texts, parts, sizes = [], [], [], [], [], [], []
-            for i, n in enumerate(counts):
-                base, whole, part = column["start"][i], column["piece_text"][i], 0
-                todo = [(base, column["core_start"][i], column["core_end"][i], n)]
-                while todo:
-                    start, a, z, n = todo.pop()
-                    t = whole if (start, z) == (base, column["core_end"][i]) else whole[start - base : z - base]
-                    n = len(enc(t)) if n is None else n
-                    if n > limit and z - a > 1:
-                        middle = (a + z) // 2
-                        spaces = [m.end() for m in re.finditer(r"\s(?=\S)", whole[a - base : middle - base])]
-                        cut = a + spaces[-1] if spaces else middle
-                        todo += [(max(base, cut - max(0, a - start)), cut, z, None), (start, a, cut, None)]
-                        continue
-                    for values, v in zip((takes, starts, cores, ends, texts, parts, sizes), (i, start, a, z, t, part, n)):
-                        values.append(v)
-                    part += 1
-            at = pa.array(takes, pa.int64())
-            i32 = pa.int32()
-            yield pa.RecordBatch.from_arrays(
-                [b.column("key").take(at), b.column("row").take(at), b.column("piece").take(at), pa.array(parts, i32), pa.array(starts, i32), pa.array(cores, i32), pa.array(ends, i32), pa.array(sizes, i32), pa.array(texts, pa.string())],
-                names=names,
-            )
-
-    exact = pieces.mapInArrow(enforce, f"key {kind}, row long, piece int, part int, start int, core_start int, core_end int, n_tokens int, piece_text string")
+            takes, columns, held = [], [[] for _ in names[2:]], 0
+
+            def flush() -> pa.RecordBatch:
+                at, i32 = pa.array(takes, pa.int64()), pa.int32()
+                arrays = [b.column("key").take(at), b.column("row").take(at), *[pa.array(c, i32) for c in columns[:-1]], pa.array(columns[-1], pa.string())]
+                return pa.RecordBatch.from_arrays(arrays, names=names)
+
+            for i, (t, n, ends, sizes) in enumerate(zip(*[b.column(c) for c in ("text", "n", "ends", "sizes")])):
+                t, n = t.as_py(), n.as_py()
+                if n <= limit:
+                    found = [(0, 0, 0, 0, len(t or ""), n, t)]
+                else:
+                    stops = np.cumsum(sizes.values.to_numpy())
+                    points = np.concatenate([[0], ends.values.to_numpy()])
+                    begins = np.concatenate([[0], stops[:-1]])
+                    backs = np.where(begins > 0, np.maximum(begins - overlap, 0), 0)
+                    found = _within(t, zip(points[backs].tolist(), points[begins].tolist(), points[stops].tolist()), limit, enc)
+                for row in found:
+                    takes.append(i)
+                    for c, v in zip(columns, row):
+                        c.append(v)
+                    held += len(row[-1] or "")
+                    if held > BATCH_CHARS:
+                        yield flush()
+                        takes, columns, held = [], [[] for _ in names[2:]], 0
+            yield flush()
+
+    exact = matched.mapInArrow(cut, f"key {kind}, row long, piece int, part int, start int, core_start int, core_end int, n_tokens int, piece_text string")
     return exact.withColumnRenamed("key", key)

@@ -24,13 +24,20 @@ def test_encoding_equals_the_tokenizer(texts):
     assert got == sorted([(i, tuple(ENC.encode_ordinary(t) if t else ())) for i, t in enumerate(TEXTS)] + [(0, tuple(ENC.encode_ordinary("same id")))])
 
 
+def test_words_of_many_chunks_are_salted(spark):
+    words = spark.range(400).selectExpr("id chunk", "cast(0 as int) n", "if(id % 4 < 3, ' the', concat(' w', id % 12)) word")
+    got = encode.word_ids(words, vocabulary(), hot=50)
+    assert got.groupBy("word", "salt").count().agg({"count": "max"}).first()[0] < 150
+    assert {(r["chunk"], tuple(np.frombuffer(r["ids"], np.int32))) for r in got.collect()} == {(r["chunk"], tuple(ENC.encode_ordinary(r["word"]))) for r in words.collect()}
+
+
 def test_encoding_of_nothing(texts):
     assert encode.encode_corpus(texts.limit(0)).count() == 0
     assert {tuple(r["ids"]) for r in encode.encode_corpus(texts.filter("text is null or text = ''")).collect()} == {()}
 
 
 def test_chunks_do_not_matter(texts):
-    words = {(r["chunk"], r["words"] is None) for r in encode.split_words(texts, "doc_id", "text", chunk_bytes=10).collect()}
+    words = {(r["chunk"], r["words"] is None) for r in encode.split_words(texts, "doc_id", "text", chunk_chars=10).collect()}
     assert len({c for c, _ in words}) > 3
 
 
@@ -103,6 +110,31 @@ def test_pieces_of_hard_texts(spark):
     assert splitting.split_texts(df.limit(0)).count() == 0
 
 
+def test_one_very_long_text(spark):
+    """Ten times the text takes about ten times as long, not a hundred."""
+    import time
+
+    body = "".join(f"Line {i} says a little. It goes on.\n" for i in range(20_000))
+    took = []
+    for times in (1, 10):
+        df = spark.createDataFrame([(1, body * times)], "doc_id long, text string")
+        began = time.time()
+        r = splitting.split_texts(df).agg(F.count("*").alias("n"), F.max("n_tokens").alias("top"), F.sum(F.col("core_end") - F.col("core_start")).alias("chars")).first()
+        took.append(time.time() - began)
+        assert r["top"] <= splitting.LIMIT and r["chars"] == len(body) * times and r["n"] > 300 * times
+    assert took[1] < 40 * took[0]
+
+
+def test_second_cuts():
+    """Pieces above the limit are cut at a sentence, and an overlap that is too long is shortened."""
+    enc = ENC.encode_ordinary
+    text = "one two three four five. six seven eight nine ten"
+    got = list(splitting._within(text, [(0, 0, len(text))], 8, enc))
+    assert [text[a:z] for _, _, _, a, z, _, _ in got] == ["one two three four five.", " six seven eight nine ten"] and all(n <= 8 for *_, n, _ in got)
+    piece = list(splitting._within(text, [(0, len(text) - 1, len(text))], 4, enc))
+    assert len(piece) == 1 and piece[0][2] > 0 and piece[0][5] <= 4
+
+
 def test_pieces_of_documents(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     check_pieces(splitting.split_texts(docs).collect(), {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}, splitting.LIMIT, splitting.OVERLAP)
@@ -141,6 +173,17 @@ def test_percentiles(spark, data):
     assert all(r["rank_error"] * r["n"] <= digest.RANK_BOUND * r["n"] + 1 for r in both) and len(both) == len(got)
 
 
+def test_groups_above_the_bound_are_digested_again(spark):
+    """A coarse digest of an uneven group misses the bound; a finer one keeps it."""
+    df = spark.range(4000).selectExpr("if(id < 3500, 'u', null) g", "exp(id % 3500 / 300.0) v")
+    coarse = digest._certified(df, ["g"], "v", digest.QUANTILES, None, 20_000, 4).agg(F.max("rank_error")).first()[0]
+    assert coarse > 0.004
+    got = digest.percentiles(df, ["g"], "v", compression=4, bound=0.002).collect()
+    assert len(got) == 14 and all(r["rank_error"] * r["n"] <= 0.002 * r["n"] + 1 for r in got)
+    with pytest.raises(ArithmeticError):
+        digest.percentiles(df, ["g"], "v", compression=digest.FINEST, bound=-1.0)
+
+
 def test_percentiles_edges(spark):
     nan, inf = float("nan"), float("inf")
     df = spark.createDataFrame([("a", 1.0), ("a", nan), ("a", None), ("a", inf), ("b", nan), (None, 2.0), (None, 2.0)], "g string, v double").withColumn("n", F.lit(1)).withColumn("est", F.lit(2))
