@@ -3,30 +3,43 @@
 A fact version is in the snapshot of a cutoff if it was observed and accepted by
 then, is valid then, is not superseded by another version that is, is no
 retraction and not retracted.  Whatever is out keeps the first reason that
-applies.  All cutoffs are handled together: every fact
-meets the few cutoffs, which are a literal array, without a join.
+applies.  Only then are its ends resolved, by the decisions on their mentions that
+are known at the cutoff.  All cutoffs are handled together: every fact meets the
+few cutoffs, which are a literal array, without a join.
+
+Facts are (version, logical, subject, relation, object, observed, accepted,
+valid_from, valid_to, supersedes, retraction) with clocks in microseconds.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import staged
+from .asof import decision_periods, join_as_known
+
 REASONS = ["FUTURE_EVIDENCE_OBSERVED_AT", "FUTURE_KG_ACCEPTANCE", "FUTURE_WORLD_VALIDITY", "EXPIRED_WORLD_VALIDITY", "SUPERSEDED_BY_REVISION", "RETRACTION_TOMBSTONE", "RETRACTED"]
 
 
+def micros(at: datetime) -> int:
+    return (at - datetime(1970, 1, 1)) // timedelta(microseconds=1)
+
+
 def at_cutoffs(facts: DataFrame, cutoffs: Sequence[tuple[str, datetime]]) -> DataFrame:
     """Each fact once per cutoff, by exploding a literal array: no join at all."""
-    kind = dict(facts.dtypes)["observed"]
-    points = F.array(*[F.struct(F.lit(n).alias("snapshot"), F.lit(c.isoformat(sep=" ")).cast(kind).alias("cutoff")) for n, c in cutoffs])
+    points = F.array(*[F.struct(F.lit(n).alias("snapshot"), F.lit(micros(c)).alias("cutoff")) for n, c in cutoffs])
     return facts.withColumn("_c", F.explode(points)).select("*", "_c.snapshot", "_c.cutoff").drop("_c")
 
 
 def clock_reason(cutoff: str = "cutoff") -> Column:
-    """The first clock that keeps a fact out; null where none does.  A null clock keeps nothing out but observation."""
+    """The first clock that keeps a fact out; null where none does.
+
+    A fact without observation is never known; of the other clocks a null one keeps nothing out.
+    """
     c = F.col(cutoff)
     return (
         F.when(F.col("observed").isNull() | (F.col("observed") > c), REASONS[0])
@@ -36,25 +49,50 @@ def clock_reason(cutoff: str = "cutoff") -> Column:
     )
 
 
-def snapshot_status(facts: DataFrame, cutoffs: Sequence[tuple[str, datetime]]) -> DataFrame:
-    """facts x cutoffs with ``reason``: null for the versions that make the snapshot."""
-    d = at_cutoffs(facts, cutoffs).withColumn("clock", clock_reason())
-    valid = d.filter("clock is null")
-    child = valid.filter("supersedes is not null").select("snapshot", F.col("supersedes").alias("version"), "logical", F.lit(True).alias("superseded")).distinct()
-    # Of several children of one version the greatest wins; the others are superseded too.
-    winner = valid.filter("supersedes is not null").groupBy("snapshot", "logical", "supersedes").agg(F.max("version").alias("winner"))
-    held = valid.select("snapshot", "logical", F.col("version").alias("supersedes"), F.lit(True).alias("parent_held"))
-    winner = winner.join(held, ["snapshot", "logical", "supersedes"])
+def snapshot_status(facts: DataFrame, cutoffs: Sequence[tuple[str, datetime]], strict: bool = False) -> DataFrame:
+    """facts x cutoffs with ``reason``: null for the versions that make the snapshot.
+
+    ``strict``: a known fact without acceptance is an error when it is read.  Versions
+    are unique; of several valid revisions of one version the greatest wins.
+    """
+    if strict:
+        missing = F.raise_error(F.concat(F.lit("no acceptance of version "), F.col("version").cast("string"))).cast("long")
+        facts = facts.withColumn("accepted", F.when(F.col("observed").isNotNull() & F.col("accepted").isNull(), missing).otherwise(F.col("accepted")))
+    d = staged(at_cutoffs(facts, cutoffs).withColumn("clock", clock_reason()), "clocks")
+    # What a version's revisions do to it, and to each other, is one row per revised version.
+    revised = d.filter("supersedes is not null and clock is null").groupBy("snapshot", "logical", F.col("supersedes").alias("version")).agg(F.max("version").alias("winner"))
     tomb = d.filter("retraction and supersedes is not null and (clock is null or clock = 'EXPIRED_WORLD_VALIDITY')").select("snapshot", F.col("supersedes").alias("version"), F.lit(True).alias("retracted")).distinct()
-    d = d.join(child, ["snapshot", "version", "logical"], "left").join(winner, ["snapshot", "logical", "supersedes"], "left").join(tomb, ["snapshot", "version"], "left")
-    lost = F.col("parent_held") & (F.col("winner") != F.col("version"))
-    reason = F.coalesce("clock", F.when(F.coalesce("superseded", F.lit(False)) | F.coalesce(lost, F.lit(False)), REASONS[4]).when(F.col("retraction"), REASONS[5]).when(F.col("retracted"), REASONS[6]))
-    return d.withColumn("reason", reason).drop("clock", "superseded", "winner", "parent_held", "retracted")
+    held = d.filter("clock is null").select("snapshot", "logical", "version")
+    lost = revised.join(held, ["snapshot", "logical", "version"], "left_semi").withColumnRenamed("version", "supersedes")
+    d = d.join(revised.select("snapshot", "logical", "version", F.lit(True).alias("superseded")), ["snapshot", "logical", "version"], "left")
+    d = d.join(lost, ["snapshot", "logical", "supersedes"], "left").join(tomb, ["snapshot", "version"], "left")
+    out = F.coalesce(F.col("superseded"), F.col("winner") != F.col("version"), F.lit(False))
+    reason = F.coalesce("clock", F.when(out, REASONS[4]).when(F.col("retraction"), REASONS[5]).when(F.col("retracted"), REASONS[6]))
+    return d.withColumn("reason", reason).drop("clock", "superseded", "winner", "retracted")
+
 
+def resolve_ends(status: DataFrame, mappings: DataFrame) -> DataFrame:
+    """status of the versions in a snapshot with subject and object replaced by the entity that their mention is mapped to at the cutoff.
 
-def snapshot_edges(status: DataFrame) -> DataFrame:
+    A mention without a known decision stays; of several decisions that nothing
+    supersedes the latest counts (then the least id).  Letter case does not matter.
+    """
+    active = staged(status.filter("reason is null"), "active")
+    asked = active.select("snapshot", "cutoff", F.explode(F.array("subject", "object")).alias("mention")).filter("mention is not null").withColumn("mention", F.lower("mention")).distinct()
+    periods = decision_periods(mappings, "entity_mapping_id", "mention", "mapping_available_at", "supersedes_mapping_id")
+    known = join_as_known(asked, "mention", "cutoff", periods.withColumn("id", F.struct("since", "id")))
+    best = known.groupBy("snapshot", "mention").agg(F.min_by(F.col("id.id"), F.struct(-F.col("id.since"), F.col("id.id"))).alias("id"))
+    entity = mappings.filter("entity_mapping_id is not null").groupBy(F.col("entity_mapping_id").alias("id")).agg(F.min("canonical_entity_id").alias("entity"))
+    to = staged(best.join(entity, "id").select("snapshot", "mention", "entity").filter("entity is not null"), "resolved")
+    for end in ("subject", "object"):
+        own = to.select("snapshot", F.col("mention").alias("_m"), F.col("entity").alias("_e"))
+        active = active.withColumn("_m", F.lower(end)).join(own, ["snapshot", "_m"], "left").withColumn(end, F.coalesce("_e", end)).drop("_m", "_e")
+    return active
+
+
+def snapshot_edges(active: DataFrame) -> DataFrame:
     """(snapshot, edge_id, subject, relation, object, support): different triples with their number of versions."""
-    e = status.filter("reason is null").groupBy("snapshot", "subject", "relation", "object").agg(F.count("*").alias("support"))
+    e = active.groupBy("snapshot", "subject", "relation", "object").agg(F.count("*").alias("support"))
     return e.select("snapshot", edge_id(), "subject", "relation", "object", "support")
 
 
@@ -62,17 +100,39 @@ def edge_id() -> Column:
     return F.concat(F.lit("edge_"), "snapshot", F.lit("_"), F.substring(F.sha2(F.concat_ws("|", "subject", "relation", "object"), 256), 1, 16)).alias("edge_id")
 
 
-def graph_hash(edges: DataFrame) -> DataFrame:
+def graph_hash(edges: DataFrame, digits: int = 2) -> DataFrame:
     """(snapshot, edges, graph_sha256) over tab-separated lines in order of the triples.
 
-    Lines are hashed per 256 buckets of the subject's hash and those hashes again,
-    so no snapshot is gathered into one task.
+    Lines are hashed per bucket of the subject's hash and those hashes again, so no
+    snapshot is gathered into one task; ``digits`` of that hash make the buckets, 16
+    to their power.  It is not the hash of all lines in one text.
     """
     line = F.concat_ws("\t", "subject", "relation", "object")
-    per = edges.groupBy("snapshot", F.substring(F.sha2("subject", 256), 1, 2).alias("bucket")).agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(line))), 256).alias("h"), F.count("*").alias("n"))
+    per = edges.groupBy("snapshot", F.substring(F.sha2("subject", 256), 1, digits).alias("bucket")).agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(line))), 256).alias("h"), F.count("*").alias("n"))
     return per.groupBy("snapshot").agg(F.sum("n").alias("edges"), F.sha2(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("bucket", "h"))), lambda x: x["h"])), 256).alias("graph_sha256"))
 
 
+def edge_support(active: DataFrame, provenance: DataFrame) -> DataFrame:
+    """(support_id, edge_id, fact_version_id, claim_id, provenance_id, source_version_id, raw_blob_sha256, problem) of each active fact.
+
+    One row per provenance row of each claim that supports the fact; redelivered
+    provenance is one row (the least).  problem names what keeps a row from being
+    exact support: MISSING_PROVENANCE for a claim without any, INCOMPLETE for one
+    without all of its ids, BAD_HASH for a blob hash that is none.
+    """
+    fields = ["claim_id", "membership_id", "source_version_id", "retrieval_id", "raw_blob_sha256"]
+    p = provenance.filter("provenance_id is not null").groupBy("provenance_id").agg(F.min(F.struct(*fields)).alias("p")).select("provenance_id", "p.*")
+    f = active.select(edge_id(), F.col("version").alias("fact_version_id"), F.explode_outer(F.array_distinct("claims")).alias("claim_id"))
+    d = f.join(p, "claim_id", "left")
+    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    incomplete = blank(fields[0])
+    for c in fields[1:]:
+        incomplete = incomplete | blank(c)
+    problem = F.when(F.col("provenance_id").isNull(), "MISSING_PROVENANCE").when(incomplete, "INCOMPLETE").when(~F.col("raw_blob_sha256").rlike("^[0-9a-f]{64}$"), "BAD_HASH")
+    ident = F.concat(F.lit("supp_"), "edge_id", F.lit("_"), "fact_version_id", F.lit("_"), F.substring(F.sha2("provenance_id", 256), 1, 16))
+    return d.select(ident.alias("support_id"), "edge_id", "fact_version_id", "claim_id", "provenance_id", "source_version_id", "raw_blob_sha256", problem.alias("problem"))
+
+
 def revision_violations(facts: DataFrame) -> DataFrame:
     """(version, problem): revisions whose parent is missing, of another fact, accepted later, or shared."""
     p = facts.select(F.col("version").alias("supersedes"), F.col("logical").alias("p_logical"), F.col("accepted").alias("p_accepted"), F.lit(True).alias("p"))
@@ -138,6 +198,6 @@ def document_time(archive: str, published: str, retrieved: str, chrome: Column)
     )
 
 
-def first_events(status: DataFrame) -> DataFrame:
+def first_events(active: DataFrame) -> DataFrame:
     """(subject, relation, object, version, observed): the earliest version that ever made a snapshot, per triple."""
-    return status.filter("reason is null").groupBy("subject", "relation", "object").agg(F.min(F.struct("observed", "version")).alias("m")).select("subject", "relation", "object", "m.version", "m.observed")
+    return active.groupBy("subject", "relation", "object").agg(F.min(F.struct("observed", "version")).alias("m")).select("subject", "relation", "object", "m.version", "m.observed")

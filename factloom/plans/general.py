@@ -13,6 +13,7 @@ from ..operators.orphans import REFERENCES, count_orphans, orphans_of
 from ..operators.snapshots import snapshot_changes
 from ..operators.timestamps import normalise_timestamps
 from ..runtime import load
+from ..sources.bindings import version_instants
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,10 +40,6 @@ def p3_counts(spark: SparkSession, d: str) -> DataFrame:
     return count_orphans(_reference_tables(spark, d), deletions=load(spark, d, "record_deletions"))
 
 
-def version_instants(spark: SparkSession, d: str) -> DataFrame:
-    return normalise_timestamps(load(spark, d, "fact_versions"), "fact_version_id", "evidence_observed_at", "source_id", "evidence_time_basis", "ingested_at_real", load(spark, d, "publisher_zones"))
-
-
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     times = normalise_timestamps(load(spark, d, "document_times"), "document_time_id", "observed_at", "source_id", "basis", "ingested_at_real", load(spark, d, "publisher_zones"))
     both = times.select(F.lit("document_times").alias("rec_table"), F.col("document_time_id").alias("record_id"), F.col("us").alias("instant_us"))

@@ -1,43 +1,44 @@
-"""Driver tables seen as tables of the domain."""
+"""The domain's tables as the operators take them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import load
+from ..operators.timestamps import iso_micros, normalise_timestamps
+from ..runtime import load, staged
 
 
-def event_facts(spark: SparkSession, d: str) -> DataFrame:
-    """``events`` as fact versions with four clocks; a logical fact is (user, event type).
+def version_instants(spark: SparkSession, d: str) -> DataFrame:
+    """(fact_version_id, us): when the evidence of each row of fact_versions was observed."""
+    return normalise_timestamps(load(spark, d, "fact_versions"), "fact_version_id", "evidence_observed_at", "source_id", "evidence_time_basis", "ingested_at_real", load(spark, d, "publisher_zones"))
 
-    version, logical, subject, relation, object, observed, accepted, valid_from,
-    valid_to, supersedes, retraction.
-    """
-    e = load(spark, d, "events")
-    retraction = (F.col("event_type") == "error") & (F.col("event_id") % 11 == 0)
-    before = F.lag("event_id").over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
-    subject = F.concat(F.lit("u"), "user_id")
-    return e.select(
-        F.col("event_id").alias("version"),
-        F.substring(F.sha2(F.concat_ws("|", subject, "event_type"), 256), 1, 16).alias("logical"),
-        subject.alias("subject"),
-        F.col("event_type").alias("relation"),
-        F.concat(F.lit("o"), F.get_json_object("props", "$.k").cast("int") % 20).alias("object"),
-        F.col("ts").alias("observed"),
-        (F.col("ts") + F.expr("INTERVAL 6 HOURS")).alias("accepted"),
-        F.col("ts").alias("valid_from"),
-        F.when(F.col("event_id") % 7 == 0, F.col("ts") + F.expr("INTERVAL 3 DAYS")).alias("valid_to"),
-        F.when((F.col("event_id") % 3 == 0) | retraction, before).alias("supersedes"),
-        retraction.alias("retraction"),
-    )
 
+def facts(spark: SparkSession, d: str) -> DataFrame:
+    """Fact versions with their clocks in microseconds and the claims that support them.
 
-FACTS_SQL = """f AS (SELECT event_id AS version, substr(sha256('u' || user_id || '|' || event_type), 1, 16) AS logical, 'u' || user_id AS subject, event_type AS relation,
-  'o' || (CAST(json_extract_string(props, '$.k') AS INT) % 20) AS object, ts AS observed, ts + INTERVAL 6 HOUR AS accepted, ts AS valid_from,
-  CASE WHEN event_id % 7 = 0 THEN ts + INTERVAL 3 DAY END AS valid_to,
-  CASE WHEN event_id % 3 = 0 OR (event_type = 'error' AND event_id % 11 = 0) THEN lag(event_id) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) END AS supersedes,
-  (event_type = 'error' AND event_id % 11 = 0) AS retraction FROM events)"""
+    A redelivered version is one: observed and accepted are the earliest, the rest is
+    that of the least row.  A fact is accepted when it first arrives.
+    """
+    f = load(spark, d, "fact_versions").filter("fact_version_id is not null")
+    said = F.struct("logical_fact_id", "subject_id", "relation_id", "object_id", iso_micros(F.col("valid_from")).alias("valid_from"), iso_micros(F.col("valid_to")).alias("valid_to"), "supersedes_version_id", "revision_type", "supporting_claim_ids")
+    one = f.groupBy("fact_version_id").agg(F.min(said).alias("f"), F.min(iso_micros(F.col("ingested_at_real"))).alias("accepted"))
+    seen = version_instants(spark, d).groupBy("fact_version_id").agg(F.min("us").alias("observed"))
+    d = one.join(seen, "fact_version_id").select(
+        F.col("fact_version_id").alias("version"),
+        F.col("f.logical_fact_id").alias("logical"),
+        F.col("f.subject_id").alias("subject"),
+        F.col("f.relation_id").alias("relation"),
+        F.col("f.object_id").alias("object"),
+        "observed",
+        "accepted",
+        "f.valid_from",
+        "f.valid_to",
+        F.col("f.supersedes_version_id").alias("supersedes"),
+        F.col("f.revision_type").eqNullSafe("retraction").alias("retraction"),
+        F.col("f.supporting_claim_ids").alias("claims"),
+    )
+    return staged(d, "facts")
 
 
 def edges(spark: SparkSession, d: str, snapshot: str | None = None) -> DataFrame:
