@@ -1,17 +1,87 @@
 """Ranking of candidates with filtered answers and mid-ranks.
 
-A stated set of queries meets all candidates: the queries are gathered into
-blocks (arrays of a bounded number of vectors), and each candidate row is scored
-against a block in place.  Ranks are counts, so only partial sums are shuffled.
+A stated set of queries meets all candidates of its group in cells: blocks of
+queries against blocks of candidates, both of bounded size.  A cell gives two counts
+a query, of better and of equal candidates, so no score is ever shuffled.  Other true
+answers do not compete: they are few, are scored by themselves, and their counts are
+taken off.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as x
-from ..runtime import BROADCAST_LIMIT
+from ..runtime import BROADCAST_LIMIT, staged, tasks_for
+
+#: Queries and candidates of a cell.
+BLOCK = 2000
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Along the last axis; a pair of vectors has the same value wherever it stands."""
+    d = a - b
+    return np.sqrt((d * d).sum(axis=-1))
+
+
+def _vectors(column) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+
+def filtered_ranks(queries: DataFrame, candidates: DataFrame, filtered: DataFrame | None = None, group: Sequence[str] = (), block: int = BLOCK) -> DataFrame:
+    """(group, query, gold, rank, reciprocal): 1 + better + ties/2 of the gold answer by the distance from the query's vector.
+
+    queries: group, query (unique), vec, gold; candidates: group, candidate, vec, one
+    row each; filtered: query and a candidate that is a true answer too.  A gold answer
+    that is no candidate has rank infinity and reciprocal 0; so has a query without one.
+    """
+    g, kinds, names = list(group), dict(queries.dtypes), dict(candidates.dtypes)
+    c = candidates.select(*g, "candidate", "vec")
+    own = c.select(*g, F.col("candidate").alias("gold"), F.col("vec").alias("gold_vec"))
+    q = staged(queries.select(*g, "query", "vec", "gold").join(own, [*g, "gold"], "left"), "queries")
+    ready = q.filter("gold_vec is not null")
+    most = lambda d: (d.groupBy(*g).agg(F.count("*").alias("n")) if g else d.agg(F.count("*").alias("n"))).agg(F.max("n")).first()[0] or 0
+    qs, cs = tasks_for(most(ready), block, 1), tasks_for(most(c), block, 1)
+    spread = lambda k, n: F.pmod(F.xxhash64(k), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = ready.select(*g, "query", "vec", "gold_vec").withColumn("_q", spread("query", qs)).withColumn("_c", every(cs))
+    right = c.withColumn("_c", spread("candidate", cs)).withColumn("_q", every(qs))
+
+    def count(a: pa.Table, b: pa.Table) -> pa.Table:
+        better, same = np.zeros(a.num_rows, np.int64), np.zeros(a.num_rows, np.int64)
+        if a.num_rows and b.num_rows:
+            v, w, other = _vectors(a.column("vec")), _vectors(a.column("gold_vec")), _vectors(b.column("vec"))
+            limit, step = _distances(v, w), max(1, 4_000_000 // other.size)
+            for i in range(0, len(v), step):
+                d = _distances(v[i : i + step, None, :], other[None])
+                better[i : i + step] = (d < limit[i : i + step, None]).sum(axis=1)
+                same[i : i + step] = (d == limit[i : i + step, None]).sum(axis=1)
+        return pa.table({"query": a.column("query"), "better": better, "same": same})
+
+    by = [*g, "_q", "_c"]
+    counts = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(count, f"query {kinds['query']}, better long, same long")
+    if filtered is not None:
+        # The gold answer itself competes, whether it is listed or not.
+        f = filtered.select("query", "candidate").distinct().join(ready.select(*g, "query", "vec", "gold_vec", "gold"), "query").filter("candidate <> gold").join(c.withColumnRenamed("vec", "other"), [*g, "candidate"])
+
+        def less(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    v, w, o = (_vectors(b.column(n)) for n in ("vec", "gold_vec", "other"))
+                    d, limit = _distances(v, o), _distances(v, w)
+                    yield pa.RecordBatch.from_arrays([b.column("query"), pa.array(-(d < limit).astype(np.int64)), pa.array(-(d == limit).astype(np.int64))], names=["query", "better", "same"])
+
+        counts = counts.unionByName(f.select("query", "vec", "gold_vec", "other").mapInArrow(less, f"query {kinds['query']}, better long, same long"))
+    total = counts.groupBy("query").agg(F.sum("better").alias("better"), F.sum("same").alias("same"))
+    rank = 1 + F.col("better") + (F.col("same") - 1) / 2
+    r = q.select(*g, "query", F.col("gold").cast(names["candidate"]).alias("gold")).join(total, "query", "left")
+    return r.select(*g, "query", "gold", F.coalesce(rank, F.lit(float("inf"))).alias("rank"), F.coalesce(1 / rank, F.lit(0.0)).alias("reciprocal"))
 
 
 def score_queries(queries: DataFrame, candidates: DataFrame, block: int = 256) -> DataFrame:
@@ -31,22 +101,6 @@ def score_queries(queries: DataFrame, candidates: DataFrame, block: int = 256) -
     return d.select(F.col("q.query").alias("query"), "candidate", (-x.distance("q.vec", "_v")).alias("score"))
 
 
-def mid_ranks(scores: DataFrame, gold: DataFrame, filtered: DataFrame | None = None) -> DataFrame:
-    """(query, gold, rank, reciprocal): 1 + better + ties/2; other true answers (``filtered``) do not compete.
-
-    A gold answer without score has rank infinity and reciprocal 0.
-    """
-    s = scores
-    if filtered is not None:
-        f = filtered.select("query", "candidate").distinct()
-        s = s.join(f, ["query", "candidate"], "left_anti").unionByName(s.join(f, ["query", "candidate"], "left_semi").join(gold.select("query", F.col("gold").alias("candidate")), ["query", "candidate"], "left_semi"))
-    g = s.join(gold.select("query", F.col("gold").alias("candidate")), ["query", "candidate"]).select("query", F.col("candidate").alias("gold"), F.col("score").alias("gold_score"))
-    c = s.join(g, "query").groupBy("query", "gold").agg(F.sum((F.col("score") > F.col("gold_score")).cast("long")).alias("better"), F.sum((F.col("score") == F.col("gold_score")).cast("long")).alias("same"))
-    r = gold.select("query", "gold").join(c, ["query", "gold"], "left")
-    rank = 1 + F.col("better") + (F.col("same") - 1) / 2
-    return r.select("query", "gold", F.coalesce(rank, F.lit(float("inf"))).alias("rank"), F.coalesce(1 / rank, F.lit(0.0)).alias("reciprocal"))
-
-
 def top_k(scores: DataFrame, k: int) -> DataFrame:
     """(query, candidate, score, position): the best k per query, ties by candidate."""
     order = [F.desc("score"), "candidate"]
@@ -56,6 +110,41 @@ def top_k(scores: DataFrame, k: int) -> DataFrame:
     return first.withColumn("position", F.row_number().over(Window.partitionBy("query").orderBy(*order))).filter(F.col("position") <= k).select("query", "candidate", "score", "position")
 
 
+def triple_queries(triples: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(snapshot_id, seed, query, vec, gold, side, h, r, t) for each triple, both sides and every seed.
+
+    The tail is looked for at h + r, the head at t - r.  vectors: snapshot_id, seed,
+    kind (entity, relation), id, vec.  Triples without all three vectors have no query.
+    """
+    e, r = (vectors.filter(F.col("kind") == k).select("snapshot_id", "seed", F.col("id"), "vec") for k in ("entity", "relation"))
+    named = lambda d, i, v: d.select("snapshot_id", "seed", F.col("id").alias(i), F.col("vec").alias(v))
+    d = triples.select("snapshot_id", "h", "r", "t").distinct().join(named(r, "r", "vr"), ["snapshot_id", "r"])
+    d = d.join(named(e, "h", "vh"), ["snapshot_id", "seed", "h"]).join(named(e, "t", "vt"), ["snapshot_id", "seed", "t"])
+    sides = F.array(F.struct(F.lit("tail").alias("side"), x.add("vh", "vr").alias("vec"), F.col("t").alias("gold")), F.struct(F.lit("head").alias("side"), x.subtract("vt", "vr").alias("vec"), F.col("h").alias("gold")))
+    d = d.select("snapshot_id", "seed", "h", "r", "t", F.explode(sides).alias("s")).select("snapshot_id", "seed", "h", "r", "t", "s.*")
+    return d.withColumn("query", F.sha2(F.to_json(F.array("snapshot_id", F.col("seed").cast("string"), "side", "h", "r", "t")), 256))
+
+
+def true_answers(queries: DataFrame, known: DataFrame) -> DataFrame:
+    """(query, candidate): the ends that known triples give to a query of :func:`triple_queries`, its own included."""
+    k = known.select("snapshot_id", "h", "r", "t").distinct()
+    tails = queries.filter("side = 'tail'").select("query", "snapshot_id", "h", "r").join(k, ["snapshot_id", "h", "r"]).select("query", F.col("t").alias("candidate"))
+    heads = queries.filter("side = 'head'").select("query", "snapshot_id", "r", "t").join(k, ["snapshot_id", "r", "t"]).select("query", F.col("h").alias("candidate"))
+    return tails.unionByName(heads)
+
+
+def path_queries(paths: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(snapshot_id, seed, query, vec, gold, path) of each path (alternating entity and relation) and seed: its end is looked for at head plus all relations."""
+    e, r = (vectors.filter(F.col("kind") == k).select("snapshot_id", "seed", "id", "vec") for k in ("entity", "relation"))
+    d = paths.select("snapshot_id", "path", F.col("path")[0].alias("id"), F.element_at("path", -1).alias("gold"), F.posexplode(x.path_relations("path")).alias("i", "rel"))
+    d = d.join(r.select("snapshot_id", "seed", F.col("id").alias("rel"), F.col("vec").alias("vr")), ["snapshot_id", "rel"])
+    # A path has as many rows as relations: two or three.
+    sums = d.groupBy("snapshot_id", "seed", "path", "id", "gold").agg(F.array_sort(F.collect_list(F.struct("i", "vr"))).alias("steps"))
+    sums = sums.filter(F.size("steps") == F.size(x.path_relations("path"))).join(e.withColumnRenamed("vec", "vh"), ["snapshot_id", "seed", "id"])
+    vec = F.aggregate("steps", F.col("vh"), lambda a, s: F.zip_with(a, s["vr"], lambda p, q: p + q))
+    return sums.select("snapshot_id", "seed", F.sha2(F.to_json(F.array("snapshot_id", F.col("seed").cast("string"), F.array_join("path", "|"))), 256).alias("query"), vec.alias("vec"), "gold", "path")
+
+
 def metrics(ranks: DataFrame, by: list[str]) -> DataFrame:
     """(by, n, mrr, median_rank, hits1, hits3, hits10) of each column of ``by`` alone and of all: one pass by grouping sets."""
     hits = [F.avg((F.col("rank") <= k).cast("double")).alias(f"hits{k}") for k in (1, 3, 10)]

@@ -103,22 +103,69 @@ def _gold(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return gold, same.select("query", "candidate").unionByName(own)
 
 
-def rank_filtered(spark: SparkSession, d: str) -> DataFrame:
+def _ranks(spark: SparkSession, d: str, filtered: bool) -> DataFrame:
+    v = _vectors(spark, d)
     gold, true = _gold(spark, d)
-    return ranking.mid_ranks(_scores(spark, d), gold, true).select("query", "gold", "rank", F.round("reciprocal", 9).alias("reciprocal"))
+    q = gold.join(v.select(F.col("vec_id").alias("query"), "vec"), "query")
+    return ranking.filtered_ranks(q, v.select(F.col("vec_id").alias("candidate"), "vec"), true if filtered else None)
+
+
+def rank_filtered(spark: SparkSession, d: str) -> DataFrame:
+    return _ranks(spark, d, True).select("query", "gold", "rank", F.round("reciprocal", 9).alias("reciprocal"))
 
 
 def rank_raw(spark: SparkSession, d: str) -> DataFrame:
-    gold, _ = _gold(spark, d)
-    return ranking.mid_ranks(_scores(spark, d), gold).select("query", "gold", "rank", F.round("reciprocal", 9).alias("reciprocal"))
+    return _ranks(spark, d, False).select("query", "gold", "rank", F.round("reciprocal", 9).alias("reciprocal"))
 
 
 def rank_metrics(spark: SparkSession, d: str) -> DataFrame:
-    gold, true = _gold(spark, d)
-    r = ranking.mid_ranks(_scores(spark, d), gold, true).join(_vectors(spark, d).select(F.col("vec_id").alias("query"), "label"), "query").withColumn("half", F.col("query") % 100 < 50)
+    r = _ranks(spark, d, True).join(_vectors(spark, d).select(F.col("vec_id").alias("query"), "label"), "query").withColumn("half", F.col("query") % 100 < 50)
     return _rounded(ranking.metrics(r, ["label", "half"]))
 
 
+def _held_out(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges with fold, those held out, vectors trained without them)."""
+    folds = staged(graph.covered_folds(edges(spark, d), 5), "folds")
+    held = folds.filter("fold = 0")
+    return folds, held, staged(geometry.train(folds.filter("fold <> 0")), "vectors")
+
+
+def rank_triples(spark: SparkSession, d: str) -> DataFrame:
+    """Both ends of each held-out triple by vectors trained without it, other known ends left out: the mean reciprocal of both sides per seed, and its median over seeds."""
+    folds, held, v = _held_out(spark, d)
+    q = staged(ranking.triple_queries(held, v), "queries")
+    c = v.filter("kind = 'entity'").select("snapshot_id", "seed", F.col("id").alias("candidate"), "vec")
+    r = ranking.filtered_ranks(q, c, ranking.true_answers(q, folds), ["snapshot_id", "seed"]).join(q.select("query", "side", "h", "r", "t"), "query")
+    per = r.groupBy("snapshot_id", "seed", "h", "r", "t").agg(F.avg("reciprocal").alias("reciprocal"), F.max(F.when(F.col("side") == "tail", F.col("rank"))).alias("tail_rank"), F.max(F.when(F.col("side") == "head", F.col("rank"))).alias("head_rank"))
+    return per.groupBy("snapshot_id", "h", "r", "t").agg(F.median("reciprocal").alias("reciprocal"), F.median("tail_rank").alias("tail_rank"), F.median("head_rank").alias("head_rank"), F.count("*").alias("seeds"))
+
+
+def model_against_baseline(spark: SparkSession, d: str) -> DataFrame:
+    """Per snapshot: mean reciprocal rank of held-out tails by trained vectors, by frequency in training, and of a random order."""
+    folds, held, v = _held_out(spark, d)
+    q = staged(ranking.triple_queries(held, v).filter("side = 'tail'"), "queries")
+    c = v.filter("kind = 'entity'").select("snapshot_id", "seed", F.col("id").alias("candidate"), "vec")
+    model = ranking.filtered_ranks(q, c, ranking.true_answers(q, folds), ["snapshot_id", "seed"]).groupBy("snapshot_id").agg(F.avg("reciprocal").alias("model_mrr"), F.count("*").alias("queries"))
+    base = graph.frequency_ranks(folds.filter("fold <> 0").drop("fold"), held.drop("fold"), ["snapshot_id"]).groupBy("snapshot_id").agg(F.avg(1 / F.col("rank")).alias("frequency_mrr"))
+    n = c.select("snapshot_id", "candidate").distinct().groupBy("snapshot_id").agg(F.count("*").alias("n")).select("snapshot_id", x.random_mrr("n").alias("random_mrr"))
+    return model.join(base, "snapshot_id").join(n, "snapshot_id")
+
+
+def rank_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The end of each two-hop path of the capped panel, other ends of its relation sequence left out; the median reciprocal over seeds."""
+    e = edges(spark, d)
+    eligible = graph.degrees(e).filter("degree >= 3").select("snapshot_id", "entity")
+    p = staged(graph.cap_per_head(graph.simple_paths(e, 2, eligible), 3), "paths")
+    v = _trained(spark, d)
+    q = staged(ranking.path_queries(p, v), "queries")
+    asked = p.select("snapshot_id", F.col("path")[0].alias("head"), x.path_relations("path").alias("relations")).distinct()
+    ends = graph.path_answers(e, asked)
+    true = q.select("query", "snapshot_id", F.col("path")[0].alias("head"), x.path_relations("path").alias("relations")).join(ends, ["snapshot_id", "head", "relations"]).select("query", F.col("answer").alias("candidate"))
+    c = v.filter("kind = 'entity'").select("snapshot_id", "seed", F.col("id").alias("candidate"), "vec")
+    r = ranking.filtered_ranks(q, c, true, ["snapshot_id", "seed"]).join(q.select("query", "path"), "query")
+    return r.groupBy("snapshot_id", F.array_join("path", ">").alias("path")).agg(F.median("reciprocal").alias("reciprocal"), F.median("rank").alias("rank"), F.count("*").alias("seeds"))
+
+
 def rank_top3(spark: SparkSession, d: str) -> DataFrame:
     s = _scores(spark, d).filter("candidate <> query")
     return ranking.top_k(s, 3).select("query", "candidate", "position", F.round("score", 6).alias("score"))
@@ -240,7 +287,7 @@ def embedding_drift(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        null_bucket_statistics, null_entity_medians, null_leave_target_out, drift_scores, drift_summary, bucket_merges, noise_seed_pairs, rank_filtered, rank_raw, rank_metrics, rank_top3, vector_products,
+        null_bucket_statistics, null_entity_medians, null_leave_target_out, drift_scores, drift_summary, bucket_merges, noise_seed_pairs, rank_filtered, rank_raw, rank_metrics, rank_triples, model_against_baseline, rank_paths, rank_top3, vector_products,
         panel_demeaned, panel_fixed_effects, panel_unbalanced, panel_bootstrap, panel_informative, mean_intervals, loss_plateau, loss_noise_plateau, transe_vectors, embedding_alignment, embedding_displacement, embedding_drift,
     )
 }
@@ -274,7 +321,7 @@ _DAYS = f"pp AS (SELECT user_id AS unit, CAST(ts AS date) AS time, avg(value) AS
 _LOSS = """l AS (SELECT event_type, (day(ts) - 1) * 24 + hour(ts) AS epoch, avg(value) AS loss FROM events GROUP BY ALL), k AS (SELECT *, (row_number() OVER (PARTITION BY event_type ORDER BY epoch DESC) - 1) // 50 AS b FROM l),
 s AS (SELECT event_type, avg(loss) FILTER (b = 0) AS last, avg(loss) FILTER (b = 1) AS before, var_samp(loss) FILTER (b = 0) AS v0, var_samp(loss) FILTER (b = 1) AS v1, arg_min(loss, epoch) AS first, count(*) >= 100 AND bool_and(coalesce(isfinite(loss), false)) AS enough FROM k GROUP BY 1)"""
 
-# bucket_merges, panel_bootstrap, mean_intervals, transe_vectors, embedding_alignment, embedding_displacement and
+# rank_triples, model_against_baseline, rank_paths, bucket_merges, panel_bootstrap, mean_intervals, transe_vectors, embedding_alignment, embedding_displacement and
 # embedding_drift have none: sequential, seeded or iterative numerics are compared with plain versions in the tests.
 SQL = {
     "null_bucket_statistics": f"""WITH {_FIN}, a AS (SELECT transition_id, bucket_id, count(*) AS n, median(v) AS median FROM n WHERE v IS NOT NULL GROUP BY ALL),

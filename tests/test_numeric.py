@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from factloom.functions import expressions as x
-from factloom.operators import geometry, graph, nullmodel, statistics
+from factloom.operators import geometry, graph, nullmodel, ranking, statistics
 from factloom.plans import graph_plan, measure_plan
 
 
@@ -201,6 +201,41 @@ def test_bootstrap_does_not_depend_on_partitions(spark):
     assert all(low < mean < high and high - low < 0.5 for mean, low, high in a.values())
 
 
+@pytest.mark.parametrize("block", [3, 2000])
+def test_filtered_ranks(spark, block):
+    """Against a plain count of what is nearer; ties, a missing gold answer and several groups."""
+    rng = np.random.default_rng(7)
+    cand = {g: {f"c{i}": rng.integers(0, 3, 2).astype(float) for i in range(n)} for g, n in (("a", 9), ("b", 4))}
+    asked = [(g, f"{g}{i}", rng.integers(0, 3, 2).astype(float), f"c{i}") for g in cand for i in range(5)]
+    other = {(q, f"c{i}") for _, q, _, _ in asked for i in rng.choice(9, 3)}
+    queries = spark.createDataFrame([(g, q, v.tolist(), c) for g, q, v, c in asked], "g string, query string, vec array<double>, gold string")
+    candidates = spark.createDataFrame([(g, c, v.tolist()) for g, d in cand.items() for c, v in d.items()], "g string, candidate string, vec array<double>")
+    true = spark.createDataFrame([*other, *list(other)[:2]], "query string, candidate string")
+    for f in (true, None):
+        got = {r["query"]: (r["rank"], r["reciprocal"]) for r in ranking.filtered_ranks(queries, candidates, f, ["g"], block).collect()}
+        for g, q, v, gold in asked:
+            if gold not in cand[g]:
+                assert got[q] == (float("inf"), 0.0)
+                continue
+            far = {c: float(((v - w) ** 2).sum()) for c, w in cand[g].items() if c == gold or f is None or (q, c) not in other}
+            rank = 1 + sum(d < far[gold] for d in far.values()) + (sum(d == far[gold] for d in far.values()) - 1) / 2
+            assert got[q] == (rank, 1 / rank)
+    assert ranking.filtered_ranks(queries.limit(0), candidates, None, ["g"]).count() == 0
+
+
+def test_triple_and_path_queries(spark):
+    vectors = [("S", 1, "entity", "a", [0.0, 0.0]), ("S", 1, "entity", "b", [1.0, 0.0]), ("S", 1, "entity", "c", [1.0, 1.0]), ("S", 1, "relation", "r", [1.0, 0.0]), ("S", 1, "relation", "s", [0.0, 1.0])]
+    v = spark.createDataFrame(vectors, "snapshot_id string, seed int, kind string, id string, vec array<double>")
+    t = spark.createDataFrame([("S", "a", "r", "b"), ("S", "a", "r", "c"), ("S", "x", "r", "b")], "snapshot_id string, h string, r string, t string")
+    q = ranking.triple_queries(t, v)
+    assert {(r["side"], r["h"], r["t"], tuple(r["vec"]), r["gold"]) for r in q.collect()} == {("tail", "a", "b", (1.0, 0.0), "b"), ("head", "a", "b", (0.0, 0.0), "a"), ("tail", "a", "c", (1.0, 0.0), "c"), ("head", "a", "c", (0.0, 1.0), "a")}
+    true = ranking.true_answers(q, t).join(q.select("query", "side", "t"), "query").collect()
+    assert {(r["side"], r["t"], r["candidate"]) for r in true} == {("tail", "b", "b"), ("tail", "b", "c"), ("tail", "c", "b"), ("tail", "c", "c"), ("head", "b", "a"), ("head", "b", "x"), ("head", "c", "a")}
+    p = spark.createDataFrame([("S", ["a", "r", "b", "s", "c"]), ("S", ["a", "r", "b", "none", "c"])], "snapshot_id string, path array<string>")
+    got = ranking.path_queries(p, v).collect()
+    assert [(tuple(r["vec"]), r["gold"]) for r in got] == [((1.0, 1.0), "c")]
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0], [[0.0, 1.0], [1.0, 0.0]]), ([0.0, 0.0], [1.0, 0.0], [[1.0, 0.0], [0.0, 1.0]])], "a array<double>, b array<double>, q array<array<double>>")
     r = df.select(x.dot("a", "b").alias("d"), x.norm("a").alias("n"), x.cosine("a", "b").alias("c"), x.cosine_distance("a", "b").alias("cd"), x.times_matrix("a", "q").alias("m"), x.normalise("a").alias("u")).collect()
@@ -208,6 +243,16 @@ def test_vectors(spark):
     assert r[1]["c"] is None and r[1]["cd"] is None and r[1]["u"] == [0.0, 0.0]
 
 
-@pytest.mark.parametrize("name", ["bucket_merges", "mean_intervals", "panel_bootstrap", "transe_vectors", "embedding_alignment", "embedding_displacement", "embedding_drift"])
-def test_runs(spark, data, name):
+@pytest.fixture(scope="module")
+def trained(spark, data):
+    """Few epochs for the tests that only look at what comes out of the plans."""
+    from factloom.runtime import staged
+
+    return staged(geometry.train(graph_plan.edges(spark, data), dimension=16, epochs=20), "trained")
+
+
+@pytest.mark.parametrize("name", ["bucket_merges", "mean_intervals", "panel_bootstrap", "embedding_alignment", "embedding_displacement", "embedding_drift", "rank_paths", "rank_triples", "model_against_baseline"])
+def test_runs(spark, data, trained, monkeypatch, name):
+    monkeypatch.setattr(measure_plan, "_trained", lambda *_: trained)
+    monkeypatch.setattr(measure_plan, "_held_out", lambda *_: ((f := graph.covered_folds(graph_plan.edges(spark, data), 5)), f.filter("fold = 0"), trained))
     assert measure_plan.QUERIES[name](spark, data).count() > 0
