@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import staged
+from ..runtime import ranked, staged
 from .snapshots import snapshot_sequence
 
 
@@ -25,7 +25,7 @@ def degrees(edges: DataFrame, group: Sequence[str] = ("snapshot_id",)) -> DataFr
 def entity_index(edges: DataFrame, group: Sequence[str] = ("snapshot_id",)) -> DataFrame:
     """(group, entity, idx): 0, 1, ... in the order of the ids."""
     e = edges.select(*group, F.explode(F.array("h", "t")).alias("entity")).distinct()
-    return e.withColumn("idx", F.row_number().over(Window.partitionBy(*group).orderBy("entity")) - 1)
+    return ranked(e, list(group), ["entity"], "_r").select(*group, "entity", (F.col("_r") - 1).cast("int").alias("idx"))
 
 
 def relation_index(edges: DataFrame, group: Sequence[str] = ("snapshot_id",)) -> DataFrame:
@@ -141,20 +141,29 @@ def new_per_snapshot(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min("snapshot_id").alias("snapshot_id")).groupBy("snapshot_id").agg(F.count("*").alias("n"))
 
 
+def _sizes(entities: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return entities.groupBy(*keys).agg(F.count("*").alias("_n"))
+
+
 def hash_split(entities: DataFrame, ratio: float, salt: str, group: Sequence[str] = ("snapshot_id",)) -> DataFrame:
     """entities with role: the first round-half-even(n*ratio), at least 1 and not all, by hash are ``fit``."""
-    key = F.sha2(F.concat(F.lit(salt + ":"), "entity"), 256)
-    w = Window.partitionBy(*group)
-    d = entities.withColumn("_n", F.count("*").over(w)).withColumn("_r", F.row_number().over(w.orderBy(key, "entity")))
+    d = entities.withColumn("_k", F.sha2(F.concat(F.lit(salt + ":"), "entity"), 256))
+    d = ranked(d, list(group), ["_k", "entity"], "_r").join(_sizes(entities, group), list(group))
     fit = F.greatest(F.lit(1), F.least(F.col("_n") - 1, F.bround(F.col("_n") * F.lit(ratio), 0)))
-    return d.withColumn("role", F.when(F.col("_r") <= fit, "fit").otherwise("holdout")).drop("_n", "_r")
+    return d.withColumn("role", F.when(F.col("_r") <= fit, "fit").otherwise("holdout")).select(*entities.columns, "role")
+
+
+def hash_share(entities: DataFrame, share: float, salt: str, group: Sequence[str] = ("snapshot_id",), least: int = 1) -> DataFrame:
+    """The first ceil(n*share) entities of each group in hash order, at least ``least``."""
+    d = entities.withColumn("_k", F.sha2(F.concat_ws("|", F.lit(salt), "entity"), 256))
+    d = ranked(d, list(group), ["_k", "entity"], "_r").join(_sizes(entities, group), list(group))
+    return d.filter(F.col("_r") <= F.greatest(F.lit(least), F.ceil(F.lit(share) * F.col("_n")))).select(*entities.columns)
 
 
 def stratified_folds(entities: DataFrame, stratum: str, salt: str, k: int, group: Sequence[str] = ("snapshot_id",)) -> DataFrame:
     """entities with fold: rank by hash inside the stratum, modulo k."""
-    key = F.sha2(F.concat_ws("|", F.lit("s5-fold"), F.lit(salt), F.col("entity")), 256)
-    w = Window.partitionBy(*group, stratum).orderBy(key, "entity")
-    return entities.withColumn("fold", (F.row_number().over(w) - 1) % k)
+    d = entities.withColumn("_k", F.sha2(F.concat_ws("|", F.lit("s5-fold"), F.lit(salt), F.col("entity")), 256))
+    return ranked(d, [*group, stratum], ["_k", "entity"], "_r").withColumn("fold", ((F.col("_r") - 1) % k).cast("int")).select(*entities.columns, "fold")
 
 
 def largest_remainder(counts: DataFrame, target: int, group: Sequence[str] = ("snapshot_id",)) -> DataFrame:
@@ -172,7 +181,7 @@ def stratified_sample(entities: DataFrame, fit: int, holdout: int, salt: str, gr
     quota = largest_remainder(counts, fit + holdout, group)
     q = quota.join(largest_remainder(quota.select(*group, "stratum", F.col("quota").alias("n")), fit, group).select(*group, "stratum", F.col("quota").alias("fit_quota")), [*group, "stratum"])
     key = F.sha2(F.concat(F.lit(salt + ":degree:"), F.col("stratum").cast("string"), F.lit(":"), "entity"), 256)
-    r = entities.withColumn("_r", F.row_number().over(Window.partitionBy(*group, "stratum").orderBy(key, "entity")))
+    r = ranked(entities.withColumn("_k", key), [*group, "stratum"], ["_k", "entity"], "_r")
     return r.join(q, [*group, "stratum"]).filter("_r <= quota").select(*group, "entity", "stratum", F.when(F.col("_r") <= F.col("fit_quota"), "fit").otherwise("holdout").alias("role"))
 
 

@@ -84,12 +84,12 @@ def path_support(spark: SparkSession, d: str) -> DataFrame:
 
 def path_answers(spark: SparkSession, d: str) -> DataFrame:
     e = edges(spark, d)
-    q = op.cap_per_head(op.simple_paths(e, 2, _eligible(e)), 1).select("snapshot_id", F.col("path")[0].alias("head"), x.path_relations("path").alias("relations"))
+    q = op.cap_per_head(op.simple_paths(e, 2, _eligible(e)), CAP).select("snapshot_id", F.col("path")[0].alias("head"), x.path_relations("path").alias("relations"))
     return op.path_answers(e, q).withColumn("relations", F.array_join("relations", ","))
 
 
 def path_questions(spark: SparkSession, d: str) -> DataFrame:
-    q = op.cap_per_head(_paths(spark, d, 2), 1).select("snapshot_id", F.col("path")[0].alias("head"), x.path_relations("path").alias("relations"))
+    q = op.cap_per_head(_paths(spark, d, 2), CAP).select("snapshot_id", F.col("path")[0].alias("head"), x.path_relations("path").alias("relations")).distinct()
     return q.select("snapshot_id", "head", op.question("head", "relations").alias("question"))
 
 
@@ -169,10 +169,7 @@ def paths_capped_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def entity_picks(spark: SparkSession, d: str) -> DataFrame:
     """The first 5 % of each snapshot's entities of degree 3 and more in hash order, at least one."""
-    k = _eligible(edges(spark, d))
-    w = Window.partitionBy("snapshot_id")
-    r = k.withColumn("n", F.count("*").over(w)).withColumn("r", F.row_number().over(w.orderBy(x.joined_hash(F.lit("inject"), "entity"), "entity")))
-    return r.filter(F.col("r") <= F.greatest(F.lit(1), F.ceil(F.lit(0.05) * F.col("n")))).select("snapshot_id", "entity")
+    return op.hash_share(_eligible(edges(spark, d)), 0.05, "inject")
 
 
 def path_exposure(spark: SparkSession, d: str) -> DataFrame:
@@ -225,8 +222,8 @@ b AS (SELECT snapshot_id, count(*) AS entities, max(degree) AS max_degree, list_
     "paths_capped": f"WITH {_P2}, {_CAPPED} SELECT snapshot_id, path FROM k2 WHERE n <= {CAP}",
     "paths_new": f"WITH {_P2}, m AS (SELECT min(snapshot_id) AS snapshot_id FROM q2 GROUP BY path) SELECT snapshot_id, count(*) AS n FROM m GROUP BY 1",
     "path_support": f"WITH {_P2}, {_CAPPED} SELECT snapshot_id, path, concat_ws(',', x, y, z) AS entities, concat_ws(',', r1, r2) AS relations FROM k2 WHERE n <= {CAP}",
-    "path_answers": f"WITH {_P2}, {_CAPPED}, q AS (SELECT DISTINCT snapshot_id, x, r1, r2 FROM k2 WHERE n = 1) SELECT DISTINCT q.snapshot_id, x AS head, r1 || ',' || r2 AS relations, b.t AS answer FROM q JOIN e a ON a.snapshot_id = q.snapshot_id AND a.h = x AND a.r = r1 JOIN e b ON b.snapshot_id = q.snapshot_id AND b.h = a.t AND b.r = r2",
-    "path_questions": f"WITH {_P2}, {_CAPPED} SELECT snapshot_id, x AS head, 'Starting at ' || x || ', which entity is reached by \"' || replace(r1, '_', ' ') || '\" and then \"' || replace(r2, '_', ' ') || '\"?' AS question FROM k2 WHERE n = 1",
+    "path_answers": f"WITH {_P2}, {_CAPPED}, q AS (SELECT DISTINCT snapshot_id, x, r1, r2 FROM k2 WHERE n <= {CAP}) SELECT DISTINCT q.snapshot_id, x AS head, r1 || ',' || r2 AS relations, b.t AS answer FROM q JOIN e a ON a.snapshot_id = q.snapshot_id AND a.h = x AND a.r = r1 JOIN e b ON b.snapshot_id = q.snapshot_id AND b.h = a.t AND b.r = r2",
+    "path_questions": f"WITH {_P2}, {_CAPPED} SELECT DISTINCT snapshot_id, x AS head, 'Starting at ' || x || ', which entity is reached by \"' || replace(r1, '_', ' ') || '\" and then \"' || replace(r2, '_', ' ') || '\"?' AS question FROM k2 WHERE n <= {CAP}",
     "qa_panel": f"WITH {EDGES_SQL}, p AS (SELECT h, r, t FROM e GROUP BY ALL HAVING count(DISTINCT snapshot_id) = (SELECT count(DISTINCT snapshot_id) FROM e)) SELECT h AS head, r AS relations, t AS gold FROM p UNION SELECT a.h, a.r || ',' || b.r, b.t FROM p a JOIN p b ON a.t = b.h AND a.h <> b.t",
     "anchors_split": f"WITH {_DEG} SELECT snapshot_id, entity, CASE WHEN row_number() OVER (PARTITION BY snapshot_id ORDER BY sha256('kge_anchor_split_v1:' || entity), entity) <= greatest(1, least(count(*) OVER (PARTITION BY snapshot_id) - 1, round_even(0.6 * count(*) OVER (PARTITION BY snapshot_id), 0))) THEN 'fit' ELSE 'holdout' END AS role FROM deg",
     "anchors_folds": f"WITH {_DEG} SELECT snapshot_id, entity, CAST((row_number() OVER (PARTITION BY snapshot_id, CASE WHEN degree < 3 THEN 0 WHEN degree < 6 THEN 1 ELSE 2 END ORDER BY sha256('s5-fold|v33|' || entity), entity) - 1) % 5 AS int) AS fold FROM deg",

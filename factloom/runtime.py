@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Broadcast is used only below this many bytes of a side whose size is known.
 BROADCAST_LIMIT = 8 << 20
@@ -76,3 +77,19 @@ def tasks_for(rows: int, per_task: int, least: int) -> int:
 def same(left: str, right: str, columns: list[str]) -> str:
     """A null-safe join condition over columns of two aliases, as SQL."""
     return " and ".join(f"{left}.`{c}` <=> {right}.`{c}`" for c in columns)
+
+
+def ranked(df: DataFrame, groups: list[str], order: list[str], out: str) -> DataFrame:
+    """df with the 1-based position of each row in its group's order, whatever the group's size.
+
+    Rows are sorted by ranges of (groups, order), so a group lies in neighbouring
+    partitions; a row's position is its place in its partition and the rows of its
+    group in the partitions before, of which there is one number a partition.
+    """
+    d = df.repartitionByRange(*groups, *order).sortWithinPartitions(*groups, *order)
+    d = staged(d.select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_i")), "ranked")
+    before = Window.partitionBy(*groups).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    per = d.groupBy(*groups, "_p").agg(F.count("*").alias("_c"), F.min("_i").alias("_f"))
+    per = per.select(*groups, "_p", (F.coalesce(F.sum("_c").over(before), F.lit(0)) - F.col("_f") + 1).alias("_s"))
+    j = d.alias("a").join(per.alias("b"), F.expr(same("a", "b", [*groups, "_p"])))
+    return j.select(*[F.col(f"a.{c}") for c in df.columns], (F.col("a._i") + F.col("b._s")).alias(out))
