@@ -22,6 +22,20 @@ def logical_fact_id(*parts: Column | str) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *map(_c, parts)), 256), 1, 16)
 
 
+def canonical_json(*columns: str) -> Column:
+    """The columns as one JSON object with sorted names, nulls kept and no spaces: equal rows have equal texts."""
+    return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
+
+
+def json_hash(*columns: str) -> Column:
+    return F.sha2(canonical_json(*columns), 256)
+
+
+def vector_hash(vector: Column | str, digits: int = 7) -> Column:
+    """The hash of a vector rounded to some digits, minus zero being zero: equal fits have equal hashes."""
+    return F.sha2(F.array_join(F.transform(_c(vector), lambda v: F.format_number(F.round(v, digits) + F.lit(0.0), digits)), ","), 256)
+
+
 def joined_hash(*parts: Column | str) -> Column:
     return F.sha2(F.concat_ws("|", *map(_c, parts)), 256)
 
@@ -49,14 +63,13 @@ def byte_variants(text: Column | str) -> Column:
 
 
 def content_type(text: Column | str) -> Column:
-    """What a body looks like by its first characters."""
-    head = F.lower(F.ltrim(F.substring(_c(text), 1, 512)))
+    """What a body looks like by its beginning: a page where its marks stand within the first 1,024 or 4,096 characters after white space."""
+    head = F.lower(F.regexp_replace(F.substring(_c(text), 1, 16384), r"^[ \t\n\r\f\x0B]+", ""))
     return (
         F.when(head.isNull() | (head == ""), "empty")
-        .when(head.startswith("<!doctype html") | head.startswith("<html"), "text/html")
+        .when(F.contains(F.substring(head, 1, 1024), F.lit("<!doctype html")) | F.contains(F.substring(head, 1, 4096), F.lit("<html")), "text/html")
         .when(head.startswith("<?xml"), "application/xml")
         .when(head.startswith("{") | head.startswith("["), "application/json")
-        .when(head.startswith("%pdf"), "application/pdf")
         .otherwise("text/plain")
     )
 
@@ -74,23 +87,40 @@ def url_instant(url: Column | str, offset_hours: int = 7) -> Column:
     return local - F.expr(f"INTERVAL {offset_hours} HOURS")
 
 
+# Words before a name, words after it, and mentions that name nobody.
+CLASS_WORDS = ("tập đoàn", "công ty", "hãng", "ông", "bà")
+NOT_BEFORE = {"bà": "rịa"}
+LEGAL_WORDS = ("corporation", "corp", "inc", "ltd", "llc", "plc", "group", "co")
+NOBODY = (
+    "ông", "bà", "anh", "chị", "cô", "em", "họ", "hắn", "nó", "người này", "người đó", "công ty", "hãng", "tập đoàn", "doanh nghiệp", "startup", "công ty này", "hãng này",
+    "chatbot", "mô hình", "ai", "học viện", "trường", "ứng dụng", "sản phẩm", "hệ thống", "nền tảng", "dịch vụ", "công cụ", "tính năng", "người dùng",
+)
+ENTITY_VERSION = "entity_map_v2"
+
+
 def mention_key(name: Column | str) -> Column:
-    """A mention's key: no digitless parentheses at its end, quotes, dashes, case or company words."""
-    n = F.regexp_replace(_c(name), r"(\s*\([^()0-9]*\))+\s*$", "")
-    n = F.lower(F.trim(F.regexp_replace(F.regexp_replace(n, r"[\"'“”‘’`]", ""), r"[\-–—_/]+", " ")))
-    n = F.regexp_replace(n, r"^(cong ty|công ty|tập đoàn|hãng|mô hình|the)\s+", "")
-    n = F.regexp_replace(n, r",?\s+(inc|ltd|llc|corp|corporation|co|jsc|group)\.?$", "")
-    return F.regexp_replace(n, r"\s+", " ")
+    """The key of a mention in composed form (NFC), in lower case.
+
+    Parentheses without a digit at its end go, unless nothing is left; so do quotes,
+    dashes and marks at the ends, a class word before a capital or a digit, and a
+    legal word after another word.
+    """
+    n = F.regexp_replace(F.trim(_c(name)), r"^(.*?\S)(?:\s*\([^()\p{Nd}]*\))+\s*$", "$1")
+    n = F.regexp_replace(F.regexp_replace(n, r"[‐-―_\-]+", " "), r"[\"'“”‘’]+", "")
+    n = F.regexp_replace(F.regexp_replace(n, r"\s+", " "), r"^[ .,;:]+|[ .,;:]+$", "")
+    words = "|".join(f"{w}(?! {NOT_BEFORE[w]}(?: |$))" if w in NOT_BEFORE else w for w in CLASS_WORDS)
+    n = F.regexp_replace(n, rf"^(?iu:{words}) (?=[\p{{Lu}}\p{{Nd}}])", "")
+    return F.regexp_replace(F.lower(n), rf" (?:{'|'.join(LEGAL_WORDS)})\.*$", "")
 
 
 def is_generic(name: Column | str) -> Column:
-    """Mentions in lower case without a digit name nobody in particular."""
-    n = F.trim(_c(name))
-    return (n == "") | ((n == F.lower(n)) & ~n.rlike(r"\d"))
+    """Mentions that name nobody: listed words, or several words of small letters alone.  The name is in composed form."""
+    n = F.regexp_replace(F.trim(_c(name)), r"\s+", " ")
+    return (n == "") | F.lower(n).isin(*NOBODY) | n.rlike(r"^\p{Ll}[\p{Ll}\p{Lo}\p{Lm}]*(?: [\p{Ll}\p{Lo}\p{Lm}]+)+$")
 
 
 def entity_id(key: Column | str, digits: int = 8) -> Column:
-    return F.concat(F.lit("ent2_"), F.substring(F.sha2(_c(key), 256), 1, digits))
+    return F.concat(F.lit("ent2_"), F.substring(F.sha2(F.concat_ws("|", F.lit(ENTITY_VERSION), _c(key)), 256), 1, digits))
 
 
 def degree_bucket(degree: Column | str, low: int = 3, high: int = 6) -> Column:
@@ -151,19 +181,34 @@ def distance(a: Column | str, b: Column | str) -> Column:
 
 
 def cosine(a: Column | str, b: Column | str, floor: float = 1e-12) -> Column:
-    """Between -1 and 1; null where a vector is shorter than the floor."""
+    """Between -1 and 1; 0 where a vector is shorter than the floor."""
     na, nb = norm(a), norm(b)
-    return F.when((na > floor) & (nb > floor), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / (na * nb))))
+    return F.when((na > floor) & (nb > floor), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / (na * nb)))).otherwise(F.lit(0.0))
 
 
 def cosine_distance(a: Column | str, b: Column | str, floor: float = 1e-12) -> Column:
-    return F.greatest(F.lit(0.0), 1 - cosine(a, b, floor)) * F.when(cosine(a, b, floor).isNotNull(), 1.0)
+    """1 - cosine, at least 0; null where a vector is shorter than the floor and so has no direction."""
+    return F.when((norm(a) > floor) & (norm(b) > floor), F.greatest(F.lit(0.0), 1 - cosine(a, b, floor)))
+
+
+def transpose(q: Column | str) -> Column:
+    """The columns of a matrix of rows."""
+    return F.transform(F.sequence(F.lit(0), F.size(_c(q)[0]) - 1), lambda j: F.transform(_c(q), lambda row: row[j]))
 
 
 def times_matrix(v: Column | str, q: Column | str) -> Column:
     """v Q for a matrix of rows."""
-    columns = F.transform(F.sequence(F.lit(0), F.size(_c(q)[0]) - 1), lambda j: F.transform(_c(q), lambda row: row[j]))
-    return F.transform(columns, lambda c: dot(_c(v), c))
+    return F.transform(transpose(q), lambda c: dot(_c(v), c))
+
+
+def align_centred(v: Column | str, q: Column | str, source_mean: Column | str) -> Column:
+    """(v - source mean) Q: a source vector about its mean, turned."""
+    return times_matrix(subtract(v, source_mean), q)
+
+
+def align_affine(v: Column | str, q: Column | str, source_mean: Column | str, target_mean: Column | str) -> Column:
+    """(v - source mean) Q + target mean: a source vector where its target should lie."""
+    return add(align_centred(v, q, source_mean), target_mean)
 
 
 def all_finite(v: Column | str) -> Column:

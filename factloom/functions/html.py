@@ -12,20 +12,21 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Elements whose text is no text of the page, those that end a line, and where the body is looked for.
+# Elements whose text is no text of the page, those that have no end, and where the body is looked for.
 DROPPED = frozenset("script style noscript template svg iframe form nav header footer aside button".split())
-BLOCKS = frozenset("p div br li ul ol tr table section article h1 h2 h3 h4 h5 h6 blockquote figure".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-SELECTORS = ("article", "main", "body", "html")
+SELECTORS = ("article", "article_body", "main", "body")
+BODY_CLASSES = ("article-body", "article__body", "content-detail")
+SHORT = 200
 ARTICLE_TYPES = frozenset(("Article", "NewsArticle", "BlogPosting", "Report"))
 
 
 def decode_bytes(raw: bytes | None) -> tuple[str | None, str]:
-    """(text, decoder): the declared charset, UTF-8, Vietnamese Windows, at last UTF-8 with replacements."""
+    """(text, decoder): the declared charset, UTF-8, Vietnamese Windows, Latin-1."""
     if raw is None:
         return None, "none"
-    declared = re.search(rb"charset=[\"']?([A-Za-z0-9_-]+)", raw[:2048])
-    for name in ([declared[1].decode("ascii").lower()] if declared else []) + ["utf-8-sig", "windows-1258"]:
+    declared = re.search(rb"charset\s*=\s*[\"']?([A-Za-z0-9_\-]+)", raw[:8192], re.I)
+    for name in ([declared[1].decode("ascii").lower()] if declared else []) + ["utf-8", "windows-1258", "latin-1"]:
         try:
             return raw.decode(name), name
         except (LookupError, UnicodeDecodeError):
@@ -34,10 +35,14 @@ def decode_bytes(raw: bytes | None) -> tuple[str | None, str]:
 
 
 class _Body(HTMLParser):
+    """Text of the first element that each selector finds, the meta tags and the linked data of a page."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[str] = []
-        self.parts: dict[str, list[str]] = {s: [] for s in SELECTORS}
+        self.open: list[tuple[str, tuple[str, ...]]] = []
+        self.parts: dict[str, list[str]] = {}
+        self.reading: set[str] = set()
+        self.dropped = 0
         self.scripts: list[str] = []
         self.meta: list[tuple[str, str]] = []
         self.ld = False
@@ -46,49 +51,63 @@ class _Body(HTMLParser):
         d = dict(attrs)
         if tag == "meta" and d.get("content"):
             self.meta.append((d.get("property") or d.get("name") or "", d["content"]))
-        if tag in BLOCKS:
-            self._add("\n")
-        if tag not in VOID:
-            self.open.append(tag)
-            self.ld = tag == "script" and "ld+json" in (d.get("type") or "")
-            if self.ld:
-                self.scripts.append("")
+        if tag in VOID:
+            return
+        named = [tag] if tag in SELECTORS else []
+        named += ["article_body"] if any(c in (d.get("class") or "") for c in BODY_CLASSES) else []
+        # What stands inside of a dropped element is no element of the page.
+        begun = tuple(n for n in named if n not in self.parts and not self.dropped)
+        for n in begun:
+            self.parts[n] = []
+            self.reading.add(n)
+        self.dropped += tag in DROPPED
+        self.open.append((tag, begun))
+        self.ld = tag == "script" and "ld+json" in (d.get("type") or "")
+        if self.ld:
+            self.scripts.append("")
 
     def handle_endtag(self, tag):
-        if tag in self.open:
-            while self.open.pop() != tag:
-                pass
         self.ld = False
-        if tag in BLOCKS:
-            self._add("\n")
+        if any(t == tag for t, _ in self.open):
+            while True:
+                t, begun = self.open.pop()
+                self.dropped -= t in DROPPED
+                self.reading.difference_update(begun)
+                if t == tag:
+                    return
 
     def handle_data(self, data):
         if self.ld:
             self.scripts[-1] += data
-        elif not DROPPED.intersection(self.open):
-            self._add(data)
+        elif not self.dropped and data.strip():
+            for n in self.reading:
+                self.parts[n].append(data.strip())
+
 
-    def _add(self, text):
-        for s in SELECTORS:
-            if s in self.open:
-                self.parts[s].append(text)
+def _collapsed(parts: list[str]) -> str:
+    return re.sub(r"\s+", " ", " ".join(parts).replace("\u00a0", " ")).strip()
 
 
 def body_text(html: str | None) -> tuple[str | None, str | None, list[str]]:
-    """(text, selector, flags): the text of the first selector that has any, with white space collapsed per line."""
+    """(text, selector, flags): the text of the first element of the strongest selector that the page has, white space collapsed.
+
+    A text without tags is taken whole (selector raw_text); null and blank ones have none.
+    """
     if not html or not html.strip():
-        return None, None, ["EMPTY_INPUT"]
+        return None, None, ["EMPTY_BODY"]
     if "<" not in html:
-        return re.sub(r"[ \t]+", " ", html).strip(), "plain", []
-    p = _Body()
-    p.feed(html)
-    p.close()
-    for s in SELECTORS:
-        lines = [re.sub(r"\s+", " ", x).strip() for x in "".join(p.parts[s]).split("\n")]
-        text = "\n".join(x for x in lines if x)
-        if text:
-            return text, s, ["SHORT_BODY"] if len(text) < 200 else []
-    return None, None, ["NO_BODY"]
+        selector, text, flags = "raw_text", _collapsed([html]), []
+    else:
+        p = _Body()
+        p.feed(html)
+        p.close()
+        selector = next((n for n in SELECTORS if n in p.parts), None)
+        if selector is None:
+            return None, None, ["PARSER_NO_BODY_NODE"]
+        text, flags = _collapsed(p.parts[selector]), ["PARSER_FALLBACK_BODY"] if selector == "body" else []
+    if not text:
+        return None, selector, sorted([*flags, "EMPTY_BODY"])
+    return text, selector, sorted([*flags, "BODY_EXTRACTED", *(["SHORT_BODY_LT_200_CHARS"] if len(text) < SHORT else [])])
 
 
 def _dates(node) -> list[str]:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as x
+from ..functions import html
 from ..operators import provenance as op
 from ..operators.asof import decision_periods
 from ..operators.history import lineage_roots
@@ -153,9 +154,16 @@ def article_number_fit(spark: SparkSession, d: str) -> DataFrame:
     return dev.groupBy("slope", "intercept").agg(F.percentile("dev", 0.5).alias("median"), F.percentile("dev", 0.9).alias("p90"), F.max("dev").alias("max")).select(*[F.round(c, 6).alias(c) for c in ("slope", "intercept", "median", "p90", "max")])
 
 
+def _mentions(spark: SparkSession, d: str) -> DataFrame:
+    """(mention, nfc): the different mentions of claims and mappings, as written and in composed form."""
+    c = load(spark, d, "extracted_claims").select(F.explode(F.array("subject_mention", "object_mention")).alias("mention"))
+    m = c.unionByName(load(spark, d, "entity_mapping_versions").select("mention")).filter("mention is not null").distinct()
+    return m.select("mention", html.normal_form("mention").alias("nfc"))
+
+
 def mention_keys(spark: SparkSession, d: str) -> DataFrame:
-    m = load(spark, d, "entity_mapping_versions").select("mention").filter("mention is not null").distinct()
-    return m.select("mention", x.mention_key("mention").alias("key"), x.is_generic("mention").alias("generic"), x.entity_id(x.mention_key("mention")).alias("entity"))
+    m = _mentions(spark, d).withColumn("key", x.mention_key("nfc"))
+    return m.select("mention", "key", x.is_generic("nfc").alias("generic"), x.entity_id("key").alias("entity"))
 
 
 def entity_surfaces(spark: SparkSession, d: str) -> DataFrame:
@@ -166,9 +174,9 @@ def entity_surfaces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def entity_merge_actions(spark: SparkSession, d: str) -> DataFrame:
-    """MERGE for canonical entities with several keys, else KEEP."""
-    m = load(spark, d, "entity_mapping_versions").filter("mention is not null")
-    return m.groupBy("canonical_entity_id").agg(F.countDistinct(F.lower("mention")).alias("keys")).withColumn("action", F.when(F.col("keys") > 1, "MERGE").otherwise("KEEP"))
+    """MERGE for canonical entities whose mentions have several keys, else KEEP."""
+    m = load(spark, d, "entity_mapping_versions").filter("mention is not null").select("canonical_entity_id", x.mention_key(html.normal_form("mention")).alias("key"))
+    return m.groupBy("canonical_entity_id").agg(F.countDistinct("key").alias("keys")).withColumn("action", F.when(F.col("keys") > 1, "MERGE").otherwise("KEEP"))
 
 
 def entity_first_seen(spark: SparkSession, d: str) -> DataFrame:
@@ -198,17 +206,16 @@ def acronym_proposals(spark: SparkSession, d: str) -> DataFrame:
 
 def acronym_aliases(spark: SparkSession, d: str) -> DataFrame:
     """Names with an acronym in parentheses, and the mentions of claims and mappings whose key is that acronym alone."""
-    c = load(spark, d, "extracted_claims").select(F.explode(F.array("subject_mention", "object_mention")).alias("mention"))
-    m = c.unionByName(load(spark, d, "entity_mapping_versions").select("mention")).filter("mention is not null").distinct().withColumn("key", x.mention_key("mention"))
+    m = _mentions(spark, d).withColumn("key", x.mention_key("nfc"))
     a = m.select(F.col("mention").alias("name"), F.col("key").alias("name_key"), F.regexp_extract("mention", r"\(([A-Z]{2,6})\)\s*$", 1).alias("acronym")).filter("acronym <> ''")
     return a.join(m, (F.lower("acronym") == F.col("key")) & ~F.col("name_key").eqNullSafe(F.col("key"))).select("acronym", "name", F.col("mention").alias("alias"))
 
 
 def suffix_proposals(spark: SparkSession, d: str) -> DataFrame:
-    """Mentions that equal another one but for their last word."""
-    m = load(spark, d, "entity_mapping_versions").select(F.lower("mention").alias("k")).filter("k is not null").distinct()
-    cut = m.select("k", F.regexp_replace("k", r" [^ ]+$", "").alias("base")).filter("base <> k")
-    return cut.join(m.select(F.col("k").alias("base")), "base").select(F.col("k").alias("long_key"), "base")
+    """Keys that equal another one but for their last word."""
+    k = _mentions(spark, d).select(x.mention_key("nfc").alias("k")).filter("k <> ''").distinct()
+    a = k.select(F.col("k").alias("long_key"), F.regexp_replace("k", " [^ ]+$", "").alias("base")).filter("base <> long_key")
+    return a.join(k.select(F.col("k").alias("base")), "base").select("long_key", "base")
 
 
 def version_lineage(spark: SparkSession, d: str) -> DataFrame:
@@ -243,7 +250,14 @@ j AS (SELECT c.*, a.e AS s, b.e AS o FROM c LEFT JOIN k a ON lower(trim(sm)) = a
 q AS (SELECT *, CASE WHEN neg THEN 'QUEUED_NEGATED' WHEN spec THEN 'QUEUED_SPECULATIVE' WHEN s IS NULL THEN 'QUEUED_UNRESOLVED_SUBJECT' WHEN o IS NULL THEN 'QUEUED_UNRESOLVED_OBJECT' WHEN s = o THEN 'QUEUED_SELF_LOOP' END AS reason FROM j),
 l AS (SELECT *, CASE WHEN reason IS NULL THEN substr(sha256(concat_ws('|', s, rn, o)), 1, 16) END AS logical_fact_id FROM q),
 dec AS (SELECT claim_id, CASE WHEN reason IS NOT NULL THEN reason WHEN row_number() OVER (PARTITION BY logical_fact_id, reason ORDER BY tm, claim_id) = 1 THEN 'ACCEPTED' ELSE 'MERGED' END AS decision, logical_fact_id FROM l)"""
-_MKEY = r"regexp_replace(regexp_replace(regexp_replace(lower(trim(regexp_replace(regexp_replace(regexp_replace(mention, '(\s*\([^()0-9]*\))+\s*$', ''), '[\"''“”‘’`]', '', 'g'), '[\-–—_/]+', ' ', 'g'))), '^(cong ty|công ty|tập đoàn|hãng|mô hình|the)\s+', ''), ',?\s+(inc|ltd|llc|corp|corporation|co|jsc|group)\.?$', ''), '\s+', ' ', 'g')"
+_BEFORE = "|".join(x.CLASS_WORDS)
+_K1 = r"""trim(regexp_replace(trim(nfc_normalize(mention)), '^(.*?\S)(?:\s*\([^()\p{Nd}]*\))+\s*$', '\1'))"""
+_K2 = rf"""regexp_replace(regexp_replace(regexp_replace(regexp_replace({_K1}, '[‐-―_\-]+', ' ', 'g'), '["''“”‘’]+', '', 'g'), '\s+', ' ', 'g'), '^[ .,;:]+|[ .,;:]+$', '', 'g')"""
+_K3 = rf"CASE WHEN regexp_matches({_K2}, '^(?i)bà rịa( |$)') THEN {_K2} ELSE regexp_replace({_K2}, '^(?i:{_BEFORE}) ([\p{{Lu}}\p{{Nd}}].*)$', '\1') END"
+_MKEY = rf"regexp_replace(lower({_K3}), ' (?:{'|'.join(x.LEGAL_WORDS)})\.*$', '')"
+_ALL = "SELECT DISTINCT mention FROM (SELECT unnest([subject_mention, object_mention]) AS mention FROM extracted_claims UNION ALL SELECT mention FROM entity_mapping_versions) WHERE mention IS NOT NULL"
+_NFC = r"regexp_replace(trim(nfc_normalize(mention)), '\s+', ' ', 'g')"
+_GENERIC = rf"({_NFC} = '' OR lower({_NFC}) IN ({', '.join(f"'{w}'" for w in x.NOBODY)}) OR regexp_full_match({_NFC}, '\p{{Ll}}[\p{{Ll}}\p{{Lo}}\p{{Lm}}]*(?: [\p{{Ll}}\p{{Lo}}\p{{Lm}}]+)+'))"
 
 _LINE = """WITH RECURSIVE v AS (SELECT {k} AS k, min({p}) AS p FROM {t} WHERE {k} IS NOT NULL GROUP BY 1), w AS (SELECT k, k AS pos, 0 AS depth FROM v UNION ALL SELECT w.k, v.p, depth + 1 FROM w JOIN v ON v.k = w.pos JOIN v q ON q.k = v.p)
 SELECT k AS {k}, arg_max(pos, depth) AS root, CAST(max(depth) AS bigint) AS depth FROM w GROUP BY 1"""
@@ -278,23 +292,23 @@ k AS (SELECT snapshot_id, subject_id AS s, relation_id AS r, object_id AS o, cou
 g AS (SELECT b, sum(x) AS x, sum(y) AS y FROM t GROUP BY b, s, r, o) SELECT b AS snapshot_id, 'LEFT' AS side, CAST(sum(greatest(x - y, 0)) AS bigint) AS n FROM g GROUP BY 1 UNION ALL SELECT b, 'RIGHT', CAST(sum(greatest(y - x, 0)) AS bigint) FROM g GROUP BY 1""",
     "document_scope": """SELECT doc_id, CASE WHEN source IS NULL OR source LIKE 'src_n%' THEN 'SOURCE_NOT_ALLOWED' WHEN fetched_at IS NULL OR NOT fetched_at BETWEEN TIMESTAMP '2025-01-01' AND TIMESTAMP '2026-06-30 23:59:59' THEN 'OUTSIDE_WINDOW'
 WHEN NOT coalesce(regexp_matches(lower(text), 'model|partnership|mô hình'), false) THEN 'NO_KEYWORD' ELSE 'IN_SCOPE' END AS reason FROM documents""",
-    "document_profile": """WITH t AS (SELECT length(text) AS n, lower(ltrim(substring(text, 1, 512), ' ')) AS h FROM documents)
-SELECT CASE WHEN h IS NULL OR h = '' THEN 'empty' WHEN h LIKE '<!doctype html%' OR h LIKE '<html%' THEN 'text/html' WHEN h LIKE '<?xml%' THEN 'application/xml' WHEN h LIKE '{%' OR h LIKE '[%' THEN 'application/json' WHEN h LIKE '\\%pdf%' ESCAPE '\\' THEN 'application/pdf' ELSE 'text/plain' END AS content_type,
+    "document_profile": """WITH t AS (SELECT length(text) AS n, lower(ltrim(substring(text, 1, 16384), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS h FROM documents)
+SELECT CASE WHEN h IS NULL OR h = '' THEN 'empty' WHEN contains(substring(h, 1, 1024), '<!doctype html') OR contains(substring(h, 1, 4096), '<html') THEN 'text/html' WHEN h LIKE '<?xml%' THEN 'application/xml' WHEN h LIKE '{%' OR h LIKE '[%' THEN 'application/json' ELSE 'text/plain' END AS content_type,
 count(*) AS docs, CAST(sum(n) AS bigint) AS chars, max(n) AS longest FROM t GROUP BY 1""",
     "document_ledger": "SELECT body_variant_id, count(*) AS docs, min(fetched_at) AS first_fetched_at, arg_min(source, {'f': fetched_at, 'd': doc_id}) AS first_source, count(DISTINCT raw_blob_sha256) AS blobs FROM documents WHERE body_variant_id IS NOT NULL GROUP BY 1",
     "article_number_fit": r"""WITH t AS (SELECT TRY_CAST(nullif(regexp_extract(url, '-(\d+)\.htm$', 1), '') AS double) AS n, CAST(date_diff('day', DATE '2024-01-01', CAST(fetched_at AS date)) AS double) AS day FROM documents),
 u AS (SELECT * FROM t WHERE n IS NOT NULL AND day IS NOT NULL), f AS (SELECT regr_slope(day, n) AS slope, regr_intercept(day, n) AS intercept FROM u), v AS (SELECT slope, intercept, abs(day - (slope * n + intercept)) AS dev FROM u, f)
 SELECT round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(quantile_cont(dev, 0.5), 6) AS median, round(quantile_cont(dev, 0.9), 6) AS p90, round(max(dev), 6) AS max FROM v GROUP BY slope, intercept""",
-    "mention_keys": rf"WITH m AS (SELECT DISTINCT mention FROM entity_mapping_versions WHERE mention IS NOT NULL) SELECT mention, {_MKEY} AS key, (trim(mention) = '' OR (trim(mention) = lower(trim(mention)) AND NOT regexp_matches(trim(mention), '\d'))) AS generic, 'ent2_' || substr(sha256({_MKEY}), 1, 8) AS entity FROM m",
+    "mention_keys": f"WITH m AS ({_ALL}), k AS (SELECT mention, {_MKEY} AS key, {_GENERIC} AS generic FROM m) SELECT *, 'ent2_' || substr(sha256('{x.ENTITY_VERSION}|' || key), 1, 8) AS entity FROM k",
     "entity_surfaces": "WITH m AS (SELECT canonical_entity_id, mention, count(*) AS n FROM entity_mapping_versions WHERE mention IS NOT NULL GROUP BY ALL) SELECT canonical_entity_id, mention AS primary_mention, n FROM m QUALIFY row_number() OVER (PARTITION BY canonical_entity_id ORDER BY n DESC, length(mention), mention) = 1",
-    "entity_merge_actions": "SELECT canonical_entity_id, count(DISTINCT lower(mention)) AS keys, CASE WHEN count(DISTINCT lower(mention)) > 1 THEN 'MERGE' ELSE 'KEEP' END AS action FROM entity_mapping_versions WHERE mention IS NOT NULL GROUP BY 1",
+    "entity_merge_actions": f"WITH k AS (SELECT canonical_entity_id, {_MKEY} AS key FROM entity_mapping_versions WHERE mention IS NOT NULL) SELECT canonical_entity_id, count(DISTINCT key) AS keys, CASE WHEN count(DISTINCT key) > 1 THEN 'MERGE' ELSE 'KEEP' END AS action FROM k GROUP BY 1",
     "entity_first_seen": "WITH b AS (SELECT unnest([subject_id, object_id]) AS entity_id, ingested_at_real, snapshot_id FROM snapshot_edges) SELECT entity_id, min(ingested_at_real) AS first_seen, min(snapshot_id) AS first_snapshot, count(DISTINCT snapshot_id) AS snapshots FROM b WHERE entity_id IS NOT NULL GROUP BY 1",
     "mappings_at_cutoff": """WITH m AS (SELECT entity_mapping_id AS id, lower(mention) AS k, min(CAST(mapping_available_at AS timestamptz)) AS av, min(supersedes_mapping_id) AS sup, min(canonical_entity_id) AS c FROM entity_mapping_versions GROUP BY 1, 2),
 a AS (SELECT * FROM m WHERE av <= TIMESTAMPTZ '2025-06-01 00:00:00+00'), h AS (SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM a b WHERE b.sup = a.id AND b.k = a.k AND b.id <> a.id)),
 s AS (SELECT DISTINCT subject_id AS mention FROM fact_versions WHERE subject_id IS NOT NULL) SELECT mention, id AS entity_mapping_id, coalesce(c, mention) AS resolved FROM s LEFT JOIN h ON lower(mention) = k""",
     "acronym_proposals": r"""WITH m AS (SELECT DISTINCT unnest([subject_mention, object_mention]) AS mention FROM extracted_claims), a AS (SELECT mention, regexp_extract(mention, '\(([A-Z]{2,6})\)\s*$', 1) AS acronym FROM m WHERE mention IS NOT NULL AND regexp_extract(mention, '\(([A-Z]{2,6})\)\s*$', 1) <> '')
 SELECT a.acronym, a.mention AS name_a, b.mention AS name_b FROM a JOIN a b ON a.acronym = b.acronym AND a.mention < b.mention""",
-    "acronym_aliases": rf"""WITH m AS (SELECT DISTINCT mention FROM (SELECT unnest([subject_mention, object_mention]) AS mention FROM extracted_claims UNION ALL SELECT mention FROM entity_mapping_versions) WHERE mention IS NOT NULL), k AS (SELECT mention, {_MKEY} AS key, regexp_extract(mention, '\(([A-Z]{{2,6}})\)\s*$', 1) AS acronym FROM m)
+    "acronym_aliases": rf"""WITH m AS ({_ALL}), k AS (SELECT mention, {_MKEY} AS key, regexp_extract(mention, '\(([A-Z]{{2,6}})\)\s*$', 1) AS acronym FROM m)
 SELECT a.acronym, a.mention AS name, b.mention AS alias FROM k a JOIN k b ON a.acronym <> '' AND lower(a.acronym) = b.key AND a.key IS DISTINCT FROM b.key""",
-    "suffix_proposals": "WITH m AS (SELECT DISTINCT lower(mention) AS k FROM entity_mapping_versions WHERE mention IS NOT NULL) SELECT a.k AS long_key, b.k AS base FROM m a JOIN m b ON regexp_replace(a.k, ' [^ ]+$', '') = b.k AND b.k <> a.k",
+    "suffix_proposals": f"WITH m AS ({_ALL}), k AS (SELECT DISTINCT {_MKEY} AS k FROM m), n AS (SELECT k AS long_key, regexp_replace(k, ' [^ ]+$', '') AS base FROM k WHERE k <> '') SELECT long_key, base FROM n SEMI JOIN k ON k.k = n.base AND k.k <> '' WHERE base <> long_key",
 }

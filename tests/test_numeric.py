@@ -240,7 +240,7 @@ def test_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0], [[0.0, 1.0], [1.0, 0.0]]), ([0.0, 0.0], [1.0, 0.0], [[1.0, 0.0], [0.0, 1.0]])], "a array<double>, b array<double>, q array<array<double>>")
     r = df.select(x.dot("a", "b").alias("d"), x.norm("a").alias("n"), x.cosine("a", "b").alias("c"), x.cosine_distance("a", "b").alias("cd"), x.times_matrix("a", "q").alias("m"), x.normalise("a").alias("u")).collect()
     assert (r[0]["d"], r[0]["n"], round(r[0]["c"], 9), round(r[0]["cd"], 9), r[0]["m"], r[0]["u"]) == (24.0, 5.0, 0.96, 0.04, [4.0, 3.0], [0.6, 0.8])
-    assert r[1]["c"] is None and r[1]["cd"] is None and r[1]["u"] == [0.0, 0.0]
+    assert r[1]["c"] == 0.0 and r[1]["cd"] is None and r[1]["u"] == [0.0, 0.0]
 
 
 @pytest.fixture(scope="module")

@@ -26,16 +26,19 @@ def test_publication_times():
 
 
 def test_body_text():
-    page = "<!doctype html><html><head><title>t</title><script>no()</script></head><body><nav>menu</nav><article><h1>Head</h1><p>One  <b>two</b></p><p>three</p><style>x</style></article>foot</body></html>"
-    assert html.body_text(page)[:2] == ("Head\nOne two\nthree", "article")
-    assert html.body_text("<body><p>x</p></body>")[1] == "body"
-    assert html.body_text("")[2] == ["EMPTY_INPUT"] and html.body_text(None)[0] is None
-    assert html.body_text("plain  text")[:2] == ("plain text", "plain")
-    assert html.body_text("<article></article>")[2] == ["NO_BODY"]
+    page = "<!doctype html><html><head><title>t</title><script>no()</script></head><body><nav>menu</nav><article><h1>Head</h1><p>One  <b>two</b></p><p>three</p><style>x</style></article><article>second</article>foot</body></html>"
+    assert html.body_text(page)[:2] == ("Head One two three", "article")
+    assert html.body_text("<body><div class='x content-detail y'>in <i>it</i></div><main>m</main></body>")[:2] == ("in it", "article_body")
+    assert html.body_text("<body><aside><article>no</article></aside><p>x</p></body>") == ("x", "body", ["BODY_EXTRACTED", "PARSER_FALLBACK_BODY", "SHORT_BODY_LT_200_CHARS"])
+    assert html.body_text("") == html.body_text(None) == (None, None, ["EMPTY_BODY"])
+    assert html.body_text("plain \u00a0 text")[:2] == ("plain text", "raw_text")
+    assert html.body_text("<article></article><p>x</p>") == (None, "article", ["EMPTY_BODY"])
+    assert html.body_text("<p>x</p>")[2] == ["PARSER_NO_BODY_NODE"]
+    assert html.body_text("<article>" + "word " * 60 + "</article>")[2] == ["BODY_EXTRACTED"]
 
 
 def test_decoding():
-    assert html.decode_bytes("xin chào".encode()) == ("xin chào", "utf-8-sig")
+    assert html.decode_bytes("xin chào".encode()) == ("xin chào", "utf-8")
     assert html.decode_bytes(b"<meta charset=latin-1>\xe9")[0].endswith("é")
     assert html.decode_bytes(None) == (None, "none")
 
@@ -113,6 +116,26 @@ def test_expressions(spark):
     assert [str(r["m"]) for r in m] == ["1.500000", "None", "None"]
 
 
+def test_mention_keys(spark):
+    import unicodedata
+
+    cases = {
+        "Tập đoàn Alpha (ALP)": "alpha", "tập đoàn alpha": "tập đoàn alpha", "Hãng 3M": "3m", "Bà Rịa": "bà rịa", "Bà Lan": "lan", "Kappa (A05)": "kappa (a05)", "(abc)": "(abc)",
+        "Beta – Gamma, Ltd.": "beta gamma,", "Delta Corp": "delta", "Group": "group", "“Eta”": "eta", "  Ngân hàng  X. ": "ngân hàng x",
+    }
+    d = spark.createDataFrame([(unicodedata.normalize("NFD", k), v) for k, v in cases.items()], "m string, want string").select("want", x.mention_key(html.normal_form("m")).alias("key"))
+    assert {r["want"]: r["key"] for r in d.collect()} == {v: v for v in cases.values()}
+    generic = {"ông": True, "người này": True, "công cụ mới": True, "FPT": False, "alpha": False, "gpt 4": False, "": True}
+    g = spark.createDataFrame(list(generic.items()), "m string, want boolean").select("m", x.is_generic("m").alias("g"))
+    assert {r["m"]: r["g"] for r in g.collect()} == generic
+
+
+def test_content_types(spark):
+    texts = {"\n\t <!DOCTYPE html>": "text/html", "(note) <html lang='vi'>": "text/html", "x" * 5000 + "<html>": "text/plain", " " * 9000 + "<html>": "text/html", "<?xml version='1'?>": "application/xml", " {": "application/json", " \n": "empty"}
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", x.content_type("t").alias("k")).collect()
+    assert {r["t"]: r["k"] for r in got} == texts
+
+
 def test_streams(spark, tmp_path):
     rows = [(k, datetime(2025, 1, 1, h, m), 1.0) for k, h, m in ((1, 0, 0), (1, 0, 20), (1, 3, 0), (2, 0, 5), (1, 12, 0), (3, 23, 0))]
     spark.createDataFrame(rows, "user_id long, ts timestamp, value double").coalesce(1).write.parquet(str(tmp_path / "in" / "events.parquet"))
