@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expressions as x
+from ..runtime import path_exists
 
 
 def semantic_hash(df: DataFrame) -> str:
@@ -28,17 +29,12 @@ def semantic_hash(df: DataFrame) -> str:
     return df.sparkSession.range(1).select(F.sha2(F.lit(head + "|" + "|".join(r["b"] + r["h"] for r in line)), 256)).first()[0]
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def write_immutable(df: DataFrame, path: str) -> str:
     """WRITTEN, or REUSED where the same rows are there; other rows are an error.  A manifest stands beside the files."""
     spark = df.sparkSession
     digest = semantic_hash(df)
     manifest = path.rstrip("/") + ".manifest"
-    if _exists(spark, manifest):
+    if path_exists(spark, manifest):
         held = spark.read.json(manifest).first()["semantic_sha256"]
         if held != digest:
             raise ValueError(f"{path} holds other rows")
@@ -64,7 +60,7 @@ def store_texts(df: DataFrame, text: str, path: str) -> int:
     """Adds texts that the content-addressed store lacks; the number added.  Partitions are the hashes' first two digits."""
     spark = df.sparkSession
     new = df.filter(F.col(text).isNotNull()).select(F.sha2(text, 256).alias("sha256"), F.col(text).alias("text")).dropDuplicates(["sha256"]).withColumn("part", F.substring("sha256", 1, 2))
-    if _exists(spark, path):
+    if path_exists(spark, path):
         new = new.join(spark.read.parquet(path).select("sha256"), "sha256", "left_anti")
     new = new.cache()
     n = new.count()
@@ -94,22 +90,59 @@ def walk_json(node, locator: str = "$") -> Iterator[tuple[dict, str]]:
             yield from walk_json(v, f"{locator}[{i}]")
 
 
-def scan_evidence(lines: DataFrame, column: str, hash_fields: tuple[str, ...] = ("raw_blob_sha256", "payload_sha256", "sha256")) -> DataFrame:
-    """(line, locator, sha256, record, problem) of each object that names a hash; lines that are no JSON have a problem."""
+def scan_evidence(lines: DataFrame, column: str, hash_fields: tuple[str, ...] = ("raw_blob_sha256", "payload_sha256", "sha256"), path: str | None = None) -> DataFrame:
+    """(path, line_sha256, locator, sha256, record, problem) of each object that names a hash; lines that are no JSON have a problem.
+
+    A line is known by its file, where ``path`` names that column, and its own hash:
+    unlike a number it does not depend on how files are split.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for line, text in zip(b["line"], b["text"]):
+            for file, line, text in zip(b["path"], b["line_sha256"], b["text"]):
                 try:
                     for record, locator in walk_json(json.loads(text)):
-                        out += [(line, locator, record[f], json.dumps(record, ensure_ascii=False, sort_keys=True), None) for f in hash_fields if isinstance(record.get(f), str)]
+                        out += [(file, line, locator, record[f], json.dumps(record, ensure_ascii=False, sort_keys=True), None) for f in hash_fields if isinstance(record.get(f), str)]
                 except (TypeError, ValueError):
-                    out.append((line, None, None, None, "BAD_JSON"))
-            yield pd.DataFrame(out, columns=["line", "locator", "sha256", "record", "problem"])
+                    out.append((file, line, None, None, None, "BAD_JSON"))
+            yield pd.DataFrame(out, columns=["path", "line_sha256", "locator", "sha256", "record", "problem"])
+
+    d = lines.select((F.col(path) if path else F.lit(None).cast("string")).alias("path"), F.sha2(column, 256).alias("line_sha256"), F.col(column).alias("text"))
+    return d.mapInPandas(run, "path string, line_sha256 string, locator string, sha256 string, record string, problem string")
+
+
+def read_logs(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (".jsonl", ".log")) -> DataFrame:
+    """(path, text): the lines of every log below root with one of the suffixes."""
+    d = spark.read.option("recursiveFileLookup", "true").text(root).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    ends = F.lit(False)
+    for s in suffixes:
+        ends = ends | F.col("path").endswith(s)
+    return d.filter(ends & (F.trim("text") != ""))
+
+
+def append_log(df: DataFrame, path: str) -> None:
+    """Appends each row as a line of JSON with sorted names to an operational log; nothing that is there is touched."""
+    df.select(x.canonical_json(*df.columns).alias("value")).write.mode("append").text(path)
+
+
+def write_json_immutable(df: DataFrame, path: str) -> str:
+    """As write_immutable, for lines of JSON with sorted names."""
+    text = df.select(x.canonical_json(*df.columns).alias("value"))
+    if path_exists(df.sparkSession, path):
+        held = df.sparkSession.read.text(path)
+        if semantic_hash(held) != semantic_hash(text):
+            raise ValueError(f"{path} holds other rows")
+        return "REUSED"
+    text.write.mode("errorifexists").text(path)
+    return "WRITTEN"
+
 
-    d = lines.select(F.monotonically_increasing_id().alias("line"), F.col(column).alias("text"))
-    return d.mapInPandas(run, "line long, locator string, sha256 string, record string, problem string")
+def unsafe_paths(df: DataFrame, column: str) -> DataFrame:
+    """(path, problem): paths that must not be opened: absolute ones, those that leave their folder, and blank ones."""
+    c = F.col(column)
+    problem = F.when(F.coalesce(F.trim(c) == "", F.lit(True)), "BLANK").when(c.rlike(r"^(?:/|\\|[A-Za-z]:)"), "ABSOLUTE").when(c.rlike(r"(?:^|[/\\])\.\.(?:[/\\]|$)"), "LEAVES_FOLDER").when(c.contains("\u0000"), "CONTROL")
+    return df.select(c.alias("path"), problem.alias("problem")).filter("problem is not null")
 
 
 def zip_members(spark: SparkSession, path: str) -> DataFrame:
