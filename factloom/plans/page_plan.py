@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as x
 from ..functions import html
-from ..operators import provenance
+from ..operators import audit
 from ..runtime import load
 from ..sources import artifacts
 from ..sources.bindings import EDGES_SQL, edges
@@ -38,9 +38,11 @@ def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_store_parity(spark: SparkSession, d: str) -> DataFrame:
-    """The stored relations against the snapshots' triples."""
-    _, rel = artifacts.materialize_graph(edges(spark, d))
-    return provenance.compare_outer(edges(spark, d), rel, ["snapshot_id", "h", "r", "t"])
+    """Nodes that the store holds per snapshot against the ends of the edge rows as they were delivered, blank ones and nulls included."""
+    nodes, _ = artifacts.materialize_graph(edges(spark, d))
+    stored = nodes.select("entity_id", F.explode("snapshot_ids").alias("snapshot_id"))
+    raw = load(spark, d, "snapshot_edges").select("snapshot_id", F.explode(F.array("subject_id", "object_id")).alias("entity_id"))
+    return audit.parity_by(stored, raw, "snapshot_id", "entity_id")
 
 
 def stream_window_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -65,7 +67,8 @@ SQL = {
 SELECT doc_id, CAST(len(list_distinct([sha256(text), sha256(lf), sha256(replace(lf, chr(10), chr(13) || chr(10))), sha256(chr(65279) || text), sha256(regexp_replace(text, '[\r\n]+$', ''))])) AS int) AS variants FROM t""",
     "url_instants": "SELECT doc_id, date_trunc('second', fetched_at) - INTERVAL 7 HOUR AS published FROM documents WHERE fetched_at IS NOT NULL",
     "graph_nodes": f"WITH {EDGES_SQL} SELECT entity_id, array_to_string(list_sort(list(DISTINCT snapshot_id)), ',') AS snapshot_ids, min(snapshot_id) AS first_seen FROM (SELECT snapshot_id, unnest([h, t]) AS entity_id FROM e) GROUP BY 1",
-    "graph_store_parity": f"WITH {EDGES_SQL} SELECT 'BOTH' AS side, count(*) AS n FROM e",
+    "graph_store_parity": f"""WITH {EDGES_SQL}, u AS (SELECT snapshot_id AS s, unnest([h, t]) AS i, true AS l, false AS r FROM e UNION ALL SELECT snapshot_id, unnest([subject_id, object_id]), false, true FROM snapshot_edges), g AS (SELECT s, i, bool_or(l) AS l, bool_or(r) AS r FROM u GROUP BY s, i)
+SELECT s AS snapshot_id, CASE WHEN NOT l THEN 'RIGHT_ONLY' WHEN NOT r THEN 'LEFT_ONLY' ELSE 'BOTH' END AS side, count(*) AS n FROM g GROUP BY ALL""",
     "stream_window_counts": "SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL",
     "stream_sessions": """WITH l AS (SELECT user_id, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS was FROM events),
 s AS (SELECT *, count(*) FILTER (was IS NULL OR us - was > 21600000000) OVER (PARTITION BY user_id ORDER BY us) AS k FROM l) SELECT CAST(user_id AS varchar) AS key, min(us) AS started, max(us) AS ended, count(*) AS n FROM s GROUP BY user_id, k""",

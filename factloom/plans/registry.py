@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import asof_plan, evidence_plan, general, graph_plan, measure_plan, page_plan
+from . import asof_plan, audit_plan, evidence_plan, general, graph_plan, measure_plan, page_plan
 
-_MODULES = [general, asof_plan, evidence_plan, graph_plan, measure_plan, page_plan]
+_MODULES = [general, asof_plan, audit_plan, evidence_plan, graph_plan, measure_plan, page_plan]
 
 
 def queries() -> dict[str, general.Query]:
