@@ -74,7 +74,8 @@ def quality_by_kind(gold: DataFrame, predicted: DataFrame, key: Sequence[str], k
     gold and predicted have one row a key.  A kind of several fields counts each of
     them; its denominator is all gold facts, so what is not found is wrong.
     """
-    own = lambda d, side: d.select(*key, *[F.col(c).alias(f"_{side}_{c}") for cs in kinds.values() for c in cs], F.lit(True).alias(f"_{side}"))
+    fields = sorted({c for cs in kinds.values() for c in cs})
+    own = lambda d, side: d.select(*key, *[F.col(c).alias(f"_{side}_{c}") for c in fields], F.lit(True).alias(f"_{side}"))
     d = own(gold, "g").alias("g").join(own(predicted, "p").alias("p"), F.expr(same("g", "p", list(key))), "full_outer")
     hit = F.coalesce(F.col("_g") & F.col("_p"), F.lit(False))
     sums = [F.count_if(F.col("_g").isNotNull()).alias("gold"), F.count_if(F.col("_p").isNotNull()).alias("predicted"), F.count_if(hit).alias("hit")]

@@ -60,19 +60,21 @@ def fit_fixed_effects(demeaned: DataFrame, y: str, x: str, cluster: str, regress
     """
     a, b = F.col(f"{x}_tilde"), F.col(f"{y}_tilde")
     sums = demeaned.groupBy(cluster).agg(F.sum(a * b).alias("xy"), F.sum(a * a).alias("xx"), F.count("*").alias("n"))
-    total = sums.agg(F.sum("n").alias("n"), F.count("*").alias("clusters"), (F.sum("xy") / F.sum("xx")).alias("beta"), F.sum("xx").alias("xx_all"))
+    total = sums.agg(F.sum("n").alias("n"), F.count("*").alias("clusters"), F.try_divide(F.sum("xy"), F.sum("xx")).alias("beta"), F.sum("xx").alias("xx_all"))
     # A cluster's score is sum x (y - beta x); only a row per cluster is needed.
     s = sums.select("xy", "xx").join(F.broadcast(total)).withColumn("score", F.col("xy") - F.col("beta") * F.col("xx"))
     out = s.groupBy("n", "clusters", "beta", "xx_all").agg(F.sum(F.col("score") * F.col("score")).alias("meat"))
-    adjust = F.col("clusters") / (F.col("clusters") - 1) * (F.col("n") - 1) / (F.col("n") - regressors)
-    out = out.withColumn("se", F.sqrt(adjust * F.col("meat")) / F.col("xx_all"))
-    return out.select("n", "clusters", "beta", "se", (F.col("beta") / F.col("se")).alias("t_stat"))
+    adjust = F.try_divide(F.col("clusters") * (F.col("n") - 1), (F.col("clusters") - 1) * (F.col("n") - regressors))
+    out = out.withColumn("se", F.try_divide(F.sqrt(adjust * F.col("meat")), F.col("xx_all")))
+    return out.select("n", "clusters", "beta", "se", F.try_divide(F.col("beta"), F.col("se")).alias("t_stat"))
 
 
 def partial_out(demeaned: DataFrame, columns: list[str], control: str) -> DataFrame:
     """demeaned with the part of each column's residual that the control explains taken away: fits on it equal those with the control."""
-    c = F.col(f"{control}_tilde")
-    slopes = demeaned.agg(*[(F.sum(F.col(f"{k}_tilde") * c) / F.sum(c * c)).alias(f"_s_{k}") for k in columns])
+    c, raw = F.col(f"{control}_tilde"), F.col(control)
+    # A control that unit and time explain but for rounding takes nothing away.
+    varies = F.sum(c * c) > 1e-12 * F.sum(raw * raw)
+    slopes = demeaned.agg(*[F.when(varies, F.try_divide(F.sum(F.col(f"{k}_tilde") * c), F.sum(c * c))).alias(f"_s_{k}") for k in columns])
     d = demeaned.join(F.broadcast(slopes))
     return d.select(*[k for k in demeaned.columns if k not in {f"{k}_tilde" for k in columns}], *[(F.col(f"{k}_tilde") - F.coalesce(F.col(f"_s_{k}"), F.lit(0.0)) * c).alias(f"{k}_tilde") for k in columns])
 
@@ -104,6 +106,38 @@ def wild_bootstrap(demeaned: DataFrame, y: str, x: str, cluster: str, draws: int
     return sums.withColumn("g", F.lit(1)).groupBy("g").applyInPandas(run, "clusters int, draws int, p double")
 
 
+def estimate(panel: DataFrame, label: str, unit: str, time: str, y: str, x: str, control: str | None = None, draws: int = 999) -> DataFrame:
+    """(label, status, n, clusters, beta, se, t_stat, p, mde80) of one fit, in one row.
+
+    Rows without exposure, outcome or control are dropped, then units with one row.
+    NO_DATA, FEW_CLUSTERS (under 2) and NO_VARIATION (of the exposure, once unit, time
+    and control are taken out) give no estimate.  mde80 is 2.8 standard errors.
+    """
+    columns = [y, x, *([control] if control else [])]
+    p = informative(panel.select(unit, time, *columns).dropna(subset=columns), unit)
+    d = staged(demean_iterated(p, unit, time, columns), "estimate")
+    if control:
+        d = staged(partial_out(d, [y, x], control), "estimate")
+    a = F.col(f"{x}_tilde")
+    size = d.agg(F.count("*").alias("n"), F.countDistinct(time).alias("clusters"), F.sum(a * a).alias("left"), F.sum(F.col(x) * F.col(x)).alias("all")).first()
+    status = "NO_DATA" if not size["n"] else "FEW_CLUSTERS" if size["clusters"] < 2 else "NO_VARIATION" if size["left"] <= 1e-12 * max(size["all"], 1e-300) else "OK"
+    head = d.sparkSession.range(1).select(F.lit(label).alias("label"), F.lit(status).alias("status"))
+    if status != "OK":
+        none = [F.lit(None).cast("double").alias(c) for c in ("beta", "se", "t_stat", "p", "mde80")]
+        return head.select("*", F.lit(size["n"]).cast("long").alias("n"), F.lit(size["clusters"]).cast("long").alias("clusters"), *none)
+    fit = fit_fixed_effects(d, y, x, time, 1 + bool(control))
+    p_of = wild_bootstrap(d, y, x, time, draws).select("p")
+    # One row each.
+    return head.join(F.broadcast(fit)).join(F.broadcast(p_of)).select("label", "status", "n", "clusters", "beta", "se", "t_stat", "p", (2.8 * F.col("se")).alias("mde80"))
+
+
+def testability(jobs: DataFrame, primary: str, least_rows: int = 100, least_clusters: int = 5) -> DataFrame:
+    """(status, rows, clusters): TESTABLE where the primary fit has an estimate on enough rows and clusters."""
+    one = jobs.filter(F.col("label") == primary).agg(F.max("n").alias("rows"), F.max("clusters").alias("clusters"), F.coalesce(F.bool_or(F.col("status") == "OK"), F.lit(False)).alias("ok"))
+    good = F.col("ok") & (F.col("rows") >= least_rows) & (F.col("clusters") >= least_clusters)
+    return one.select(F.when(good, "TESTABLE").otherwise("NOT_TESTABLE").alias("status"), "rows", "clusters")
+
+
 def _poisson_cuts() -> np.ndarray:
     return np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -151,8 +153,8 @@ def model_against_baseline(spark: SparkSession, d: str) -> DataFrame:
     return model.join(base, "snapshot_id").join(n, "snapshot_id")
 
 
-def rank_paths(spark: SparkSession, d: str) -> DataFrame:
-    """The end of each two-hop path of the capped panel, other ends of its relation sequence left out; the median reciprocal over seeds."""
+def _path_ranks(spark: SparkSession, d: str, seen_first: bool = False) -> DataFrame:
+    """(snapshot_id, seed, path, rank, reciprocal) of the capped two-hop panel; the candidates are all entities of the snapshot, or those that the first one has."""
     e = edges(spark, d)
     eligible = graph.degrees(e).filter("degree >= 3").select("snapshot_id", "entity")
     p = staged(graph.cap_per_head(graph.simple_paths(e, 2, eligible), 3), "paths")
@@ -162,10 +164,28 @@ def rank_paths(spark: SparkSession, d: str) -> DataFrame:
     ends = graph.path_answers(e, asked)
     true = q.select("query", "snapshot_id", F.col("path")[0].alias("head"), x.path_relations("path").alias("relations")).join(ends, ["snapshot_id", "head", "relations"]).select("query", F.col("answer").alias("candidate"))
     c = v.filter("kind = 'entity'").select("snapshot_id", "seed", F.col("id").alias("candidate"), "vec")
-    r = ranking.filtered_ranks(q, c, true, ["snapshot_id", "seed"]).join(q.select("query", "path"), "query")
+    if seen_first:
+        first = e.filter(F.col("snapshot_id") == PAIRS[0][0]).select(F.explode(F.array("h", "t")).alias("candidate")).distinct()
+        c = c.join(first, "candidate", "left_semi")
+    return ranking.filtered_ranks(q, c, true, ["snapshot_id", "seed"]).join(q.select("query", "path"), "query")
+
+
+def rank_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The end of each two-hop path of the capped panel, other ends of its relation sequence left out; the medians over seeds."""
+    r = _path_ranks(spark, d)
     return r.groupBy("snapshot_id", F.array_join("path", ">").alias("path")).agg(F.median("reciprocal").alias("reciprocal"), F.median("rank").alias("rank"), F.count("*").alias("seeds"))
 
 
+def panel_mrr(spark: SparkSession, d: str) -> DataFrame:
+    """Mean reciprocal rank of the panel per snapshot in two universes of candidates, and their contrast over the paths that both can rank."""
+    per = []
+    for name, seen in (("open_world", False), ("seen_at_first", True)):
+        r = _path_ranks(spark, d, seen).filter("rank < double('infinity')")
+        per.append(r.groupBy("snapshot_id", F.array_join("path", ">").alias("path")).agg(F.median("reciprocal").alias(name)))
+    j = per[0].join(per[1], ["snapshot_id", "path"], "left")
+    return j.groupBy("snapshot_id").agg(F.avg("open_world").alias("open_world"), F.avg("seen_at_first").alias("seen_at_first"), F.avg(F.col("seen_at_first") - F.col("open_world")).alias("contrast"), F.count("*").alias("paths"))
+
+
 def rank_top3(spark: SparkSession, d: str) -> DataFrame:
     s = _scores(spark, d).filter("candidate <> query")
     return ranking.top_k(s, 3).select("query", "candidate", "position", F.round("score", 6).alias("score"))
@@ -216,6 +236,15 @@ def panel_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return stats.wild_bootstrap(p, "y", "x", "time")
 
 
+def panel_jobs(spark: SparkSession, d: str) -> DataFrame:
+    """Estimates of the primary fit, with a control, of a falsified exposure, and without each of the first times."""
+    p = staged(_panel(spark, d).withColumn("size", F.log1p("x")).withColumn("z", (F.pmod(F.xxhash64("unit", "time"), F.lit(1000)) / 1000.0)), "panel")
+    jobs = [stats.estimate(p, "primary", "unit", "time", "y", "x"), stats.estimate(p, "control", "unit", "time", "y", "x", "z"), stats.estimate(p, "falsified", "unit", "time", "y", "z")]
+    for r in p.select("time").distinct().orderBy("time").limit(3).collect():
+        jobs.append(stats.estimate(p.filter(F.col("time") != r["time"]), f"without_{r['time']}", "unit", "time", "y", "x"))
+    return reduce(DataFrame.unionByName, jobs)
+
+
 def panel_informative(spark: SparkSession, d: str) -> DataFrame:
     return stats.informative(_panel(spark, d), "unit").groupBy("unit").agg(F.count("*").alias("rows"))
 
@@ -270,25 +299,42 @@ def embedding_displacement(spark: SparkSession, d: str) -> DataFrame:
     return geometry.displacement(_compared(spark, d))
 
 
+def _observed(spark: SparkSession, d: str) -> DataFrame:
+    return staged(geometry.observations(_compared(spark, d)), "observations")
+
+
+def _degree_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """(a, id, bucket_id): the degree bucket of each entity in the snapshot a."""
+    return graph.degrees(edges(spark, d)).select(F.col("snapshot_id").alias("a"), F.col("entity").alias("id"), x.degree_bucket("degree").alias("bucket_id"))
+
+
 def embedding_drift(spark: SparkSession, d: str) -> DataFrame:
     """Each entity's displacement over a transition against the noise of retraining: six null observations an entity, three of drift.
 
-    The reference of an entity is made of the medians of the others of its degree bucket.
+    The reference of an entity is made of the medians of the others of its degree
+    bucket; seed_range is how far the three displacements lie apart.
     """
-    o = staged(geometry.observations(_compared(spark, d)), "observations")
+    o = _observed(spark, d)
     null = nullmodel.entity_medians(o.filter("role = 'null'"), ["transition_id", "id"], "distance")
-    deg = graph.degrees(edges(spark, d)).select(F.col("snapshot_id").alias("a"), F.col("entity").alias("id"), x.degree_bucket("degree").alias("bucket_id"))
-    at = null.withColumn("a", F.split("transition_id", "->")[0]).join(deg, ["a", "id"])
+    at = null.withColumn("a", F.split("transition_id", "->")[0]).join(_degree_buckets(spark, d), ["a", "id"])
     ref = nullmodel.leave_target_out(staged(at.select("transition_id", "bucket_id", "id", "value"), "null"), ["transition_id", "bucket_id"], key="id")
-    drift = nullmodel.entity_medians(o.filter("role = 'drift'"), ["transition_id", "id"], "distance").select("transition_id", "id", F.col("value").alias("delta"))
+    # Three rows an entity.
+    drift = o.filter("role = 'drift'").groupBy("transition_id", "id").agg(F.median("distance").alias("delta"), (F.max("distance") - F.min("distance")).alias("seed_range"))
     return nullmodel.calibrate(ref.join(drift, ["transition_id", "id"], "left"), "delta")
 
 
+def embedding_noise_floor(spark: SparkSession, d: str) -> DataFrame:
+    """Median distance of the same entity between seeds, per transition and degree bucket, beside that of two random directions (1)."""
+    o = _observed(spark, d).filter("role = 'null'").withColumn("a", F.split("transition_id", "->")[0]).join(_degree_buckets(spark, d), ["a", "id"])
+    q = nullmodel.quantiles(o, ["transition_id", "bucket_id"], "distance", [0.5])
+    return q.select("transition_id", "bucket_id", "n", F.col("q")[0].alias("noise"), F.lit(1.0).alias("random"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        null_bucket_statistics, null_entity_medians, null_leave_target_out, drift_scores, drift_summary, bucket_merges, noise_seed_pairs, rank_filtered, rank_raw, rank_metrics, rank_triples, model_against_baseline, rank_paths, rank_top3, vector_products,
-        panel_demeaned, panel_fixed_effects, panel_unbalanced, panel_bootstrap, panel_informative, mean_intervals, loss_plateau, loss_noise_plateau, transe_vectors, embedding_alignment, embedding_displacement, embedding_drift,
+        null_bucket_statistics, null_entity_medians, null_leave_target_out, drift_scores, drift_summary, bucket_merges, noise_seed_pairs, rank_filtered, rank_raw, rank_metrics, rank_triples, model_against_baseline, rank_paths, panel_mrr, rank_top3, vector_products,
+        panel_demeaned, panel_fixed_effects, panel_unbalanced, panel_bootstrap, panel_jobs, panel_informative, mean_intervals, loss_plateau, loss_noise_plateau, transe_vectors, embedding_alignment, embedding_displacement, embedding_drift, embedding_noise_floor,
     )
 }
 
@@ -321,8 +367,8 @@ _DAYS = f"pp AS (SELECT user_id AS unit, CAST(ts AS date) AS time, avg(value) AS
 _LOSS = """l AS (SELECT event_type, (day(ts) - 1) * 24 + hour(ts) AS epoch, avg(value) AS loss FROM events GROUP BY ALL), k AS (SELECT *, (row_number() OVER (PARTITION BY event_type ORDER BY epoch DESC) - 1) // 50 AS b FROM l),
 s AS (SELECT event_type, avg(loss) FILTER (b = 0) AS last, avg(loss) FILTER (b = 1) AS before, var_samp(loss) FILTER (b = 0) AS v0, var_samp(loss) FILTER (b = 1) AS v1, arg_min(loss, epoch) AS first, count(*) >= 100 AND bool_and(coalesce(isfinite(loss), false)) AS enough FROM k GROUP BY 1)"""
 
-# rank_triples, model_against_baseline, rank_paths, bucket_merges, panel_bootstrap, mean_intervals, transe_vectors, embedding_alignment, embedding_displacement and
-# embedding_drift have none: sequential, seeded or iterative numerics are compared with plain versions in the tests.
+# rank_triples, model_against_baseline, rank_paths, panel_mrr, bucket_merges, panel_bootstrap, panel_jobs, mean_intervals, transe_vectors, embedding_alignment, embedding_displacement,
+# embedding_drift and embedding_noise_floor have none: sequential, seeded or iterative numerics are compared with plain versions in the tests.
 SQL = {
     "null_bucket_statistics": f"""WITH {_FIN}, a AS (SELECT transition_id, bucket_id, count(*) AS n, median(v) AS median FROM n WHERE v IS NOT NULL GROUP BY ALL),
 b AS (SELECT a.transition_id, a.bucket_id, a.n, median, median(abs(v - median)) AS mad FROM a JOIN n ON a.transition_id IS NOT DISTINCT FROM n.transition_id AND a.bucket_id IS NOT DISTINCT FROM n.bucket_id WHERE v IS NOT NULL GROUP BY ALL)

@@ -185,6 +185,29 @@ def test_fixed_effects_equal_least_squares(spark):
     assert 0 < statistics.wild_bootstrap(p, "y", "x", "time", 99).first()["p"] <= 1
 
 
+def test_estimates(spark):
+    rng = np.random.default_rng(5)
+    rows = [(u, t, float(0.5 * a + u + rng.normal() * 0.1), float(a), 1.0, None if u == 0 else 2.0) for u in range(12) for t in range(4) for a in [rng.normal()]]
+    p = spark.createDataFrame(rows, "u int, t int, y double, x double, flat double, c double")
+    ok = statistics.estimate(p, "main", "u", "t", "y", "x", draws=99)
+    r = ok.first()
+    assert (r["status"], r["n"], r["clusters"]) == ("OK", 48, 4) and abs(r["beta"] - 0.5) < 0.1 and abs(r["mde80"] - 2.8 * r["se"]) < 1e-12
+    assert statistics.estimate(p, "c", "u", "t", "y", "x", "c", draws=9).first()["n"] == 44
+    assert statistics.estimate(p, "flat", "u", "t", "y", "flat").first()["status"] == "NO_VARIATION"
+    assert statistics.estimate(p.limit(0), "none", "u", "t", "y", "x").first()["status"] == "NO_DATA"
+    assert statistics.testability(ok, "main", 40, 4).first()["status"] == "TESTABLE" and statistics.testability(ok, "other").first()["status"] == "NOT_TESTABLE"
+
+
+def test_selection_of_configurations(spark):
+    from factloom.operators import audit
+
+    rows = [("a", "s1", 0.4), ("a", "s1", 0.6), ("a", "s2", 0.3), ("b", "s1", 0.5), ("b", "s2", 0.298), ("c", "s1", 0.1), ("c", "s2", 0.1), ("d", "s1", 0.4), ("d", "s2", 0.4)]
+    got = {r["k"]: r["best"] for r in audit.tied_best(spark.createDataFrame(rows, "k string, s string, v double"), "k", "s", "v").collect()}
+    assert got == {"a": True, "b": False, "d": False}
+    noise = spark.createDataFrame([("g", e, v) for e, v in ((100, 0.5), (200, 0.3), (300, 0.29), (400, 0.31))], "g string, e int, v double")
+    assert {r["e"]: r["stable"] for r in audit.stability_plateau(noise, "g", "e", "v", 0.02).collect()} == {100: False, 200: True, 300: True, 400: None}
+
+
 def test_plateaus(spark):
     from math import nan
 
@@ -251,7 +274,7 @@ def trained(spark, data):
     return staged(geometry.train(graph_plan.edges(spark, data), dimension=16, epochs=20), "trained")
 
 
-@pytest.mark.parametrize("name", ["bucket_merges", "mean_intervals", "panel_bootstrap", "embedding_alignment", "embedding_displacement", "embedding_drift", "rank_paths", "rank_triples", "model_against_baseline"])
+@pytest.mark.parametrize("name", ["bucket_merges", "mean_intervals", "panel_bootstrap", "embedding_alignment", "embedding_displacement", "embedding_drift", "embedding_noise_floor", "rank_paths", "panel_mrr", "rank_triples", "model_against_baseline"])
 def test_runs(spark, data, trained, monkeypatch, name):
     monkeypatch.setattr(measure_plan, "_trained", lambda *_: trained)
     monkeypatch.setattr(measure_plan, "_held_out", lambda *_: ((f := graph.covered_folds(graph_plan.edges(spark, data), 5)), f.filter("fold = 0"), trained))
