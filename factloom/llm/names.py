@@ -251,24 +251,25 @@ class Trie:
 TASK_ROWS = 60_000
 #: Names of a shard from which it is sharded again; the largest trie of a task.
 HOT = 4000
-_SEP = "\u0001"
 
 
-def _shards(df: DataFrame, bound: int, lengths: range | None) -> DataFrame:
-    """(part, name, path, rest) of the shards of each row's ``rest``; path grows by length, number and text of the segment.
+def _shards(df: DataFrame, bound: int, lengths: range | None, rest: bool = False) -> DataFrame:
+    """(part, name, path[, rest]) of the shards of each row's ``rest``: path is a number made of the path before and the length, number and text of the segment.
 
     Held names (no lengths) stand in each of their segments' shards.  A probe looks for
     every segment that a name of one of the lengths around its own may share with it,
-    and so may lie up to ``bound`` places off.  rest is what the segment leaves.
+    and so may lie up to ``bound`` places off.  ``rest``: with what the segment leaves.
     """
     n = 2 * bound + 1
     size = F.length("rest")
     edge = lambda i, length: F.floor(F.lit(i) * length / n).cast("int")
 
     def shard(length, i, start, end):
-        segment = F.substring(F.col("rest"), start + 1, end - start)
+        path = F.xxhash64("path", length, F.lit(i), F.substring(F.col("rest"), start + 1, end - start))
+        if not rest:
+            return path
         left = F.concat(F.substring(F.col("rest"), F.lit(1), start), F.substring(F.col("rest"), end + 1, size))
-        return F.struct(F.concat_ws(_SEP, "path", length, F.lit(i), segment).alias("path"), left.alias("rest"))
+        return F.struct(path.alias("path"), left.alias("rest"))
 
     if lengths is None:
         ways = [shard(size, i, edge(i, size), edge(i + 1, size)) for i in range(n)]
@@ -280,7 +281,8 @@ def _shards(df: DataFrame, bound: int, lengths: range | None) -> DataFrame:
                 for shift in range(-bound, bound + 1):
                     start, end = edge(i, of) + shift, edge(i + 1, of) + shift
                     ways.append(F.when((of >= 0) & (start >= 0) & (end <= size), shard(of, i, start, end)))
-    return df.select("part", "name", F.explode(F.array_distinct(F.array_compact(F.array(*ways)))).alias("_s")).select("part", "name", "_s.path", "_s.rest")
+    d = df.select("part", "name", F.explode(F.array_distinct(F.array_compact(F.array(*ways)))).alias("path"))
+    return d.select("part", "name", "path.*") if rest else d
 
 
 def trie_join(names: DataFrame, bound: int, other: DataFrame | None = None, hot: int = HOT) -> DataFrame:
@@ -291,26 +293,28 @@ def trie_join(names: DataFrame, bound: int, other: DataFrame | None = None, hot:
     sharded again by the rest of their names, which is within the bound as well.
     """
     ordered = other is None
-    begin = lambda d: d.select("part", "name", F.col("part").alias("path"), F.col("name").alias("rest"))
+    begin = lambda d: d.select("part", "name", F.xxhash64("part").alias("path"), F.col("name").alias("rest"))
     # A probe of length L meets names of length L-bound..L (both ways: ..L+bound).
     lengths = range(-bound, 1 if ordered else bound + 1)
-    held, probes = _shards(begin(names if ordered else other), bound, None), _shards(begin(names), bound, lengths)
-    big = staged(held.groupBy("path").agg(F.count("*").alias("c")).filter(F.col("c") > hot).select("path"), "hot")
-    salts = None
+    of_held, of_probes = begin(names if ordered else other), begin(names)
+    d, p = _shards(of_held, bound, None), _shards(of_probes, bound, lengths)
+    big = staged(d.groupBy("path").agg(F.count("*").alias("c")).filter(F.col("c") > hot).select("path"), "hot")
+    piece = None
     if not big.isEmpty():
-        again = lambda d, more: d.join(big, "path", "left_anti").unionByName(_shards(d.join(big, "path", "left_semi"), bound, more))
-        held, probes = staged(again(held, None), "held"), again(probes, lengths)
+
+        def again(flat: DataFrame, begun: DataFrame, more: range | None) -> DataFrame:
+            deeper = _shards(_shards(begun, bound, more, True).join(big, "path", "left_semi"), bound, more)
+            return flat.join(big, "path", "left_anti").unionByName(deeper)
+
+        d, p = staged(again(d, of_held, None), "held"), again(p, of_probes, lengths)
         # What is still large is split by its held names; every probe goes to each piece.
-        salts = staged(held.groupBy("path").agg(F.count("*").alias("c")).filter(F.col("c") > hot).select("path", F.ceil(F.col("c") / hot).cast("int").alias("s")), "pieces")
-    rows = names.count() * (2 * bound + 1) * (1 + 2 * len(lengths))
-    d, p = held.select("path", "part", "name"), probes.select("path", "part", "name")
-    piece = F.lit(0)
-    if salts is not None:
+        salts = staged(d.groupBy("path").agg(F.count("*").alias("c")).filter(F.col("c") > hot).select("path", F.ceil(F.col("c") / hot).cast("int").alias("s")), "pieces")
         d = d.join(salts, "path", "left").select("path", "part", "name", F.pmod(F.xxhash64("name"), F.coalesce("s", F.lit(1))).cast("int").alias("piece"))
         p = p.join(salts, "path", "left").select("path", "part", "name", F.explode(F.sequence(F.lit(0), F.coalesce("s", F.lit(1)) - 1)).alias("piece"))
-        piece = F.col("piece")
-    # Shards of one number share a task's pass; the part keeps strangers apart.
-    row = lambda x, side: x.select(F.xxhash64("path", piece).alias("shard"), F.lit(side).cast("tinyint").alias("side"), "part", "name")
+        piece = F.xxhash64("path", "piece")
+    rows = names.count() * (2 * bound + 1) * (1 + 2 * len(lengths))
+    # Where two shards have one number they share a trie per part, and only names of one part meet.
+    row = lambda x, side: x.select((F.col("path") if piece is None else piece).alias("shard"), F.lit(side).cast("tinyint").alias("side"), "part", "name")
     both = row(d, 0).unionByName(row(p, 1))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -223,7 +223,7 @@ def test_a_hot_shard_is_sharded_again(spark):
     rnd = random.Random(4)
     words = sorted({"segment" + "".join(rnd.choice("abcdefgh") for _ in range(14)) for _ in range(600)})
     df = spark.createDataFrame([("p", w) for w in words], "part string, name string")
-    first = names._shards(df.selectExpr("part", "name", "part path", "name rest"), 1, None)
+    first = names._shards(df.selectExpr("part", "name", "xxhash64(part) path", "name rest"), 1, None, True)
     assert first.groupBy("path").count().agg({"count": "max"}).first()[0] == len(words)
     second = names._shards(first, 1, None)
     per = [r["count"] for r in second.groupBy("path").count().collect()]
