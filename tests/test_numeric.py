@@ -1,7 +1,10 @@
 """Numeric and graph operators against plain versions."""
 
+import time
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.functions import expressions as x
 from factloom.operators import geometry, graph, nullmodel, ranking, statistics
@@ -159,6 +162,97 @@ def test_training_lowers_the_loss(optimiser, rate):
     assert np.mean(losses[-10:]) < 0.5 * losses[0]
 
 
+def plain_training(rows, dimension, epochs, seed, margin=2.0, rate=0.01, batch=128):
+    """Triple by triple over gradients that are added up per batch, from the same draws."""
+    rng = np.random.default_rng(seed)
+    ents, rels = sorted({e for h, _, t in rows for e in (h, t)}), sorted({r for _, r, _ in rows})
+    known = sorted(set(rows))
+    x = np.array([(ents.index(h), rels.index(r), ents.index(t)) for h, r, t in known])
+    n, m = len(ents), len(rels)
+    share = np.array([(p := len(own) / len({h for h, _ in own})) / (p + len(own) / len({t for _, t in own})) for k in range(m) for own in [[(h, t) for h, r, t in x.tolist() if r == k]]])
+    true = np.array(sorted((h * m + r) * n + t for h, r, t in x.tolist()))
+    ev, rv = rng.uniform(-6 / dimension**0.5, 6 / dimension**0.5, (n, dimension)), rng.uniform(-6 / dimension**0.5, 6 / dimension**0.5, (m, dimension))
+    rv /= np.linalg.norm(rv, axis=1, keepdims=True)
+    losses = []
+    for _ in range(epochs):
+        ev /= np.linalg.norm(ev, axis=1, keepdims=True)
+        order, total = x[rng.permutation(len(x))], 0.0
+        head, put, usable = geometry.replacements(order, true, share, n, rng)
+        for lo in range(0, len(x), batch):
+            de, dr = np.zeros_like(ev), np.zeros_like(rv)
+            for i in range(lo, min(lo + batch, len(x))):
+                h, r, t = order[i]
+                nh, nt = (put[i], t) if head[i] else (h, put[i])
+                good, bad = ev[h] + rv[r] - ev[t], ev[nh] + rv[r] - ev[nt]
+                loss = margin + np.linalg.norm(good) - np.linalg.norm(bad)
+                if not usable[i] or loss <= 0:
+                    continue
+                total += loss
+                good, bad = good / np.linalg.norm(good), bad / np.linalg.norm(bad)
+                for d, k, v in ((de, h, good), (de, t, -good), (de, nh, -bad), (de, nt, bad), (dr, r, good - bad)):
+                    d[k] += v
+            ev, rv = ev - rate * de, rv - rate * dr
+        losses.append(total / len(x))
+    return ents, ev, rels, rv, losses
+
+
+@pytest.mark.parametrize("relations", [3, 90])
+def test_training_equals_triple_by_triple(relations):
+    rng = np.random.default_rng(2)
+    rows = [("a", "r0", "a"), *{(f"e{h}", f"r{r}", f"e{t}") for h, r, t in zip(rng.integers(0, 40, 300), rng.integers(0, relations, 300), rng.integers(0, 9, 300))}]
+    got, want = geometry.train_translation(rows, 8, 6, 13), plain_training(rows, 8, 6, 13)
+    assert got[0] == want[0] and got[2] == want[2]
+    assert all(np.allclose(got[i], want[i], rtol=0, atol=1e-9) for i in (1, 3, 4))
+
+
+def test_replacements():
+    """Never a true triple, heads as often as the relation's share, and nothing usable where every replacement is true."""
+    x = np.array([(h, 0, t) for h in range(20) for t in range(20) if (h * 7 + t) % 3] + [(h, 1, 0) for h in range(20)])
+    share, rng = np.array([0.3, 1.0]), np.random.default_rng(3)
+    true = np.sort((x[:, 0] * 2 + x[:, 1]) * 20 + x[:, 2])
+    known, heads = {tuple(v) for v in x.tolist()}, 0
+    for _ in range(40):
+        head, put, usable = geometry.replacements(x, true, share, 20, rng)
+        for (h, r, t), a, p, ok in zip(x.tolist(), head, put.tolist(), usable):
+            assert ok == (r == 0) and (not ok or ((p, r, t) if a else (h, r, p)) not in known)
+        heads += head[x[:, 1] == 0].sum()
+    assert abs(heads / 40 / (x[:, 1] == 0).sum() - 0.3) < 0.02
+
+
+def test_rows_named_repeatedly_get_all_their_changes():
+    rng = np.random.default_rng(4)
+    rows, at, change = rng.normal(size=(50, 5)), rng.integers(0, 12, 90), rng.normal(size=(90, 5))
+    want = rows.copy()
+    np.add.at(want, at, change)
+    geometry.add_rows(rows, at, rows[at], change, np.full(50, 7))
+    assert np.allclose(rows, want, rtol=0, atol=1e-12)
+
+
+def test_each_run_is_a_task_of_its_own(spark):
+    """Two runs in one task take twice as long as the others."""
+    d = spark.createDataFrame([(s, f"{s}{i}", "r", f"{s}{i + 1}") for s in "ABCDEFGHIJ" for i in range(3)], "snapshot_id string, h string, r string, t string")
+    v = geometry.train(d, dimension=4, epochs=1).select("snapshot_id", "seed", F.spark_partition_id().alias("p")).distinct().collect()
+    assert len(v) == len({r["p"] for r in v}) == 30
+
+
+def test_steps_cost_no_more_than_their_rows():
+    """A step over many vectors costs as much as one over few, and far less than adding up each number by itself."""
+    rng = np.random.default_rng(5)
+    rows = [(f"h{h}", f"r{r}", f"t{t}") for h, r, t in zip(rng.integers(0, 1500, 2500), rng.integers(0, 9, 2500), rng.integers(0, 900, 2500))]
+    least = lambda f: min(f() for _ in range(3))
+
+    def timed(f):
+        began = time.perf_counter()
+        f()
+        return time.perf_counter() - began
+
+    x, change = np.zeros((2400, 64)), np.ones((512, 64))
+    plain = least(lambda: timed(lambda: [np.add.at(x, rng.integers(0, 2400, 512), change) for _ in range(100)])) / 100
+    steps = 8 * -(-len(set(rows)) // 128)
+    one = least(lambda: timed(lambda: geometry.train_translation(rows, 64, 1, 13)))
+    assert (least(lambda: timed(lambda: geometry.train_translation(rows, 64, 9, 13))) - one) / steps < plain
+
+
 def plain_fit(rows, names):
     """Least squares with a column per unit and time, and errors clustered by time."""
     units, times = sorted({r[0] for r in rows}), sorted({r[1] for r in rows})
