@@ -34,6 +34,38 @@ def _vectors(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
 
+def nearer(v: np.ndarray, limit: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many of ``other`` lie nearer to each row of v than its limit, and how many exactly as far, by :func:`_distances`.
+
+    Squared distances from one product of matrices settle all pairs but those within
+    that product's rounding of the limit, which are measured directly.
+    """
+    better, same = np.zeros(len(v), np.int64), np.zeros(len(v), np.int64)
+    lengths, others = (v * v).sum(axis=1), (other * other).sum(axis=1)
+    quick = np.isfinite(lengths).all() and np.isfinite(others).all() and np.isfinite(limit).all()
+    step = max(1, 4_000_000 // (len(other) if quick else max(1, other.size)))
+    for i in range(0, len(v), step):
+        a, most = v[i : i + step], limit[i : i + step, None]
+        if not quick:
+            d = _distances(a[:, None, :], other[None])
+            better[i : i + step], same[i : i + step] = (d < most).sum(axis=1), (d == most).sum(axis=1)
+            continue
+        # Rounding of a sum of so many products, several times over.
+        slack = 8 * (v.shape[1] + 4) * np.finfo(float).eps * (lengths[i : i + step, None] + others.max() + most * most)
+        over = a @ (-2 * other.T)
+        over += lengths[i : i + step, None] - most * most
+        over += others
+        sure = over < -slack
+        better[i : i + step] = sure.sum(axis=1)
+        q, c = np.nonzero((over <= slack) & ~sure)
+        for k in range(0, len(q), 50_000):
+            at, to = q[k : k + 50_000], c[k : k + 50_000]
+            d, far = _distances(a[at], other[to]), most[at, 0]
+            better[i : i + step] += np.bincount(at[d < far], minlength=len(a))
+            same[i : i + step] += np.bincount(at[d == far], minlength=len(a))
+    return better, same
+
+
 def filtered_ranks(queries: DataFrame, candidates: DataFrame, filtered: DataFrame | None = None, group: Sequence[str] = (), block: int = BLOCK) -> DataFrame:
     """(group, query, gold, rank, reciprocal): 1 + better + ties/2 of the gold answer by the distance from the query's vector.
 
@@ -57,11 +89,7 @@ def filtered_ranks(queries: DataFrame, candidates: DataFrame, filtered: DataFram
         better, same = np.zeros(a.num_rows, np.int64), np.zeros(a.num_rows, np.int64)
         if a.num_rows and b.num_rows:
             v, w, other = _vectors(a.column("vec")), _vectors(a.column("gold_vec")), _vectors(b.column("vec"))
-            limit, step = _distances(v, w), max(1, 4_000_000 // other.size)
-            for i in range(0, len(v), step):
-                d = _distances(v[i : i + step, None, :], other[None])
-                better[i : i + step] = (d < limit[i : i + step, None]).sum(axis=1)
-                same[i : i + step] = (d == limit[i : i + step, None]).sum(axis=1)
+            better, same = nearer(v, _distances(v, w), other)
         return pa.table({"query": a.column("query"), "better": better, "same": same})
 
     by = [*g, "_q", "_c"]

@@ -340,6 +340,33 @@ def test_filtered_ranks(spark, block):
     assert ranking.filtered_ranks(queries.limit(0), candidates, None, ["g"]).count() == 0
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e-9, 1e6, 1e200])
+def test_nearer_equals_direct_distances(scale):
+    """Ties, rows a rounding apart, and values whose squares are not finite."""
+    rng = np.random.default_rng(8)
+    other = rng.integers(0, 3, (300, 6)).astype(float) + 7
+    other[::3] *= 1 + np.finfo(float).eps
+    other[5] += rng.normal(size=6) * 1e-16
+    v, gold = np.concatenate([other[:20], rng.integers(0, 3, (60, 6)) + 7.0]) * scale, other[rng.integers(0, 300, 80)] * scale
+    other = other * scale
+    with np.errstate(all="ignore"):
+        d, limit = ranking._distances(v[:, None], other[None]), ranking._distances(v, gold)
+        better, same = ranking.nearer(v, limit, other)
+    assert (better == (d < limit[:, None]).sum(axis=1)).all() and (same == (d == limit[:, None]).sum(axis=1)).all()
+
+
+def test_nearer_takes_less_time_than_direct_distances():
+    rng = np.random.default_rng(9)
+    v, other, times = rng.normal(size=(400, 64)), rng.normal(size=(2000, 64)), []
+    limit = ranking._distances(v, other[:400])
+    for f in (lambda: ranking.nearer(v, limit, other), lambda: [(ranking._distances(v[i : i + 31, None], other[None]) < limit[i : i + 31, None]).sum() for i in range(0, 400, 31)]):
+        f()
+        began = time.perf_counter()
+        f()
+        times.append(time.perf_counter() - began)
+    assert times[0] < 0.5 * times[1]
+
+
 def test_triple_and_path_queries(spark):
     vectors = [("S", 1, "entity", "a", [0.0, 0.0]), ("S", 1, "entity", "b", [1.0, 0.0]), ("S", 1, "entity", "c", [1.0, 1.0]), ("S", 1, "relation", "r", [1.0, 0.0]), ("S", 1, "relation", "s", [0.0, 1.0])]
     v = spark.createDataFrame(vectors, "snapshot_id string, seed int, kind string, id string, vec array<double>")
