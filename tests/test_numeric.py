@@ -155,6 +155,19 @@ def test_comparisons():
     assert len(c) == len(set(c)) == 9 and sum(x[1] == "drift" for x in c) == 3 and ("A->B", "null", "B", 37, "B", 101) in c
 
 
+def test_compared_vectors(spark):
+    """Entities of both ends alone, within one end too, and each vector shuffled once whatever the number of comparisons."""
+    has = {"A": "abc", "B": "bcd", "C": "ce"}
+    rows = [(s, seed, "entity", e, [float(ord(e)), float(seed), float(ord(s))]) for s in has for seed in geometry.SEEDS for e in has[s] if (s, seed, e) != ("B", 37, "b")]
+    v = spark.createDataFrame([*rows, ("A", 13, "relation", "b", [0.0] * 3), (None, 13, "entity", "b", [0.0] * 3)], "snapshot_id string, seed int, kind string, id string, vec array<double>")
+    listed = geometry.comparisons([("A", "B"), ("B", "C")])
+    held = {(r[0], r[1], r[3]): r[4] for r in rows}
+    want = [(*c, e, held[c[2], c[3], e], held[c[4], c[5], e]) for c in listed for e in "abcde" if all(e in has[s] for s in c[0].split("->")) and (c[2], c[3], e) in held and (c[4], c[5], e) in held]
+    d = geometry.compared_vectors(v, listed)
+    assert d._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, d.collect())) == sorted(want)
+
+
 @pytest.mark.parametrize("optimiser,rate", [("sgd", 0.02), ("adam", 0.02)])
 def test_training_lowers_the_loss(optimiser, rate):
     rows = [(f"n{i}", k, f"n{(i + step) % 30}") for k, step in (("near", 2), ("far", 11)) for i in range(30)]
