@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -153,8 +154,11 @@ def model_against_baseline(spark: SparkSession, d: str) -> DataFrame:
     return model.join(base, "snapshot_id").join(n, "snapshot_id")
 
 
-def _path_ranks(spark: SparkSession, d: str, seen_first: bool = False) -> DataFrame:
-    """(snapshot_id, seed, path, rank, reciprocal) of the capped two-hop panel; the candidates are all entities of the snapshot, or those that the first one has."""
+def _path_ranks(spark: SparkSession, d: str, universes: Sequence[bool] = (False,)) -> list[DataFrame]:
+    """(snapshot_id, seed, path, rank, reciprocal) of the capped two-hop panel, once a universe: the candidates are all entities of the snapshot, or (True) those that the first one has.
+
+    All universes have the vectors of one training.
+    """
     e = edges(spark, d)
     eligible = graph.degrees(e).filter("degree >= 3").select("snapshot_id", "entity")
     p = staged(graph.cap_per_head(graph.simple_paths(e, 2, eligible), 3), "paths")
@@ -163,24 +167,24 @@ def _path_ranks(spark: SparkSession, d: str, seen_first: bool = False) -> DataFr
     asked = p.select("snapshot_id", F.col("path")[0].alias("head"), x.path_relations("path").alias("relations")).distinct()
     ends = graph.path_answers(e, asked)
     true = q.select("query", "snapshot_id", F.col("path")[0].alias("head"), x.path_relations("path").alias("relations")).join(ends, ["snapshot_id", "head", "relations"]).select("query", F.col("answer").alias("candidate"))
+    true = staged(true, "true") if len(universes) > 1 else true
     c = v.filter("kind = 'entity'").select("snapshot_id", "seed", F.col("id").alias("candidate"), "vec")
-    if seen_first:
-        first = e.filter(F.col("snapshot_id") == PAIRS[0][0]).select(F.explode(F.array("h", "t")).alias("candidate")).distinct()
-        c = c.join(first, "candidate", "left_semi")
-    return ranking.filtered_ranks(q, c, true, ["snapshot_id", "seed"]).join(q.select("query", "path"), "query")
+    first = e.filter(F.col("snapshot_id") == PAIRS[0][0]).select(F.explode(F.array("h", "t")).alias("candidate")).distinct()
+    ranks = [ranking.filtered_ranks(q, c.join(first, "candidate", "left_semi") if seen_first else c, true, ["snapshot_id", "seed"]) for seen_first in universes]
+    return [r.join(q.select("query", "path"), "query") for r in ranks]
 
 
 def rank_paths(spark: SparkSession, d: str) -> DataFrame:
     """The end of each two-hop path of the capped panel, other ends of its relation sequence left out; the medians over seeds."""
-    r = _path_ranks(spark, d)
+    r = _path_ranks(spark, d)[0]
     return r.groupBy("snapshot_id", F.array_join("path", ">").alias("path")).agg(F.median("reciprocal").alias("reciprocal"), F.median("rank").alias("rank"), F.count("*").alias("seeds"))
 
 
 def panel_mrr(spark: SparkSession, d: str) -> DataFrame:
     """Mean reciprocal rank of the panel per snapshot in two universes of candidates, and their contrast over the paths that both can rank."""
     per = []
-    for name, seen in (("open_world", False), ("seen_at_first", True)):
-        r = _path_ranks(spark, d, seen).filter("rank < double('infinity')")
+    for name, r in zip(("open_world", "seen_at_first"), _path_ranks(spark, d, (False, True))):
+        r = r.filter("rank < double('infinity')")
         per.append(r.groupBy("snapshot_id", F.array_join("path", ">").alias("path")).agg(F.median("reciprocal").alias(name)))
     j = per[0].join(per[1], ["snapshot_id", "path"], "left")
     return j.groupBy("snapshot_id").agg(F.avg("open_world").alias("open_world"), F.avg("seen_at_first").alias("seen_at_first"), F.avg(F.col("seen_at_first") - F.col("open_world")).alias("contrast"), F.count("*").alias("paths"))

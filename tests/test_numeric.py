@@ -380,6 +380,14 @@ def test_nearer_takes_less_time_than_direct_distances():
     assert times[0] < 0.5 * times[1]
 
 
+def test_panel_trains_once(spark, data, trained, monkeypatch):
+    """Both universes of candidates have the vectors of one training."""
+    calls = []
+    monkeypatch.setattr(measure_plan, "_trained", lambda *a: calls.append(a) or trained)
+    measure_plan.panel_mrr(spark, data)
+    assert len(calls) == 1
+
+
 def test_triple_and_path_queries(spark):
     vectors = [("S", 1, "entity", "a", [0.0, 0.0]), ("S", 1, "entity", "b", [1.0, 0.0]), ("S", 1, "entity", "c", [1.0, 1.0]), ("S", 1, "relation", "r", [1.0, 0.0]), ("S", 1, "relation", "s", [0.0, 1.0])]
     v = spark.createDataFrame(vectors, "snapshot_id string, seed int, kind string, id string, vec array<double>")
