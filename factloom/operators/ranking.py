@@ -13,6 +13,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,27 +38,34 @@ def _vectors(column) -> np.ndarray:
 def nearer(v: np.ndarray, limit: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How many of ``other`` lie nearer to each row of v than its limit, and how many exactly as far, by :func:`_distances`.
 
-    Squared distances from one product of matrices settle all pairs but those within
+    Squared distances less the squared limit come from one product of matrices, in
+    single precision where its range allows.  They settle all pairs but those within
     that product's rounding of the limit, which are measured directly.
     """
     better, same = np.zeros(len(v), np.int64), np.zeros(len(v), np.int64)
-    lengths, others = (v * v).sum(axis=1), (other * other).sum(axis=1)
-    quick = np.isfinite(lengths).all() and np.isfinite(others).all() and np.isfinite(limit).all()
+    if not len(v) or not len(other):
+        return better, same
+    lengths, others, limits = (v * v).sum(axis=1), (other * other).sum(axis=1), limit * limit
+    quick = np.isfinite(lengths).all() and np.isfinite(others).all() and np.isfinite(limits).all()
     step = max(1, 4_000_000 // (len(other) if quick else max(1, other.size)))
+    if quick:
+        single = 1e-20 < max(lengths.max(), others.max(), limits.max()) < 1e30
+        kind = np.float32 if single else np.float64
+        to_all = np.vstack([-2 * other.T, np.ones(len(other)), others]).astype(kind)
+        # Rounding of a sum of so many products, several times over.
+        slacks = (8 * (v.shape[1] + 6) * float(np.finfo(kind).eps) * (lengths + others.max() + limits)).astype(kind)
     for i in range(0, len(v), step):
         a, most = v[i : i + step], limit[i : i + step, None]
         if not quick:
             d = _distances(a[:, None, :], other[None])
             better[i : i + step], same[i : i + step] = (d < most).sum(axis=1), (d == most).sum(axis=1)
             continue
-        # Rounding of a sum of so many products, several times over.
-        slack = 8 * (v.shape[1] + 4) * np.finfo(float).eps * (lengths[i : i + step, None] + others.max() + most * most)
-        over = a @ (-2 * other.T)
-        over += lengths[i : i + step, None] - most * most
-        over += others
-        sure = over < -slack
-        better[i : i + step] = sure.sum(axis=1)
-        q, c = np.nonzero((over <= slack) & ~sure)
+        slack = slacks[i : i + step, None]
+        over = np.column_stack([a, lengths[i : i + step] - limits[i : i + step], np.ones(len(a))]).astype(kind) @ to_all
+        sure, near = over < -slack, over <= slack
+        better[i : i + step] = np.count_nonzero(sure, axis=1)
+        near ^= sure
+        q, c = np.divmod(np.flatnonzero(near), len(other))
         for k in range(0, len(q), 50_000):
             at, to = q[k : k + 50_000], c[k : k + 50_000]
             d, far = _distances(a[at], other[to]), most[at, 0]
@@ -161,6 +169,71 @@ def true_answers(queries: DataFrame, known: DataFrame) -> DataFrame:
     return tails.unionByName(heads)
 
 
+def triple_ranks(vectors: DataFrame, asked: DataFrame, known: DataFrame, sides: Sequence[str] = ("tail", "head")) -> DataFrame:
+    """(snapshot_id, seed, side, h, r, t, rank, reciprocal): the filtered ranks of :func:`triple_queries` of ``asked``, other ends that ``known`` triples give left out.
+
+    One run (snapshot and seed) is one group and one task, as in its training: its
+    vectors come once and queries are made from ids inside of it, so no query's vector
+    and no known answer is shuffled.
+    """
+    # One row a run, the largest first.
+    runs = vectors.filter("snapshot_id is not null").groupBy("snapshot_id", "seed").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "snapshot_id", "seed").collect()
+    numbers = F.broadcast(vectors.sparkSession.createDataFrame([(r["snapshot_id"], r["seed"], i) for i, r in enumerate(runs)], "snapshot_id string, seed int, run int"))
+    triples = lambda d, kind: d.select("snapshot_id", F.lit(kind).alias("kind"), "h", "r", "t", F.lit(None).cast("array<double>").alias("vec")).join(numbers, "snapshot_id")
+    v = vectors.filter("kind in ('entity', 'relation')").select("snapshot_id", "seed", "kind", F.col("id").alias("h"), F.lit(None).cast("string").alias("r"), F.lit(None).cast("string").alias("t"), "vec").join(numbers, ["snapshot_id", "seed"])
+    d = v.unionByName(triples(asked, "asked")).unionByName(triples(known, "known"))
+    d = d.repartitionById(max(1, len(runs)), F.col("run"))
+
+    def run(t: pa.Table) -> pa.Table:
+        of = lambda k: t.filter(pc.equal(t.column("kind"), k))
+        ids, vec = zip(*((p.column("h").combine_chunks(), p.column("vec").combine_chunks()) for p in (of("entity"), of("relation"))))
+        e, r = map(_vectors, vec)
+
+        def coded(k: str) -> np.ndarray:
+            """The different triples whose three vectors are there, by the vectors' rows."""
+            p = of(k)
+            x = np.stack([pc.fill_null(pc.index_in(p.column(c), ids[c == "r"]), -1).to_numpy() for c in "hrt"], axis=1).astype(np.int64).reshape(-1, 3)
+            return np.unique(x[(x >= 0).all(axis=1)], axis=0)
+
+        q, k, parts = coded("asked"), coded("known"), []
+        for side in sides:
+            # The end that is kept, the one looked for, and where it is looked for.
+            kept, sought, sign = (0, 2, 1) if side == "tail" else (2, 0, -1)
+            at = e[q[:, kept]] + sign * r[q[:, 1]] if len(q) else np.zeros((0, 1))
+            limit = _distances(at, e[q[:, sought]]) if len(q) else np.zeros(0)
+            better, same = nearer(at, limit, e)
+            # Other known ends don't compete.
+            code = k[:, kept] * len(r) + k[:, 1]
+            order = np.argsort(code, kind="stable")
+            asks = q[:, kept] * len(r) + q[:, 1]
+            first = np.searchsorted(code[order], asks)
+            number = np.searchsorted(code[order], asks, "right") - first
+            for i, j in _stretches(number, 50_000):
+                own = np.repeat(np.arange(i, j), number[i:j])
+                place = np.arange(len(own)) - np.repeat(np.cumsum(number[i:j]) - number[i:j], number[i:j]) + first[own]
+                other = k[order[place], sought]
+                own, other = own[other != q[own, sought]], other[other != q[own, sought]]
+                d = _distances(at[own], e[other])
+                better -= np.bincount(own[d < limit[own]], minlength=len(q))
+                same -= np.bincount(own[d == limit[own]], minlength=len(q))
+            rank = 1 + better + (same - 1) / 2
+            names = [pc.take(ids[c == 1], pa.array(q[:, c])) for c in range(3)]
+            first_of = lambda c: pa.repeat(t.column(c)[0], len(q))
+            parts.append(pa.table({"snapshot_id": first_of("snapshot_id"), "seed": first_of("seed"), "side": pa.array([side] * len(q), pa.string()), "h": names[0], "r": names[1], "t": names[2], "rank": rank, "reciprocal": 1 / rank}))
+        return pa.concat_tables(parts)
+
+    return d.groupBy("run").applyInArrow(run, "snapshot_id string, seed int, side string, h string, r string, t string, rank double, reciprocal double")
+
+
+def _stretches(number: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Neighbouring queries whose numbers add up to ``most`` at most, or one query."""
+    total, i = np.cumsum(number), 0
+    while i < len(number):
+        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + most, "right")))
+        yield i, j
+        i = j
+
+
 def path_queries(paths: DataFrame, vectors: DataFrame) -> DataFrame:
     """(snapshot_id, seed, query, vec, gold, path) of each path (alternating entity and relation) and seed: its end is looked for at head plus all relations."""
     e, r = (vectors.filter(F.col("kind") == k).select("snapshot_id", "seed", "id", "vec") for k in ("entity", "relation"))

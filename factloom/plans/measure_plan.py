@@ -136,9 +136,7 @@ def _held_out(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFr
 def rank_triples(spark: SparkSession, d: str) -> DataFrame:
     """Both ends of each held-out triple by vectors trained without it, other known ends left out: the mean reciprocal of both sides per seed, and its median over seeds."""
     folds, held, v = _held_out(spark, d)
-    q = staged(ranking.triple_queries(held, v), "queries")
-    c = v.filter("kind = 'entity'").select("snapshot_id", "seed", F.col("id").alias("candidate"), "vec")
-    r = ranking.filtered_ranks(q, c, ranking.true_answers(q, folds), ["snapshot_id", "seed"]).join(q.select("query", "side", "h", "r", "t"), "query")
+    r = ranking.triple_ranks(v, held, folds)
     per = r.groupBy("snapshot_id", "seed", "h", "r", "t").agg(F.avg("reciprocal").alias("reciprocal"), F.max(F.when(F.col("side") == "tail", F.col("rank"))).alias("tail_rank"), F.max(F.when(F.col("side") == "head", F.col("rank"))).alias("head_rank"))
     return per.groupBy("snapshot_id", "h", "r", "t").agg(F.median("reciprocal").alias("reciprocal"), F.median("tail_rank").alias("tail_rank"), F.median("head_rank").alias("head_rank"), F.count("*").alias("seeds"))
 

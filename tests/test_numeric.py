@@ -401,6 +401,28 @@ def test_triple_and_path_queries(spark):
     assert [(tuple(r["vec"]), r["gold"]) for r in got] == [((1.0, 1.0), "c")]
 
 
+def test_triple_ranks_make_queries_inside_of_runs(spark):
+    """Equal to queries that meet all candidates; ties, repeats, self-loops, ends without vectors, a run without questions; nothing but one exchange by run."""
+    rng = np.random.default_rng(6)
+    ids = [f"e{i}" for i in range(12)]
+    vectors = [(s, seed, kind, i, rng.integers(-1, 2, 3).astype(float).tolist()) for s in "AB" for seed in (1, 2) for kind, names in (("entity", ids), ("relation", ["r", "s"]), ("loss", ["epochs"])) for i in names]
+    v = spark.createDataFrame([*vectors, ("C", 1, "entity", "e0", [0.0] * 3), ("C", 1, "relation", "r", [0.0] * 3)], "snapshot_id string, seed int, kind string, id string, vec array<double>")
+    known = [(s, ids[a], r, ids[b]) for s in "AB" for a, r, b in zip(rng.integers(0, 5, 40), rng.choice(["r", "s"], 40), rng.integers(0, 12, 40))]
+    asked = [*known[::3], known[0], ("A", "e0", "r", "none"), ("A", "e0", "none", "e1"), ("D", "e0", "r", "e1")]
+    triples = "snapshot_id string, h string, r string, t string"
+    asked, known = spark.createDataFrame(asked, triples), spark.createDataFrame([*known, ("A", "e0", "r", "none")], triples)
+    d = ranking.triple_ranks(v, asked, known)
+    got = {tuple(r) for r in d.collect()}
+    q = ranking.triple_queries(asked, v)
+    c = v.filter("kind = 'entity'").select("snapshot_id", "seed", F.col("id").alias("candidate"), "vec")
+    want = ranking.filtered_ranks(q, c, ranking.true_answers(q, known), ["snapshot_id", "seed"]).select("query", "rank", "reciprocal").join(q, "query")
+    assert got == {(r["snapshot_id"], r["seed"], r["side"], r["h"], r["r"], r["t"], r["rank"], r["reciprocal"]) for r in want.collect()} and len(got) > 50
+    assert {r for r in got if r[2] == "tail"} == {tuple(r) for r in ranking.triple_ranks(v, asked, known, ["tail"]).collect()}
+    # The only exchange is that by run.
+    assert "Exchange hashpartitioning" not in d._jdf.queryExecution().executedPlan().toString()
+    assert ranking.triple_ranks(v, asked.limit(0), known).count() == ranking.triple_ranks(v.limit(0), asked, known).count() == 0
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0], [[0.0, 1.0], [1.0, 0.0]]), ([0.0, 0.0], [1.0, 0.0], [[1.0, 0.0], [0.0, 1.0]])], "a array<double>, b array<double>, q array<array<double>>")
     r = df.select(x.dot("a", "b").alias("d"), x.norm("a").alias("n"), x.cosine("a", "b").alias("c"), x.cosine_distance("a", "b").alias("cd"), x.times_matrix("a", "q").alias("m"), x.normalise("a").alias("u")).collect()
