@@ -144,11 +144,9 @@ def rank_triples(spark: SparkSession, d: str) -> DataFrame:
 def model_against_baseline(spark: SparkSession, d: str) -> DataFrame:
     """Per snapshot: mean reciprocal rank of held-out tails by trained vectors, by frequency in training, and of a random order."""
     folds, held, v = _held_out(spark, d)
-    q = staged(ranking.triple_queries(held, v).filter("side = 'tail'"), "queries")
-    c = v.filter("kind = 'entity'").select("snapshot_id", "seed", F.col("id").alias("candidate"), "vec")
-    model = ranking.filtered_ranks(q, c, ranking.true_answers(q, folds), ["snapshot_id", "seed"]).groupBy("snapshot_id").agg(F.avg("reciprocal").alias("model_mrr"), F.count("*").alias("queries"))
+    model = ranking.triple_ranks(v, held, folds, ["tail"]).groupBy("snapshot_id").agg(F.avg("reciprocal").alias("model_mrr"), F.count("*").alias("queries"))
     base = graph.frequency_ranks(folds.filter("fold <> 0").drop("fold"), held.drop("fold"), ["snapshot_id"]).groupBy("snapshot_id").agg(F.avg(1 / F.col("rank")).alias("frequency_mrr"))
-    n = c.select("snapshot_id", "candidate").distinct().groupBy("snapshot_id").agg(F.count("*").alias("n")).select("snapshot_id", x.random_mrr("n").alias("random_mrr"))
+    n = v.filter("kind = 'entity'").select("snapshot_id", "id").distinct().groupBy("snapshot_id").agg(F.count("*").alias("n")).select("snapshot_id", x.random_mrr("n").alias("random_mrr"))
     return model.join(base, "snapshot_id").join(n, "snapshot_id")
 
 

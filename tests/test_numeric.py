@@ -423,6 +423,15 @@ def test_triple_ranks_make_queries_inside_of_runs(spark):
     assert ranking.triple_ranks(v, asked.limit(0), known).count() == ranking.triple_ranks(v.limit(0), asked, known).count() == 0
 
 
+@pytest.mark.parametrize("name,sides", [("rank_triples", None), ("model_against_baseline", ["tail"])])
+def test_held_out_triples_are_ranked_inside_of_runs(spark, data, trained, monkeypatch, name, sides):
+    calls, plain = [], ranking.triple_ranks
+    monkeypatch.setattr(measure_plan, "_held_out", lambda *_: ((f := graph.covered_folds(graph_plan.edges(spark, data), 5)), f.filter("fold = 0"), trained))
+    monkeypatch.setattr(ranking, "triple_ranks", lambda *a: calls.append(a[3:]) or plain(*a))
+    measure_plan.QUERIES[name](spark, data)
+    assert calls == [(sides,) if sides else ()]
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0], [[0.0, 1.0], [1.0, 0.0]]), ([0.0, 0.0], [1.0, 0.0], [[1.0, 0.0], [0.0, 1.0]])], "a array<double>, b array<double>, q array<array<double>>")
     r = df.select(x.dot("a", "b").alias("d"), x.norm("a").alias("n"), x.cosine("a", "b").alias("c"), x.cosine_distance("a", "b").alias("cd"), x.times_matrix("a", "q").alias("m"), x.normalise("a").alias("u")).collect()
