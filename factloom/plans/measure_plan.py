@@ -270,8 +270,10 @@ def loss_noise_plateau(spark: SparkSession, d: str) -> DataFrame:
 # Geometry ------------------------------------------------------------------------------------------
 
 
-def _trained(spark: SparkSession, d: str) -> DataFrame:
-    return staged(geometry.train(edges(spark, d)), "vectors")
+def _trained(spark: SparkSession, d: str, kept: bool = True) -> DataFrame:
+    """Trained vectors; not kept for those that read them once."""
+    v = geometry.train(edges(spark, d))
+    return staged(v, "vectors") if kept else v
 
 
 def transe_vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -287,11 +289,16 @@ def _compared(spark: SparkSession, d: str) -> DataFrame:
     return geometry.compared_vectors(_trained(spark, d), geometry.comparisons(PAIRS))
 
 
+def _side_by_side(spark: SparkSession, d: str, listed: Sequence[tuple]) -> DataFrame:
+    return staged(geometry.side_by_side(_trained(spark, d, False), listed), "wide")
+
+
 def embedding_alignment(spark: SparkSession, d: str) -> DataFrame:
     """The rotation of every comparison: how orthogonal it is, what it spans, and the mean distance of what it carries over."""
-    rows = staged(_compared(spark, d), "compared")
-    fits = staged(geometry.rotations(geometry.cross_sums(rows, geometry.COMPARISON, "va", "vb"), geometry.COMPARISON), "fits")
-    r = geometry.rotated_distances(rows, fits, geometry.COMPARISON, ["id"]).groupBy(*geometry.COMPARISON).agg(F.avg("distance").alias("residual"), F.count("*").alias("entities"))
+    listed = geometry.comparisons(PAIRS)
+    wide = _side_by_side(spark, d, listed)
+    fits = geometry.fitted(wide, listed)
+    r = geometry.distances_side_by_side(wide, fits, listed).groupBy(*geometry.COMPARISON).agg(F.avg("distance").alias("residual"), F.count("*").alias("entities"))
     return fits.select(*geometry.COMPARISON, "orthogonality_error", "rank").join(r, geometry.COMPARISON)
 
 

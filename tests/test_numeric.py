@@ -168,6 +168,33 @@ def test_compared_vectors(spark):
     assert sorted(map(tuple, d.collect())) == sorted(want)
 
 
+def _near(rows):
+    return sorted((tuple("?" if v is None else round(v, 9) if isinstance(v, float) else str(v) for v in r) for r in rows))
+
+
+def test_side_by_side_equals_compared(spark):
+    """The same rotations, distances and displacements as from rows a comparison; an entity of one end, a missing vector, another seed, rows without length."""
+    rng = np.random.default_rng(12)
+    rows = [(s, seed, "entity", f"e{i}", rng.normal(size=4).tolist()) for s in "ABC" for seed in (*geometry.SEEDS, 7) for i in range(60) if (s, seed, i) != ("B", 37, 3) and (s, i) != ("C", 5) and ((s, i) != ("A", 9) or seed == 7)]
+    v = spark.createDataFrame([*rows, ("A", 13, "relation", "e1", [0.0] * 4), (None, 13, "entity", "e1", [0.0] * 4), ("Z", 13, "entity", "z", [0.0] * 4)], "snapshot_id string, seed int, kind string, id string, vec array<double>").repartition(3)
+    listed = geometry.comparisons([("A", "B"), ("B", "C"), ("C", "D")])
+    long, wide = geometry.compared_vectors(v, listed), geometry.side_by_side(v, listed)
+    fits = geometry.fitted(wide, listed)
+    columns = [*geometry.COMPARISON, "rank", "n"]
+    assert _near(fits.select(*columns).collect()) == _near(geometry.rotations(geometry.cross_sums(long, geometry.COMPARISON, "va", "vb"), geometry.COMPARISON).select(*columns).collect())
+    got = geometry.distances_side_by_side(wide, fits, listed)
+    assert _near(got.collect()) == _near(geometry.observations(long).collect()) and got.count() > 900
+    assert _near(geometry.displacement_side_by_side(wide, listed, 3).collect()) == _near(geometry.displacement(long, 3).collect())
+    assert geometry.distances_side_by_side(wide.limit(0), geometry.fitted(wide.limit(0), listed), listed).count() == 0
+
+
+@pytest.mark.parametrize("name", ["embedding_alignment"])
+def test_a_vector_is_not_written_once_a_comparison(spark, data, trained, monkeypatch, name):
+    monkeypatch.setattr(measure_plan, "_trained", lambda *_: trained)
+    monkeypatch.setattr(geometry, "compared_vectors", lambda *_: pytest.fail("a row for each comparison"))
+    measure_plan.QUERIES[name](spark, data)
+
+
 @pytest.mark.parametrize("optimiser,rate", [("sgd", 0.02), ("adam", 0.02)])
 def test_training_lowers_the_loss(optimiser, rate):
     rows = [(f"n{i}", k, f"n{(i + step) % 30}") for k, step in (("near", 2), ("far", 11)) for i in range(30)]
