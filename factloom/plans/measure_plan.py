@@ -303,7 +303,8 @@ def embedding_alignment(spark: SparkSession, d: str) -> DataFrame:
 
 
 def embedding_displacement(spark: SparkSession, d: str) -> DataFrame:
-    return geometry.displacement(_compared(spark, d))
+    listed = [c for c in geometry.comparisons(PAIRS) if c[1] == "drift"]
+    return geometry.displacement_side_by_side(_side_by_side(spark, d, listed), listed)
 
 
 def _observed(spark: SparkSession, d: str) -> DataFrame:
