@@ -285,10 +285,6 @@ def transe_vectors(spark: SparkSession, d: str) -> DataFrame:
     return n.join(c, ["snapshot_id", "seed"])
 
 
-def _compared(spark: SparkSession, d: str) -> DataFrame:
-    return geometry.compared_vectors(_trained(spark, d), geometry.comparisons(PAIRS))
-
-
 def _side_by_side(spark: SparkSession, d: str, listed: Sequence[tuple]) -> DataFrame:
     return staged(geometry.side_by_side(_trained(spark, d, False), listed), "wide")
 
@@ -307,8 +303,10 @@ def embedding_displacement(spark: SparkSession, d: str) -> DataFrame:
     return geometry.displacement_side_by_side(_side_by_side(spark, d, listed), listed)
 
 
-def _observed(spark: SparkSession, d: str) -> DataFrame:
-    return staged(geometry.observations(_compared(spark, d)), "observations")
+def _observed(spark: SparkSession, d: str, roles: Sequence[str] = ("null", "drift")) -> DataFrame:
+    listed = [c for c in geometry.comparisons(PAIRS) if c[1] in roles]
+    wide = _side_by_side(spark, d, listed)
+    return staged(geometry.distances_side_by_side(wide, geometry.fitted(wide, listed), listed), "observations")
 
 
 def _degree_buckets(spark: SparkSession, d: str) -> DataFrame:
@@ -333,8 +331,8 @@ def embedding_drift(spark: SparkSession, d: str) -> DataFrame:
 
 def embedding_noise_floor(spark: SparkSession, d: str) -> DataFrame:
     """Median distance of the same entity between seeds, per transition and degree bucket, beside that of two random directions (1)."""
-    o = _observed(spark, d).filter("role = 'null'").withColumn("a", F.split("transition_id", "->")[0]).join(_degree_buckets(spark, d), ["a", "id"])
-    q = nullmodel.quantiles(o, ["transition_id", "bucket_id"], "distance", [0.5])
+    o = _observed(spark, d, ["null"]).withColumn("a", F.split("transition_id", "->")[0]).join(_degree_buckets(spark, d), ["a", "id"])
+    q = nullmodel.quantiles(staged(o.select("transition_id", "bucket_id", "distance"), "bucketed"), ["transition_id", "bucket_id"], "distance", [0.5])
     return q.select("transition_id", "bucket_id", "n", F.col("q")[0].alias("noise"), F.lit(1.0).alias("random"))
 
 

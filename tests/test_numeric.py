@@ -188,7 +188,7 @@ def test_side_by_side_equals_compared(spark):
     assert geometry.distances_side_by_side(wide.limit(0), geometry.fitted(wide.limit(0), listed), listed).count() == 0
 
 
-@pytest.mark.parametrize("name", ["embedding_alignment", "embedding_displacement"])
+@pytest.mark.parametrize("name", ["embedding_alignment", "embedding_displacement", "embedding_noise_floor"])
 def test_a_vector_is_not_written_once_a_comparison(spark, data, trained, monkeypatch, name):
     monkeypatch.setattr(measure_plan, "_trained", lambda *_: trained)
     monkeypatch.setattr(geometry, "compared_vectors", lambda *_: pytest.fail("a row for each comparison"))
