@@ -234,6 +234,14 @@ def _stretches(number: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def _ends(code: np.ndarray, ends: np.ndarray, asks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the ask, end): all ends whose code is asked for. code: sorted, with its ends."""
+    first = np.searchsorted(code, asks)
+    number = np.searchsorted(code, asks, "right") - first
+    own = np.repeat(np.arange(len(asks)), number)
+    return own, ends[np.arange(len(own)) - np.repeat(np.cumsum(number) - number, number) + first[own]]
+
+
 def path_queries(paths: DataFrame, vectors: DataFrame) -> DataFrame:
     """(snapshot_id, seed, query, vec, gold, path) of each path (alternating entity and relation) and seed: its end is looked for at head plus all relations."""
     e, r = (vectors.filter(F.col("kind") == k).select("snapshot_id", "seed", "id", "vec") for k in ("entity", "relation"))
@@ -246,6 +254,88 @@ def path_queries(paths: DataFrame, vectors: DataFrame) -> DataFrame:
     return sums.select("snapshot_id", "seed", F.sha2(F.to_json(F.array("snapshot_id", F.col("seed").cast("string"), F.array_join("path", "|"))), 256).alias("query"), vec.alias("vec"), "gold", "path")
 
 
+def path_ranks(vectors: DataFrame, paths: DataFrame, known: DataFrame, seeds: Sequence[int]) -> DataFrame:
+    """(snapshot_id, seed, path, rank, reciprocal): the filtered ranks of :func:`path_queries` under each of ``seeds`` among all entities of the run, other ends that ``known`` triples give to a path's head and relations (revisits allowed) left out.
+
+    paths: snapshot_id, path, each once; they are read twice, vectors once.  A path
+    whose end has no vector has rank infinity and reciprocal 0.
+
+    One run (snapshot and seed) is one group and one task, as in its training: vectors
+    come once, and as they come from it; queries and answers are made from ids inside
+    of it, so no query's vector and no answer is shuffled.
+    """
+    spark, paths = vectors.sparkSession, paths.filter("snapshot_id is not null")
+    # One row a snapshot, the largest first.
+    sizes = [r["snapshot_id"] for r in paths.groupBy("snapshot_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "snapshot_id").collect()]
+    runs = [(s, seed, i * len(seeds) + k) for i, s in enumerate(sizes) for k, seed in enumerate(seeds)]
+    numbers = F.broadcast(spark.createDataFrame(runs, "snapshot_id string, seed int, run int"))
+    columns = {"h": "string", "r": "string", "t": "string", "path": "array<string>", "vec": "array<double>"}
+
+    def rows(d: DataFrame, kind: str | None, by: Sequence[str], **named: str) -> DataFrame:
+        kind_of = F.lit(kind) if kind else F.col("kind")
+        return d.join(numbers, list(by)).select("run", "snapshot_id", "seed", kind_of.alias("kind"), *[(F.col(named[c]) if c in named else F.lit(None).cast(k)).alias(c) for c, k in columns.items()])
+
+    d = rows(vectors.filter("kind in ('entity', 'relation')"), None, ["snapshot_id", "seed"], h="id", vec="vec")
+    d = d.unionByName(rows(known, "known", ["snapshot_id"], h="h", r="r", t="t")).unionByName(rows(paths, "path", ["snapshot_id"], path="path"))
+    d = d.repartitionById(max(1, len(runs)), F.col("run"))
+    return d.groupBy("run").applyInArrow(_run_of_paths, "snapshot_id string, seed int, path array<string>, rank double, reciprocal double")
+
+
+def _run_of_paths(t: pa.Table) -> pa.Table:
+    of = lambda k: t.filter(pc.equal(t.column("kind"), k))
+    column = lambda p, c: p.column(c).combine_chunks()
+    entities, relations, known, asked = map(of, ("entity", "relation", "known", "path"))
+    ids, names, paths = column(entities, "h"), column(relations, "h"), column(asked, "path")
+    parts = [(paths.slice(0, 0), np.zeros(0))]
+    if len(ids) and len(names):
+        e, r = _vectors(entities.column("vec")), _vectors(relations.column("vec"))
+        # Entities with a vector come first, by its row; a path may pass through others.
+        nodes = pc.unique(pa.concat_arrays([ids, column(known, "h"), column(known, "t")]))
+        number = lambda a, b: pc.fill_null(pc.index_in(a, b), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        h, k, to = number(column(known, "h"), nodes), number(column(known, "r"), names), number(column(known, "t"), nodes)
+        code = h * len(r) + k
+        order = np.argsort(code, kind="stable")
+        order = order[k[order] >= 0]
+        code, to = code[order], to[order]
+        lengths = pc.list_value_length(paths).to_numpy(zero_copy_only=False)
+        for n in np.unique(lengths[lengths >= 3]).astype(int):
+            some = paths.filter(pa.array(lengths == n))
+            flat, at = some.flatten(), np.arange(len(some) * n).reshape(-1, n)
+            of_path = lambda i, b: number(flat.take(pa.array(at[:, i].ravel())), b).reshape(len(at), -1)  # noqa: E731, B023
+            head, gold, steps = of_path(slice(0, 1), ids)[:, 0], of_path(slice(n - 1, n), ids)[:, 0], of_path(slice(1, n, 2), names)
+            there = (head >= 0) & (steps >= 0).all(axis=1)
+            rank = np.full(len(some), np.inf)
+            ready = np.flatnonzero(there & (gold >= 0))
+            rank[ready] = _ranks_of_paths(e, r, head[ready], steps[ready], gold[ready], code, to, len(nodes))
+            parts.append((some.filter(pa.array(there)), rank[there]))
+    table = pa.table({"path": pa.concat_arrays([p for p, _ in parts]), "rank": np.concatenate([k for _, k in parts])})
+    first_of = lambda c: pa.repeat(t.column(c)[0], len(table))
+    return pa.table({"snapshot_id": first_of("snapshot_id"), "seed": first_of("seed"), "path": table.column("path"), "rank": table.column("rank"), "reciprocal": pc.divide(1.0, table.column("rank"))})
+
+
+def _ranks_of_paths(e: np.ndarray, r: np.ndarray, head: np.ndarray, steps: np.ndarray, gold: np.ndarray, code: np.ndarray, to: np.ndarray, nodes: int) -> np.ndarray:
+    """Ranks of gold ends. steps: relations of each path; code, to: known triples by head and relation."""
+    at = e[head]
+    for i in range(steps.shape[1]):
+        at = at + r[steps[:, i]]
+    limit = _distances(at, e[gold])
+    better, same = nearer(at, limit, e)
+    # Other known ends don't compete; so many paths at once that their ends stay few.
+    for i in range(0, len(head), 256):
+        some = slice(i, i + 256)
+        own, now = np.arange(len(head))[some], head[some]
+        for k in range(steps.shape[1]):
+            step, ends = _ends(code, to, now * len(r) + steps[own, k])
+            own, now = np.divmod(np.unique(own[step] * nodes + ends), nodes)
+        others = (now < len(e)) & (now != gold[own])
+        own, now = own[others], now[others]
+        for j in range(0, len(own), 50_000):
+            o, d = own[j : j + 50_000], _distances(at[own[j : j + 50_000]], e[now[j : j + 50_000]])
+            better[some] -= np.bincount(o[d < limit[o]] - i, minlength=len(head[some]))
+            same[some] -= np.bincount(o[d == limit[o]] - i, minlength=len(head[some]))
+    return 1 + better + (same - 1) / 2
+
+
 def metrics(ranks: DataFrame, by: list[str]) -> DataFrame:
     """(by, n, mrr, median_rank, hits1, hits3, hits10) of each column of ``by`` alone and of all: one pass by grouping sets."""
     hits = [F.avg((F.col("rank") <= k).cast("double")).alias(f"hits{k}") for k in (1, 3, 10)]

@@ -170,9 +170,16 @@ def _path_ranks(spark: SparkSession, d: str, universes: Sequence[bool] = (False,
     return [r.join(q.select("query", "path"), "query") for r in ranks]
 
 
+def _panel_paths(e: DataFrame) -> DataFrame:
+    """The capped two-hop paths between entities of degree three and more."""
+    eligible = graph.degrees(e).filter("degree >= 3").select("snapshot_id", "entity")
+    return staged(graph.cap_per_head(graph.simple_paths(e, 2, eligible), 3), "paths")
+
+
 def rank_paths(spark: SparkSession, d: str) -> DataFrame:
     """The end of each two-hop path of the capped panel, other ends of its relation sequence left out; the medians over seeds."""
-    r = _path_ranks(spark, d)[0]
+    e = staged(edges(spark, d), "edges")
+    r = ranking.path_ranks(_trained(spark, d, False), _panel_paths(e), e, geometry.SEEDS)
     return r.groupBy("snapshot_id", F.array_join("path", ">").alias("path")).agg(F.median("reciprocal").alias("reciprocal"), F.median("rank").alias("rank"), F.count("*").alias("seeds"))
 
 

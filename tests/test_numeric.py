@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from factloom.functions import expressions as x
 from factloom.operators import geometry, graph, nullmodel, ranking, statistics
 from factloom.plans import graph_plan, measure_plan
+from factloom.runtime import staged
 
 
 def plainly_merged(counts, sparse, first, drop_empty):
@@ -450,6 +451,45 @@ def test_triple_ranks_make_queries_inside_of_runs(spark):
     assert ranking.triple_ranks(v, asked.limit(0), known).count() == ranking.triple_ranks(v.limit(0), asked, known).count() == 0
 
 
+def made_paths(spark):
+    """(vectors, paths, known triples) of a few runs: ties, revisits, several ends, ends, middles and relations without vectors, paths of two and three hops, a snapshot without vectors."""
+    rng = np.random.default_rng(12)
+    ids = [f"e{i}" for i in range(10)]
+    vectors = [(s, seed, kind, i, rng.integers(-1, 2, 3).astype(float).tolist()) for s in "AB" for seed in (1, 2) for kind, names in (("entity", ids), ("relation", ["r", "s"]), ("loss", ["epochs"])) for i in names]
+    known = {(s, f"e{a}", r, f"e{b}") for s in "ABC" for a, r, b in zip(rng.integers(0, 12, 50), rng.choice(["r", "s", "none"], 50), rng.integers(0, 12, 50))}
+    v = spark.createDataFrame(vectors, "snapshot_id string, seed int, kind string, id string, vec array<double>")
+    k = spark.createDataFrame(sorted(known), "snapshot_id string, h string, r string, t string")
+    return v, staged(graph.simple_paths(k, 2).unionByName(graph.simple_paths(k, 3)), "paths"), k
+
+
+def test_path_ranks_make_queries_inside_of_runs(spark):
+    """Equal to queries that meet all candidates; nothing but one exchange by run."""
+    v, paths, known = made_paths(spark)
+    d = ranking.path_ranks(v, paths, known, (1, 2))
+    got = [(r["snapshot_id"], r["seed"], tuple(r["path"]), r["rank"], r["reciprocal"]) for r in d.collect()]
+    q = ranking.path_queries(paths, v)
+    asked = q.select("query", "snapshot_id", F.col("path")[0].alias("head"), x.path_relations("path").alias("relations"))
+    true = asked.join(graph.path_answers(known, asked), ["snapshot_id", "head", "relations"]).select("query", F.col("answer").alias("candidate"))
+    c = v.filter("kind = 'entity'").select("snapshot_id", "seed", F.col("id").alias("candidate"), "vec")
+    want = ranking.filtered_ranks(q, c, true, ["snapshot_id", "seed"]).select("query", "rank", "reciprocal").join(q, "query")
+    assert sorted(got) == sorted((r["snapshot_id"], r["seed"], tuple(r["path"]), r["rank"], r["reciprocal"]) for r in want.collect())
+    assert {len(p) for _, _, p, _, _ in got} == {5, 7} and {k == float("inf") for *_, k, _ in got} == {True, False} and any(k % 1 for *_, k, _ in got)
+    # The only exchange is that by run.
+    assert "Exchange hashpartitioning" not in d._jdf.queryExecution().executedPlan().toString()
+    assert ranking.path_ranks(v, paths.limit(0), known, (1, 2)).count() == ranking.path_ranks(v.limit(0), paths, known, (1, 2)).count() == 0
+    assert ranking.path_ranks(v, paths, known.limit(0), (1, 2)).count() == len(got)
+
+
+def test_paths_are_ranked_inside_of_runs(spark, data, trained, monkeypatch):
+    """No vector is staged, and queries don't meet blocks of candidates."""
+    names, plain = [], staged
+    monkeypatch.setattr(measure_plan, "staged", lambda d, n: names.append((n, dict(d.dtypes))) or plain(d, n))
+    monkeypatch.setattr(measure_plan, "_trained", lambda *_: trained)
+    monkeypatch.setattr(ranking, "filtered_ranks", None)
+    assert measure_plan.rank_paths(spark, data).count() > 0
+    assert names and not any("vec" in columns for _, columns in names)
+
+
 @pytest.mark.parametrize("name,sides", [("rank_triples", None), ("model_against_baseline", ["tail"])])
 def test_held_out_triples_are_ranked_inside_of_runs(spark, data, trained, monkeypatch, name, sides):
     calls, plain = [], ranking.triple_ranks
