@@ -254,11 +254,12 @@ def path_queries(paths: DataFrame, vectors: DataFrame) -> DataFrame:
     return sums.select("snapshot_id", "seed", F.sha2(F.to_json(F.array("snapshot_id", F.col("seed").cast("string"), F.array_join("path", "|"))), 256).alias("query"), vec.alias("vec"), "gold", "path")
 
 
-def path_ranks(vectors: DataFrame, paths: DataFrame, known: DataFrame, seeds: Sequence[int]) -> DataFrame:
+def path_ranks(vectors: DataFrame, paths: DataFrame, known: DataFrame, seeds: Sequence[int], within: DataFrame | None = None) -> DataFrame:
     """(snapshot_id, seed, path, rank, reciprocal): the filtered ranks of :func:`path_queries` under each of ``seeds`` among all entities of the run, other ends that ``known`` triples give to a path's head and relations (revisits allowed) left out.
 
     paths: snapshot_id, path, each once; they are read twice, vectors once.  A path
-    whose end has no vector has rank infinity and reciprocal 0.
+    whose end has no vector has rank infinity and reciprocal 0.  within (id) adds
+    rank_within and reciprocal_within: those among its entities only.
 
     One run (snapshot and seed) is one group and one task, as in its training: vectors
     come once, and as they come from it; queries and answers are made from ids inside
@@ -273,12 +274,18 @@ def path_ranks(vectors: DataFrame, paths: DataFrame, known: DataFrame, seeds: Se
 
     def rows(d: DataFrame, kind: str | None, by: Sequence[str], **named: str) -> DataFrame:
         kind_of = F.lit(kind) if kind else F.col("kind")
-        return d.join(numbers, list(by)).select("run", "snapshot_id", "seed", kind_of.alias("kind"), *[(F.col(named[c]) if c in named else F.lit(None).cast(k)).alias(c) for c, k in columns.items()])
+        d = d.join(numbers, list(by)) if by else d.crossJoin(numbers)
+        return d.select("run", "snapshot_id", "seed", kind_of.alias("kind"), *[(F.col(named[c]) if c in named else F.lit(None).cast(k)).alias(c) for c, k in columns.items()])
 
     d = rows(vectors.filter("kind in ('entity', 'relation')"), None, ["snapshot_id", "seed"], h="id", vec="vec")
     d = d.unionByName(rows(known, "known", ["snapshot_id"], h="h", r="r", t="t")).unionByName(rows(paths, "path", ["snapshot_id"], path="path"))
+    if within is not None:
+        d = d.unionByName(rows(within.select("id").distinct(), "within", [], h="id"))
     d = d.repartitionById(max(1, len(runs)), F.col("run"))
-    return d.groupBy("run").applyInArrow(_run_of_paths, "snapshot_id string, seed int, path array<string>, rank double, reciprocal double")
+    kinds = "snapshot_id string, seed int, path array<string>, rank double, reciprocal double"
+    if within is None:
+        return d.groupBy("run").applyInArrow(lambda t: _run_of_paths(t).select(["snapshot_id", "seed", "path", "rank", "reciprocal"]), kinds)
+    return d.groupBy("run").applyInArrow(_run_of_paths, f"{kinds}, rank_within double, reciprocal_within double")
 
 
 def _run_of_paths(t: pa.Table) -> pa.Table:
@@ -286,7 +293,7 @@ def _run_of_paths(t: pa.Table) -> pa.Table:
     column = lambda p, c: p.column(c).combine_chunks()
     entities, relations, known, asked = map(of, ("entity", "relation", "known", "path"))
     ids, names, paths = column(entities, "h"), column(relations, "h"), column(asked, "path")
-    parts = [(paths.slice(0, 0), np.zeros(0))]
+    parts = [(paths.slice(0, 0), np.zeros((0, 2)))]
     if len(ids) and len(names):
         e, r = _vectors(entities.column("vec")), _vectors(relations.column("vec"))
         # Entities with a vector come first, by its row; a path may pass through others.
@@ -297,6 +304,7 @@ def _run_of_paths(t: pa.Table) -> pa.Table:
         order = np.argsort(code, kind="stable")
         order = order[k[order] >= 0]
         code, to = code[order], to[order]
+        inside = pc.is_in(ids, column(of("within"), "h")).to_numpy(zero_copy_only=False)
         lengths = pc.list_value_length(paths).to_numpy(zero_copy_only=False)
         for n in np.unique(lengths[lengths >= 3]).astype(int):
             some = paths.filter(pa.array(lengths == n))
@@ -304,22 +312,24 @@ def _run_of_paths(t: pa.Table) -> pa.Table:
             of_path = lambda i, b: number(flat.take(pa.array(at[:, i].ravel())), b).reshape(len(at), -1)  # noqa: E731, B023
             head, gold, steps = of_path(slice(0, 1), ids)[:, 0], of_path(slice(n - 1, n), ids)[:, 0], of_path(slice(1, n, 2), names)
             there = (head >= 0) & (steps >= 0).all(axis=1)
-            rank = np.full(len(some), np.inf)
+            rank = np.full((len(some), 2), np.inf)
             ready = np.flatnonzero(there & (gold >= 0))
-            rank[ready] = _ranks_of_paths(e, r, head[ready], steps[ready], gold[ready], code, to, len(nodes))
+            rank[ready] = _ranks_of_paths(e, r, head[ready], steps[ready], gold[ready], inside, code, to, len(nodes))
             parts.append((some.filter(pa.array(there)), rank[there]))
-    table = pa.table({"path": pa.concat_arrays([p for p, _ in parts]), "rank": np.concatenate([k for _, k in parts])})
-    first_of = lambda c: pa.repeat(t.column(c)[0], len(table))
-    return pa.table({"snapshot_id": first_of("snapshot_id"), "seed": first_of("seed"), "path": table.column("path"), "rank": table.column("rank"), "reciprocal": pc.divide(1.0, table.column("rank"))})
+    rank, rank_within = np.concatenate([k for _, k in parts]).T
+    first_of = lambda c: pa.repeat(t.column(c)[0], len(rank))
+    return pa.table({"snapshot_id": first_of("snapshot_id"), "seed": first_of("seed"), "path": pa.concat_arrays([p for p, _ in parts]), "rank": rank, "reciprocal": 1 / rank, "rank_within": rank_within, "reciprocal_within": 1 / rank_within})
 
 
-def _ranks_of_paths(e: np.ndarray, r: np.ndarray, head: np.ndarray, steps: np.ndarray, gold: np.ndarray, code: np.ndarray, to: np.ndarray, nodes: int) -> np.ndarray:
-    """Ranks of gold ends. steps: relations of each path; code, to: known triples by head and relation."""
+def _ranks_of_paths(e: np.ndarray, r: np.ndarray, head: np.ndarray, steps: np.ndarray, gold: np.ndarray, inside: np.ndarray, code: np.ndarray, to: np.ndarray, nodes: int) -> np.ndarray:
+    """Ranks of gold ends among all entities and among those inside. steps: relations of each path; code, to: known triples by head and relation."""
     at = e[head]
     for i in range(steps.shape[1]):
         at = at + r[steps[:, i]]
     limit = _distances(at, e[gold])
-    better, same = nearer(at, limit, e)
+    # An entity is met once, whether it is inside or not.
+    (better, same), (more, as_far) = (np.stack(nearer(at, limit, e[w])) for w in (inside, ~inside))
+    counts = np.stack([[better + more, same + as_far], [better, same]])
     # Other known ends don't compete; so many paths at once that their ends stay few.
     for i in range(0, len(head), 256):
         some = slice(i, i + 256)
@@ -330,10 +340,14 @@ def _ranks_of_paths(e: np.ndarray, r: np.ndarray, head: np.ndarray, steps: np.nd
         others = (now < len(e)) & (now != gold[own])
         own, now = own[others], now[others]
         for j in range(0, len(own), 50_000):
-            o, d = own[j : j + 50_000], _distances(at[own[j : j + 50_000]], e[now[j : j + 50_000]])
-            better[some] -= np.bincount(o[d < limit[o]] - i, minlength=len(head[some]))
-            same[some] -= np.bincount(o[d == limit[o]] - i, minlength=len(head[some]))
-    return 1 + better + (same - 1) / 2
+            o, c = own[j : j + 50_000], now[j : j + 50_000]
+            d = _distances(at[o], e[c])
+            for among, w in zip(counts, (np.ones(len(c), bool), inside[c])):
+                among[0, some] -= np.bincount(o[(d < limit[o]) & w] - i, minlength=len(head[some]))
+                among[1, some] -= np.bincount(o[(d == limit[o]) & w] - i, minlength=len(head[some]))
+    ranks = (1 + counts[:, 0] + (counts[:, 1] - 1) / 2).T
+    ranks[~inside[gold], 1] = np.inf
+    return ranks
 
 
 def metrics(ranks: DataFrame, by: list[str]) -> DataFrame:

@@ -150,26 +150,6 @@ def model_against_baseline(spark: SparkSession, d: str) -> DataFrame:
     return model.join(base, "snapshot_id").join(n, "snapshot_id")
 
 
-def _path_ranks(spark: SparkSession, d: str, universes: Sequence[bool] = (False,)) -> list[DataFrame]:
-    """(snapshot_id, seed, path, rank, reciprocal) of the capped two-hop panel, once a universe: the candidates are all entities of the snapshot, or (True) those that the first one has.
-
-    All universes have the vectors of one training.
-    """
-    e = edges(spark, d)
-    eligible = graph.degrees(e).filter("degree >= 3").select("snapshot_id", "entity")
-    p = staged(graph.cap_per_head(graph.simple_paths(e, 2, eligible), 3), "paths")
-    v = _trained(spark, d)
-    q = staged(ranking.path_queries(p, v), "queries")
-    asked = p.select("snapshot_id", F.col("path")[0].alias("head"), x.path_relations("path").alias("relations")).distinct()
-    ends = graph.path_answers(e, asked)
-    true = q.select("query", "snapshot_id", F.col("path")[0].alias("head"), x.path_relations("path").alias("relations")).join(ends, ["snapshot_id", "head", "relations"]).select("query", F.col("answer").alias("candidate"))
-    true = staged(true, "true") if len(universes) > 1 else true
-    c = v.filter("kind = 'entity'").select("snapshot_id", "seed", F.col("id").alias("candidate"), "vec")
-    first = e.filter(F.col("snapshot_id") == PAIRS[0][0]).select(F.explode(F.array("h", "t")).alias("candidate")).distinct()
-    ranks = [ranking.filtered_ranks(q, c.join(first, "candidate", "left_semi") if seen_first else c, true, ["snapshot_id", "seed"]) for seen_first in universes]
-    return [r.join(q.select("query", "path"), "query") for r in ranks]
-
-
 def _panel_paths(e: DataFrame) -> DataFrame:
     """The capped two-hop paths between entities of degree three and more."""
     eligible = graph.degrees(e).filter("degree >= 3").select("snapshot_id", "entity")
@@ -185,11 +165,12 @@ def rank_paths(spark: SparkSession, d: str) -> DataFrame:
 
 def panel_mrr(spark: SparkSession, d: str) -> DataFrame:
     """Mean reciprocal rank of the panel per snapshot in two universes of candidates, and their contrast over the paths that both can rank."""
-    per = []
-    for name, r in zip(("open_world", "seen_at_first"), _path_ranks(spark, d, (False, True))):
-        r = r.filter("rank < double('infinity')")
-        per.append(r.groupBy("snapshot_id", F.array_join("path", ">").alias("path")).agg(F.median("reciprocal").alias(name)))
-    j = per[0].join(per[1], ["snapshot_id", "path"], "left")
+    e = staged(edges(spark, d), "edges")
+    first = e.filter(F.col("snapshot_id") == PAIRS[0][0]).select(F.explode(F.array("h", "t")).alias("id"))
+    r = ranking.path_ranks(_trained(spark, d, False), _panel_paths(e), e, geometry.SEEDS, first)
+    # The median leaves out the paths that a universe can't rank, as nulls.
+    able = lambda name: F.median(F.when(F.col(f"rank{name}") < float("inf"), F.col(f"reciprocal{name}")))
+    j = r.groupBy("snapshot_id", F.array_join("path", ">").alias("path")).agg(able("").alias("open_world"), able("_within").alias("seen_at_first")).filter("open_world is not null")
     return j.groupBy("snapshot_id").agg(F.avg("open_world").alias("open_world"), F.avg("seen_at_first").alias("seen_at_first"), F.avg(F.col("seen_at_first") - F.col("open_world")).alias("contrast"), F.count("*").alias("paths"))
 
 

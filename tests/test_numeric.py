@@ -480,13 +480,31 @@ def test_path_ranks_make_queries_inside_of_runs(spark):
     assert ranking.path_ranks(v, paths, known.limit(0), (1, 2)).count() == len(got)
 
 
-def test_paths_are_ranked_inside_of_runs(spark, data, trained, monkeypatch):
+def test_path_ranks_within(spark):
+    """Both universes at once: equal to one after the other, infinite where the end is outside."""
+    v, paths, known = made_paths(spark)
+    within = spark.createDataFrame([(f"e{i}",) for i in (0, 2, 2, 3, 5, 8, 11)], "id string")
+    both = ranking.path_ranks(v, paths, known, (1, 2), within)
+    key = ["snapshot_id", "seed", "path"]
+    rows = lambda d: sorted((r[0], r[1], tuple(r[2]), r[3], r[4]) for r in d.collect())
+    assert rows(both.select(*key, "rank", "reciprocal")) == rows(ranking.path_ranks(v, paths, known, (1, 2)))
+    q = ranking.path_queries(paths, v)
+    asked = q.select("query", "snapshot_id", F.col("path")[0].alias("head"), x.path_relations("path").alias("relations"))
+    true = asked.join(graph.path_answers(known, asked), ["snapshot_id", "head", "relations"]).select("query", F.col("answer").alias("candidate"))
+    c = v.filter("kind = 'entity'").join(within, "id", "left_semi").select("snapshot_id", "seed", F.col("id").alias("candidate"), "vec")
+    want = ranking.filtered_ranks(q, c, true, ["snapshot_id", "seed"]).select("query", "rank", "reciprocal").join(q, "query")
+    assert rows(both.select(*key, "rank_within", "reciprocal_within")) == rows(want.select(*key, "rank", "reciprocal"))
+    assert {r["rank_within"] == float("inf") for r in both.collect()} == {True, False}
+
+
+@pytest.mark.parametrize("name", ["rank_paths", "panel_mrr"])
+def test_paths_are_ranked_inside_of_runs(spark, data, trained, monkeypatch, name):
     """No vector is staged, and queries don't meet blocks of candidates."""
     names, plain = [], staged
     monkeypatch.setattr(measure_plan, "staged", lambda d, n: names.append((n, dict(d.dtypes))) or plain(d, n))
     monkeypatch.setattr(measure_plan, "_trained", lambda *_: trained)
     monkeypatch.setattr(ranking, "filtered_ranks", None)
-    assert measure_plan.rank_paths(spark, data).count() > 0
+    assert measure_plan.QUERIES[name](spark, data).count() > 0
     assert names and not any("vec" in columns for _, columns in names)
 
 
